@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, piece_codec, sharding
-from .common import documents
+from . import fingerprints, language_id, packing, piece_codec, quality, sharding
+from .common import documents, hash_bucket
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", *quality.COLUMNS, "base_failed", "kept")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(documents(spark, sf_dir))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +33,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(language_id.training_rows(docs))
+    found = language_id.identify(docs, model)
+    held_out = F.coalesce(hash_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_fingerprints": op2_fingerprints,
     "op3_pieces": op3_pieces,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
+    "op7_language": op7_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality": quality.SQL,
+}
