@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, piece_codec, quality, sharding
+from . import fingerprints, language_id, near_dedup, packing, piece_codec, quality, sharding
 from .common import documents, hash_bucket
 
 
@@ -41,6 +41,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.cluster(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
