@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, near_dedup, packing, piece_codec, quality, sharding
+from . import fingerprints, language_id, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
 from .common import documents, hash_bucket
 
 
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), with_bytes=False)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_pieces": op3_pieces,
     "op4_sharding": op4_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
     "op8_near_dedup": op8_near_dedup,
