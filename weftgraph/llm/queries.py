@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, lm_scoring, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
+from . import fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
 from .common import documents, hash_bucket
 
 
@@ -49,6 +49,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(documents(spark, sf_dir))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.learn_and_score(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_language": op7_language,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html_text": op9_html_text,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
