@@ -12,12 +12,11 @@ costs per entry, so that a text's code lengths in all languages come from one lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -188,44 +187,50 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
     # rank limits are applied before the shuffle: no group meets whole in a task
     chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs)
     ids = chosen.select("id", "lang").distinct()
-    sample = rows.join(F.broadcast(ids), ["id", "lang"]).orderBy("lang", "id").select("lang", F.col("text").cast("binary").alias("text")).toPandas()
+    sample = rows.join(F.broadcast(ids), ["id", "lang"]).orderBy("lang", "id").select("lang", F.col("text").cast("binary").alias("text")).toArrow()
     texts: dict[str, list[bytes]] = {}
-    for lang, text in sample.itertuples(index=False):
-        texts.setdefault(lang, []).append(bytes(text))
+    for lang, text in zip(*[c.to_pylist() for c in sample.columns], strict=True):
+        texts.setdefault(lang, []).append(text)
     return LanguageModel(texts)
 
 
+VERDICT = "lang_pred string, score double, bits_per_byte double"
+
+
+def verdict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """Struct of VERDICT for a text column. The model's size is bounded by its sample."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def judge(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        own, parts = shared.value, [pd.DataFrame({"lang_pred": [], "score": [], "bits_per_byte": []})]
+        for first in range(0, len(texts), 400):
+            part = [bytes(t) if t is not None else b"" for t in texts.iloc[first : first + 400]]
+            letter = letters.iloc[first : first + 400].to_numpy(dtype=bool) & bool(own.languages)
+            names, score, rate = own.predict(part) if own.languages else ([UNDETERMINED] * len(part), np.zeros(len(part)), np.zeros(len(part)))
+            names = [n if ok else UNDETERMINED for n, ok in zip(names, letter, strict=True)]
+            parts.append(pd.DataFrame({"lang_pred": names, "score": np.where(letter, score, 0.0), "bits_per_byte": rate}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+
+    text = text.cast("string")
+    return F.pandas_udf(judge, VERDICT)(text.cast("binary"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every row.
 
     A null text, or one without a letter, is `und` with score 0 (so is everything if
     nothing was learned); repeated rows are scored each; an empty table gives no rows;
-    other columns are ignored. The model's size is bounded by its sample.
+    other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            for first in range(0, len(batch), 400):
-                part = batch.iloc[first : first + 400]
-                texts = [bytes(t) if t is not None else b"" for t in part["text"]]
-                names, score, rate = own.predict(texts) if own.languages else ([UNDETERMINED] * len(part), np.zeros(len(part)), np.zeros(len(part)))
-                letter = part["letter"].to_numpy(dtype=bool)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].array,
-                        "lang_pred": [n if ok else UNDETERMINED for n, ok in zip(names, letter, strict=True)],
-                        "score": np.where(letter & bool(own.languages), score, 0.0),
-                        "bits_per_byte": rate,
-                    }
-                )
-
-    text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    )
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    found = verdict(docs.sparkSession, model, F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("_v")).select("doc_id", "_v.*")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, most_bits: float = 5.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs in a known language: not `und`, not ambiguous, and not far from what the language was learned to be."""
+    judged = docs.withColumn("_verdict", verdict(docs.sparkSession, model, F.col(text_col)))
+    keep = (F.col("_verdict.lang_pred") != UNDETERMINED) & (F.col("_verdict.score") >= least_score) & (F.col("_verdict.bits_per_byte") <= most_bits)
+    return judged.filter(keep).drop("_verdict")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -59,7 +59,9 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
 
     n_repeat_words counts the words inside a `window`-word run that the text has twice or
     more. Runs are compared by a 64-bit hash of their words, within one text. Every
-    intermediate is a column of its own, so that no expression is evaluated twice.
+    intermediate is a column of its own, so that no expression is evaluated twice; the row
+    number keeps the optimizer from pushing a filter on the results below these columns,
+    where it would evaluate them anew for each word.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = text
@@ -70,6 +72,7 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
             "_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             "n_symbols": (F.octet_length(text) - F.octet_length(plain)).cast("long"),
+            "_row": F.monotonically_increasing_id(),
         }
     )
     count = F.size("_words")
@@ -85,18 +88,21 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_runs": F.sort_array(hashes),
+            "_row": F.greatest("_row", F.monotonically_increasing_id()),
         }
     )
     same = lambda x, i: F.coalesce(x["h"] == F.get("_runs", i)["h"], F.lit(False))
     twice = F.filter("_runs", lambda x, i: same(x, i + 1) | same(x, i - 1))
-    out = out.withColumn("_starts", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    out = out.withColumns({"_starts": starts, "_row": F.greatest("_row", F.monotonically_increasing_id())})
     covered = F.aggregate(
         "_starts",
         F.struct(F.lit(-window).alias("at"), F.lit(0).alias("n")),
         lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(window), i - a["at"])).alias("n")),
         lambda a: a["n"],
     )
-    out = out.withColumn("n_repeat_words", covered.cast("long"))
+    repeated = F.when(F.greatest("_row", F.monotonically_increasing_id()) >= 0, covered)
+    out = out.withColumn("n_repeat_words", repeated.cast("long"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumns(
         {
@@ -106,7 +112,7 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
             "stop_ratio": ratio("n_stop_words", "n_words"),
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         }
-    ).drop("_words", "_lines", "_runs", "_starts")
+    ).drop("_words", "_lines", "_runs", "_starts", "_row")
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -30,7 +30,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir), with_bytes=False)
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

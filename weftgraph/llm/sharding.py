@@ -85,8 +85,8 @@ def shard_bounds(groups: DataFrame, shards: int) -> list[str]:
 
     def level(rows: DataFrame, depth: int) -> list[tuple[str, int, int]]:
         summed = rows.groupBy(F.substring("digest", 1, depth).alias("p")).agg(F.sum("bytes"), F.count("*"))
-        table = summed.toPandas()
-        return [(p, int(b), int(n)) for p, b, n in table.itertuples(index=False)]
+        table = summed.toArrow()
+        return list(zip(*[c.to_pylist() for c in table.columns], strict=True))
 
     def expand(prefixes: list[str]) -> list[tuple[str, int, int]]:
         found = []

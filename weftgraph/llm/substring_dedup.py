@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import saved
 
@@ -107,6 +108,7 @@ class _Batch:
 
     def __init__(self, table: pa.Table, copies: set[int]):
         table = table.sort_by("at")
+        self.table = table
         self.at = table.column("at").to_pylist()
         self.ids = table.column("doc_id").to_pylist()
         self.texts = [t or b"" for t in table.column("bytes").to_pylist()]
@@ -289,15 +291,12 @@ def _answer_strings(asked: pa.Table) -> pa.Table:
     return pa.table([asked.column("batch"), asked.column("range"), pa.array([_pack(e) for e in np.split(earlier, cuts)], pa.binary())], schema=_TOLD)
 
 
-_RESULT = pa.schema(
-    [("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("row", pa.int64())]
-)
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_KINDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def _remove(ranges: int, with_bytes: bool):
+def _remove(ranges: int, with_text: bool):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _RESULT.empty_table()
         batch = _narrowed(docs, side, ranges)
         where, names, owner, _, back = _strings_of(batch, ranges)
         # earlier elsewhere: all of them go; else those after the batch's own least document
@@ -310,7 +309,7 @@ def _remove(ranges: int, with_bytes: bool):
         covered = np.cumsum(edge[:-1]) > 0
         place = {i: k for k, i in enumerate(batch.used)}
         out: list[tuple] = []
-        number = docs.column("batch")[0].as_py()
+        texts: list[str] = []
         for i, text in enumerate(batch.texts):
             kept, removed, spans = text, 0, 0
             if batch.at[i] in batch.copies and len(text) >= LENGTH:
@@ -322,14 +321,20 @@ def _remove(ranges: int, with_bytes: bool):
                 if removed:
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
                     kept = batch.data[b : b + n][~own].tobytes()
-            out.append((batch.ids[i], None, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, number + batch.at[i]))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
+            out.append((batch.ids[i], len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
+            if with_text:
+                texts.append(kept.decode("utf-8", "ignore"))
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in _KINDS]
+        table = pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, _KINDS, strict=True)})
+        if with_text:
+            table = table.append_column("kept", pa.array(texts, pa.string())).append_column("rest", batch.table.column("rest"))
+        return table
 
     return run
 
 
-def _batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """batch, at (its number there), doc_id, bytes, digest, n_bytes: the bucketed table of all rows."""
+def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """batch, at (its number there), doc_id, bytes, rest (the carried columns), digest, n_bytes: the bucketed table of all rows."""
     limit = BATCH
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +354,10 @@ def _batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes")).mapInArrow(number, "batch long, at int, doc_id long, bytes binary")
+    rest = F.struct(F.lit(0).cast("byte").alias("_none"), *carried)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), rest.alias("rest"))
+    numbered = StructType([StructField("batch", LongType()), StructField("at", IntegerType()), *rows.schema.fields])
+    rows = rows.mapInArrow(number, numbered)
     rows = rows.withColumns({"digest": F.unhex(F.sha2("bytes", 256)), "n_bytes": F.octet_length("bytes").cast("long")})
     spark = docs.sparkSession
     name = f"substring_batches_{uuid.uuid4().hex}"
@@ -358,8 +366,8 @@ def _batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) -> tuple[DataFrame, DataFrame]:
-    table = _batched(docs, id_col, text_col)
+def _run(docs: DataFrame, id_col: str, text_col: str, carried: list[str], with_text: bool) -> DataFrame:
+    table = _batched(docs, id_col, text_col, carried)
     spark = docs.sparkSession
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(1, -(-total // RANGE))
@@ -367,33 +375,45 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) -> tuple
     first = heads.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = heads.join(first, "digest").filter("doc_id > first")
     packed = copies.groupBy("batch").agg(F.collect_list("at").alias("ats"))  # numbers within one batch: bounded
-    side = packed.select("batch", F.lit(_COPIES).alias("kind"), F.lit(0).cast("long").alias("range"), F.array_join(F.col("ats").cast("array<string>"), ",").cast("binary").alias("data"))
-    side = saved(side, "copies")
+    data = F.array_join(F.col("ats").cast("array<string>"), ",").cast("binary")
+    side = saved(packed.select("batch", F.lit(_COPIES).alias("kind"), F.lit(0).cast("long").alias("range"), data.alias("data")), "copies")
 
-    def each(known: DataFrame, function, schema: str) -> DataFrame:
-        return table.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(function, schema)
+    def each(known: DataFrame, columns: list[str], function, schema) -> DataFrame:
+        return table.select(*columns).groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(function, schema)
 
-    told = "batch long, range long, data binary"
+    told, plain = "batch long, range long, data binary", ["batch", "at", "doc_id", "bytes"]
 
     def round_of(known: DataFrame, kind: int, ask, answer) -> DataFrame:
-        asked = each(known, ask(ranges), told)
+        asked = each(known, plain, ask(ranges), told)
         answered = saved(asked.groupBy("range").applyInArrow(answer, told), "answers")
-        spark._jvm.System.gc()  # lets the round's shuffle files go
         return known.unionByName(answered.select("batch", F.lit(kind).alias("kind"), "range", "data"))
 
     side = round_of(side, _GRAMS, _ask_grams, _answer_grams)
     side = round_of(side, _STRINGS, _ask_strings, _answer_strings)
-    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long"
-    return each(side, _remove(ranges, with_bytes), schema), table
+    if not with_text:
+        return each(side, plain, _remove(ranges, False), _RESULT)
+    schema = StructType([*DataType.fromDDL(_RESULT).fields, StructField("kept", StringType()), table.schema["rest"]])
+    return each(side, [*plain, "rest"], _remove(ranges, True), schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) of every row.
 
     A byte goes if it lies in a LENGTH-byte string of its text that also starts in a
     document of smaller id. Texts shorter than that, null and empty ones lose nothing.
     Rows of one id take nothing from each other; a row without an id neither loses bytes
     nor makes others lose any. An empty table gives no rows; other columns are ignored.
     """
-    done, _ = _run(docs, id_col, text_col, with_bytes)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else []))
+    return _run(docs, id_col, text_col, [], False)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, each text without what remove_repeats removes.
+
+    Every row stays, its text empty if nothing is left; bytes of a character that a removed
+    string cuts go too. A null text becomes an empty one.
+    """
+    carried = [c for c in docs.columns if c not in (id_col, text_col)]
+    done = _run(docs, id_col, text_col, carried, True)
+    own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("kept")}
+    return done.select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
