@@ -1,0 +1,36 @@
+"""A small shop: a checkout flow from two entries to two systems, and one event."""
+
+from weftgraph.graph import Graph
+from weftgraph.operators.relational import synthesize_event_edges
+from weftgraph.schema import EDGES, EXTERNAL_CALLS, NODES, TAGS
+
+HANDLE, CREATE, CHARGE, SAVE, EMIT, SEND, SUBMIT, TEST = (
+    "src/routes.py::handle_checkout", "src/services.py::create_order", "src/gateways.py::charge", "src/db.py::save_order",
+    "src/services.py::emit_created", "src/workers.py::send_email", "src/frontend.ts::ts_submit", "tests/test_charge.py::test_charge",
+)
+
+
+def node(id_, lines=(1, 10), kind="function", language="python", signature=None, is_test=False, metadata=None):
+    file, name = id_.split("::")
+    return (id_, kind, name.split(".")[-1], file, *lines, language, signature, is_test, metadata)
+
+
+def graph_of(spark, nodes, edges=(), tags=(), external=()):
+    make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    return Graph(make(nodes, NODES), make(edges, EDGES), make(tags, TAGS), make(external, EXTERNAL_CALLS))
+
+
+def shop(spark, extra_edges=(), external=()):
+    nodes = [
+        node(HANDLE, (12, 20), metadata={"route": "POST /api/checkout"}),
+        node(CREATE, (20, 40)),
+        node(CHARGE, (23, 48), signature="charge(amount: Decimal, token: str) -> PaymentResult"),
+        node(SAVE, (34, 40)),
+        node(EMIT, (42, 45)),
+        node(SEND, (15, 25)),
+        node(SUBMIT, (5, 15), language="typescript"),
+        node(TEST, (1, 10), is_test=True),
+    ]
+    edges = [(HANDLE, CREATE, "calls"), (CREATE, CHARGE, "calls"), (CREATE, SAVE, "calls"), (CREATE, EMIT, "calls"), (TEST, CHARGE, "calls"), *extra_edges]
+    tags = [(HANDLE, "flow", "checkout"), (SUBMIT, "flow", "checkout"), (CHARGE, "boundary", "stripe"), (SAVE, "boundary", "postgres"), (EMIT, "emits", "order.created"), (SEND, "handles", "order.created")]
+    return synthesize_event_edges(graph_of(spark, nodes, edges, tags, external))
