@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash_bucket
+from .common import give_back, hash_bucket
 
 ORDER = 3
 #: What stands before a text's first byte.
@@ -209,6 +209,7 @@ def verdict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
             names, score, rate = own.predict(part) if own.languages else ([UNDETERMINED] * len(part), np.zeros(len(part)), np.zeros(len(part)))
             names = [n if ok else UNDETERMINED for n, ok in zip(names, letter, strict=True)]
             parts.append(pd.DataFrame({"lang_pred": names, "score": np.where(letter, score, 0.0), "bits_per_byte": rate}))
+        give_back()
         return pd.concat(parts[1:] or parts, ignore_index=True)
 
     text = text.cast("string")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import saved
+from .common import give_back, saved
 
 BITS, RADIUS, PARTS, SHINGLE = 64, 4, 3, 4
 SEED = 42
@@ -56,7 +56,9 @@ def simhash(text: str | None) -> int:
 
 @F.pandas_udf(LongType())
 def simhash_column(texts: pd.Series) -> pd.Series:
-    return pd.Series([simhash(t) for t in texts], dtype="int64")
+    out = pd.Series([simhash(t) for t in texts], dtype="int64")
+    give_back()
+    return out
 
 
 def _anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +168,7 @@ def _at_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield linked(rows[~last])
     if carry is not None:
         yield linked(carry)
+    give_back()
 
 
 def links(prints: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 WINDOW = 2048
 #: Tiers below the window; a tail belongs to the smallest that holds it.
 TIERS = (64, 128, 256, 512, 1024, 2048)
@@ -217,5 +219,6 @@ def pack(
                     yield drain()
         packer.flush(last=True)
         yield drain()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -25,19 +25,21 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from .common import saved
+from .common import give_back, saved
 
 LENGTH = 50
 GRAM = 19
 #: Bytes of text in a batch (a longer document is a batch of its own), and of text per key range.
-BATCH, RANGE = 4 << 20, 8 << 20
+BATCH, RANGE = 2 << 20, 8 << 20
 #: Positions named at once.
 SLICE = 1 << 17
 
@@ -337,28 +339,24 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) ->
     """batch, at (its number there), doc_id, bytes, rest (the carried columns), digest, n_bytes: the bucketed table of all rows."""
     limit = BATCH
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         batch, at, full = 0, 0, 0
-        for rows in batches:
-            sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_pylist()
+        for sizes in batches:
             to, place = [], []
-            for n in sizes:
+            for n in sizes.tolist():
                 if full and full + n > limit:
                     batch, at, full = batch + at, 0, 0
                 to.append(task + batch)
                 place.append(at)
                 at, full = at + 1, full + n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int64()), pa.array(place, pa.int32()), *rows.columns], ["batch", "at", *rows.schema.names]
-            )
+            yield pd.DataFrame({"batch": to, "at": place})
 
+    numbered = F.pandas_udf(number, "batch long, at int", functionType=PandasUDFType.SCALAR_ITER).asNondeterministic()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rest = F.struct(F.lit(0).cast("byte").alias("_none"), *carried)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), rest.alias("rest"))
-    numbered = StructType([StructField("batch", LongType()), StructField("at", IntegerType()), *rows.schema.fields])
-    rows = rows.mapInArrow(number, numbered)
-    rows = rows.withColumns({"digest": F.unhex(F.sha2("bytes", 256)), "n_bytes": F.octet_length("bytes").cast("long")})
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), F.struct(F.lit(0).cast("byte").alias("_none"), *carried).alias("rest"))
+    rows = rows.withColumn("n_bytes", F.octet_length("bytes").cast("long")).withColumn("_to", numbered("n_bytes"))
+    rows = rows.select("_to.batch", "_to.at", "doc_id", "bytes", "rest", "n_bytes", F.unhex(F.sha2("bytes", 256)).alias("digest"))
     spark = docs.sparkSession
     name = f"substring_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -378,7 +376,12 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: list[str], with_t
     data = F.array_join(F.col("ats").cast("array<string>"), ",").cast("binary")
     side = saved(packed.select("batch", F.lit(_COPIES).alias("kind"), F.lit(0).cast("long").alias("range"), data.alias("data")), "copies")
 
-    def each(known: DataFrame, columns: list[str], function, schema) -> DataFrame:
+    def each(known: DataFrame, columns: list[str], ask, schema) -> DataFrame:
+        def function(docs: pa.Table, side: pa.Table) -> pa.Table:
+            out = ask(docs, side)
+            give_back()
+            return out
+
         return table.select(*columns).groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(function, schema)
 
     told, plain = "batch long, range long, data binary", ["batch", "at", "doc_id", "bytes"]
