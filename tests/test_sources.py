@@ -228,6 +228,25 @@ def test_command_line(spark, project):
     assert json.loads(run("callees", "handle_checkout", "--json"))[0]["name"] == "create_order"
 
 
+def test_build_from_dumps(spark, tmp_path):
+    for name, text in {"src/a.ts": "// @weft:flow go\nfunction a() { b() }\n", "src/b.ts": "function b() {}\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    folder = tmp_path / cli.STORE / "dumps"
+    folder.mkdir(parents=True)
+    symbols_of = lambda file, name, line: {"file": file, "language": "typescript", "symbols": json.dumps([symbol(name, 12, line, line)])}
+    (folder / "symbols.json").write_text("\n".join(map(json.dumps, [symbols_of("src/a.ts", "a", 1), symbols_of("src/b.ts", "b", 0)])))
+    call = {"source_id": "src/a.ts::a", "kind": "function", "language": "typescript", "calls": json.dumps([{"to": {"name": "x", "uri": "file:///q/node_modules/left-pad/i.js"}}])}
+    (folder / "calls.json").write_text(json.dumps(call))
+    (folder / "refs.json").write_text(json.dumps({"target_id": "src/b.ts::b", "refs": json.dumps([{"uri": f"file://{tmp_path}/src/a.ts", "range": {"start": {"line": 1, "character": 15}}}])}))
+    (tmp_path / config.FILE).write_text('[project]\nlanguages = ["typescript"]\n')
+    text, code = command(spark, tmp_path, "build")
+    assert code == 0 and text.startswith("Built graph: 2 files, 2 nodes, 1 edges, 1 tags"), text
+    g = GraphStore(spark, str(tmp_path / cli.STORE)).open()
+    assert rows(g.edges) == [("src/a.ts::a", "src/b.ts::b", "calls")] and rows(g.external_calls) == [("src/a.ts::a", "left-pad", "x")]
+    assert command(spark, tmp_path, "flow", "go")[0] == "a (src/a.ts:2)\n  → b (src/b.ts:1)"
+
+
 def test_streamed_refresh(spark, store, tmp_path):
     store.replace(shop(spark))
     inbox = tmp_path / "inbox"

@@ -67,14 +67,30 @@ def project_files(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return out.dropDuplicates(["path"])
 
 
+#: Dump files below a project's store, one JSON record a line.
+DUMPS = {
+    "symbols": "file string, language string, symbols string",
+    "calls": "source_id string, kind string, language string, calls string",
+    "refs": "target_id string, refs string",
+}
+
+
+def read_dumps(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The language-server dumps in a folder, <name>.json each; without symbols there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda name: path(f"{folder}/{name}.json").getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f"{folder}/{name}.json"))
+    found = {name: spark.read.schema(schema).json(f"{folder}/{name}.json") for name, schema in DUMPS.items() if there(name)}
+    return found if "symbols" in found else {}
+
+
 def build(spark: SparkSession, root: str, store: GraphStore, config: Config, dumps: dict[str, DataFrame] | None = None) -> Stats:
-    """Indexes all files below root and replaces the store's tables. dumps: symbols, calls, refs."""
+    """Indexes all files below root and replaces the store's tables. dumps: by the names in DUMPS, else what the store's folder has."""
     began = time.time()
     project = f"file://{root}"
     listed = saved(project_files(spark, root, config), "files")
     texts = listed.select("path", "file", "language").join(files.read_sources(spark, listed), "path").select("file", "language", "text")
     sources = saved(texts, "sources")
-    dumps = dumps or {}
+    dumps = read_dumps(spark, f"{store.path}/dumps") if dumps is None else dumps
     own = sources.filter("language = 'python'")
     if "symbols" in dumps:
         own = own.join(dumps["symbols"].select("file"), "file", "left_anti")

@@ -20,16 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    The table is removed when the driver's process ends.
-    """
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
