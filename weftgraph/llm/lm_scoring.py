@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, saved
+from .common import give_back, hash_bucket, saved
 
 #: Classes: own words, endings, one for other endings, one for the text's end.
 OWN_WORDS, ENDINGS = 64, 62
@@ -37,7 +36,7 @@ OTHER, END_CLASS = CLASSES - 2, CLASSES - 1
 #: Words whose counts go to every task.
 DICTIONARY = 200_000
 #: Distinct words that a task holds before it passes their counts on.
-HELD = 300_000
+HELD = 150_000
 SIZE, STEPS, BATCH, NOISE, RATE, SEED = 24, 800, 4096, 8, 0.05, 7
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -165,21 +164,22 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield out()
         if held:
             yield out()
+        give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Classes by the counts; what comes to the driver has fixed bounds: DICTIONARY words, 65,536 endings."""
-    top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(DICTIONARY).toPandas()
-    frequent = {bytes(w): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
+    top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
+    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     end_count = sum(r[0] for r in counts.filter(F.col("word") == F.lit(bytearray(END))).select("n").collect())
     own = {w: i for i, w in enumerate(list(frequent)[:OWN_WORDS])}
     last = F.hex(F.when(F.octet_length("word") > 1, F.substring(F.col("word"), -2, 2)).otherwise(F.concat(F.unhex(F.lit("00")), F.col("word"))))
     rest = counts.filter(F.col("word") != F.lit(bytearray(END)))
-    by_end = rest.groupBy(last.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas()
+    by_end = rest.groupBy(last.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
     totals = {}
-    for e, n, k in by_end.itertuples(index=False):
+    for e, n, k in zip(*[c.to_pylist() for c in by_end.columns], strict=True):
         both = bytes.fromhex(e)
         totals[both[1] << 8 | both[0]] = [int(n), int(k)]
     for w in own:
@@ -225,29 +225,24 @@ class _Classes:
     """Classes of a text's tokens: two ends in front, the words, one end behind."""
 
     def __init__(self, own: dict[bytes, int], of_ending: np.ndarray):
-        self.own, self.of_ending, self.met = own, of_ending.tolist(), dict(own)
+        self.own, self.of_ending = own, of_ending.tolist()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        met = self.met
-        if len(met) > HELD:
-            met = self.met = dict(self.own)
         out = np.empty(len(words) + 3, dtype=np.int64)
         out[:2] = out[-1] = END_CLASS
-        get = met.get
+        get, of_ending = self.own.get, self.of_ending
         found = [get(w, -1) for w in words]
-        if -1 in found:
-            for i, c in enumerate(found):
-                if c < 0:
-                    found[i] = met[words[i]] = self.of_ending[ending(words[i])]
-        out[2:-1] = found
+        out[2:-1] = [of_ending[w[-1] << 8 | (w[-2] if len(w) > 1 else 0)] if c < 0 else c for c, w in zip(found, words, strict=True)]
         return out
 
 
 def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> LogBilinear:
-    rows = trigram_counts(docs, words, id_col, text_col).toPandas().sort_values("key")  # at most CLASSES ** 3 rows
-    key = rows["key"].to_numpy(dtype=np.int64)
+    rows = trigram_counts(docs, words, id_col, text_col).select(F.col("key").cast("int"), F.col("n").cast("float")).toArrow()  # at most CLASSES ** 3
+    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(key)
+    key, n = key[order], n[order]
     model = LogBilinear()
-    model.fit(key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES, rows["n"].to_numpy(dtype=np.int64))
+    model.fit(key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES, n)
     return model
 
 
@@ -258,50 +253,53 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
     was learned, all tokens are unknown. An empty table gives no rows; other columns are
     ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, model.table()))
+    entries = list(words.counts)
+    values = np.array(list(words.counts.values()), dtype=float)
+    of_class = np.array([END_CLASS if w == END else words.class_of(w) for w in entries], dtype=np.int16)
+    several = (of_class >= OWN_WORDS) & (of_class != END_CLASS)
+    lookup = {
+        # the last entry of each array: a rare word's, whose count comes by the join
+        "words": b" ".join(entries),
+        "base": np.append(words.base(values), 0.0),
+        "inside": np.append(np.where(several, words.inside(values, of_class), 0.0), 0.0),
+        "known": np.append(values > 0, False),
+        "of_class": np.append(of_class, 0),
+        "of_ending": words.of_ending,
+        "lacking": -np.log10(words.class_total + 0.5 * (words.class_distinct + 1)),
+        "lacking_base": -math.log10(words.total + 0.5 * (words.distinct + 1)),
+        "table": model.table(),
+    }
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
     schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, table = shared.value
-        classes = _Classes(own.own, own.of_ending)
-        number = {w: i for i, w in enumerate(own.counts)}
-        values = np.array(list(own.counts.values()), dtype=float)
-        base = np.append(own.base(values), 0.0)  # the last: a rare word's, which comes by the join
-        of_class = np.array([END_CLASS if w == END else own.class_of(w) for w in own.counts], dtype=np.int64)
-        several = (of_class >= OWN_WORDS) & (of_class != END_CLASS)
-        inside = np.append(np.where(several, own.inside(values, of_class), 0.0), 0.0)
-        known = np.append(values > 0, False)
-        # a rare word's share within its class, without its count
-        lacking = -np.log10(own.class_total + 0.5 * (own.class_distinct + 1))
-        lacking_base = -math.log10(own.total + 0.5 * (own.distinct + 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        get = {w: i for i, w in enumerate(own["words"].split(b" "))}.get
+        end, of_ending, table = get(END), own["of_ending"].tolist(), own["table"]
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        at, end = 0, number[END]
+        at = 0
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.iloc[first : first + 500]
-                out = []
-                for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    ws = tokens(text)
-                    c = classes.of(ws)
-                    get = number.get
+            for first in range(0, batch.num_rows, 250):
+                part = batch.slice(first, 250)
+                out: list[tuple] = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ws = tokens(text.as_py())
                     ids = np.array([get(w, -1) for w in ws] + [end], dtype=np.int64)
                     rare = np.flatnonzero(ids < 0)
+                    c = np.full(len(ids) + 2, END_CLASS, dtype=np.int64)
+                    c[2:] = own["of_class"][ids]
+                    c[2:][rare] = [of_ending[ending(ws[i])] for i in rare]
                     after = table[c[1:-1], c[:-2], c[2:]].sum(dtype=np.float64)
-                    out.append(
-                        (
-                            task + at,
-                            doc,
-                            len(ids),
-                            int(known[ids].sum()),
-                            float(base[ids].sum()) + len(rare) * lacking_base,
-                            float(after) + float(inside[ids].sum()) + float(lacking[c[2:][rare]].sum()),
-                            [ws[i] for i in rare],
-                        )
-                    )
+                    base = float(own["base"][ids].sum()) + len(rare) * own["lacking_base"]
+                    score = float(after) + float(own["inside"][ids].sum()) + float(own["lacking"][c[2:][rare]].sum())
+                    out.append((task + at, doc, len(ids), int(own["known"][ids].sum()), base, score, [ws[i] for i in rare]))
                     at += 1
-                yield pd.DataFrame(out, columns=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]).astype({"doc_id": "Int64"})
+                kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.binary())]
+                names = [n.split()[0] for n in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        give_back()
 
-    scored = saved(_rows(docs, id_col, text_col).mapInPandas(run, schema), "scored")
+    scored = saved(_rows(docs, id_col, text_col).mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = rare.join(counts.select("word", "n"), "word", "left")
     share = F.log10(F.coalesce("n", F.lit(0)) + 0.5) * F.col("k")
