@@ -60,6 +60,11 @@ def test_boilerplate_goes(extra):
     assert ht.main_text(page(article + extra, NAV, FOOT)) == want or extra.startswith("<header")
 
 
+def test_line_breaks_and_headers_inside_articles():
+    article = f"<div class='entry-header'><h1>Head</h1></div><p>one<br>two<br/>\n three</p><p>{PARA}</p>"
+    assert ht.main_text(page(article, NAV, FOOT)) == f"Head\none two three\n{PARA}"
+
+
 def test_pages_without_article():
     body = f"<div id='menu'><a href='/x'>Start</a> <a href='/y'>News</a></div><div class='content'><h2>Title</h2><p>{PARA}</p><p>Short.</p><p>{PARA}</p></div><div id='footer'>All rights reserved.</div>"
     assert ht.main_text(f"<html><body>{body}</body></html>") == f"Title\n{PARA}\nShort.\n{PARA}"

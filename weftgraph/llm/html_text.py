@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # HTML's elements by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
@@ -41,10 +41,12 @@ SCOPE = frozenset("ul ol menu dl table select div section article main aside nav
 # Words in class, id and role that speak against a block, and for it.
 AGAINST = frozenset(
     "ad ads adsense advert advertisement adverts advertorial alert banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies "
-    "copyright dialog disclaimer discussion disqus donate footer foot form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices "
+    "copyright dialog disclaimer discussion disqus donate footer foot form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices "
     "notification pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social "
     "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo navigation".split()
 )
+#: Speaks against a block outside articles only: an article has a header of its own.
+HEAD = "header"
 FOR = frozenset("article articlebody body content entry hentry main maincontent post postbody story text".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -76,8 +78,8 @@ class _Open:
     link: bool
 
 
-def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(against, for) by class, id, role and hiding attributes."""
+def _signs(tag: str, attributes: str, inside: int) -> tuple[bool, bool]:
+    """(against, for) by class, id, role and hiding attributes; inside: articles around it."""
     if not attributes or tag in ("html", "body"):
         return False, False
     against = speaks = False
@@ -91,7 +93,7 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
             against |= "display:none" in value.replace(" ", "").lower()
         else:
             words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value))} | {value.lower().replace("-", "").replace("_", "")}
-            against |= not words.isdisjoint(AGAINST)
+            against |= not words.isdisjoint(AGAINST) or (HEAD in words and not inside)
             speaks |= not words.isdisjoint(FOR)
     return against, speaks and not against
 
@@ -138,6 +140,8 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = found.group(3)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+            if tag == "br":  # white space inside its block
+                parts.append(" ")
             continue
         if tag in RAW:
             shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -160,8 +164,8 @@ def blocks(page: str) -> list[Block]:
                     break
         number += 1
         top = stack[-1]
-        against, speaks = _signs(tag, attributes)
         inside = top.inside + (tag in ("article", "main"))
+        against, speaks = _signs(tag, attributes, inside)
         frame = top.frame or tag in FRAME or (tag == "header" and not inside)
         stack.append(_Open(tag, number, inside, frame, top.against or against, top.speaks or speaks, top.link or tag == "a"))
     rest = page[at:]
