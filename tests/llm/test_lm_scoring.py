@@ -82,6 +82,7 @@ def test_whole_vocabulary_sums_to_one(spark, docs_of):
 
 def test_edge_cases(spark, docs_of, monkeypatch):
     rows = [(1, None), (2, ""), (3, "A a B"), (3, "A a B"), (None, "no id ÀB"), (6, "x"), (8, "long text " * 20000), (9, " \t")]
+    monkeypatch.setattr(lm, "STEPS", 20)
     assert seen(lm.learn_and_score(docs_of(rows)).collect()) == brute_base(rows)
     monkeypatch.setattr(lm, "DICTIONARY", 1)
     monkeypatch.setattr(lm, "HELD", 2)

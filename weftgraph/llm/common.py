@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import saved, shared_dir
+from ..sources.shared import saved, table_path
 
-__all__ = ["documents", "give_back", "hash_bucket", "saved", "shared_dir"]
+__all__ = ["documents", "give_back", "hash_bucket", "saved", "table_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

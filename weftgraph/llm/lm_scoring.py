@@ -242,7 +242,7 @@ def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
     order = np.argsort(key)
     key, n = key[order], n[order]
     model = LogBilinear()
-    model.fit(key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES, n)
+    model.fit(key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES, n, STEPS)
     return model
 
 
