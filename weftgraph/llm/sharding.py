@@ -69,11 +69,19 @@ class _Tree:
             self._set([x for i, x in enumerate(self.leaves) if i not in unsure] + opened)
 
     def capacity(self, shards: int, expand) -> int:
-        low, high = max(1, -(-self.total // shards)), max(1, self.total)
+        """Smallest feasible capacity: growing steps up from the mean find a feasible one, then binary search below it."""
+
+        def feasible(capacity: int) -> bool:
+            cuts = self.cuts(capacity, expand)
+            return cuts is not None and len(cuts) < shards
+
+        low = max(1, -(-self.total // shards))
+        high, step = low, max(1, self.total >> 16)
+        while not feasible(high):
+            low, high, step = high + 1, high + step, 2 * step
         while low < high:
             middle = (low + high) // 2
-            cuts = self.cuts(middle, expand)
-            if cuts is not None and len(cuts) < shards:
+            if feasible(middle):
                 high = middle
             else:
                 low = middle + 1
