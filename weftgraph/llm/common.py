@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved, table_path
 
-__all__ = ["documents", "give_back", "hash_bucket", "saved", "table_path"]
+__all__ = ["documents", "give_back", "hash_bucket", "release_shuffles", "saved", "table_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,13 @@ def give_back() -> None:
         return
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the files of shuffles that nothing refers to any more go now, not when the driver happens to collect garbage."""
+    spark.range(1).collect()  # the scheduler refers to the last job until there is another
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def hash_bucket(column: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

@@ -31,10 +31,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from .common import give_back, saved
+from .common import give_back, release_shuffles, saved, table_path
 
 LENGTH = 50
 GRAM = 19
@@ -44,6 +43,8 @@ BATCH, RANGE = 2 << 20, 8 << 20
 SLICE = 1 << 17
 
 _WINDOW = LENGTH - GRAM + 1
+#: What a row counts for in a batch besides its bytes, so that empty texts fill batches too.
+_ROW = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 # the names of single bytes
 _ONE = (np.arange(1, 257, dtype=np.uint64) * _M1) ^ ((np.arange(1, 257, dtype=np.uint64) * _M2) >> np.uint64(31))
@@ -345,6 +346,7 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) ->
         for sizes in batches:
             to, place = [], []
             for n in sizes.tolist():
+                n += _ROW
                 if full and full + n > limit:
                     batch, at, full = batch + at, 0, 0
                 to.append(task + batch)
@@ -352,7 +354,7 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) ->
                 at, full = at + 1, full + n
             yield pd.DataFrame({"batch": to, "at": place})
 
-    numbered = F.pandas_udf(number, "batch long, at int", functionType=PandasUDFType.SCALAR_ITER).asNondeterministic()
+    numbered = F.pandas_udf(number, "batch long, at int").asNondeterministic()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), F.struct(F.lit(0).cast("byte").alias("_none"), *carried).alias("rest"))
     rows = rows.withColumn("n_bytes", F.octet_length("bytes").cast("long")).withColumn("_to", numbered("n_bytes"))
@@ -360,7 +362,7 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) ->
     spark = docs.sparkSession
     name = f"substring_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").saveAsTable(name)
+    rows.write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").option("path", table_path(spark, "batches")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -387,8 +389,8 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: list[str], with_t
     told, plain = "batch long, range long, data binary", ["batch", "at", "doc_id", "bytes"]
 
     def round_of(known: DataFrame, kind: int, ask, answer) -> DataFrame:
-        asked = each(known, plain, ask(ranges), told)
-        answered = saved(asked.groupBy("range").applyInArrow(answer, told), "answers")
+        answered = saved(each(known, plain, ask(ranges), told).groupBy("range").applyInArrow(answer, told), "answers")
+        release_shuffles(spark)  # they go before the next round's come
         return known.unionByName(answered.select("batch", F.lit(kind).alias("kind"), "range", "data"))
 
     side = round_of(side, _GRAMS, _ask_grams, _answer_grams)
