@@ -16,6 +16,7 @@ import base64
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> Callable[[list[st
     return encode
 
 
+@lru_cache(maxsize=1)
 def public_byte_bpe() -> Callable[[list[str]], list[list[int]]]:
     import public_tokenizers
 

@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -154,10 +155,10 @@ class PieceCodec:
                 continue
             start = end + 1 - size[token]
             if start:
-                left = last[start]
-                fits = known((left, token))
+                pair = (last[start], token)
+                fits = known(pair)
                 if fits is None:
-                    fits = self.compatible(left, token)
+                    fits = self.compatible(*pair)
                 if not fits:
                     continue
             last[end + 1] = token
@@ -222,7 +223,9 @@ class PieceCodec:
         return [int(i) for i in joined.split(",")] if joined else []
 
 
+@lru_cache(maxsize=1)
 def public_pieces() -> PieceCodec:
+    """The codec of the public model; a worker makes it once and keeps its cache from task to task."""
     import public_tokenizers
 
     return PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
