@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from tests.oracle import check
 from weftgraph.llm import queries
 from weftgraph.llm import substring_dedup as sd
 
@@ -87,3 +88,4 @@ def test_empty_and_single(spark, docs_of):
 def test_query_on_real_rows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(queries.op5_substring_dedup(spark, SF)) == brute(docs)
+    check(spark, queries.op5_substring_dedup, queries.ORACLE_SQL["op5_substring_dedup"], SF)

@@ -72,4 +72,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": quality.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
 }

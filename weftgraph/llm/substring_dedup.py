@@ -422,3 +422,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = _run(docs, id_col, text_col, carried, True)
     own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("kept")}
     return done.select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
+#: The query's rows as DuckDB SQL, for documents of distinct ids: every 50-byte string is looked up, and covered runs are cut out.
+SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, strlen(coalesce(text, '')) as n from documents),
+k as (select doc_id, i, array_slice(b, i + 1, i + 50) as g from (select doc_id, b, unnest(range(0, n - 49)) as i from d where n >= 50)),
+f as (select g, min(doc_id) as first_id from k group by g),
+gone as (select doc_id, i from k join f on f.g = k.g where first_id < doc_id),
+w as (select doc_id, i, coalesce(max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) + 50, -1) as reach from gone),
+s as (select doc_id, i, sum(case when i > reach then 1 else 0 end) over (partition by doc_id order by i) as span from w),
+r as (select doc_id, span, min(i) as a, max(i) + 50 as z from s group by all),
+t as (select doc_id, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans, max(z) as last_z from r group by 1),
+p as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as x, a as y from r
+  union all select d.doc_id, coalesce(last_z, 0), n from d left join t on t.doc_id = d.doc_id),
+h as (select p.doc_id, string_agg(hex(array_slice(b, x + 1, y)), '' order by x) as kept from p join d on d.doc_id = p.doc_id where y > x group by 1)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join t on t.doc_id = d.doc_id left join h on h.doc_id = d.doc_id
+"""
