@@ -27,6 +27,8 @@ ORDER = 3
 PAD = b"\n" * ORDER
 #: Whole texts learned from per language: the bound of the learning sample.
 SAMPLE_DOCS = 800
+#: So many times the sample are expected below the bound of hashes that is looked at.
+SPARE = 1.5
 #: Positions scored at once.
 BLOCK = 1 << 20
 #: The score weighs the evidence of this many bytes, whatever the text's length.
@@ -181,12 +183,15 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from the rows of `docs` with text and language: per language, the sample_docs ids of smallest hash, whole texts."""
+    """A model from the rows of `docs` with text and language: per language, the sample_docs rows of smallest hash of their ids, whole texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # rank limits are applied before the shuffle: no group meets whole in a task
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs)
-    ids = chosen.select("id", "lang").distinct()
+    # the smallest hashes by a bound from the language's count, then by rank: no language meets whole in a task
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    low = rows.select("id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
+    low = low.filter(F.col("place") <= F.lit(float(SPARE * sample_docs * (1 << 30))) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    ids = low.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("id", "lang").distinct()
     sample = rows.join(F.broadcast(ids), ["id", "lang"]).orderBy("lang", "id").select("lang", F.col("text").cast("binary").alias("text")).toArrow()
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(*[c.to_pylist() for c in sample.columns], strict=True):
