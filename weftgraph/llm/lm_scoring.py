@@ -77,18 +77,32 @@ class Vocabulary:
         return np.log10((np.asarray(count, dtype=float) + 0.5) / (self.class_total[of_class] + 0.5 * (self.class_distinct[of_class] + 1)))
 
 
+#: Rows of one matrix in a batched product: small enough to be multiplied by one thread, whatever else the machine does.
+ROWS = 64
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, by batches of ROWS rows."""
+    return (x.reshape(-1, ROWS, x.shape[1]) @ w).reshape(len(x), -1)
+
+
+def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, by batches of ROWS rows."""
+    return (x.reshape(-1, ROWS, x.shape[1]).transpose(0, 2, 1) @ y.reshape(-1, ROWS, y.shape[1])).sum(axis=0)
+
+
 class LogBilinear:
     """Vectors and matrices; trained on trigram counts."""
 
     def __init__(self, classes: int = CLASSES, size: int = SIZE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.context = rng.normal(0, 0.1, (classes, size))
-        self.target = rng.normal(0, 0.1, (classes, size))
-        self.turn = [np.eye(size) * 0.5, np.eye(size) * 0.5]  # of the token before, and of the one before that
-        self.bias = np.zeros(classes)
+        self.context = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
+        self.target = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
+        self.turn = [np.eye(size, dtype=np.float32) / 2 for _ in range(2)]  # of the token before, and of the one before that
+        self.bias = np.zeros(classes, dtype=np.float32)
 
     def hidden(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return self.context[near] @ self.turn[0] + self.context[far] @ self.turn[1]
+        return _times(self.context[near], self.turn[0]) + _times(self.context[far], self.turn[1])
 
     def fit(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
         """Noise-contrastive estimation: tell a trigram's last token from NOISE draws of the smoothed unigram.
@@ -100,45 +114,46 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         unigram = np.bincount(target, counts, len(self.bias)) + 0.5
         noise = unigram / unigram.sum()
-        self.bias = np.log(noise)
+        self.bias = np.log(noise).astype(np.float32)
         upto = np.cumsum(counts, dtype=float)
-        weights = NOISE * noise
+        weights = (NOISE * noise).astype(np.float32)
         shift = np.log(weights)
+        one = np.eye(len(noise), dtype=np.float32)
         params = [self.context, self.target, *self.turn, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
             drawn = np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right").clip(0, len(counts) - 1)
             a, b, w = near[drawn], far[drawn], target[drawn]
             ca, cb = self.context[a], self.context[b]
-            h = ca @ self.turn[0] + cb @ self.turn[1]
-            z = h @ self.target.T + self.bias - shift
+            h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
+            z = _times(h, self.target.T) + self.bias - shift
             is_data = 1 / (1 + np.exp(-z))
             slope = -is_data * weights  # of the expected log-likelihood by z
             slope[np.arange(BATCH), w] += 1 - is_data[np.arange(BATCH), w]
             slope /= BATCH
-            dh = slope @ self.target
-            d_context = np.zeros_like(self.context)
-            np.add.at(d_context, a, dh @ self.turn[0].T)
-            np.add.at(d_context, b, dh @ self.turn[1].T)
-            grads = [d_context, slope.T @ h, ca.T @ dh, cb.T @ dh, slope.sum(axis=0)]
+            dh = _times(slope, self.target)
+            d_context = _summed(one[a], _times(dh, self.turn[0].T)) + _summed(one[b], _times(dh, self.turn[1].T))
+            grads = [d_context, _summed(slope, h), _summed(ca, dh), _summed(cb, dh), slope.sum(axis=0)]
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
-                p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                p += np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def table(self) -> np.ndarray:
-        """log10 probability of each class after each pair (near, far), normalised: one matrix product per near token."""
+        """log10 probability of each class after each pair (near, far), normalised."""
         n = len(self.bias)
-        out = np.empty((n, n, n), dtype=np.float32)
-        far = np.arange(n)
-        for near in range(n):
-            z = self.hidden(np.full(n, near), far) @ self.target.T + self.bias
+        out = np.empty((n * n, n), dtype=np.float32)
+        for first in range(0, n * n, BATCH):
+            pair = np.arange(first, first + BATCH).clip(0, n * n - 1)
+            z = _times(self.hidden(pair // n, pair % n), self.target.T) + self.bias
             z -= z.max(axis=1, keepdims=True)
-            out[near] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / math.log(10)
-        return out
+            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            last = min(first + BATCH, n * n)
+            out[first:last] = z[: last - first] / math.log(10)
+        return out.reshape(n, n, n)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
