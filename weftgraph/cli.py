@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import shutil
 import sys
 from pathlib import Path
 
@@ -60,8 +59,7 @@ class Commands:
         languages = files.detect_languages(found)
         if not path.exists():
             path.write_text(configs.starter_config(languages, "src" if Path(self.root, "src").is_dir() else "."), encoding="utf-8")
-        servers = {"typescript": "typescript-language-server", "python": "zuban"}
-        missing = [f"Warning: {servers[n]} isn't installed; dumps for {n} have to come from elsewhere" for n in languages if not shutil.which(servers[n])]
+        missing = [f"Warning: files in {n} need language-server dumps in {STORE}/dumps" for n in languages if n != "python" and not Path(self.root, STORE, "dumps").is_dir()]
         return "\n".join(["Initialized project", *missing])
 
     def build(self) -> str:
