@@ -11,7 +11,8 @@ turns out unique are dropped before the prefix grows on:
 2. At LENGTH bytes, past the threshold, all positions that are left are ranked, and of
    each name the least document is found.
 
-Names are 64 bits; the key range adds bits of an independent hash. Names travel packed: a
+Names are 64 bits, and the key range of a long name comes from a second one, so that strings
+are taken for equal only if both agree so far. Names travel packed: a
 row holds a batch's distinct names for one range, and what comes back is one bit for each.
 Whole copies of an earlier text are set apart before.
 
@@ -39,6 +40,8 @@ LENGTH = 50
 GRAM = 19
 #: Bytes of text in a batch (a longer document is a batch of its own), and of text per key range.
 BATCH, RANGE = 2 << 20, 8 << 20
+#: Tasks that the copies of one text are dealt to.
+SALTS = 32
 #: Positions named at once.
 SLICE = 1 << 17
 
@@ -60,19 +63,20 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _names(data: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
-    """Names of the `length`-byte strings that start at positions first..last - 1; beyond the end stand zeros."""
+def _names(data: np.ndarray, first: int, last: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the `length`-byte strings that start at positions first..last - 1, and second, independent names.
+
+    Beyond the data's end stand zeros. The length must not be a power of two.
+    """
     part = data[first : last + length - 1]
     if len(part) < last - first + length - 1:
         part = np.concatenate([part, np.zeros(last - first + length - 1 - len(part), dtype=np.uint8)])
-    name, size, kept = _ONE[part], 1, {}
+    name, size = _ONE[part], 1
     while 2 * size <= length:
-        kept[size] = name
         name, size = _pair(name[: len(name) - size], name[size:]), 2 * size
-    if size < length:
-        step = length - size
-        name = _pair(name[: len(name) - step], name[step:])
-    return name[: last - first]
+    n, step = last - first, length - size
+    left, right = name[:n], name[step : step + n]
+    return _pair(left, right), _pair(right ^ _M3, left)
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -91,7 +95,7 @@ def _sampled(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for first in range(0, n, SLICE):
         last = min(n, first + SLICE)
         low = max(0, first - _WINDOW + 1)
-        gram = _names(data, low, last + _WINDOW - 1, GRAM)
+        gram, _ = _names(data, low, last + _WINDOW - 1, GRAM)
         least = _sliding(gram, _WINDOW, np.minimum)  # of the string at low, low + 1, ...
         least = np.where(starts[low:last], least[: last - low], np.uint64(0))
         ahead = np.concatenate([np.zeros(_WINDOW - 1 - (first - low), dtype=np.uint64), least])
@@ -144,15 +148,17 @@ class _Batch:
             left[at[again]] = name[again]
             self.starts[first:last] &= _sliding(every, _WINDOW, np.minimum) == _sliding(left, _WINDOW, np.minimum)
 
-    def long_names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that are left and their names at LENGTH."""
-        where, names = [], []
+    def long_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that are left, and both their names at LENGTH."""
+        where, names, second = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for first in range(0, len(self.data), SLICE):
             own = np.flatnonzero(self.starts[first : first + SLICE])
             if len(own):
+                a, b = _names(self.data, first, first + int(own[-1]) + 1, LENGTH)
                 where.append(own + first)
-                names.append(_names(self.data, first, first + int(own[-1]) + 1, LENGTH)[own])
-        return (np.concatenate(where), np.concatenate(names)) if where else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                names.append(a[own])
+                second.append(b[own])
+        return np.concatenate(where), np.concatenate(names), np.concatenate(second)
 
     def owner(self, where: np.ndarray) -> np.ndarray:
         """Index into used of the document that a position lies in."""
@@ -171,10 +177,10 @@ def _grams_of(batch: _Batch, ranges: int):
 
 def _strings_of(batch: _Batch, ranges: int):
     """As _grams_of for the long names, in order of range, least document here, and name."""
-    where, names = batch.long_names()
+    where, names, second = batch.long_names()
     distinct, first, inverse = np.unique(names, return_index=True, return_inverse=True)  # first: positions ascend with documents
-    owner = batch.owner(where[first]) if len(where) else np.zeros(0, dtype=np.int64)
-    to = _range_of(distinct, ranges)
+    owner = batch.owner(where[first])
+    to = _range_of(second[first], ranges)
     order = np.lexsort((distinct, owner, to))
     back = np.empty(len(order), dtype=np.int64)
     back[order] = np.arange(len(order))
@@ -372,8 +378,11 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: list[str], with_t
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(1, -(-total // RANGE))
     heads = table.select("batch", "at", "doc_id", "digest")
-    first = heads.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = heads.join(first, "digest").filter("doc_id > first")
+    # texts that occur once need no join, and one that is everywhere is dealt to SALTS tasks
+    first = heads.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("batch", "at"), F.lit(SALTS)).cast("int")
+    copies = heads.withColumn("salt", salt).join(first, ["digest", "salt"]).filter("doc_id > first")
     packed = copies.groupBy("batch").agg(F.collect_list("at").alias("ats"))  # numbers within one batch: bounded
     data = F.array_join(F.col("ats").cast("array<string>"), ",").cast("binary")
     side = saved(packed.select("batch", F.lit(_COPIES).alias("kind"), F.lit(0).cast("long").alias("range"), data.alias("data")), "copies")
