@@ -94,3 +94,46 @@ def test_nothing_to_learn_from(spark, docs_of):
     only = [i for i in range(200) if held(i)][:3]
     got = lm.learn_and_score(docs_of([(i, "a b c") for i in only])).collect()
     assert [r.base_score for r in got] == pytest.approx([0.0] * 3) and {r.n_known for r in got} == {0}
+
+
+def test_classes_grow_with_the_corpus():
+    assert lm.class_counts(1000) == (lm.OWN_WORDS, lm.ENDINGS)
+    for tokens in (10**8, 10**10):
+        assert 0.9 < (sum(lm.class_counts(tokens)) + 2) ** 3 / tokens < 1.1
+
+
+def test_every_pass_has_all_trigrams_with_their_counts(monkeypatch):
+    monkeypatch.setattr(lm, "PAIRS", 64)
+    rng = np.random.default_rng(2)
+    pair, target = rng.integers(0, 900, 20000), rng.integers(0, 30, 20000)
+    counts = np.where(rng.random(20000) < 0.01, 50000, 1)
+    steps = list(lm._passes(pair, target, counts, 30, 60, np.random.default_rng(3)))
+    seen = np.zeros((900, 30))
+    for both, n in steps:
+        np.add.at(seen, both, n)
+    passes = -(-60 // -(-2 * 900 // 64))
+    assert np.allclose(seen, passes * np.bincount(pair * 30 + target, counts, 27000).reshape(900, 30), rtol=1e-4)
+
+
+def test_larger_corpus_has_more_classes_over_several_shards(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 16)  # as if the corpus were large
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)
+    monkeypatch.setattr(lm, "GATHERED", 50)
+    monkeypatch.setattr(lm, "HELD_TRIGRAMS", 100)
+    monkeypatch.setattr(lm, "STEPS", 80)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{j}{chr(97 + j % 26)}" for j in rng.integers(0, 200, 40))) for i in range(300)]
+    docs = docs_of(rows)
+    words = lm.vocabulary(lm.word_counts(lm.training_rows(docs)))
+    assert len(words.own) > lm.OWN_WORDS and words.classes > 16 + 64
+    expected = Counter()
+    for i, text in rows:
+        if not held(i):
+            c = [words.end_class] * 2 + [words.class_of(t.encode()) for t in text.split()] + [words.end_class]
+            expected.update((c[j - 1] * words.classes + c[j - 2], c[j]) for j in range(2, len(c)))
+    table = lm.trigram_counts(lm.training_rows(docs), words)
+    assert table.rdd.getNumPartitions() > 1
+    assert {(r.pair, r.target): r.n for r in table.collect()} == expected
+    model = lm.train(lm.training_rows(docs), words)
+    assert np.allclose((10.0 ** model.table().astype(float)).sum(axis=2), 1, atol=1e-4)
+    assert seen(lm.learn_and_score(docs).collect()) == brute_base(rows)

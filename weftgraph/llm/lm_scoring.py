@@ -7,8 +7,12 @@ own; other words share a class with words of the same last two bytes, and have t
 smoothed share of their count. So every token has a normalised probability, known or not.
 
 From the corpus, all of it, come the count of every word and of every class trigram; the
-latter are what the model is trained on. Log-probabilities of all contexts are made by
-batched matrix products once, and looked up.
+latter are what the model is trained on. The number of classes grows with the cube root of
+the corpus, so that the trigrams that can be told apart grow with it in proportion. They are
+dealt to shards by their first two classes; in each round every shard goes from the same
+model over all its trigrams, each with its whole count, and the shards' models are averaged.
+A context's log-probabilities are a sum over its two tokens less a normaliser, so three
+tables of class pairs give them all.
 
 A bounded dictionary of the most frequent words goes to every task. Rarer words meet
 their counts in a join.
@@ -29,15 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import give_back, hash_bucket, saved
 
-#: Classes: own words, endings, one for other endings, one for the text's end.
+#: Classes: own words, endings, one for other endings, one for the text's end. At least so many; class_counts has them for a corpus.
 OWN_WORDS, ENDINGS = 64, 62
 CLASSES = OWN_WORDS + ENDINGS + 2
-OTHER, END_CLASS = CLASSES - 2, CLASSES - 1
 #: Words whose counts go to every task.
 DICTIONARY = 200_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 150_000
-SIZE, STEPS, BATCH, NOISE, RATE, SEED = 24, 800, 4096, 8, 0.05, 7
+SIZE, STEPS, NOISE, RATE, SEED = 24, 800, 8, 0.05, 7
+#: Contexts in a step; rounds after which shards are averaged; training tokens a shard, up to SHARDS of them.
+PAIRS, ROUNDS, SHARD_TOKENS, SHARDS = 1024, 8, 20_000_000, 64
+#: Trigrams that a task gathers before it counts them, and distinct ones before it passes their counts on.
+GATHERED, HELD_TRIGRAMS = 1_000_000, 2_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The end's entry among the words, which hold no white space.
@@ -52,6 +59,12 @@ def ending(word: bytes) -> int:
     return word[-1] << 8 | (word[-2] if len(word) > 1 else 0)
 
 
+def class_counts(tokens: int) -> tuple[int, int]:
+    """Own words and endings for so many training tokens: there are about as many possible class trigrams as tokens."""
+    scale = max(1.0, (tokens / CLASSES**3) ** (1 / 3))
+    return int(OWN_WORDS * scale), int(ENDINGS * scale)
+
+
 @dataclass
 class Vocabulary:
     """Dictionary of frequent words with their counts, the classes, and the corpus's totals."""
@@ -63,6 +76,23 @@ class Vocabulary:
     distinct: int
     class_total: np.ndarray
     class_distinct: np.ndarray
+    own_words: int  # classes up to here are a word's own
+
+    @property
+    def classes(self) -> int:
+        return len(self.class_total)
+
+    @property
+    def end_class(self) -> int:
+        return self.classes - 1
+
+    def class_shares(self) -> np.ndarray:
+        """Smoothed shares of the classes among all tokens."""
+        n = self.class_total + 0.5
+        for word, c in self.own.items():
+            n[c] += self.counts[word]
+        n[self.end_class] += self.counts[END]
+        return n / n.sum()
 
     def class_of(self, word: bytes) -> int:
         found = self.own.get(word)
@@ -91,6 +121,35 @@ def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, ROWS, x.shape[1]).transpose(0, 2, 1) @ y.reshape(-1, ROWS, y.shape[1])).sum(axis=0)
 
 
+def _passes(pair: np.ndarray, target: np.ndarray, counts: np.ndarray, classes: int, steps: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps of whole passes over all counts, at least so many: the pairs of a step, and their counts of every class.
+
+    A pair with more than the mean count has it spread evenly over several of a pass's steps,
+    so that steps weigh alike. Steps are filled up to a multiple of ROWS by rows of no counts.
+    """
+    keys, where = np.unique(pair * classes + target, return_inverse=True)
+    n = np.bincount(where, counts)
+    target = keys % classes
+    pairs, starts, lengths = np.unique(keys // classes, return_index=True, return_counts=True)
+    weight = np.add.reduceat(n, starts)
+    a_pass = -(-2 * len(pairs) // PAIRS)
+    parts = np.minimum(np.ceil(weight / weight.mean()), a_pass).astype(np.int64)
+    which = np.repeat(np.arange(len(pairs)), parts)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    for _ in range(-(-steps // a_pass)):
+        slot = (rng.integers(0, a_pass, len(pairs))[which] + nth * a_pass // parts[which]) % a_pass
+        order = np.argsort(slot, kind="stable")
+        bounds = np.searchsorted(slot[order], np.arange(a_pass + 1))
+        for i in range(a_pass):
+            at = which[order[bounds[i] : bounds[i + 1]]]
+            size = lengths[at]
+            entry = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
+            seen = np.zeros((-(-len(at) // ROWS) * ROWS, classes), dtype=np.float32)
+            seen[np.repeat(np.arange(len(at)), size), target[entry]] = n[entry] / np.repeat(parts[at], size)
+            if len(at):
+                yield np.append(pairs[at], np.zeros(len(seen) - len(at), dtype=np.int64)), seen
+
+
 class LogBilinear:
     """Vectors and matrices; trained on trigram counts."""
 
@@ -100,60 +159,77 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
         self.turn = [np.eye(size, dtype=np.float32) / 2 for _ in range(2)]  # of the token before, and of the one before that
         self.bias = np.zeros(classes, dtype=np.float32)
+        self.first, self.second = [[np.zeros_like(p) for p in self._params()] for _ in range(2)]
+        self.met = np.zeros(2, dtype=np.float32)  # share of the gradients' first and second moments that isn't their start
 
-    def hidden(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return _times(self.context[near], self.turn[0]) + _times(self.context[far], self.turn[1])
+    def _params(self) -> list[np.ndarray]:
+        return [self.context, self.target, *self.turn, self.bias]
 
-    def fit(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
-        """Noise-contrastive estimation: tell a trigram's last token from NOISE draws of the smoothed unigram.
+    def state(self) -> np.ndarray:
+        """All that training goes on from, in one vector."""
+        return np.concatenate([x.ravel() for x in (*self._params(), *self.first, *self.second, self.met)])
 
-        The expectation over the noise is taken exactly, over all classes.
-        """
+    def go_on_from(self, state: np.ndarray) -> None:
+        at = 0
+        for x in (*self._params(), *self.first, *self.second, self.met):
+            x.ravel()[:] = state[at : at + x.size]
+            at += x.size
+
+    def fit(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
+        """Trains on these trigrams alone, from the shares of their classes."""
         if not len(counts):
             return
-        rng = np.random.default_rng(seed)
         unigram = np.bincount(target, counts, len(self.bias)) + 0.5
         noise = unigram / unigram.sum()
-        self.bias = np.log(noise).astype(np.float32)
-        upto = np.cumsum(counts, dtype=float)
+        self.bias[:] = np.log(noise)
+        self.improve(near * len(noise) + far, target, counts, noise, steps, seed)
+
+    def improve(self, pair: np.ndarray, target: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, seed: int, begin: float = 0.0, end: float = 1.0) -> None:
+        """Noise-contrastive estimation: tell a trigram's last token from NOISE draws of the classes' shares.
+
+        Goes over all trigrams, in so many steps at least; begin and end say which part of
+        the training this is. The expectations over data and noise are taken exactly.
+        """
+        classes, size = self.context.shape
         weights = (NOISE * noise).astype(np.float32)
         shift = np.log(weights)
-        one = np.eye(len(noise), dtype=np.float32)
-        params = [self.context, self.target, *self.turn, self.bias]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(1, steps + 1):
-            drawn = np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right").clip(0, len(counts) - 1)
-            a, b, w = near[drawn], far[drawn], target[drawn]
+        across = np.arange(size)
+        params = self._params()
+        a_pass = -(-2 * len(np.unique(pair)) // PAIRS)
+        steps = -(-steps // a_pass) * a_pass
+        for step, (both, seen) in enumerate(_passes(pair, target, counts, classes, steps, np.random.default_rng(seed)), 1):
+            a, b = both // classes, both % classes
             ca, cb = self.context[a], self.context[b]
             h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
-            z = _times(h, self.target.T) + self.bias - shift
-            is_data = 1 / (1 + np.exp(-z))
-            slope = -is_data * weights  # of the expected log-likelihood by z
-            slope[np.arange(BATCH), w] += 1 - is_data[np.arange(BATCH), w]
-            slope /= BATCH
+            z = _times(h, self.target.T) + (self.bias - shift)
+            n = seen.sum(axis=1, keepdims=True)
+            slope = (seen - (seen + n * weights) / (1 + np.exp(-z))) / n.sum()  # of the expected log-likelihood by z
             dh = _times(slope, self.target)
-            d_context = _summed(one[a], _times(dh, self.turn[0].T)) + _summed(one[b], _times(dh, self.turn[1].T))
-            grads = [d_context, _summed(slope, h), _summed(ca, dh), _summed(cb, dh), slope.sum(axis=0)]
-            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for p, g, m, v in zip(params, grads, first, second, strict=True):
+            d_context = np.zeros(classes * size)
+            for c, turn in ((a, self.turn[0]), (b, self.turn[1])):
+                d_context += np.bincount((c[:, None] * size + across).ravel(), _times(dh, turn.T).ravel(), classes * size)
+            grads = [d_context.reshape(classes, size), _summed(slope, h), _summed(ca, dh), _summed(cb, dh), slope.sum(axis=0)]
+            rate = RATE * min(1.0, 2 * (1 - begin - (end - begin) * step / (steps + 1)))
+            self.met += (1 - self.met) * np.array([0.1, 0.01], dtype=np.float32)
+            for p, g, m, v in zip(params, grads, self.first, self.second, strict=True):
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
-                p += np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                p += np.float32(rate) * (m / self.met[0]) / (np.sqrt(v / self.met[1]) + 1e-8)
+
+    def pair_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 parts by (near, class) and (far, class), and the normaliser to take from their sum by (near, far)."""
+        context, target = self.context.astype(float), self.target.astype(float)
+        near, far = context @ self.turn[0] @ target.T, context @ self.turn[1] @ target.T + self.bias
+        tops = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
+        norm = np.log(np.exp(near - tops[0]) @ np.exp(far - tops[1]).T) + tops[0] + tops[1].T
+        return tuple((x / math.log(10)).astype(np.float32) for x in (near, far, norm))
 
     def table(self) -> np.ndarray:
-        """log10 probability of each class after each pair (near, far), normalised."""
-        n = len(self.bias)
-        out = np.empty((n * n, n), dtype=np.float32)
-        for first in range(0, n * n, BATCH):
-            pair = np.arange(first, first + BATCH).clip(0, n * n - 1)
-            z = _times(self.hidden(pair // n, pair % n), self.target.T) + self.bias
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            last = min(first + BATCH, n * n)
-            out[first:last] = z[: last - first] / math.log(10)
-        return out.reshape(n, n, n)
+        """log10 probability of each class after each pair (near, far), normalised; for few classes."""
+        near, far, norm = self.pair_tables()
+        return near[:, None, :] + far[None, :, :] - norm[:, :, None]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -189,7 +265,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
     frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     end_count = sum(r[0] for r in counts.filter(F.col("word") == F.lit(bytearray(END))).select("n").collect())
-    own = {w: i for i, w in enumerate(list(frequent)[:OWN_WORDS])}
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    own_words, endings = class_counts(int(total))
+    classes = own_words + endings + 2
+    own = {w: i for i, w in enumerate(list(frequent)[:own_words])}
     last = F.hex(F.when(F.octet_length("word") > 1, F.substring(F.col("word"), -2, 2)).otherwise(F.concat(F.unhex(F.lit("00")), F.col("word"))))
     rest = counts.filter(F.col("word") != F.lit(bytearray(END)))
     by_end = rest.groupBy(last.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
@@ -200,51 +279,68 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for w in own:
         totals[ending(w)][0] -= frequent[w]
         totals[ending(w)][1] -= 1
-    of_ending = np.full(1 << 16, OTHER, dtype=np.int64)
-    for i, (e, _) in enumerate(sorted(totals.items(), key=lambda x: (-x[1][0], x[0]))[:ENDINGS]):
-        of_ending[e] = OWN_WORDS + i
-    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    of_ending = np.full(1 << 16, classes - 2, dtype=np.int64)
+    for i, (e, _) in enumerate(sorted(totals.items(), key=lambda x: (-x[1][0], x[0]))[:endings]):
+        of_ending[e] = own_words + i
+    class_total, class_distinct = np.zeros(classes), np.zeros(classes)
     for e, (n, k) in totals.items():
         class_total[of_ending[e]] += n
         class_distinct[of_ending[e]] += k
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    return Vocabulary({**frequent, END: end_count}, own, of_ending, int(total), int(distinct), class_total, class_distinct)
+    return Vocabulary({**frequent, END: end_count}, own, of_ending, int(total), int(distinct), class_total, class_distinct, own_words)
 
 
 def trigram_counts(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (near * CLASSES + far) * CLASSES + target, n: class trigrams of all rows, ends in front and behind."""
+    """pair (near * classes + far), target, n: class trigrams of all rows, ends in front and behind; by pair in the shards' partitions."""
+    n_classes, shards = words.classes, min(SHARDS, max(1, -(-words.total // SHARD_TOKENS)))
     shared = docs.sparkSession.sparkContext.broadcast((words.own, words.of_ending))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of_ending = shared.value
-        classes = _Classes(own, of_ending)
-        seen = np.zeros(CLASSES**3, dtype=np.int64)
+        classes = _Classes(*shared.value, n_classes)
+        keys, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        gathered: list[np.ndarray] = []
+        size = 0
+
+        def count() -> None:
+            nonlocal keys, n, size
+            more, times = np.unique(np.concatenate(gathered), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, times])).astype(np.int64)
+            gathered.clear()
+            size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(keys), 100_000):
+                k = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k // n_classes), pa.array(k % n_classes), pa.array(n[i : i + 100_000])], ["pair", "target", "n"])
+
         for batch in batches:
             for text in batch.column(1):
                 c = classes.of(tokens(text.as_py()))
-                key = (c[1:-1] * CLASSES + c[:-2]) * CLASSES + c[2:]
-                if len(key) > 1000:
-                    np.add.at(seen, key, 1)
-                else:
-                    for k in key.tolist():
-                        seen[k] += 1
-        keys = np.flatnonzero(seen)
-        for i in range(0, len(keys), 100_000):
-            part = keys[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(seen[part], pa.int64())], ["key", "n"])
+                gathered.append((c[1:-1] * n_classes + c[:-2]) * n_classes + c[2:])
+                size += len(c) - 2
+                if size >= GATHERED:
+                    count()
+                    if len(keys) >= HELD_TRIGRAMS:
+                        yield from out()
+                        keys, n = keys[:0], n[:0]
+        if gathered:
+            count()
+        yield from out()
+        give_back()
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = _rows(docs, id_col, text_col).mapInArrow(run, "pair long, target long, n long")
+    return found.repartition(shards, "pair").groupBy("pair", "target").agg(F.sum("n").alias("n"))
 
 
 class _Classes:
     """Classes of a text's tokens: two ends in front, the words, one end behind."""
 
-    def __init__(self, own: dict[bytes, int], of_ending: np.ndarray):
-        self.own, self.of_ending = own, of_ending.tolist()
+    def __init__(self, own: dict[bytes, int], of_ending: np.ndarray, classes: int):
+        self.own, self.of_ending, self.end_class = own, of_ending.tolist(), classes - 1
 
     def of(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words) + 3, dtype=np.int64)
-        out[:2] = out[-1] = END_CLASS
+        out[:2] = out[-1] = self.end_class
         get, of_ending = self.own.get, self.of_ending
         found = [get(w, -1) for w in words]
         out[2:-1] = [of_ending[w[-1] << 8 | (w[-2] if len(w) > 1 else 0)] if c < 0 else c for c, w in zip(found, words, strict=True)]
@@ -252,12 +348,38 @@ class _Classes:
 
 
 def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> LogBilinear:
-    rows = trigram_counts(docs, words, id_col, text_col).select(F.col("key").cast("int"), F.col("n").cast("float")).toArrow()  # at most CLASSES ** 3
-    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    model = LogBilinear()
-    model.fit(key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES, n, STEPS)
+    """Rounds over all trigrams: every shard goes on from the same model, and their models are averaged by their counts."""
+    sc = docs.sparkSession.sparkContext
+    table = saved(trigram_counts(docs, words, id_col, text_col).withColumn("shard", F.spark_partition_id()), "trigrams")
+    classes, noise, steps = words.classes, words.class_shares(), -(-STEPS // ROUNDS)
+    model = LogBilinear(classes)
+    model.bias[:] = np.log(noise)
+    for turn in range(ROUNDS):
+        shared = sc.broadcast(model.state())
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            rows = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
+            held = np.concatenate(rows, axis=1) if rows else np.empty((4, 0), dtype=np.int64)
+            rows.clear()
+            for shard in np.unique(held[3]).tolist():
+                pair, target, n, _ = held[:, held[3] == shard]
+                own = LogBilinear(classes)
+                own.go_on_from(shared.value)
+                own.improve(pair, target, n, noise, steps, SEED + turn, turn / ROUNDS, (turn + 1) / ROUNDS)
+                values = [[shard], [int(pair.min())], [float(n.sum())], [own.state().tobytes()]]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["shard", "least", "weight", "state"])
+            give_back()
+
+        done = table.select("pair", "target", "n", F.col("shard").cast("long")).mapInArrow(run, "shard long, least long, weight double, state binary").toArrow()
+        shared.destroy()
+        if not done.num_rows:
+            break
+        done = done.sort_by([("shard", "ascending"), ("least", "ascending")])
+        mean, whole = np.zeros(len(model.state())), sum(done.column("weight").to_pylist())
+        for weight, state in zip(done.column("weight"), done.column("state"), strict=True):
+            mean += np.frombuffer(state.as_buffer(), dtype=np.float32) * (weight.as_py() / whole)
+        model.go_on_from(mean)
     return model
 
 
@@ -270,8 +392,8 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
     """
     entries = list(words.counts)
     values = np.array(list(words.counts.values()), dtype=float)
-    of_class = np.array([END_CLASS if w == END else words.class_of(w) for w in entries], dtype=np.int16)
-    several = (of_class >= OWN_WORDS) & (of_class != END_CLASS)
+    of_class = np.array([words.end_class if w == END else words.class_of(w) for w in entries], dtype=np.int32)
+    several = (of_class >= words.own_words) & (of_class != words.end_class)
     lookup = {
         # the last entry of each array: a rare word's, whose count comes by the join
         "words": b" ".join(entries),
@@ -282,7 +404,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
         "of_ending": words.of_ending,
         "lacking": -np.log10(words.class_total + 0.5 * (words.class_distinct + 1)),
         "lacking_base": -math.log10(words.total + 0.5 * (words.distinct + 1)),
-        "table": model.table(),
+        "tables": model.pair_tables(),
     }
     shared = docs.sparkSession.sparkContext.broadcast(lookup)
     schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
@@ -290,7 +412,8 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         get = {w: i for i, w in enumerate(own["words"].split(b" "))}.get
-        end, of_ending, table = get(END), own["of_ending"].tolist(), own["table"]
+        end, of_ending, (by_near, by_far, norm) = get(END), own["of_ending"].tolist(), own["tables"]
+        end_class = len(norm) - 1
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         at = 0
         for batch in batches:
@@ -301,10 +424,11 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
                     ws = tokens(text.as_py())
                     ids = np.array([get(w, -1) for w in ws] + [end], dtype=np.int64)
                     rare = np.flatnonzero(ids < 0)
-                    c = np.full(len(ids) + 2, END_CLASS, dtype=np.int64)
+                    c = np.full(len(ids) + 2, end_class, dtype=np.int64)
                     c[2:] = own["of_class"][ids]
                     c[2:][rare] = [of_ending[ending(ws[i])] for i in rare]
-                    after = table[c[1:-1], c[:-2], c[2:]].sum(dtype=np.float64)
+                    near, far, target = c[1:-1], c[:-2], c[2:]
+                    after = (by_near[near, target] + by_far[far, target] - norm[near, far]).sum(dtype=np.float64)
                     base = float(own["base"][ids].sum()) + len(rare) * own["lacking_base"]
                     score = float(after) + float(own["inside"][ids].sum()) + float(own["lacking"][c[2:][rare]].sum())
                     out.append((task + at, doc, len(ids), int(own["known"][ids].sum()), base, score, [ws[i] for i in rare]))
