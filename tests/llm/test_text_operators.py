@@ -281,3 +281,13 @@ def test_language_edge_cases(spark, docs_of):
     empty = language_id.learn(docs_of([]))
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
     assert language_id.identify(docs_of([]), model).count() == 0
+
+
+@pytest.mark.parametrize("hot", range(0, 40, 8))
+def test_language_sample_is_bounded_and_full_with_a_repeated_id(spark, docs_of, monkeypatch, hot):
+    learned = []
+    monkeypatch.setattr(language_id, "LanguageModel", learned.append)
+    rows = [(i, f"text of {i}") for i in range(40)] + [(hot, f"text of {hot} again {j % 3}") for j in range(2000)]
+    language_id.learn(docs_of(rows), sample_docs=10)
+    texts = [t.decode() for t in learned[0]["en"]]
+    assert len(texts) == len(set(texts)) == 10 and set(texts) <= {f"text of {i}" for i in range(40)}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back, hash_bucket
+from .common import give_back, hash_bucket, saved
 
 ORDER = 3
 #: What stands before a text's first byte.
@@ -183,16 +183,18 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from the rows of `docs` with text and language: per language, the sample_docs rows of smallest hash of their ids, whole texts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    """A model from the rows of `docs` with text and language: per language, the sample_docs ids of smallest hash, one whole text each (the least, where an id has several)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    each = saved(rows.select("id", "lang").distinct(), "language-ids")  # repeated rows count once
     # the smallest hashes by a bound from the language's count, then by rank: no language meets whole in a task
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    counts = each.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    low = rows.select("id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
+    low = each.select("id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
     low = low.filter(F.col("place") <= F.lit(float(SPARE * sample_docs * (1 << 30))) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    ids = low.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("id", "lang").distinct()
-    sample = rows.join(F.broadcast(ids), ["id", "lang"]).orderBy("lang", "id").select("lang", F.col("text").cast("binary").alias("text")).toArrow()
+    ids = low.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("id", "lang")
+    chosen = rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    sample = chosen.orderBy("lang", "id").select("lang", F.col("text").cast("binary").alias("text")).toArrow()
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(*[c.to_pylist() for c in sample.columns], strict=True):
         texts.setdefault(lang, []).append(text)
