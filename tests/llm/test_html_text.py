@@ -3,10 +3,12 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
 
+from weftgraph.llm import html_layouts
 from weftgraph.llm import html_text as ht
 from weftgraph.llm import queries
 
@@ -71,6 +73,81 @@ def test_pages_without_article():
     assert ht.main_text(f"<p>{PARA}</p>") == PARA
 
 
+COMMENTS = f"<section class=comments><h3>Comments</h3>{f'<p>{PARA} a</p>' * 6}</section>"
+
+
+@pytest.mark.parametrize(
+    ("page_html", "want"),
+    [
+        (f"<article><p class=x don't>{PARA}</p><p>It isn't so.</p></article>", f"{PARA}\nIt isn't so."),  # a stray quote in a tag
+        (f'<article><p class="x>{PARA}</p></article>', PARA),  # one that is never closed
+        (f"<article><!--><p>{PARA}</p></article>", PARA),
+        (f"<article><!---><p>{PARA}</p><!-- a -- b --!></article>", PARA),
+        (f"<form><article><p>{PARA}</p></article></form>", PARA),
+        (f"<form><div class=header>Site</div><div><h1>Head</h1><p>{PARA}</p><p>Short.</p></div><div class=footer>c</div></form>", f"Head\n{PARA}\nShort."),
+        (f"<nav><a href=x>Home</a><article><p>{PARA}</p></article>", PARA),  # a menu that is never closed
+        (f'<main><section id="tags"><p>{PARA}</p></section></main>', PARA),
+        (f"<div class='ad'><article><p>{PARA}</p></article></div>", PARA),
+        (f"<table><tr><td>{PARA}</td></tr></table>", PARA),
+        (f"<main><table><tr><td>{PARA}</td></tr></table></main>", PARA),
+        ("<h1>Hi</h1><p>Ok.</p>", "Hi\nOk."),
+        (f"<div id=cookie-notice><p>{PARA}</p></div><h1>Hi</h1><p>Ok.</p>", "Hi\nOk."),
+        ("<article><p>where <math><mi>x</mi></math> is <object>one</object>.</p></article>", "where x is one."),
+        (f"<div><h1>Head</h1><p>{PARA}</p></div>{COMMENTS}", f"Head\n{PARA}"),
+        (f"<article><p>Ok.</p></article>{COMMENTS}", "Ok."),
+        (f"<article><p>{PARA}</p></article><section class=comments><article class=comment><p>{PARA} 1</p></article><article><p>{PARA} 2</p></article></section>", PARA),
+        (f"<article><p>{PARA}</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul></article>", f"{PARA}\none\ntwo"),
+        (f"<article><p>{PARA}</p><div class=ad>{PARA} ad</div><p>{PARA}</p></article>", f"{PARA}\n{PARA}"),
+        (f"<article><div>Short line</div><p>{PARA}</p><button>Share this</button></article>", f"Short line\n{PARA}"),
+        ("<article><p title='a>b'>x &gt; y is 3 > 2 and 1 < 2</p></article>", "x > y is 3 > 2 and 1 < 2"),
+        ("<article><p>a &am<b>p; b</b></p></article>", "a &amp; b"),
+        ("<nav><ul><li><a href=x>Home</a></li></ul></nav><footer><p>All rights reserved.</p></footer>", ""),
+        ("<article></article><footer>f</footer>", ""),
+    ],
+)
+def test_articles_are_not_lost(page_html, want):
+    assert ht.main_text(page_html) == want
+    assert ht.main_text(f"<!DOCTYPE html><html><body>{page_html}</body></html>") == want
+
+
+def test_weights_are_fitted():
+    weights, (neighbour, sibling, across) = ht.fit(html_layouts.pages())
+    assert weights == pytest.approx(ht.WEIGHTS, abs=0.02)
+    assert (neighbour, sibling, across) == pytest.approx((ht.NEIGHBOUR, ht.SIBLING, ht.ACROSS), abs=0.02)
+
+
+def test_the_cut_decides():
+    """On layouts that the weights have not seen, labels of the cut are better than the odds' signs."""
+    by_cut = by_sign = flipped = 0
+    pages = html_layouts.pages(600, seed=5)
+    for one in pages:
+        content, found = set(one.content), ht.labelled(one.html)
+        by_cut += all(on == (b.text in content) for b, on in found)
+        by_sign += all((ht.odds(b) > 0) == (b.text in content) for b, _ in found)
+        flipped += any(on != (ht.odds(b) > 0) for b, on in found)
+    assert flipped > 0.05 * len(pages)
+    assert by_cut > by_sign + 0.04 * len(pages) and by_cut > 0.9 * len(pages)
+
+
+def test_cut_of_a_long_chain():
+    """Alternating odds against strong edges, so that everything is settled by the flow."""
+    n = 4000
+    values = [0.5 if i % 3 else -1.2 for i in range(n)]
+    began = time.time()
+    labels = ht.minimum_cut(values, [(i, i + 1, 2.0) for i in range(n - 1)])
+    assert not any(labels[1:-1]) and time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "page_html",
+    ["<div>" * 8000 + "<p>x y</p>" * 8000, "<div class=ad>" * 8000 + "<p>x</p>" * 8000, "<p><div>" + "<span>" * 8000 + "<p>x" * 8000 + "</section>" * 8000, "<a b='" * 9000],
+)
+def test_nested_pages_take_linear_time(page_html):
+    began = time.time()
+    ht.main_text(page_html)
+    assert time.time() - began < 1
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<a <b>>", "&am", "<p>" * 3000, "<div>" * 3000 + "x"])
 def test_odd_pages(text):
     assert isinstance(ht.main_text(text), str)

@@ -3,12 +3,18 @@
 A page is cut into text blocks. A linear classifier's odds that a block is content become
 its terminal capacities: the cost of calling it boilerplate goes to the source's edge, the
 cost of calling it content to the sink's. Smoothness edges join neighbouring blocks and
-blocks that are close in the DOM. The blocks on the source's side of a minimum cut are the
-main text.
+blocks of one parent, by what lies between them in the DOM. The blocks on the source's side
+of a minimum cut are the main text. The classifier's weights and the edges' are fitted to
+the labelled layouts of `html_layouts`, see `fit`.
+
+What an element is called (nav, article, class, id, role) is evidence, not a veto: the
+nearest such element counts most, and one that speaks against content but holds what prose
+there is, like a form around a whole page or a menu that is never closed, is passed over.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -16,21 +22,28 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_layouts import Page
+
 # HTML's elements by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
+    "address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style title textarea noscript template iframe svg math noembed noframes xmp object canvas audio video".split())
-#: Elements that never hold the article: navigation, page frame, forms.
-FRAME = frozenset("nav aside footer form menu dialog button select fieldset label option datalist output".split())
+#: What stands in these isn't markup, and not shown; the first ones reach to the page's end if they aren't closed.
+RAW_TO_END = frozenset("script style title textarea".split())
+RAW = RAW_TO_END | frozenset("noscript template iframe noembed noframes annotation annotation-xml".split())
+#: Elements that hold something else than the article.
+FRAME = frozenset("nav aside footer form menu dialog button select fieldset option optgroup datalist search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote dd figcaption".split())
+ITEMS = frozenset("li td th dt caption summary".split())
 #: A start tag of the key closes these, if they are open in the same list, table or paragraph.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
@@ -40,51 +53,82 @@ SCOPE = frozenset("ul ol menu dl table select div section article main aside nav
 
 # Words in class, id and role that speak against a block, and for it.
 AGAINST = frozenset(
-    "ad ads adsense advert advertisement adverts advertorial alert banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies "
+    "ad ads adsense advert advertisement adverts advertorial alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright dialog disclaimer discussion disqus donate footer foot form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices "
     "notification pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social "
-    "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo navigation".split()
+    "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo".split()
 )
 #: Speaks against a block outside articles only: an article has a header of its own.
 HEAD = "header"
 FOR = frozenset("article articlebody body content entry hentry main maincontent post postbody story text".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A quote inside an attribute's name or an unquoted value is a letter like any other; one that opens a value and is never closed too.
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>"""
+)
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++|=)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_COMMENT_END = re.compile(r"--!?>")
+_READ = frozenset("class id role aria-hidden hidden style".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_RAW_END = {tag: re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+#: Evidence of elements: landmarks of the article, of the page's frame, names for and against content; OUTER is the weight of an outer element, or of one for content inside one against it.
+ARTICLE, FRAMED, SPOKEN_FOR, SPOKEN_AGAINST, OUTER = 1.0, -2.0, 0.5, -1.5, 0.5
+#: Words from which text outside paragraphs is called prose and prose may be an article, and the share of it that a frame must leave outside in order to count.
+PROSE_WORDS, LEFT_OUTSIDE = 12, 0.1
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]  # numbers of the open elements
     linked: int  # characters in links
-    inside: int  # article or main elements around it
-    frame: bool
-    against: bool
-    speaks: bool  # for it
+    words: int
+    element: int  # number of the nearest element with evidence
+    parent: int  # number of the block's element
+    steps: int  # in the DOM from the block before
+    evidence: float = 0.0
+
+    @property
+    def prose(self) -> bool:
+        plain = 2 * self.linked < len(self.text)
+        return plain and (self.tag in PARAGRAPHS or self.tag in HEADINGS or self.words >= PROSE_WORDS)
+
+
+@dataclass(slots=True)
+class _Element:
+    """An element with evidence."""
+
+    sign: float
+    outer: int
+    named: bool  # by class, id or role, not by its tag
+    first: int
+    last: int = 1 << 60
 
 
 @dataclass(slots=True)
 class _Open:
     tag: str
     number: int
-    inside: int
-    frame: bool
-    against: bool
-    speaks: bool
+    element: int  # the nearest with evidence
+    own: bool  # is it that one
+    block_tag: str
+    block_number: int
+    depth: int  # in block elements
+    inside: bool  # an article or main element
     link: bool
 
 
-def _signs(tag: str, attributes: str, inside: int) -> tuple[bool, bool]:
-    """(against, for) by class, id, role and hiding attributes; inside: articles around it."""
-    if not attributes or tag in ("html", "body"):
-        return False, False
+def _named(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(against, for) by class, id, role and hiding attributes."""
     against = speaks = False
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in _READ:
+            continue
+        value = value.strip("\"'")
         if name == "hidden":
             against = True
         elif name == "aria-hidden":
@@ -93,193 +137,314 @@ def _signs(tag: str, attributes: str, inside: int) -> tuple[bool, bool]:
             against |= "display:none" in value.replace(" ", "").lower()
         else:
             words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value))} | {value.lower().replace("-", "").replace("_", "")}
-            against |= not words.isdisjoint(AGAINST) or (HEAD in words and not inside)
-            speaks |= not words.isdisjoint(FOR)
+            good = not words.isdisjoint(FOR)
+            against |= not words.isdisjoint(AGAINST) or (HEAD in words and not inside and not good)
+            speaks |= good
     return against, speaks and not against
 
 
+def _sign(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
+    """(evidence, is it by name) of an element; inside: of an article."""
+    if tag in ("html", "body"):
+        return 0.0, False
+    against, speaks = _named(attributes, inside) if attributes else (False, False)
+    if tag in FRAME or (tag == "header" and not inside):
+        return FRAMED, False
+    if against:
+        return SPOKEN_AGAINST, True
+    return ARTICLE * (tag in ("article", "main")) + SPOKEN_FOR * speaks, False
+
+
 def blocks(page: str) -> list[Block]:
-    """A page's text blocks in order. Tags that aren't closed end where HTML lets them."""
+    """A page's text blocks in order, with their evidence. Tags that aren't closed end where HTML lets them."""
     out: list[Block] = []
-    stack: list[_Open] = [_Open("", 0, 0, False, False, False, False)]
+    elements: list[_Element] = [_Element(0.0, 0, False, 0)]
+    stack: list[_Open] = [_Open("", 0, 0, False, "", 0, 0, False, False)]
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked, number, at = 0, 0, 0
+    linked = number = at = 0
+    low, before = 0, 0  # least depth since the last block, and that block's depth
 
     def end_block() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        nonlocal linked, low, before
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
             top = stack[-1]
-            tag = next((o.tag for o in reversed(stack) if o.tag in BLOCK), "")
-            out.append(Block(text, tag, tuple(o.number for o in stack if o.tag in BLOCK or not o.tag), min(linked, len(text)), top.inside, top.frame, top.against, top.speaks))
+            out.append(Block(text, top.block_tag, min(linked, len(text)), text.count(" ") + 1, top.element, top.block_number, before + top.depth - 2 * min(low, top.depth)))
+            low = before = top.depth
         parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
+            text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if stack[-1].link:
                 linked += len(text)
 
+    def pop_to(i: int) -> None:
+        nonlocal low
+        for o in stack[i:]:
+            opened[o.tag] -= 1
+            if o.own:
+                elements[o.element].last = len(out)
+        del stack[i:]
+        low = min(low, stack[-1].depth)
+
     while found := _MARKUP.search(page, at):
         add(page[at : found.start()])
-        at = found.end()
-        closing, tag = found.group(1), (found.group(2) or "").lower()
-        if not tag:
+        start = found.start()
+        kind = page[start + 1]
+        tagged = _TAG.match(page, start)
+        if not tagged:
+            if page.startswith("<!--", start):  # <!--> and <!---> are whole comments
+                shut = re.compile(r"-?>").match(page, start + 4) or _COMMENT_END.search(page, start + 4)
+                at = shut.end() if shut else len(page)
+            elif kind in "!?" or (kind == "/" and not page[start + 2 : start + 3].isalpha()):
+                at = (page.find(">", start) + 1) or len(page)
+            else:  # a tag that the page's end cuts off
+                at = len(page)
             continue
+        at = tagged.end()
+        closing, tag, attributes = tagged.group(1), tagged.group(2).lower(), tagged.group(3)
         if tag in BLOCK:
             end_block()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in SCOPE:
-                    break
+            if opened.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop_to(i)
+                        break
+                    if stack[i].tag in SCOPE and tag not in SCOPE:
+                        break
             continue
-        attributes = found.group(3)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             if tag == "br":  # white space inside its block
                 parts.append(" ")
             continue
         if tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else (len(page) if tag in ("script", "style", "textarea", "title") else at)
+            shut = _RAW_END[tag].search(page, at)
+            at = shut.end() if shut else (len(page) if tag in RAW_TO_END else at)
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened.get("p"):
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    pop_to(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened.get(t) for t in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
+                    pop_to(i)
                     if tag not in ("tbody", "tfoot", "tr"):
                         break
                 elif stack[i].tag in SCOPE:
                     break
         number += 1
-        top = stack[-1]
-        inside = top.inside + (tag in ("article", "main"))
-        against, speaks = _signs(tag, attributes, inside)
-        frame = top.frame or tag in FRAME or (tag == "header" and not inside)
-        stack.append(_Open(tag, number, inside, frame, top.against or against, top.speaks or speaks, top.link or tag == "a"))
-    rest = page[at:]
-    add(rest[: cut.start()] if (cut := re.search(r"<(?:/?[a-zA-Z][^>]*|!--.*)\Z", rest, re.S)) else rest)
+        top, block = stack[-1], tag in BLOCK
+        inside = top.inside or tag in ("article", "main")
+        sign, named = _sign(tag, attributes, inside) if block or attributes else (0.0, False)
+        element = top.element
+        if sign:
+            element = len(elements)
+            elements.append(_Element(sign, top.element, named, len(out)))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(
+            _Open(tag, number, element, bool(sign), tag if block else top.block_tag, number if block else top.block_number, top.depth + block, inside, top.link or tag == "a")
+        )
+    add(page[at:])
     end_block()
+    _weigh(out, elements)
     return out
 
 
-#: Weights of the classifier.
-FRAMED, SPOKEN_AGAINST, IN_ARTICLE, SPOKEN_FOR, LINKS = -8.0, -6.0, 4.0, 2.0, -4.0
-SMOOTH, APART = 0.6, 0.15
+def _weigh(found: list[Block], elements: list[_Element]) -> None:
+    """Sets the blocks' evidence: that of the nearest element with some, and part of the outer ones'.
+
+    An element against content is passed over if it holds most of the page's prose, and an
+    article or enough of it to be one, and next to none stands outside.
+    """
+
+    def total() -> list[float]:
+        value = [0.0] * len(elements)
+        for i, e in enumerate(elements[1:], 1):
+            outer = value[e.outer]
+            value[i] = outer + OUTER * e.sign if e.sign > 0 > outer else e.sign + OUTER * outer if e.sign else outer
+        return value
+
+    value = total()
+    prose = np.array([b.words * b.prose for b in found])
+    good = np.array([value[b.element] > 0 for b in found], dtype=bool)
+    fair = np.array([value[b.element] >= 0 for b in found], dtype=bool)
+    before = [np.concatenate([[0], np.cumsum(x)]) for x in (prose, prose * good, prose * fair)]
+    landmarks = [i for i, e in enumerate(elements) if e.sign >= ARTICLE]
+    passed = False
+    for i, e in enumerate(elements):
+        if e.sign < 0:
+            last = min(e.last, len(found))
+            held, held_good, held_fair = (int(x[last] - x[e.first]) for x in before)
+            outside_good, outside = int(before[1][-1]) - held_good, int(before[2][-1]) - held_fair
+            inner = bisect.bisect_right(landmarks, i)
+            article = inner < len(landmarks) and elements[landmarks[inner]].first < last
+            most = 2 * held > before[0][-1] and not outside_good and (article or held >= PROSE_WORDS)
+            if most and (outside == 0 if e.named and not article else outside <= LEFT_OUTSIDE * held):
+                e.sign, passed = 0.0, True
+    if passed:
+        value = total()
+    for b in found:
+        b.evidence = value[b.element]
+
+
+FEATURES = ("bias", "length", "sentence", "links", "paragraph", "heading", "item", "evidence")
+# Weights of FEATURES, and of edges: inside one element with evidence to the block before, to a sibling further up, and across such elements.
+# What fit() gives for html_layouts.pages().
+WEIGHTS = (-1.87, 1.01, 1.04, -6.87, 1.62, 4.36, 4.58, 4.43)
+NEIGHBOUR, SIBLING, ACROSS = 1.85, 0.05, 0.11
+
+
+def features(block: Block) -> tuple[float, ...]:
+    return (
+        1.0,
+        math.log1p(min(block.words, 60)),
+        float(block.text[-1] in ".!?…:;\"”»" or ", " in block.text),
+        block.linked / len(block.text),
+        float(block.tag in PARAGRAPHS),
+        float(block.tag in HEADINGS),
+        float(block.tag in ITEMS),
+        block.evidence,
+    )
 
 
 def odds(block: Block) -> float:
     """Logarithm of the odds that a block is content."""
-    n = len(block.text)
-    value = 0.5 * math.log(n / 40.0) if n > 4 else -1.0
-    value = max(-1.0, min(1.5, value))
-    value += FRAMED * block.frame + SPOKEN_AGAINST * block.against
-    value += IN_ARTICLE * (block.inside > 0) + SPOKEN_FOR * block.speaks
-    value += LINKS * (block.linked / max(1, n)) * (0.5 if block.inside else 1.0)
-    if block.tag in ("p", "pre", "blockquote") or block.tag in HEADINGS:
-        value += 1.0
-    elif block.tag in ("", "body", "html", "td", "li"):
-        value -= 0.5
-    return value
+    return sum(w * x for w, x in zip(WEIGHTS, features(block), strict=True))
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, by how close they are in the DOM, and between the last two blocks of one parent."""
+    """Edges between neighbours, the weaker the more steps lie between them in the DOM, and between a block and the one of its parent before it."""
     edges = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
-        parent = b.path[:-1]
         if i:
-            a = found[i - 1]
-            shared = next((k for k, (x, y) in enumerate(zip(a.path, b.path, strict=False)) if x != y), min(len(a.path), len(b.path)))
-            steps = len(a.path) + len(b.path) - 2 * shared
-            same = (a.frame, a.against, a.inside) == (b.frame, b.against, b.inside)
-            edges.append((i - 1, i, SMOOTH / (1 + steps / 2) if same else APART / (1 + steps / 2)))
-        if (before := last.get(parent)) is not None and before < i - 1:
-            edges.append((before, i, SMOOTH / 2))
-        last[parent] = i
+            edges.append((i - 1, i, (NEIGHBOUR if found[i - 1].element == b.element else ACROSS) / (1 + b.steps / 4)))
+        before = last.get(b.parent)
+        if before is not None and before < i - 1 and found[before].element == b.element:
+            edges.append((before, i, SIBLING))
+        last[b.parent] = i
     return edges
 
 
+def fit(pages: list[Page]) -> tuple[tuple[float, ...], tuple[float, float, float]]:
+    """WEIGHTS by ridge-penalised logistic regression, and the edges' by half the log odds that two joined blocks share a label."""
+    rows, labels, same = [], [], {"neighbour": [1, 1], "sibling": [1, 1], "across": [1, 1]}
+    for page in pages:
+        content, found = set(page.content), blocks(page.html)
+        label = [b.text in content for b in found]
+        rows += [features(b) for b in found]
+        labels += label
+        for a, b, _ in smoothness(found):
+            kind = "across" if found[a].element != found[b].element else "neighbour" if b == a + 1 else "sibling"
+            same[kind][label[a] == label[b]] += 1
+    x, y = np.array(rows), np.array(labels, dtype=float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(len(w)), x.T @ (y - p) - w)
+    edges = tuple(round(max(0.05, 0.5 * math.log(equal / other)), 2) for other, equal in same.values())
+    return tuple(round(float(v), 2) for v in w), edges
+
+
 def minimum_cut(values: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels that minimise the sum of |value| of mislabelled nodes and of the cut edges' weights.
 
-    A node whose value outweighs its edges keeps its own label in every minimum; the rest is
-    settled by augmenting paths.
+    A node whose value outweighs its edges keeps its own label in some minimum, and its
+    edges then pull at the other ends; a maximum flow settles all other nodes.
     """
     n = len(values)
-    around = [0.0] * n
-    for a, b, w in edges:
-        around[a] += w
-        around[b] += w
-    fixed = [v >= s if v > 0 else -v > s for v, s in zip(values, around, strict=True)]
-    labels = [v > 0 for v in values]
-    if all(fixed):
-        return labels
-    source, sink = [max(0.0, v) for v in values], [max(0.0, -v) for v in values]
     joined: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
-        if fixed[a] and fixed[b]:
-            continue
-        if fixed[a] or fixed[b]:
-            x, y = (a, b) if fixed[a] else (b, a)
-            (source if labels[x] else sink)[y] += w
-        else:
-            joined[a][b] = joined[a].get(b, 0.0) + w
-            joined[b][a] = joined[b].get(a, 0.0) + w
-    open_nodes = [i for i in range(n) if not fixed[i]]
-    for i in open_nodes:  # paths over one node
-        both = min(source[i], sink[i])
-        source[i] -= both
-        sink[i] -= both
+        joined[a][b] = joined[a].get(b, 0.0) + w
+        joined[b][a] = joined[b].get(a, 0.0) + w
+    labels = [v > 0 for v in values]
+    left = [i for i in range(n) if abs(values[i]) < sum(joined[i].values())]
+    if left:
+        open_nodes, value = set(left), list(values)
+        for i in left:
+            value[i] += sum(w if labels[j] else -w for j, w in joined[i].items() if j not in open_nodes)
+        for i, side in zip(left, _source_side(left, value, joined), strict=True):
+            labels[i] = side
+    return labels
+
+
+def _source_side(nodes: list[int], value: list[float], joined: list[dict[int, float]]) -> list[bool]:
+    """Which of the nodes a maximum flow leaves on the source's side: blocking flows in level graphs."""
+    place = {i: k for k, i in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(len(nodes) + 2)]
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for i in nodes:
+        if value[i] > 0:
+            edge(source, place[i], value[i], 0.0)
+        elif value[i] < 0:
+            edge(place[i], sink, -value[i], 0.0)
+        for j, w in joined[i].items():
+            if i < j and j in place:
+                edge(place[i], place[j], w, w)
     while True:
-        came: dict[int, int] = {i: -1 for i in open_nodes if source[i] > 1e-12}
-        queue = deque(came)
-        end = -1
-        while queue and end < 0:
-            i = queue.popleft()
-            if sink[i] > 1e-12:
-                end = i
-                break
-            for j, w in joined[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            for i in open_nodes:
-                labels[i] = i in came
-            return labels
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(sink[end], source[path[-1]], *(joined[b][a] for a, b in zip(path, path[1:], strict=False)))
-        sink[end] -= flow
-        source[path[-1]] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            joined[b][a] -= flow
-            joined[a][b] += flow
+        level = [-1] * len(out)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in out[a]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[k] >= 0 for k in range(len(nodes))]
+        turn = [0] * len(out)
+        path: list[int] = []  # edges from the source
+        while True:
+            a = to[path[-1]] if path else source
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                del path[first:]
+                continue
+            while turn[a] < len(out[a]):
+                e = out[a][turn[a]]
+                if room[e] > 1e-9 and level[to[e]] == level[a] + 1:
+                    path.append(e)
+                    break
+                turn[a] += 1
+            else:
+                if not path:
+                    break
+                turn[to[path.pop() ^ 1]] += 1
+
+
+def labelled(page: str) -> list[tuple[Block, bool]]:
+    """A page's blocks, and whether each is content."""
+    found = blocks(page)
+    return list(zip(found, minimum_cut([odds(b) for b in found], smoothness(found)), strict=True))
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by line feeds; empty if there are none."""
-    if not page:
-        return ""
-    found = blocks(page)
-    if not found:
-        return ""
-    labels = minimum_cut([odds(b) for b in found], smoothness(found))
-    return "\n".join([b.text for b, content in zip(found, labels, strict=True) if content])
+    return "\n".join([b.text for b, content in labelled(page) if content]) if page else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
