@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+from weftgraph.llm import common
 from weftgraph.llm import near_dedup as nd
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,15 @@ def test_query_on_real_rows(spark):
     want = {i: (f"{p:016x}", ids[c]) for i, p, c in zip(ids, prints, brute_components(prints), strict=True)}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in nd.cluster(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == want
+
+
+def test_joins_of_hot_and_other_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_PART", 5)
+    monkeypatch.setattr(nd, "HOT", 10)
+    check_links(spark, planted(np.random.default_rng(4), 5, 200))
+    rows = spark.createDataFrame([(k, i) for k in range(8) for i in range(1 + 40 * (k == 3))], "k int, i int")
+    labels = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 10 AS l").filter("k <> 5")
+    got = common.labelled(rows, labels, "k", rows.count()).collect()
+    assert sorted((r.k, r.i, r.l) for r in got) == sorted((r.k, r.i, r.k * 10) for r in rows.collect() if r.k != 5)
+    got = common.labelled(rows, labels, "k", rows.count(), how="left").collect()
+    assert sorted((r.k, r.i, r.l or 0) for r in got) == sorted((r.k, r.i, r.k * 10 * (r.k != 5)) for r in rows.collect())

@@ -235,10 +235,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, most_bits: float = 5.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs in a known language: not `und`, not ambiguous, and not far from what the language was learned to be."""
-    judged = docs.withColumn("_verdict", verdict(docs.sparkSession, model, F.col(text_col)))
-    keep = (F.col("_verdict.lang_pred") != UNDETERMINED) & (F.col("_verdict.score") >= least_score) & (F.col("_verdict.bits_per_byte") <= most_bits)
-    return judged.filter(keep).drop("_verdict")
+    """The rows of docs in a known language: not `und`, not ambiguous, and not far from what the language was learned to be.
+
+    Null texts and those without a letter are `und` and go; two languages at a tie have
+    a score of 0.5 or less each, and one at exactly least_score stays; repeated rows are
+    judged each; long texts are read whole; an empty table stays empty. All columns keep
+    their values, whatever their names.
+    """
+    judged = docs.select(F.struct("*").alias("row"), verdict(docs.sparkSession, model, F.col(text_col)).alias("v"))
+    keep = (F.col("v.lang_pred") != UNDETERMINED) & (F.col("v.score") >= least_score) & (F.col("v.bits_per_byte") <= most_bits)
+    return judged.filter(keep).select("row.*")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,12 @@ codeword) times all values of the part's other bits. A fingerprint's home is its
 anchor; it is also sent to every anchor within covering radius plus threshold, so that it
 meets the home of each fingerprint that it may be linked with. At an anchor, homes and
 visitors are compared in blocks, and only a spanning forest of the links leaves it.
-Components come from alternating large-star and small-star steps.
+
+Anchors are a fixed number, so they get crowded as the table grows. A crowded anchor is
+divided: the bits outside its part are cut into RADIUS + 1 fields, of which two linked
+fingerprints share one, so that both come to the same point of that field. What is crowded
+still (near copies of one text) is compared in a grid of cells, each with some of the homes
+and some of the visitors. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import give_back, saved
+from .common import give_back, labelled, saved
 
 BITS, RADIUS, PARTS, SHINGLE = 64, 4, 3, 4
 SEED = 42
 #: Bits of each part, the first CODE of them coded.
 WIDTHS, CODE = (21, 21, 22), 15
-#: Visitors of an anchor beyond which its homes are dealt to several tasks.
+#: Visitors of an anchor beyond which it is divided, and homes or visitors of one cell of what can't be divided any more.
 HOT = 20_000
 #: Side of a compared block.
 BLOCK = 1024
@@ -133,17 +138,16 @@ def _compare(homes: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _at_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links at the anchors of a task's rows, which come sorted by anchor."""
+    """Links at the meeting places of a task's rows, which come sorted by place."""
     carry: pd.DataFrame | None = None
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        key, chunk = rows["key"].to_numpy(), rows["chunk"].to_numpy()
-        prints, home = rows["print"].to_numpy(), rows["home"].to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True]]))
+        place, prints, home = rows["place"].to_numpy(), rows["print"].to_numpy(), rows["home"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
         out = []
         sizes = np.diff(edges)
         small = np.repeat(sizes <= 64, sizes)
-        # small anchors all at once: every home with every visitor of its own anchor
+        # small ones all at once: every home with every visitor of its own place
         at_home = np.flatnonzero(home & small)
         run = np.repeat(np.arange(len(sizes)), sizes)
         for part in np.array_split(at_home, max(1, len(at_home) // 50_000)):
@@ -162,7 +166,7 @@ def _at_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(batch):
             continue
         rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
-        last = (rows["key"].to_numpy() == rows["key"].iloc[-1]) & (rows["chunk"].to_numpy() == rows["chunk"].iloc[-1])
+        last = rows["place"].to_numpy() == rows["place"].iloc[-1]
         carry = rows[last]
         if not last.all():
             yield linked(rows[~last])
@@ -171,6 +175,43 @@ def _at_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
+def _fields(key: Column, fingerprint: Column) -> Column:
+    """Places of a fingerprint at a crowded anchor: the RADIUS + 1 fields of the bits outside the anchor's part."""
+    out, low, part = F.lit(None), 0, F.shiftright(key, 24)
+    for p, width in enumerate(WIDTHS):
+        rest = [i for i in range(BITS) if not low <= i < low + width]
+        masks = [sum(1 << i for i in rest[f :: RADIUS + 1]) for f in range(RADIUS + 1)]
+        places = [F.xxhash64(key, F.lit(f), fingerprint.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for f, m in enumerate(masks)]
+        out, low = F.when(part == p, F.array(*places)).otherwise(out), low + width
+    return out
+
+
+def _dealt(visits: DataFrame) -> DataFrame:
+    """place, print, home: where the visits (key, print, home) meet; nowhere more than twice HOT."""
+    crowded = saved(visits.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "crowded-anchors")
+    if crowded.isEmpty():
+        return visits.withColumnRenamed("key", "place")
+    keys = F.broadcast(crowded.select("key"))  # there are len(WIDTHS) * 2**17 anchors
+    plain = visits.join(keys, "key", "left_anti").select(F.col("key").alias("place"), "print", "home")
+    divided = visits.join(keys, "key", "left_semi").select(F.explode(_fields(F.col("key"), F.col("print"))).alias("place"), "print", "home")
+    divided = saved(divided, "divided-anchors")
+    counts = saved(divided.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("place", "n", F.ceil(F.col("n") / HOT).cast("int").alias("side")), "crowded-places")
+    if counts.isEmpty():
+        return plain.unionByName(divided)
+    # a grid: a row is a visitor in a column of cells, and at home in a row of them
+    each = labelled(divided, counts, "place", divided.count(), how="left").withColumn("side", F.coalesce("side", F.lit(1)))
+    own = F.pmod(F.xxhash64("print", "place"), F.col("side")).cast("int")
+    cells = lambda home: F.transform(
+        F.sequence(F.lit(0), F.col("side") - 1), lambda k: F.struct((own if home else k).alias("i"), (k if home else own).alias("j"), F.lit(home).alias("h"))
+    )
+    grid = F.when(F.col("side") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("h")))).otherwise(
+        F.concat(cells(False), F.when(F.col("home"), cells(True)).otherwise(F.slice(cells(True), 1, 0)))
+    )
+    gridded = each.select("place", "print", "side", F.explode(grid).alias("cell"))
+    place = F.when(F.col("side") == 1, F.col("place")).otherwise(F.xxhash64("place", "cell.i", "cell.j"))
+    return plain.unionByName(gridded.select(place.alias("place"), "print", F.col("cell.h").alias("home")))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links of distinct fingerprints `print` that connect what is connected within RADIUS."""
 
@@ -180,38 +221,28 @@ def links(prints: DataFrame) -> DataFrame:
             key, who, home = _anchors(own.view(np.uint64))
             yield pd.DataFrame({"key": key, "print": own[who], "home": home})
 
-    visits = prints.select("print").mapInPandas(sent, "key long, print long, home boolean")
-    visits = saved(visits, "anchor-visits")
-    crowded = visits.groupBy("key").agg(F.count("*").alias("visitors")).filter(F.col("visitors") > HOT)
-    crowded = saved(crowded.select("key", F.ceil(F.col("visitors") / HOT).cast("int").alias("chunks")), "crowded-anchors")
-    if crowded.isEmpty():
-        dealt = visits.withColumn("chunk", F.lit(0))
-    else:
-        # a crowded anchor's homes are dealt to chunks, and its visitors go to each of them
-        chunks = F.coalesce("chunks", F.lit(1))
-        each = visits.join(crowded, "key", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        own = F.pmod(F.xxhash64("print"), F.coalesce("chunks", F.lit(1))) == F.col("chunk")
-        dealt = each.withColumn("home", F.col("home") & own).select("key", "print", "home", "chunk")
-    return dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_at_anchors, "a long, b long").distinct()
+    visits = saved(prints.select("print").mapInPandas(sent, "key long, print long, home boolean"), "anchor-visits")
+    # places are anchors or hashes of anchors with more: if two of them were equal, only more would be compared
+    return _dealt(visits).repartition("place").sortWithinPartitions("place").mapInPandas(_at_anchors, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root): the least node of its component, for each node of the edges (a, b); roots are left out."""
     pairs = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    state = None
+    state, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = labelled(both, least, "a", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # every pair now points from the greater to the lesser node
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = labelled(large, low, "a", n)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         pairs = saved(small, "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+        state, n = now, now[0]
     raise RuntimeError("components did not settle")
 
 
@@ -229,14 +260,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """What cluster returns, and the root fingerprint that names the component."""
     prints = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash_column(F.col(text_col).cast("string")).alias("print")), "simhashes")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    classes = saved(classes, "classes")
+    classes = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     rooted = components(links(classes))
-    named = classes.join(rooted, classes["print"] == rooted["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    named = classes.join(rooted, classes["print"] == rooted["node"], "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
     named = saved(named, "rooted")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(smallest, "root").select("print", "component_id", "root")
-    return prints.join(label, "print").select("doc_id", hexed(F.col("print")).alias("fingerprint"), "component_id", "root")
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    label = saved(labelled(named.withColumnRenamed("n", "rows"), smallest, "root", named.count()).withColumnRenamed("rows", "n"), "labels")
+    found = labelled(prints, label.select("print", "n", "component_id", "root"), "print", prints.count())
+    return found.select("doc_id", hexed(F.col("print")).alias("fingerprint"), "component_id", "root")
 
 
 def hexed(column: Column) -> Column:
@@ -244,18 +275,22 @@ def hexed(column: Column) -> Column:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component, one row with the least id (rows without an id all stay)."""
+    """The rows of docs that stay: of each component, one row with the least id.
+
+    Rows without an id all stay. Of rows that share the least id the one with the least text
+    stays for each component (null as empty, equal ones: any); texts without words are near
+    copies of each other; long texts are read whole; an empty table stays empty. All columns
+    keep their values, whatever their names.
+    """
     found = saved(_rooted(docs, id_col, text_col), "clusters")
     repeated = saved(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     leading = found.filter("doc_id = component_id")
-    same = docs[id_col].cast("long")
-    kept = leading.select("doc_id").join(repeated, "doc_id", "left_anti")
-    single = docs.join(kept, same == kept["doc_id"], "left_semi")
-    nameless = docs.filter(F.col(id_col).isNull())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    single = rows.join(leading.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi").select("row")
+    nameless = rows.filter("doc_id IS NULL").select("row")
     # rows that share an id: one for each component that the id leads
-    several = leading.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"), F.col("root").alias("_root")).distinct()
-    shared = docs.join(repeated, same == repeated["doc_id"], "left_semi").withColumns(
-        {"_print": hexed(simhash_column(F.col(text_col).cast("string"))), "_id": F.col(id_col).cast("long")}
-    )
-    shared = shared.join(several, ["_id", "_print"]).dropDuplicates(["_root"]).select(*docs.columns)
-    return single.unionByName(shared).unionByName(nameless)
+    several = leading.join(repeated, "doc_id", "left_semi").select("doc_id", "fingerprint", "root").distinct()
+    shared = rows.join(repeated, "doc_id", "left_semi").withColumn("fingerprint", hexed(simhash_column(F.col("text"))))
+    shared = shared.join(several, ["doc_id", "fingerprint"]).groupBy("root").agg(F.min_by("row", "text").alias("row")).select("row")
+    return single.unionByName(shared).unionByName(nameless).select("row.*")

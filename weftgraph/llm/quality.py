@@ -54,31 +54,31 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 
 
-def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words and ratios of them.
+def measures(rows: DataFrame, window: int = 3) -> DataFrame:
+    """rows (row, text) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words and ratios of them; text goes.
 
     n_repeat_words counts the words inside a `window`-word run that the text has twice or
-    more. Runs are compared by a 64-bit hash of their words, within one text. Every
-    intermediate is a column of its own, so that no expression is evaluated twice; the row
-    number keeps the optimizer from pushing a filter on the results below these columns,
-    where it would evaluate them anew for each word.
+    more. Runs are sorted by a hash of their words, then by the words. Every intermediate is
+    a column of its own, so that no expression is evaluated twice; the row number keeps the
+    optimizer from pushing a filter on the results below these columns, where it would
+    evaluate them anew for each word.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = text
     for symbol in SYMBOLS:
         plain = F.replace(plain, F.lit(symbol), F.lit(""))
-    out = docs.withColumns(
-        {
-            "_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "n_symbols": (F.octet_length(text) - F.octet_length(plain)).cast("long"),
-            "_row": F.monotonically_increasing_id(),
-        }
+    out = rows.select(
+        "row",
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        (F.octet_length(text) - F.octet_length(plain)).cast("long").alias("n_symbols"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     count = F.size("_words")
+    own = lambda i: [F.get("_words", i + (k - 1)) for k in range(window)]
     hashes = F.transform(
         F.when(count >= window, F.sequence(F.lit(1), count - (window - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(*[F.get("_words", i + (k - 1)) for k in range(window)]).alias("h"), i.alias("i")),
+        lambda i: F.struct(F.xxhash64(*own(i)).alias("h"), *[w.alias(f"w{k}") for k, w in enumerate(own(i))], i.alias("i")),
     )
     out = out.withColumns(
         {
@@ -91,7 +91,14 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
             "_row": F.greatest("_row", F.monotonically_increasing_id()),
         }
     )
-    same = lambda x, i: F.coalesce(x["h"] == F.get("_runs", i)["h"], F.lit(False))
+
+    def same(x: Column, i: Column) -> Column:
+        other = F.get("_runs", i)
+        equal = x["h"] == other["h"]
+        for k in range(window):
+            equal = equal & (x[f"w{k}"] == other[f"w{k}"])
+        return F.coalesce(equal, F.lit(False))
+
     twice = F.filter("_runs", lambda x, i: same(x, i + 1) | same(x, i - 1))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     out = out.withColumns({"_starts": starts, "_row": F.greatest("_row", F.monotonically_increasing_id())})
@@ -116,24 +123,34 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFr
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*COLUMNS, "base_failed", "broken_rules", "kept")
+
+
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """row (all columns of docs) and RESULTS."""
+    measured = measures(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
+    judged = measured.select("row", *COLUMNS, base.alias("base_failed"), broken.alias("broken_rules"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs with COLUMNS, base_failed, kept and broken_rules (names).
+    """docs with RESULTS: COLUMNS, base_failed, broken_rules (names) and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows
-    (both in whole numbers). A null or empty text has no words, so it fails; ties cannot
-    arise; repeated rows are judged each; an empty table stays empty. Columns of docs keep
-    their values unless they have a result's name.
+    (both in whole numbers). A null or empty text has no words, so it fails; a measure at a
+    bound passes; repeated rows are judged each; long texts are read whole; an empty table
+    stays empty. Columns of docs keep their values, but for those that a result replaces
+    because they have its name.
     """
-    drop = [c for c in docs.columns if c in (*COLUMNS, "base_failed", "kept", "broken_rules")]
-    measured = measures(docs.drop(*drop), text_col)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
-    own = [c for c in docs.columns if c not in drop]
-    return measured.select(*own, *COLUMNS, base.alias("base_failed"), broken.alias("broken_rules")).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)
-    )
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in RESULTS]
+    return _judged(docs, rules, text_col).select(*own, *RESULTS)
+
+
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge keeps, with all columns as they are, whatever their names; for odd rows see judge."""
+    return _judged(docs, rules, text_col).filter("kept").select("row.*")
 
 
 def _listed(words: list[str]) -> str:
