@@ -14,28 +14,52 @@ from weftgraph.llm.common import documents, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no rule of the threshold table."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    """Documents that break no rule of the threshold table.
+
+    Null and empty texts have no words and go; a measure at a bound passes; repeated rows
+    are judged each; long texts are read whole; an empty table stays empty; all columns
+    keep their values.
+    """
+    return quality.accepted(docs)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the documents' own labels teach."""
+    """Documents in a language that the documents' own labels teach.
+
+    Null texts and those without a letter go, and so does all if no row has a label; ties
+    between languages go; repeated rows are judged each; long texts are read whole; an empty
+    table stays empty; all columns keep their values.
+    """
     model = language_id.learn(language_id.training_rows(docs))
     return language_id.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least id."""
+    """One document of each group of near-duplicates, that with the least id.
+
+    Null ids all stay; null texts count as empty, and those without words are one group; of
+    rows that share the least id that with the least text stays; long texts are read whole;
+    an empty table stays empty; all columns keep their values.
+    """
     return near_dedup.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; n_chars follows the text."""
+    """All documents, without the passages that an earlier one has; n_chars follows the text.
+
+    Null texts stay null, with a null n_chars; rows that share an id are no earlier than each
+    other; long texts are read whole; an empty table stays empty; all other columns keep
+    their values.
+    """
     return substring_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences.
+
+    Null texts count as empty and give their end id; repeated rows are packed each; long
+    texts are cut, never shortened; an empty table gives no pieces; other columns are ignored.
+    """
     return packing.pack(docs)
 
 
