@@ -223,6 +223,56 @@ def test_packing_ids(spark):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_tails_are_packed_by_tier(spark):
+    """Every sequence opens with a tail of its own tier, and its gap holds tails of shorter tiers."""
+    rng = np.random.default_rng(7)
+    done = []
+    packer = packing.Packer(64, (8, 16, 32, 64), lambda row, tier: done.append((tier, [p.doc_tokens - p.start for p in row], [len(p.ids) for p in row])))
+    lengths = [int(n) for n in rng.integers(1, 200, 400)]
+    for i, n in enumerate(lengths):
+        packer.add(i, np.full(n, i, dtype=np.uint32))
+    packer.flush(last=False)
+    assert packer.waiting < 64
+    packer.flush(last=True)
+    assert not packer.waiting and sum(sum(x) for _, _, x in done) == sum(lengths)
+    filled = [(tier, sizes) for tier, _, sizes in done if sum(sizes) == tier]
+    assert len(filled) >= len(done) - 6 and len({tier for tier, _ in filled}) > 2
+    for tier, sizes in filled:
+        assert (tier // 2 if tier > 8 else 0) < sizes[0] <= tier  # the tier's own
+        assert all(n <= tier - sizes[0] for n in sizes[1:])  # fill the gap it leaves
+    whole = [n % 64 for n in lengths if n % 64]
+    assert sum(len(sizes) for _, sizes in filled) < 1.6 * (len(whole) + sum(n // 64 for n in lengths))  # few tails are cut
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([64, 128, 256, 512, 1024, 2048]), max_size=300), st.sampled_from([2048, 4096]))
+def test_step_groups_are_balanced(sizes, tokens):
+    groups = packing.step_groups(sizes, tokens)
+    loads = Counter()
+    for n, g in zip(sizes, groups, strict=True):
+        loads[g] += n
+    assert len(groups) == len(sizes) and sum(loads.values()) == sum(sizes)
+    if len(loads) > 1:
+        assert set(loads) == set(range(max(1, round(sum(sizes) / tokens))))
+        assert max(loads.values()) - min(loads.values()) <= max(sizes)
+
+
+def test_step_groups_of_the_query(spark):
+    rows = queries.op6_packing(spark, "/root/testdata/sf0.01").collect()
+    tokens, sequences = Counter(), defaultdict(set)
+    for r in rows:
+        tokens[r.step_group] += r.length
+        sequences[r.step_group].add(r.sequence_id)
+    by_task = defaultdict(list)
+    for g, n in tokens.items():
+        by_task[g >> 40].append((n, len(sequences[g])))
+    want = packing.STEP_WINDOWS * packing.WINDOW
+    for task in by_task.values():
+        if len(task) > 3:
+            assert all(abs(n - want) < 0.15 * want for n, _ in task)
+            assert max(k for _, k in task) <= 2 * min(k for _, k in task)
+
+
 def brute_bits(texts, text, order=language_id.ORDER):
     import math
 
