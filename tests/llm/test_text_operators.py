@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.oracle import check
-from weftgraph.llm import fingerprints, language_id, packing, piece_codec, quality, queries, sharding
+from weftgraph.llm import common, fingerprints, language_id, packing, piece_codec, quality, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 LONG = "the word of a long text and " * 4000
@@ -103,6 +103,36 @@ def test_within_radius_finds_all(spark, docs_of):
     assert len(got) > len(asked)
 
 
+def test_within_radius_of_odd_inputs(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELL", 4)
+    monkeypatch.setattr(common, "HOT_PART", 6)
+    far = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rng = np.random.default_rng(8)
+    values = {0, (1 << 128) - 1}
+    for center in [int.from_bytes(rng.bytes(16), "big") for _ in range(3)]:
+        for _ in range(60):  # a group in which many share any two blocks
+            values.add(center ^ sum(1 << int(b) for b in rng.choice(128, rng.integers(0, 4), replace=False)))
+    rows = [([signed(v >> 64), signed(v & (1 << 64) - 1)], 1 + i % 3) for i, v in enumerate(sorted(values))]
+    prints = spark.createDataFrame([*rows, (None, 5)], "simhash array<long>, copies int")
+    copies = {f"{v:032x}": 1 + i % 3 for i, v in enumerate(sorted(values))}
+    got = {(r.query, r.fingerprint, r.distance) for r in fingerprints.within_radius(prints, prints).collect()}
+    assert got == {(a, b, far(a, b)) for a in copies for b in copies if far(a, b) <= 3}
+    counted = {r.fingerprint: r.n_within for r in fingerprints.count_within(prints, prints).collect()}
+    assert counted == {a: sum(n for b, n in copies.items() if far(a, b) <= 3) for a in copies}
+    assert fingerprints.within_radius(prints.limit(0), prints).count() == 0 == fingerprints.within_radius(prints, prints.limit(0)).count()
+    assert fingerprints.with_neighbours(docs_of([])).count() == 0
+
+
+def test_fingerprint_query_counts_neighbours(spark):
+    rows = queries.op2_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    prints = np.array([[int(r.fingerprint[:16], 16), int(r.fingerprint[16:], 16)] for r in rows], dtype=np.uint64)
+    assert len(rows) == 1000
+    for r, own in zip(rows, prints, strict=True):
+        near = int((np.bitwise_count(prints ^ own).sum(axis=1) <= fingerprints.RADIUS).sum())
+        assert r.n_within == (near if r.doc_id % 50 == 0 else None)
+
+
 @pytest.fixture(scope="module")
 def codec():
     return piece_codec.public_pieces()

@@ -15,7 +15,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edits(documents(spark, sf_dir))
+    return fingerprints.with_neighbours(documents(spark, sf_dir))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
