@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.golden import CHARGE, CREATE, EMIT, HANDLE, SAVE, SEND, SUBMIT, TEST, graph_of, node, shop
 from weftgraph.graph import Graph
@@ -172,3 +173,23 @@ def test_lint_disconnected(spark):
 def test_coverage(spark):
     g = graph_of(spark, [node("a.py::f"), node("a.py::g")], [], [("a.py::f", "flow", "x")])
     assert tuple(relational.coverage(g).first()) == (1, 2, 50)
+
+
+def test_typo_candidates_lose_no_pair(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("ab-") for _ in range(rng.randint(4, 9))) for _ in range(120)})
+    values, known = words[::2], words[1::2]
+    rows = lambda items, name: spark.createDataFrame([("flow", w) for w in items], f"kind string, {name} string")
+    met = lint.close_values(rows(values, "value"), rows(known, "suggestion").withColumn("used", F.lit(2)))
+    got = {(r["value"], r["suggestion"]) for r in met.collect()}
+    want = {(a, b) for a in values for b in known if distance(a, b) <= 2}
+    assert want <= got and len(got) < len(values) * len(known)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]

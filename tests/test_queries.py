@@ -3,7 +3,8 @@
 import pytest
 
 from tests.oracle import check
-from weftgraph.plans.queries import ORACLE_SQL, QUERIES
+from weftgraph.plans import queries, store_queries  # noqa: F401
+from weftgraph.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

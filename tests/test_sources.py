@@ -1,13 +1,15 @@
 """Store, extraction, configuration, command line and streaming."""
 
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.golden import CHARGE, CREATE, HANDLE, node, shop
 from weftgraph import cli
 from weftgraph.schema import EDGES, EXTERNAL_CALLS, META, NODES, TAGS
-from weftgraph.sources import calls, config, files, references, symbols, tags
+from weftgraph.sources import calls, config, files, python_ast, references, symbols, tags
 from weftgraph.sources.store import GraphStore, StoreError
 from weftgraph.streaming.refresh import CHANGES, refresh
 
@@ -52,13 +54,32 @@ def test_delete_file_data(spark, store):
     assert CHARGE not in {r["node_id"] for r in g.tags.collect()}
 
 
+def test_a_write_is_seen_whole_or_not_at_all(spark, store, monkeypatch):
+    store.replace(shop(spark))
+    before = store.open()
+    counts = [getattr(before, t).count() for t in ("nodes", "edges", "tags")]
+    broken = spark.createDataFrame([(CHARGE, CHARGE, "calls")], EDGES).withColumn("kind", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        store.replace(shop(spark).with_tables(edges=broken))
+    assert [getattr(store.open(), t).count() for t in ("nodes", "edges", "tags")] == counts
+    for k in range(3):
+        store.set_meta("turn", str(k))
+    assert store.meta()["turn"] == "2" and before.nodes.count() == counts[0]  # an open graph keeps its files
+    again = spark.createDataFrame([node(CHARGE, (1, 2)), node(CHARGE, (3, 4)), node(CHARGE, (5, 6))], NODES).coalesce(1)
+    store.replace(shop(spark).with_tables(nodes=shop(spark).nodes.unionByName(again)))
+    assert [r["line_start"] for r in store.open().nodes.filter(f"id = '{CHARGE}'").collect()] == [5]
+    stray = spark.createDataFrame([("nobody", "flow", "x")], TAGS)
+    with pytest.raises(StoreError, match="isn't in the graph"):
+        store.replace(shop(spark).with_tables(tags=stray))
+
+
 def test_metadata_and_version(spark, store):
     store.replace(shop(spark))
     kept = {r["id"]: r["metadata"] for r in store.open().nodes.collect()}
     assert kept[HANDLE] == {"route": "POST /api/checkout"} and kept[CHARGE] is None
     store.set_meta("last_build", "5")
     assert store.meta() == {"schema_version": "2", "last_build": "5"}
-    store._write("meta", spark.createDataFrame([("schema_version", "1")], META))
+    store._write(meta=spark.createDataFrame([("schema_version", "1")], META))
     with pytest.raises(StoreError, match="schema version 1"):
         store.open()
     with pytest.raises(StoreError, match="build it first"):
@@ -156,6 +177,52 @@ def test_references(spark):
     assert rows(references.reference_edges(found, own, innermost=True)) == [("i", "o", "calls"), ("i", "t", "calls")]
 
 
+def test_references_in_long_and_nested_functions(spark):
+    spans = [("whole", 1, 900_000), ("long", 10, 200_000), ("mid", 4000, 8200), ("short", 4200, 4260), ("edge", 255, 256), ("line", 512, 512)]
+    own = spark.createDataFrame([(n, "function", "a.py", a, b, i) for i, (n, a, b) in enumerate(spans)], "id string, kind string, file string, line_start int, line_end int, ord int")
+    lines = [1, 9, 10, 254, 255, 256, 257, 511, 512, 513, 4000, 4200, 4255, 4260, 4261, 8200, 8201, 65536, 131072, 200_000, 200_001, 900_000, 900_001]
+    refs = spark.createDataFrame([("t", "a.py", n) for n in lines], "target_id string, file string, line int")
+    for innermost in (False, True):
+        got = {r["line"]: r["caller_id"] for r in references.enclosing(refs, own, innermost).collect()}
+        around = {n: [s for s in spans if s[1] <= n <= s[2]] for n in lines}
+        assert got == {n: (max(s, key=lambda x: (x[1], -x[2])) if innermost else s[0])[0] for n, s in around.items() if s}
+
+
+def test_symbols_under_every_kind_of_branch():
+    text = """
+try:
+    from fast import run
+except ImportError:
+    def run(): return other()
+else:
+    def after(): pass
+finally:
+    def last(): pass
+if x: pass
+elif y:
+    def elsewhere(): pass
+else:
+    class Other:
+        if x: pass
+        else:
+            def inner(self): pass
+for i in z:
+    def looped(): pass
+else:
+    async def ended(): pass
+while True:
+    def again(): pass
+match z:
+    case 1:
+        def cased(): pass
+with a as b:
+    def held(): pass
+"""
+    tree = json.loads(python_ast.dump_file("a.py", text, frozenset(), "file:///p")[0][2])
+    assert [s["name"] for s in tree] == ["after", "last", "run", "elsewhere", "Other", "looped", "ended", "again", "cased", "held"]
+    assert [s["name"] for s in tree[4]["children"]] == ["inner"]
+
+
 # --- files and configuration ---
 
 
@@ -164,6 +231,13 @@ def test_discover(spark, tmp_path):
         (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / f).write_text("x")
     found = files.discover(spark, str(tmp_path), (".py", ".ts"), ("dist",))
+    texts = files.discover(spark, str(tmp_path), (".py", ".ts"), ("dist",), text=True)
+    assert sorted((r["file"], r["text"]) for r in texts.collect()) == [("src/a.py", "x"), ("src/deep/er/c.ts", "x"), ("src/my.dist.py", "x")]
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in plan.split("DataFilters")[1]  # other files aren't opened
+    os.utime(tmp_path / "src/a.py", (5_000_000, 5_000_000))
+    assert [r["file"] for r in files.changed_since(found, 5_000_000_000).orderBy("file").collect()] == ["src/deep/er/c.ts", "src/my.dist.py"]
+    assert files.changed_share(found, 5_000_000_000).first().asDict() == {"changed": 2, "total": 3, "whole": True}
     assert sorted(r["file"] for r in found.collect()) == ["src/a.py", "src/deep/er/c.ts", "src/my.dist.py"]
     assert files.changed_since(found, 0).count() == 3 and files.changed_since(found, 10**14).count() == 0
     assert files.detect_languages(found) == ["python", "typescript"]
@@ -177,6 +251,10 @@ def test_config():
         with pytest.raises(config.ConfigError, match=message):
             config.parse_config(bad)
     assert config.parse_config(config.starter_config(["python", "typescript"], "src")).languages == ("python", "typescript")
+    odd = config.parse_config('lint = 3\npython = "x"\n[project]\nlanguages = ["python"]\nroot = 5\nmarker = []\nexclude = "no"')
+    assert odd.language("python") == config.LanguageConfig("python", (".",), ("tests",)) and (odd.root, odd.marker) == (".", "@weft:") and not odd.strict and odd.ignore == ()
+    assert odd.exclude == config.EXCLUDED and "vendor" in odd.exclude
+    assert not config.parse_config('[project]\nlanguages = ["go"]\n[lint]\nstrict = 1\nignore = [2]').strict
 
 
 SHOP = {

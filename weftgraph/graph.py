@@ -33,5 +33,8 @@ class Graph:
 
     @cached_property
     def steps(self) -> DataFrame:
-        """Distinct (source_id, target_id) of followed edges, written once, as every round of a closure reads them."""
-        return saved(self.followed.select("source_id", "target_id").distinct(), "steps")
+        """(source_id, target_id) of followed edges, written once, as every round of a closure reads them.
+
+        Edges have unique keys; a pair with edges of two kinds stands here twice.
+        """
+        return saved(self.followed.select("source_id", "target_id"), "steps")

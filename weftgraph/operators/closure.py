@@ -1,7 +1,8 @@
 """Transitive closures: a frontier of distinct rows moves over the edges until it finds nothing new.
 
 Each round joins the last frontier with the edges and drops what was seen before, so cycles
-end and each node is expanded once per label. Rounds are written to the shared folder.
+end and each node is expanded once per label. Rounds are written to the shared folder, and go
+when the result has been written.
 Ids without a node are expanded too; they only leave at the end, where nodes are joined.
 """
 
@@ -11,20 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..sources.shared import saved
+from ..sources.shared import Scratch, saved
 
 
 def closure(steps: DataFrame, seeds: DataFrame, labels: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
     """labels and id of everything reachable from the seeds (labels, id), themselves included."""
     here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     keys = [*labels, "id"]
-    frontier = saved(seeds.select(*keys).distinct(), "frontier")
-    seen = frontier
-    while not frontier.isEmpty():
-        met = frontier.join(steps, frontier["id"] == steps[here]).select(*labels, F.col(there).alias("id")).distinct()
-        frontier = saved(met.join(seen, keys, "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    with Scratch(steps.sparkSession) as rounds:
+        seen = frontier = rounds.saved(seeds.select(*keys).distinct(), "frontier")
+        while not frontier.isEmpty():
+            met = frontier.join(steps, frontier["id"] == steps[here]).select(*labels, F.col(there).alias("id")).distinct()
+            frontier = rounds.saved(met.join(seen, keys, "left_anti"), "frontier")
+            seen = seen.unionByName(frontier)
+        return saved(seen, "closure")
 
 
 def flow_seeds(graph: Graph) -> DataFrame:

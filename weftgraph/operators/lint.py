@@ -34,12 +34,31 @@ def invalid_tags(graph: Graph, marker: str) -> DataFrame:
     return _issues(rows, 1, "error", marker, F.col("tag_kind"), " tag on a ", F.col("kind"), " — tags should only be on functions or methods")
 
 
+def close_values(values: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of values (kind, value) and known ones (kind, suggestion, used) that may be TYPO_DISTANCE edits apart, and no nearer pair is left out.
+
+    A known value is cut into one part more than there are edits: one of them stands in the
+    value as it is, moved by at most as many places as there are edits.
+    """
+    parts, shift = TYPO_DISTANCE + 1, TYPO_DISTANCE
+    begin = lambda n, i: F.floor(n * i / parts).cast("int")
+    numbers = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+    size = F.length("suggestion")
+    theirs = known.withColumn("n", size).withColumn("i", numbers(0, parts - 1))
+    theirs = theirs.withColumn("part", F.substring(F.col("suggestion"), begin(F.col("n"), F.col("i")) + 1, begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))))
+    own = values.withColumn("d", numbers(-shift, shift)).withColumn("n", (F.length("value") + F.col("d")).cast("int")).filter(F.col("n") >= 1)
+    own = own.withColumn("i", numbers(0, parts - 1)).withColumn("s", numbers(-shift, shift))
+    start, wide = begin(F.col("n"), F.col("i")) + F.col("s"), begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))
+    own = own.filter((start >= 0) & (start + wide <= F.length("value"))).withColumn("part", F.substring(F.col("value"), start + 1, wide))
+    return own.select("kind", "value", "n", "i", "part").distinct().join(theirs, ["kind", "n", "i", "part"]).select("kind", "value", "suggestion", "used").distinct()
+
+
 def typo_pairs(graph: Graph) -> DataFrame:
     """kind, value, suggestion, used: values used once, and the least common value close to each."""
     counts = graph.tags.groupBy("kind", "value").agg(F.count("*").alias("used")).filter(F.length("value") >= TYPO_LENGTH)
     once = counts.filter("used = 1").select("kind", "value")
     common = counts.filter("used > 1").select("kind", F.col("value").alias("suggestion"), "used")
-    close = once.join(common, "kind").filter(F.levenshtein("value", "suggestion", TYPO_DISTANCE).between(0, TYPO_DISTANCE))
+    close = close_values(once, common).filter(F.levenshtein("value", "suggestion", TYPO_DISTANCE).between(0, TYPO_DISTANCE))
     best = close.groupBy("kind", "value").agg(F.min(F.struct("suggestion", "used")).alias("best"))
     return best.select("kind", "value", "best.suggestion", "best.used")
 

@@ -53,17 +53,17 @@ def extract(sources: DataFrame, symbol_dump: DataFrame, call_dump: DataFrame, re
     return graph, scanned.filter("error IS NOT NULL").select("file", "tag_line", "error")
 
 
-def project_files(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    """path, file (below root), modified, language of all source files, each once."""
+def project_files(spark: SparkSession, root: str, config: Config, text: bool = False) -> DataFrame:
+    """path, file (below root), modified, language (and text) of all source files, each once."""
     out = None
     for c in config.to_build():
         for source_root in c.source_roots:
             below = "" if source_root in (".", "") else source_root.strip("/") + "/"
-            rows = files.discover(spark, f"{root}/{below}".rstrip("/"), files.EXTENSIONS[c.language], config.exclude)
+            rows = files.discover(spark, f"{root}/{below}".rstrip("/"), files.EXTENSIONS[c.language], config.exclude, text)
             rows = rows.withColumns({"file": F.concat(F.lit(below), "file"), "language": F.lit(c.language)})
             out = rows if out is None else out.unionByName(rows)
     if out is None:
-        return spark.createDataFrame([], "path string, file string, modified long, language string")
+        return spark.createDataFrame([], "path string, file string, modified long, language string" + ", text string" * text)
     return out.dropDuplicates(["path"])
 
 
@@ -88,8 +88,7 @@ def build(spark: SparkSession, root: str, store: GraphStore, config: Config, dum
     began = time.time()
     project = f"file://{root}"
     listed = saved(project_files(spark, root, config), "files")
-    texts = listed.select("path", "file", "language").join(files.read_sources(spark, listed), "path").select("file", "language", "text")
-    sources = saved(texts, "sources")
+    sources = saved(project_files(spark, root, config, text=True).select("file", "language", "text"), "sources")
     dumps = read_dumps(spark, f"{store.path}/dumps") if dumps is None else dumps
     own = sources.filter("language = 'python'")
     if "symbols" in dumps:
@@ -109,8 +108,7 @@ def build(spark: SparkSession, root: str, store: GraphStore, config: Config, dum
     graph, _ = extract(sources, symbol_dump, call_dump, ref_dump, project, config)
     counts = [x.count() for x in (listed, graph.nodes, graph.edges, graph.tags)]
     store.create()
-    store.replace(synthesize_event_edges(graph))
-    store.set_meta("last_build", str(int(time.time() * 1000)))
+    store.replace(synthesize_event_edges(graph), last_build=str(int(time.time() * 1000)))
     return Stats(*counts, round((time.time() - began) * 1000))
 
 
@@ -124,7 +122,7 @@ def update(spark: SparkSession, root: str, store: GraphStore, config: Config) ->
         try:
             store.open()
             last = store.meta().get("last_build")
-            changed = files.changed_since(listed, int(last)).count() if last else total
+            changed = int(files.changed_share(listed, int(last)).first()["changed"]) if last else total
         except (RuntimeError, ValueError):
             changed = total
     if changed or not store.exists():

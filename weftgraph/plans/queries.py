@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,41 +12,22 @@ from ..operators import closure, lint, paths, relational
 from ..sources import calls, files, references, store, symbols, tags
 from ..sources.star import star_graph
 from . import reports
+from .registry import ORACLE_SQL, QUERIES, on_graph, query
 from .sql import MEMBERSHIP, NODE, over_graph
 from .sql import paths as paths_sql
 from .sql import upstream as upstream_sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 FLOW, SOURCE, SINK, BOUNDARY, NAMED = "building", "customer::0", "supplier::0", "nation-0", "part::0"
 MARKER = "@weft:"
+__all__ = ["ORACLE_SQL", "QUERIES"]
 _NODE = ("id", "kind", "name", "file", "line_start", "line_end", "language", "is_test")
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
-
-    def keep(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return keep
-
-
-def on_graph(sql: str | None = None, cyclic: bool = False):
-    """Registers a function of the star graph."""
-
-    def keep(function):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(star_graph(spark, sf_dir, cyclic))
-
-        run.__name__ = function.__name__
-        return query(sql)(run)
-
-    return keep
+def table_rows(g: Graph) -> DataFrame:
+    """tab, a, b, c: the rows of all tables."""
+    keys = {"nodes": ("id", "file", "kind"), "edges": ("source_id", "target_id", "kind"), "tags": ("node_id", "kind", "value"), "external_calls": ("node_id", "package", "symbol")}
+    parts = [getattr(g, t).select(F.lit(t).alias("tab"), *[F.col(c).alias(n) for c, n in zip(own, "abc", strict=True)]) for t, own in keys.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def text_of(path: str) -> F.Column:
@@ -183,14 +162,30 @@ def find_all_paths(g: Graph) -> DataFrame:
 @on_graph(
     over_graph(
         "select src, dst, array_to_string(path, ' -> ') as path from walks where head = dst",
-        paths_sql(f"select f.node_id as src, b.node_id as dst from tags f, tags b where f.kind = 'flow' and f.value = 'buildng' and b.kind = 'boundary' and b.value = '{BOUNDARY}'"),
+        paths_sql(f"select f.node_id as src, b.node_id as dst from tags f, tags b where f.kind = 'flow' and f.value = '{FLOW}' and b.kind = 'boundary' and b.value = '{BOUNDARY}'"),
     )
 )
 def trace(g: Graph) -> DataFrame:
-    return paths.trace(g, "buildng", BOUNDARY).select("src", "dst", text_of("path").alias("path"))
-
-
-@on_graph()
+    return paths.trace(g, FLOW, BOUNDARY).select("src", "dst", text_of("path").alias("path"))
+
+
+#: On an acyclic graph a depth-first walk first meets a node on the path with the least list of (file, line, id).
+TREE = """place as (select id, {'file': file, 'line': line_start, 'id': id} as p from nodes),
+ways as (
+  select t.value as flow, t.node_id as entry, [t.node_id] as path, [n.p] as keys, t.node_id as head from tags t join place n on n.id = t.node_id where t.kind = 'flow'
+  union all
+  select w.flow, w.entry, list_append(w.path, s.target_id), list_append(w.keys, n.p), s.target_id from ways w join steps s on s.source_id = w.head join place n on n.id = s.target_id
+),
+met as (select flow, entry, head as id, min(keys) as keys from ways group by all),
+tree as (
+  select flow, entry, row_number() over (partition by flow, entry order by keys) - 1 as ord, len(keys) - 1 as depth, m.id, keys[-2].id as parent_id, n.name, n.file, n.line_start,
+    (select max(value) from tags where kind = 'boundary' and node_id = m.id) as boundary,
+    (select string_agg(distinct value, ', ' order by value) from tags where kind = 'emits' and node_id = m.id) as emits
+  from met m join nodes n on n.id = m.id
+)"""
+
+
+@on_graph(over_graph("select flow, entry, ord, depth, id, parent_id, name, file, line_start, boundary, emits from tree", TREE))
 def flow_tree(g: Graph) -> DataFrame:
     return paths.flow_tree(g)
 
@@ -325,22 +320,23 @@ def lint_disconnected(g: Graph) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A file of made-up source text for each customer, and its only function."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    k = F.col("c_custkey")
+    """A file of each document's whole text with tag lines below, and its only function."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    k = F.col("doc_id")
     language = F.when(k % 3 == 0, "python").when(k % 3 == 1, "typescript").otherwise("go")
-    mark = F.when(language == "python", "# ").otherwise("// ")
+    python, typescript = F.when(k % 2 == 0, "# ").otherwise('"' * 3), F.when(k % 2 == 0, " * ").otherwise("/** ")
+    mark = F.when(language == "python", python).when(language == "typescript", typescript).otherwise("// ")
     kind = F.when(k % 11 == 0, "flows").otherwise("flow")
-    value = F.when(k % 7 == 0, F.concat(F.lit("Bad_"), F.lower("c_mktsegment"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" ,  part-"), (k % 5).cast("string"), F.lit(",")))
-    text = F.concat(F.lit("import x\n"), mark, F.lit(MARKER), kind, F.lit(" "), value, F.lit("\nfunction body\n  "), mark, F.lit(f"{MARKER}emits late\n"))
-    file = F.concat(F.lit("src/"), k.cast("string"))
-    rows = c.select(file.alias("file"), language.alias("language"), text.alias("text"), k.alias("k"))
-    nodes = rows.select(F.concat("file", F.lit("::f")).alias("id"), F.lit("function").alias("kind"), "file", F.lit(3).alias("line_start"), F.lit(5).alias("line_end"), F.lit(0).alias("ord"))
+    segment = F.concat(F.lit("seg-"), (k % 13).cast("string"))
+    value = F.when(k % 7 == 0, F.concat(F.lit("Bad_"), segment)).otherwise(F.concat(segment, F.lit(" ,  part-"), (k % 5).cast("string"), F.lit(",")))
+    text = F.concat("body", F.lit("\n"), mark, F.lit(MARKER), kind, F.lit(" "), value, F.lit("\nfunction body\n  "), mark, F.lit(f"{MARKER}emits late\n"))
+    rows = d.select(F.concat(F.lit("src/"), k.cast("string")).alias("file"), language.alias("language"), text.alias("text"), F.size(F.split("body", "\n", -1)).alias("n"))
+    nodes = rows.select(F.concat("file", F.lit("::f")).alias("id"), F.lit("function").alias("kind"), "file", (F.col("n") + 2).alias("line_start"), (F.col("n") + 4).alias("line_end"), F.lit(0).alias("ord"))
     return rows.select("file", "language", "text"), nodes
 
 
-_MADE = f"""with c as (select c_custkey as k, 'src/' || c_custkey as file, lower(c_mktsegment) as s from customer),
-t as (select k, file, 2 as tag_line, case when k % 11 = 0 then 'flows' else 'flow' end as kind,
+_MADE = """with c as (select doc_id as k, 'src/' || doc_id as file, 'seg-' || (doc_id % 13) as s, len(string_split(coalesce(text, ''), chr(10))) as n from documents),
+t as (select k, file, n, cast(n + 1 as int) as tag_line, case when k % 11 = 0 then 'flows' else 'flow' end as kind,
   case when k % 7 = 0 then ['Bad_' || s] else [s, 'part-' || (k % 5)] end as vals from c),
 v as (select k, file, tag_line, kind, unnest(vals) as value from t where kind = 'flow')"""
 
@@ -351,9 +347,9 @@ def scan_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_MADE} select file, 2 as tag_line, 'Line 2: unknown tag kind ''flows''' as error from t where kind = 'flows'
-union all select file, 2, 'Line 2: invalid tag name ''' || value || ''' — must be lowercase kebab-case' from v where value like 'Bad%'
-union all select file, 4, 'Line 4: {MARKER}emits late has no function below it' from c"""
+    f"""{_MADE} select file, tag_line, 'Line ' || tag_line || ': unknown tag kind ''flows''' as error from t where kind = 'flows'
+union all select file, tag_line, 'Line ' || tag_line || ': invalid tag name ''' || value || ''' — must be lowercase kebab-case' from v where value like 'Bad%'
+union all select file, cast(n + 3 as int), 'Line ' || (n + 3) || ': {MARKER}emits late has no function below it' from c"""
 )
 def scan_tag_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.scan_errors(*_sources(spark, sf_dir), MARKER)
@@ -384,6 +380,35 @@ def ref_interval_bind(g: Graph) -> DataFrame:
     return references.enclosing(refs, inner.unionByName(outer))
 
 
+def _ref_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to every order from the function two keys before it, from itself, and from outside the project."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+
+    def at(root: str, line: F.Column) -> F.Column:
+        spot = F.concat(F.lit('{"line":'), line.cast("string"), F.lit(',"character":0}'))
+        return F.concat(F.lit('{"uri":"' + root + "/orders/"), (F.col("c") % 10).cast("string"), F.lit('.ts","range":{"start":'), spot, F.lit(',"end":'), spot, F.lit("}}"))
+
+    places = F.concat_ws(",", at("file:///app", F.col("k") * 10 - 16), at("file:///app", F.col("k") * 10 + 3), at("file:///else", F.col("k") * 10))
+    return o.select(F.concat(F.lit("orders::"), F.col("k").cast("string")).alias("target_id"), F.concat(F.lit("["), places, F.lit("]")).alias("refs"))
+
+
+_LOCATED = "select 'orders::' || o_orderkey as target_id, 'orders/' || (o_custkey % 10) || '.ts' as file, cast(o_orderkey * 10 + d as int) as line from orders, (values (-15), (4)) as v(d)"
+
+
+@query(_LOCATED)
+def located_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.located(_ref_dump(spark, sf_dir), "file:///app")
+
+
+@query(
+    f"""with refs as ({_LOCATED}), f as (select 'orders::' || o_orderkey as id, 'orders/' || (o_custkey % 10) || '.ts' as file, o_orderkey * 10 + 1 as a, o_orderkey * 10 + 9 as b from orders)
+select distinct f.id as source_id, target_id, 'calls' as kind from refs r join f on f.file = r.file and r.line between f.a and f.b where f.id <> target_id"""
+)
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions = star_graph(spark, sf_dir).nodes.withColumn("ord", F.col("line_start"))
+    return references.reference_edges(references.located(_ref_dump(spark, sf_dir), "file:///app"), functions)
+
+
 def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
     n, at = F.col("k").cast("string"), F.col("k") % 9
@@ -448,23 +473,39 @@ def outgoing_external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _symbol_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
-    span = '"range":{"start":{"line":%d,"character":0},"end":{"line":%d,"character":1}},"selectionRange":{"start":{"line":%d,"character":4},"end":{"line":%d,"character":9}}'
-    tree = (
-        '[{"name":"C","kind":5,' + span % (0, 9, 0, 0) + ',"children":[{"name":"m","kind":6,' + span % (1, 2, 1, 1) + '},{"name":"v","kind":13,' + span % (3, 6, 3, 3)
-        + ',"children":[{"name":"inner","kind":12,' + span % (4, 5, 4, 4) + '}]}]},{"name":"init","kind":12,' + span % (10, 11, 10, 10) + '},{"name":"init","kind":12,' + span % (12, 13, 12, 12) + "}]"
-    )
+    """A tree for each supplier: its lines and names depend on the key, and every third one has no inner function."""
+    k = F.col("s_suppkey")
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("k"))
+    line = lambda at: (F.col("k") + at).cast("string")
+
+    def symbol(name: F.Column, kind: int, first: int, last: int, children: F.Column | None = None) -> F.Column:
+        parts = [F.lit('{"name":"'), name, F.lit(f'","kind":{kind},"range":{{"start":{{"line":'), line(first), F.lit(',"character":0},"end":{"line":'), line(last)]
+        parts += [F.lit(',"character":1}},"selectionRange":{"start":{"line":'), line(first), F.lit(',"character":4},"end":{"line":'), line(first), F.lit(',"character":9}}')]
+        return F.concat(*parts, *([F.lit(',"children":['), children, F.lit("]")] if children is not None else []), F.lit("}"))
+
+    own = F.concat(F.lit("C"), F.col("k").cast("string"))
+    inner = F.when(F.col("k") % 3 == 0, "").otherwise(symbol(F.lit("inner"), 12, 4, 5))
+    body = F.concat_ws(",", symbol(F.lit("m"), 6, 1, 2), symbol(F.lit("v"), 13, 3, 6, inner))
+    more = symbol(F.lit("init"), 12, 10, 11), symbol(F.lit("init"), 12, 12, 13), symbol(F.lit("T"), 11, 14, 15)
+    tree = F.concat(F.lit("["), F.concat_ws(",", symbol(own, 5, 0, 9, body), *more), F.lit("]"))
     go = F.col("k") % 2 == 0
-    file = F.concat(F.lit("d/"), F.col("k").cast("string"), F.when(go, "_test.go").otherwise(".py"))
-    return n.select(file.alias("file"), F.when(go, "go").otherwise("python").alias("language"), F.lit(tree).alias("symbols"))
+    folder = F.when(F.col("k") % 5 == 0, "tests/").otherwise("d/")
+    file = F.concat(folder, F.col("k").cast("string"), F.when(go, "_test.go").otherwise(".py"))
+    return n.select(file.alias("file"), F.when(go, "go").otherwise("python").alias("language"), tree.alias("symbols"))
+
+
+_FLAT = """with f as (select s_suppkey as k, case when s_suppkey % 5 = 0 then 'tests/' else 'd/' end || s_suppkey || case when s_suppkey % 2 = 0 then '_test.go' else '.py' end as file from supplier),
+v as (select k, file, case when q like 'C%' then 'C' || k || substr(q, 2) else q end as q, kind, case when name = 'C' then 'C' || k else name end as name, a, b, case when k % 3 = 0 and o > 2 then o - 1 else o end as o
+  from f, (values ('C', 'class', 'C', 0, 9, 0), ('C.m', 'method', 'm', 1, 2, 1), ('C.inner', 'function', 'inner', 4, 5, 2), ('init', 'function', 'init', 10, 11, 3), ('init$2', 'function', 'init', 12, 13, 4), ('T', 'type', 'T', 14, 15, 5)) as v(q, kind, name, a, b, o)
+  where k % 3 <> 0 or q <> 'C.inner')"""
 
 
 @query(
-    """select 'd/' || s_suppkey || case when s_suppkey % 2 = 0 then '_test.go' else '.py' end || '::' || q as id, kind, name, a as line_start, b as line_end, s_suppkey % 2 = 0 as is_test, o as ord
-from supplier, (values ('C', 'class', 'C', 1, 10, 0), ('C.m', 'method', 'm', 2, 3, 1), ('C.inner', 'function', 'inner', 5, 6, 2), ('init', 'function', 'init', 11, 12, 3), ('init$2', 'function', 'init', 13, 14, 4)) as v(q, kind, name, a, b, o)"""
+    f"{_FLAT} select file || '::' || q as id, kind, name, file, k + a + 1 as line_start, k + b + 1 as line_end, file like 'tests/%.py' or k % 2 = 0 as is_test, o as ord, k + a as select_line, 4 as select_character from v"
 )
 def flatten_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.symbol_nodes(_symbol_dump(spark, sf_dir), ("tests",)).select("id", "kind", "name", "line_start", "line_end", "is_test", "ord")
+    columns = ("id", "kind", "name", "file", "line_start", "line_end", "is_test", "ord", "select_line", "select_character")
+    return symbols.symbol_nodes(_symbol_dump(spark, sf_dir), ("tests",)).select(*columns)
 
 
 @query(
@@ -476,11 +517,15 @@ def dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.deduplicated(parts, "base", "p_partkey").select("p_partkey", "id")
 
 
-@query("with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, levenshtein(a.p_name, b.p_name) as distance from n a join n b on a.p_name < b.p_name")
+@query(
+    """with n as (select distinct p_name as b, p_type as t from part), l as (select t, lag(b) over (partition by t order by b) as a, b from n)
+select t, a, b, levenshtein(a, b) as distance from l where a is not null"""
+)
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
-    a, b = names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", edit_distance(F.col("a"), F.col("b")).alias("distance"))
+    """Of each name to the one before it among the parts of its type."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("t"), F.col("p_name").alias("b")).distinct()
+    pairs = names.withColumn("a", F.lag("b").over(Window.partitionBy("t").orderBy("b"))).filter("a IS NOT NULL")
+    return pairs.select("t", "a", "b", edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query("select c_custkey, trim(c_mktsegment) as trimmed, rpad(c_mktsegment, 20, ' ') as padded from customer")
@@ -512,37 +557,64 @@ def insert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_graph(
     over_graph(
-        """select 'nodes' as tab, count(*) as n from nodes where file <> 'orders/3.ts'
-union all select 'edges', count(*) from edges where source_id not in (select id from gone) and target_id not in (select id from gone)
-union all select 'tags', count(*) from tags where node_id not in (select id from gone)
-union all select 'external_calls', count(*) from external_calls where node_id not in (select id from gone)""",
+        """select 'nodes' as tab, id as a, file as b, kind as c from nodes where file <> 'orders/3.ts'
+union all select 'edges', source_id, target_id, kind from edges where source_id not in (select id from gone) and target_id not in (select id from gone)
+union all select 'tags', node_id, kind, value from tags where node_id not in (select id from gone)
+union all select 'external_calls', node_id, package, symbol from external_calls where node_id not in (select id from gone)""",
         "gone as (select id from nodes where file = 'orders/3.ts')",
     )
 )
 def delete_file_data(g: Graph) -> DataFrame:
-    left = store.without_file(g, "orders/3.ts")
-    counts = [getattr(left, t).agg(F.lit(t).alias("tab"), F.count("*").alias("n")) for t in ("nodes", "edges", "tags", "external_calls")]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return table_rows(store.without_file(g, "orders/3.ts"))
+
 
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each order, modified on the order's day, some at an unknown time."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    modified = F.when(F.col("o_orderkey") % 17 != 0, F.unix_millis(F.to_timestamp("o_orderdate")))
+    return o.select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".ts").otherwise(".py")).alias("file"), modified.alias("modified"))
 
-@query()
+
+_BUILT = 883_612_800_000  # 1998-01-01
+_CHANGED = f"select *, o_orderkey % 17 = 0 or epoch_ms(cast(o_orderdate as timestamp)) > {_BUILT} as changed from orders"
+
+
+@query(f"select 'src/' || o_orderkey || case when o_orderkey % 2 = 0 then '.ts' else '.py' end as file from ({_CHANGED}) where changed")
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the data folder changed since a build long ago."""
-    found = files.discover(spark, sf_dir, (".parquet",), ())
-    return files.changed_since(found, 1_000_000_000_000).select("file")
+    return files.changed_since(_listing(spark, sf_dir), _BUILT).select("file")
+
+
+@query(f"select count(*) filter (changed) as changed, count(*) as total, count(*) filter (changed) * 10 > count(*) * 3 as whole from ({_CHANGED})")
+def changed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.changed_share(_listing(spark, sf_dir), _BUILT)
+
+
+@query("select p_partkey, p_name, contains(p_name, 'lace') or contains(p_name, 'oe') as excluded from part")
+def excluded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", "p_name", files.is_excluded(F.col("p_name"), ("lace", "oe")).alias("excluded"))
+
+
+@query("select count(*) > 0 as python, false as typescript from customer where c_custkey % 4 = 1")
+def detect_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files in the open; TypeScript only where it doesn't count."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("k"), (F.col("c_custkey") % 4).alias("at"))
+    file = F.when(F.col("at") == 0, F.concat(F.lit("node_modules/"), "k", F.lit(".ts"))).when(F.col("at") == 1, F.concat(F.lit("src/"), "k", F.lit(".py")))
+    file = file.when(F.col("at") == 2, F.concat(F.lit("src/"), "k", F.lit(".test.tsx"))).otherwise(F.concat(F.lit("doc/"), "k", F.lit(".md")))
+    return files.language_flags(c.select(file.alias("file")))
 
 
 @query(
-    """select doc_id, greatest(1, 3 - ups) || '-4' as span, array_to_string(list_slice(lines, greatest(1, 3 - ups), 4), chr(10)) as code from (
+    """select doc_id, greatest(1, 3 - ups) || '-' || len(lines) as span, array_to_string(list_slice(lines, greatest(1, 3 - ups), len(lines)), chr(10)) as code from (
 select doc_id, lines, case when not regexp_matches(trim(lines[2]), '^(#|//|@|/\\*)') then 0 when not regexp_matches(trim(lines[1]), '^(#|//|@|/\\*)') then 1 else 2 end as ups
-from (select doc_id, string_split(case doc_id % 3 when 0 then '# a' when 1 then 'x' else '  @b' end || chr(10) || case doc_id % 2 when 0 then '// c' else '' end || chr(10) || 'def f():' || chr(10) || '  ' || source || chr(10) || 'rest', chr(10)) as lines from documents))"""
+from (select doc_id, string_split(case doc_id % 3 when 0 then '# a' when 1 then 'x' else '  @b' end || chr(10) || case doc_id % 2 when 0 then '// c' else '' end || chr(10) || 'def f():' || chr(10) || coalesce(text, ''), chr(10)) as lines from documents))"""
 )
 def code_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     k = F.col("doc_id")
     head = F.when(k % 3 == 0, "# a").when(k % 3 == 1, "x").otherwise("  @b")
-    text = F.concat(head, F.lit("\n"), F.when(k % 2 == 0, "// c").otherwise(""), F.lit("\ndef f():\n  "), "source", F.lit("\nrest"))
-    rows = d.select("doc_id", text.alias("text"), F.lit(3).alias("line_start"), F.lit(4).alias("line_end"))
+    text = F.concat(head, F.lit("\n"), F.when(k % 2 == 0, "// c").otherwise(""), F.lit("\ndef f():\n"), "body")
+    rows = d.select("doc_id", text.alias("text"), F.lit(3).alias("line_start"), (F.size(F.split("body", "\n", -1)) + 3).alias("line_end"))
     return reports.code_slices(rows).select("doc_id", F.concat_ws("-", F.col("first").cast("string"), F.col("line_end").cast("string")).alias("span"), "code")
 
 

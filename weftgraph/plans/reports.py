@@ -21,11 +21,11 @@ def _part(rows: DataFrame, name: str, column: str) -> DataFrame:
 def impact_rows(graph: Graph, node_id: str) -> DataFrame:
     """part (direct, transitive, flow, test) and item of what a change of the node affects.
 
-    Flows are those that any upstream node is in.
+    Flows are those that any upstream node is in: an entry that leads to one is upstream itself.
     """
     upstream = saved(graph.nodes.select("id", "is_test").join(closure.impact_ids(graph, node_id), "id", "left_semi"), "upstream")
     direct = relational.callers(graph, node_id).select("id")
-    reached = closure.flow_membership(graph).join(upstream, "id", "left_semi").select("flow").distinct()
+    reached = closure.flow_seeds(graph).join(upstream, "id", "left_semi").select("flow").distinct()
     return (
         _part(direct, "direct", "id")
         .unionByName(_part(upstream.join(direct, "id", "left_anti"), "transitive", "id"))

@@ -9,7 +9,7 @@ from .tags import MARKER
 
 FILE = "weftgraph.toml"
 # Folders that are never searched, and where tests are, by language.
-EXCLUDED = ("node_modules", "venv", ".git", "dist", "__pycache__", ".weftgraph")
+EXCLUDED = ("node_modules", "venv", "vendor", ".git", "dist", "__pycache__", ".weftgraph")
 TEST_PATHS = {"python": ("tests",), "typescript": ("__tests__",), "go": ()}
 #: The order in which languages are built.
 LANGUAGES = ("typescript", "python", "go")
@@ -48,6 +48,15 @@ def _strings(value, fallback: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(value) if isinstance(value, list) and all(isinstance(v, str) for v in value) else fallback
 
 
+def _string(value, fallback: str) -> str:
+    return value if isinstance(value, str) else fallback
+
+
+def _table(value) -> dict:
+    """A section; one of another type has nothing but defaults."""
+    return value if isinstance(value, dict) else {}
+
+
 def parse_config(text: str) -> Config:
     """A configuration; ConfigError for bad TOML, without [project], or without a list of languages."""
     try:
@@ -63,16 +72,16 @@ def parse_config(text: str) -> Config:
     sections = {}
     for name in LANGUAGES:
         if name in languages:
-            own = data.get(name, {})
+            own = _table(data.get(name))
             sections[name] = LanguageConfig(name, _strings(own.get("source_roots"), (".",)), _strings(own.get("test_paths"), TEST_PATHS[name]))
-    lint = data.get("lint", {})
+    lint = _table(data.get("lint"))
     return Config(
         languages,
-        project.get("root", "."),
+        _string(project.get("root"), "."),
         _strings(project.get("exclude"), EXCLUDED),
-        project.get("marker", MARKER),
+        _string(project.get("marker"), MARKER),
         sections,
-        bool(lint.get("strict", False)),
+        lint.get("strict") is True,
         _strings(lint.get("ignore"), ()),
     )
 

@@ -28,11 +28,21 @@ def _symbols(body: list[ast.stmt], in_class: bool = False) -> list[dict]:
             out.append({"name": node.name, "kind": 5, **_span(node), "children": _symbols(node.body, True)})
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             out.append({"name": node.name, "kind": 6 if in_class else 12, **_span(node), "children": _symbols(node.body)})
-        elif isinstance(node, ast.If | ast.Try | ast.With):
-            out += _symbols(node.body, in_class)
+        else:
+            for inner in _statements(node):
+                out += _symbols(inner, in_class)
     return out
 
 
+def _statements(node: ast.stmt) -> Iterator[list[ast.stmt]]:
+    """The statement lists of a compound statement: its body, other branches, handlers and cases."""
+    for name in ("body", "orelse", "finalbody"):
+        if inner := getattr(node, name, None):
+            yield inner
+    for part in (*getattr(node, "handlers", ()), *getattr(node, "cases", ())):
+        yield part.body
+
+
 def _imports(tree: ast.Module, file: str, files: frozenset[str]) -> dict[str, tuple[str, str | None]]:
     """local name -> (uri, name there or None for a module)."""
     found: dict[str, tuple[str, str | None]] = {}
@@ -107,11 +117,11 @@ def dump_file(file: str, text: str, files: frozenset[str], project: str) -> list
 
 
 def dump(sources: DataFrame, files: list[str], project: str) -> DataFrame:
-    """DUMP of sources (file, text), given the names of all files of the project."""
-    every = frozenset(files)
+    """DUMP of sources (file, text), given the names of all files of the project. Files that can't be parsed have no rows."""
+    shared = sources.sparkSession.sparkContext.broadcast(frozenset(files))  # once an executor
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [p.split()[0] for p in DUMP.split(", ")]
+        names, every = [p.split()[0] for p in DUMP.split(", ")], shared.value
         for batch in batches:
             rows = [r for f, t in zip(batch["file"], batch["text"], strict=True) for r in dump_file(f, t or "", every, project)]
             yield pd.DataFrame(rows, columns=names).astype({"source_line": "Int32"})

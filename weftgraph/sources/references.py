@@ -16,14 +16,28 @@ def located(dump: DataFrame, project: str) -> DataFrame:
     return rows.select("target_id", file.alias("file"), (F.col("ref.range.start.line") + 1).alias("line"))
 
 
+#: Lines of a block, and up to how many lines a function is looked for by it; longer functions have blocks of their own.
+BLOCKS = ((1 << 8, 1 << 12), (1 << 16, None))
+
+
 def enclosing(refs: DataFrame, functions: DataFrame, innermost: bool = False) -> DataFrame:
     """refs (target_id, file, line) with caller_id, the function or method around the line.
 
     Of several the first in document order, which is the outermost, or else the innermost.
-    functions: id, kind, file, line_start, line_end and ord (document order).
+    functions: id, kind, file, line_start, line_end and ord (document order). A function is
+    met by the references in its blocks of lines only, not by all of its file.
     """
     own = functions.filter(F.col("kind").isin("function", "method")).select(F.col("id").alias("caller_id"), "file", "line_start", "line_end", "ord")
-    met = refs.distinct().join(own, "file").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    length = F.col("line_end") - F.col("line_start")
+    block_of = lambda column, lines: F.floor(F.col(column) / lines).cast("int")
+    spans, shortest = None, 0
+    for size, (lines, longest) in enumerate(BLOCKS):
+        fits = (length >= shortest) if longest is None else (length >= shortest) & (length < longest)
+        rows = own.filter(fits).withColumn("block", F.explode(F.sequence(block_of("line_start", lines), block_of("line_end", lines)))).withColumn("size", F.lit(size))
+        spans, shortest = rows if spans is None else spans.unionByName(rows), longest
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), block_of("line", lines).alias("block")) for k, (lines, _) in enumerate(BLOCKS)]))
+    asked = refs.select("target_id", "file", "line").distinct().select("*", at.alias("at")).select("target_id", "file", "line", "at.size", "at.block")
+    met = asked.join(spans, ["file", "size", "block"]).filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
     order = F.struct(-F.col("line_start"), F.col("line_end"), -F.col("ord")) if innermost else F.struct("ord", "line_start", "caller_id")
     return met.groupBy("target_id", "file", "line").agg(F.min_by("caller_id", order).alias("caller_id"))
 

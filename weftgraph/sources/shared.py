@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir. Where it is unset: a temporary folder if driver and executors are one process, else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        path = tempfile.mkdtemp(prefix="shared-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -34,6 +35,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of intermediate rounds: gone when the block ends, so that a long session keeps results only."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = table_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            _remove(self.spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,7 +1,8 @@
-"""A graph on disk: a folder of Parquet tables, one sub-folder each.
+"""A graph on disk: a folder of Parquet tables, and a folder of versions of the graph.
 
-Every write goes to a fresh version of a table's folder, named in the folder's own
-`versions` table, so that a reader or a failed write never meets a half-written table.
+A write puts the changed tables into new folders, and then one row into `versions`, written
+last, that names the folder of every table: a reader meets either all of a write or nothing
+of it. The KEPT latest versions stay for their readers; what only older ones name goes.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from ..operators.relational import event_pairs
 from ..schema import KEYS, META, SCHEMA_VERSION, TABLES
 
 
+#: Versions of a graph that stay on disk.
+KEPT = 4
+
+
 class StoreError(RuntimeError):
     pass
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """old and new by keys, the last row winning: new over old, within new the greatest `order`."""
+    """old and new by keys, the last row winning: new over old, within new the greatest `order`, or else the row that stands last."""
     columns = old.columns
     own = old.select(*columns, F.lit(-1).cast("long").alias("_seq"))
-    more = new.select(*columns, (F.col(order).cast("long") if order else F.lit(0).cast("long")).alias("_seq"))
+    more = new.select(*columns, (F.col(order).cast("long") if order else F.monotonically_increasing_id()).alias("_seq"))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_seq")))
     return own.unionByName(more).withColumn("_n", best).filter("_n = 1").select(*columns)
 
@@ -63,84 +68,105 @@ class GraphStore:
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def exists(self) -> bool:
-        fs, to = self._fs()
-        return fs.exists(to(f"{self.path}/meta"))
+        return bool(self._versions())
 
-    def _versions(self, table: str) -> list[str]:
+    def _versions(self) -> list[str]:
+        """Complete versions, in order."""
         fs, to = self._fs()
-        folder = to(f"{self.path}/{table}")
+        folder = to(f"{self.path}/versions")
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(n for n in names if fs.exists(to(f"{self.path}/{table}/{n}/_SUCCESS")))
+        return sorted(n for n in names if fs.exists(to(f"{self.path}/versions/{n}/_SUCCESS")))
 
-    def _write(self, table: str, rows: DataFrame) -> None:
-        old = self._versions(table)
+    def _folders(self, version: str) -> dict[str, str]:
+        return {r["tab"]: r["folder"] for r in self.spark.read.schema("tab string, folder string").parquet(f"{self.path}/versions/{version}").collect()}
+
+    def _write(self, **tables: DataFrame) -> None:
+        """A new version: these tables, and the others as they are."""
+        old = self._versions()
         number = int(old[-1].split("-")[0]) + 1 if old else 1
-        schema = TABLES[table]
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        typed.write.parquet(f"{self.path}/{table}/{number:012d}-{uuid.uuid4().hex[:8]}")
+        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+        folders = self._folders(old[-1]) if old else {}
+        for table, rows in tables.items():
+            folders[table] = f"{table}/{name}"
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(f"{self.path}/{folders[table]}")
+        self.spark.createDataFrame(sorted(folders.items()), "tab string, folder string").coalesce(1).write.parquet(f"{self.path}/versions/{name}")
         fs, to = self._fs()
-        for name in old[:-1]:  # the one before stays for its readers
-            fs.delete(to(f"{self.path}/{table}/{name}"), True)
+        kept = {f for v in old[-KEPT + 1 :] for f in self._folders(v).values()} | set(folders.values())
+        for version in old[: -KEPT + 1]:
+            for folder in set(self._folders(version).values()) - kept:
+                fs.delete(to(f"{self.path}/{folder}"), True)
+            fs.delete(to(f"{self.path}/versions/{version}"), True)
 
     def create(self) -> None:
         """Empty tables where there are none; an existing store stays as it is."""
-        for table, schema in TABLES.items():
-            if not self._versions(table):
-                rows = [("schema_version", SCHEMA_VERSION)] if table == "meta" else []
-                self._write(table, self.spark.createDataFrame(rows, schema))
+        if not self.exists():
+            rows = {"meta": [("schema_version", SCHEMA_VERSION)]}
+            self._write(**{table: self.spark.createDataFrame(rows.get(table, []), schema) for table, schema in TABLES.items()})
 
-    def read(self, table: str) -> DataFrame:
-        versions = self._versions(table)
+    def _tables(self) -> dict[str, DataFrame]:
+        versions = self._versions()
         if not versions:
             raise StoreError(f"No graph at {self.path}: build it first")
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{versions[-1]}")
+        return {t: self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{folder}") for t, folder in self._folders(versions[-1]).items()}
+
+    def read(self, table: str) -> DataFrame:
+        return self._tables()[table]
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read("meta").collect()}
 
     def open(self) -> Graph:
-        """The graph, if its schema version is ours."""
-        version = self.meta().get("schema_version")
+        """The graph of the latest version, if its schema version is ours."""
+        tables = self._tables()
+        version = {r["key"]: r["value"] for r in tables["meta"].collect()}.get("schema_version")
         if version != SCHEMA_VERSION:
             raise StoreError(f"Graph at {self.path} has schema version {version}, not {SCHEMA_VERSION}: rebuild it")
-        return Graph(*[self.read(t) for t in ("nodes", "edges", "tags", "external_calls")])
+        return Graph(*[tables[t] for t in ("nodes", "edges", "tags", "external_calls")])
 
     def set_meta(self, key: str, value: str) -> None:
-        self._write("meta", upserted(self.read("meta"), self.spark.createDataFrame([(key, value)], META), KEYS["meta"]))
+        self._write(meta=upserted(self.read("meta"), self.spark.createDataFrame([(key, value)], META), KEYS["meta"]))
 
     def clear(self) -> None:
-        for table in ("external_calls", "tags", "edges", "nodes"):
-            self._write(table, self.spark.createDataFrame([], TABLES[table]))
+        self._write(**{t: self.spark.createDataFrame([], TABLES[t]) for t in ("nodes", "edges", "tags", "external_calls")})
 
     def insert_nodes(self, rows: DataFrame, order: str | None = None) -> None:
-        self._write("nodes", upserted(self.read("nodes"), rows, KEYS["nodes"], order))
+        self._write(nodes=upserted(self.read("nodes"), rows, KEYS["nodes"], order))
 
     def insert_edges(self, rows: DataFrame) -> None:
-        self._write("edges", inserted(self.read("edges"), rows, KEYS["edges"]))
+        self._write(edges=inserted(self.read("edges"), rows, KEYS["edges"]))
+
+    def _known(self, tags: DataFrame, nodes: DataFrame) -> None:
+        stray = tags.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("node_id").first()
+        if stray:
+            raise StoreError(f"Tag on a node that isn't in the graph: {stray['node_id']}")
 
     def insert_tags(self, rows: DataFrame) -> None:
         """Tags of unknown nodes are refused, all or nothing."""
-        nodes = self.read("nodes").select(F.col("id").alias("node_id"))
-        stray = rows.join(nodes, "node_id", "left_anti").select("node_id").limit(1).collect()
-        if stray:
-            raise StoreError(f"Tag on a node that isn't in the graph: {stray[0]['node_id']}")
-        self._write("tags", inserted(self.read("tags"), rows, KEYS["tags"]))
+        tables = self._tables()
+        self._known(rows, tables["nodes"])
+        self._write(tags=inserted(tables["tags"], rows, KEYS["tags"]))
 
     def insert_external_calls(self, rows: DataFrame) -> None:
-        self._write("external_calls", inserted(self.read("external_calls"), rows, KEYS["external_calls"]))
+        self._write(external_calls=inserted(self.read("external_calls"), rows, KEYS["external_calls"]))
 
     def delete_file_data(self, file: str) -> None:
         left = without_file(self.open(), file)
-        for table in ("tags", "edges", "external_calls", "nodes"):
-            self._write(table, getattr(left, table))
+        self._write(**{t: getattr(left, t) for t in ("nodes", "edges", "tags", "external_calls")})
 
     def synthesize_event_edges(self) -> None:
         graph = self.open()
-        self._write("edges", graph.edges.filter("kind <> 'event'").unionByName(event_pairs(graph.tags)).distinct())
-
-    def replace(self, graph: Graph) -> None:
-        """All tables at once, with keys made unique."""
-        for table in ("nodes", "edges", "tags", "external_calls"):
-            self._write(table, getattr(graph, table).dropDuplicates(KEYS[table]))
+        self._write(edges=graph.edges.filter("kind <> 'event'").unionByName(event_pairs(graph.tags)).distinct())
+
+    def replace(self, graph: Graph, **meta: str) -> None:
+        """All tables in one version, with keys made unique (of nodes the row that stands last stays), and entries of meta.
+
+        Tags of unknown nodes are refused.
+        """
+        self._known(graph.tags, graph.nodes)
+        none = self.spark.createDataFrame([], TABLES["nodes"])
+        tables = {t: getattr(graph, t).dropDuplicates(KEYS[t]) for t in ("edges", "tags", "external_calls")}
+        if meta:
+            tables["meta"] = upserted(self.read("meta"), self.spark.createDataFrame(list(meta.items()), META), KEYS["meta"])
+        self._write(nodes=upserted(none, graph.nodes, KEYS["nodes"]), **tables)

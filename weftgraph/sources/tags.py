@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import trimmed
 from ..schema import TAG_KINDS
@@ -53,10 +54,15 @@ def tag_values(lines: DataFrame) -> DataFrame:
 def bind_forward(lines: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """lines (keys, tag_line) with node_id: the first candidate (keys, node_id, line_start, ord) at or below the line.
 
-    A forward as-of join; lines with nothing below are left out.
+    A forward as-of join: lines and candidates of a file are gone through once, from below,
+    with the last candidate in hand. Lines with nothing below are left out.
     """
-    met = lines.select(*keys, "tag_line").distinct().join(candidates, list(keys)).filter(F.col("line_start") >= F.col("tag_line"))
-    return met.groupBy(*keys, "tag_line").agg(F.min_by("node_id", F.struct("line_start", "ord", "node_id")).alias("node_id"))
+    none = F.lit(None)
+    asked = lines.select(*keys, F.col("tag_line").alias("line"), F.lit(True).alias("asks"), none.cast("long").alias("ord"), none.alias("node_id")).distinct()
+    known = candidates.select(*keys, F.col("line_start").alias("line"), F.lit(False).alias("asks"), F.col("ord").cast("long").alias("ord"), "node_id")
+    upwards = Window.partitionBy(*keys).orderBy(F.desc("line"), "asks", F.desc("ord"), F.desc("node_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = known.unionByName(asked).withColumn("met", F.last("node_id", ignorenulls=True).over(upwards))
+    return met.filter("asks AND met IS NOT NULL").select(*keys, F.col("line").alias("tag_line"), F.col("met").alias("node_id"))
 
 
 def scan(sources: DataFrame, nodes: DataFrame, marker: str = MARKER) -> DataFrame:
