@@ -1,18 +1,18 @@
 """Scores of texts by a log-bilinear neural language model, trained in numpy by noise-contrastive estimation.
 
-The model predicts a token's class from the classes of the two tokens before it: each
-context word's vector goes through its position's matrix, their sum is compared with
-every class's vector. The most frequent words and the text's end are classes of their
-own; other words share a class with words of the same last two bytes, and have there the
-smoothed share of their count. So every token has a normalised probability, known or not.
-
-From the corpus, all of it, come the count of every word and of every class trigram; the
-latter are what the model is trained on. The number of classes grows with the cube root of
-the corpus, so that the trigrams that can be told apart grow with it in proportion. They are
-dealt to shards by their first two classes; in each round every shard goes from the same
-model over all its trigrams, each with its whole count, and the shards' models are averaged.
-A context's log-probabilities are a sum over its two tokens less a normaliser, so three
-tables of class pairs give them all.
+The model predicts a token from the two tokens before it: each context word's vector goes
+through its position's matrix, their sum is compared with the vector of every class. The
+most frequent words, thousands of them, and the text's end are classes of their own; other
+words share a class with words of the same last two bytes, and have there the smoothed
+share of their count. So every token has a normalised probability, known or not.
+
+From the corpus, all of it, come the count of every word and of every trigram of classes.
+Tasks count trigrams as they read, in lots that are shuffled and written where they were
+counted; a trigram with a great count becomes several rows, so that steps weigh alike. In
+each round every shard goes from the same model over its rows, and the shards' models are
+averaged. A step tells its tokens from noise drawn from the classes' shares, the same draws
+for all of them, so that it is a few matrix products. A context's normaliser depends on two
+classes only, so one table of class pairs, itself a matrix product, has them all.
 
 A bounded dictionary of the most frequent words goes to every task. Rarer words meet
 their counts in a join.
@@ -34,17 +34,23 @@ from pyspark.sql import functions as F
 from .common import give_back, hash_bucket, saved
 
 #: Classes: own words, endings, one for other endings, one for the text's end. At least so many; class_counts has them for a corpus.
-OWN_WORDS, ENDINGS = 64, 62
+OWN_WORDS, ENDINGS = 2048, 254
 CLASSES = OWN_WORDS + ENDINGS + 2
+#: At most so many: the table of their pairs goes to every task, with four bytes a pair.
+MAX_CLASSES = 8192
 #: Words whose counts go to every task.
 DICTIONARY = 200_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 150_000
-SIZE, STEPS, NOISE, RATE, SEED = 24, 800, 8, 0.05, 7
-#: Contexts in a step; rounds after which shards are averaged; training tokens a shard, up to SHARDS of them.
-PAIRS, ROUNDS, SHARD_TOKENS, SHARDS = 1024, 8, 20_000_000, 64
-#: Trigrams that a task gathers before it counts them, and distinct ones before it passes their counts on.
-GATHERED, HELD_TRIGRAMS = 1_000_000, 2_000_000
+#: Numbers in a vector, noise draws of a step, its rows, and the rate of change.
+SIZE, NOISE, BATCH, RATE, SEED = 24, 128, 1024, 0.2, 7
+#: Rounds, each over the rows with these slots of SLOTS: two passes over everything, the first one in growing parts. A small corpus goes round as often as makes STEPS.
+SLOTS, ROUNDS, STEPS = 16, ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (0, 16)), 1600
+#: Training tokens of a shard, up to SHARDS of them; tokens of a lot; the count beyond which a trigram becomes several rows.
+SHARD_TOKENS, SHARDS, LOT, HEAVY = 20_000_000, 64, 1_000_000, 8
+
+#: Tokens scored at once.
+SLICE = 1 << 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The end's entry among the words, which hold no white space.
@@ -60,8 +66,8 @@ def ending(word: bytes) -> int:
 
 
 def class_counts(tokens: int) -> tuple[int, int]:
-    """Own words and endings for so many training tokens: there are about as many possible class trigrams as tokens."""
-    scale = max(1.0, (tokens / CLASSES**3) ** (1 / 3))
+    """Own words and endings for so many training tokens: from some on there are about as many possible class trigrams as tokens."""
+    scale = min(max(1.0, (tokens / CLASSES**3) ** (1 / 3)), MAX_CLASSES / CLASSES)
     return int(OWN_WORDS * scale), int(ENDINGS * scale)
 
 
@@ -121,37 +127,8 @@ def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, ROWS, x.shape[1]).transpose(0, 2, 1) @ y.reshape(-1, ROWS, y.shape[1])).sum(axis=0)
 
 
-def _passes(pair: np.ndarray, target: np.ndarray, counts: np.ndarray, classes: int, steps: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Steps of whole passes over all counts, at least so many: the pairs of a step, and their counts of every class.
-
-    A pair with more than the mean count has it spread evenly over several of a pass's steps,
-    so that steps weigh alike. Steps are filled up to a multiple of ROWS by rows of no counts.
-    """
-    keys, where = np.unique(pair * classes + target, return_inverse=True)
-    n = np.bincount(where, counts)
-    target = keys % classes
-    pairs, starts, lengths = np.unique(keys // classes, return_index=True, return_counts=True)
-    weight = np.add.reduceat(n, starts)
-    a_pass = -(-2 * len(pairs) // PAIRS)
-    parts = np.minimum(np.ceil(weight / weight.mean()), a_pass).astype(np.int64)
-    which = np.repeat(np.arange(len(pairs)), parts)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    for _ in range(-(-steps // a_pass)):
-        slot = (rng.integers(0, a_pass, len(pairs))[which] + nth * a_pass // parts[which]) % a_pass
-        order = np.argsort(slot, kind="stable")
-        bounds = np.searchsorted(slot[order], np.arange(a_pass + 1))
-        for i in range(a_pass):
-            at = which[order[bounds[i] : bounds[i + 1]]]
-            size = lengths[at]
-            entry = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
-            seen = np.zeros((-(-len(at) // ROWS) * ROWS, classes), dtype=np.float32)
-            seen[np.repeat(np.arange(len(at)), size), target[entry]] = n[entry] / np.repeat(parts[at], size)
-            if len(at):
-                yield np.append(pairs[at], np.zeros(len(seen) - len(at), dtype=np.int64)), seen
-
-
 class LogBilinear:
-    """Vectors and matrices; trained on trigram counts."""
+    """Vectors and matrices, and the squares of their gradients so far."""
 
     def __init__(self, classes: int = CLASSES, size: int = SIZE, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -159,19 +136,18 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
         self.turn = [np.eye(size, dtype=np.float32) / 2 for _ in range(2)]  # of the token before, and of the one before that
         self.bias = np.zeros(classes, dtype=np.float32)
-        self.first, self.second = [[np.zeros_like(p) for p in self._params()] for _ in range(2)]
-        self.met = np.zeros(2, dtype=np.float32)  # share of the gradients' first and second moments that isn't their start
+        self.squares = [np.zeros_like(p) for p in self._params()]
 
     def _params(self) -> list[np.ndarray]:
         return [self.context, self.target, *self.turn, self.bias]
 
     def state(self) -> np.ndarray:
         """All that training goes on from, in one vector."""
-        return np.concatenate([x.ravel() for x in (*self._params(), *self.first, *self.second, self.met)])
+        return np.concatenate([x.ravel() for x in (*self._params(), *self.squares)])
 
     def go_on_from(self, state: np.ndarray) -> None:
         at = 0
-        for x in (*self._params(), *self.first, *self.second, self.met):
+        for x in (*self._params(), *self.squares):
             x.ravel()[:] = state[at : at + x.size]
             at += x.size
 
@@ -179,57 +155,74 @@ class LogBilinear:
         """Trains on these trigrams alone, from the shares of their classes."""
         if not len(counts):
             return
-        unigram = np.bincount(target, counts, len(self.bias)) + 0.5
-        noise = unigram / unigram.sum()
+        classes, rng = len(self.bias), np.random.default_rng(seed)
+        noise = np.bincount(target, counts, classes) + 0.5
+        noise = noise / noise.sum()
         self.bias[:] = np.log(noise)
-        self.improve(near * len(noise) + far, target, counts, noise, steps, seed)
-
-    def improve(self, pair: np.ndarray, target: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, seed: int, begin: float = 0.0, end: float = 1.0) -> None:
-        """Noise-contrastive estimation: tell a trigram's last token from NOISE draws of the classes' shares.
-
-        Goes over all trigrams, in so many steps at least; begin and end say which part of
-        the training this is. The expectations over data and noise are taken exactly.
+        keys, weights = spread((near * classes + far) * classes + target, counts, rng)
+        done = 0
+        while done < steps:
+            for first in range(0, len(keys), BATCH):
+                self.step(keys[first : first + BATCH], weights[first : first + BATCH], noise, rng, done / steps)
+                done += 1
+
+    def step(self, keys: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng, at: float) -> None:
+        """One step of noise-contrastive estimation: tell each trigram's last token from NOISE draws of `noise`.
+
+        keys: (near * classes + far) * classes + target; weights: their counts; at: how much
+        of the training is done, from 0 to 1.
         """
         classes, size = self.context.shape
-        weights = (NOISE * noise).astype(np.float32)
-        shift = np.log(weights)
-        across = np.arange(size)
-        params = self._params()
-        a_pass = -(-2 * len(np.unique(pair)) // PAIRS)
-        steps = -(-steps // a_pass) * a_pass
-        for step, (both, seen) in enumerate(_passes(pair, target, counts, classes, steps, np.random.default_rng(seed)), 1):
-            a, b = both // classes, both % classes
-            ca, cb = self.context[a], self.context[b]
-            h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
-            z = _times(h, self.target.T) + (self.bias - shift)
-            n = seen.sum(axis=1, keepdims=True)
-            slope = (seen - (seen + n * weights) / (1 + np.exp(-z))) / n.sum()  # of the expected log-likelihood by z
-            dh = _times(slope, self.target)
-            d_context = np.zeros(classes * size)
-            for c, turn in ((a, self.turn[0]), (b, self.turn[1])):
-                d_context += np.bincount((c[:, None] * size + across).ravel(), _times(dh, turn.T).ravel(), classes * size)
-            grads = [d_context.reshape(classes, size), _summed(slope, h), _summed(ca, dh), _summed(cb, dh), slope.sum(axis=0)]
-            rate = RATE * min(1.0, 2 * (1 - begin - (end - begin) * step / (steps + 1)))
-            self.met += (1 - self.met) * np.array([0.1, 0.01], dtype=np.float32)
-            for p, g, m, v in zip(params, grads, self.first, self.second, strict=True):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.99
-                v += 0.01 * g * g
-                p += np.float32(rate) * (m / self.met[0]) / (np.sqrt(v / self.met[1]) + 1e-8)
-
-    def pair_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 parts by (near, class) and (far, class), and the normaliser to take from their sum by (near, far)."""
-        context, target = self.context.astype(float), self.target.astype(float)
-        near, far = context @ self.turn[0] @ target.T, context @ self.turn[1] @ target.T + self.bias
-        tops = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-        norm = np.log(np.exp(near - tops[0]) @ np.exp(far - tops[1]).T) + tops[0] + tops[1].T
-        return tuple((x / math.log(10)).astype(np.float32) for x in (near, far, norm))
+        lacking = -len(keys) % ROWS
+        if lacking:  # rows that count for nothing
+            keys, weights = np.append(keys, np.zeros(lacking, dtype=np.int64)), np.append(weights, np.zeros(lacking))
+        target, both = keys % classes, keys // classes
+        near, far = both // classes, both % classes
+        drawn = np.minimum(np.searchsorted(np.cumsum(noise), rng.random(NOISE)), classes - 1)
+        shift = np.log(NOISE * noise).astype(np.float32)
+        ca, cb, own, other = self.context[near], self.context[far], self.target[target], self.target[drawn]
+        h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
+        share = (weights / weights.sum()).astype(np.float32)
+        to_own = share / (1 + np.exp((h * own).sum(axis=1) + self.bias[target] - shift[target]))
+        to_other = -share[:, None] / (1 + np.exp(-(_times(h, other.T) + (self.bias[drawn] - shift[drawn]))))
+        dh = to_own[:, None] * own + _times(to_other, other)
+        grads = [
+            _scattered(np.concatenate([near, far]), np.concatenate([_times(dh, self.turn[0].T), _times(dh, self.turn[1].T)]), classes),
+            _scattered(np.concatenate([target, drawn]), np.concatenate([to_own[:, None] * h, _summed(to_other, h)]), classes),
+            _summed(ca, dh),
+            _summed(cb, dh),
+            np.bincount(np.concatenate([target, drawn]), np.concatenate([to_own, to_other.sum(axis=0)]), classes).astype(np.float32),
+        ]
+        rate = np.float32(RATE * min(1.0, 2 * (1 - at)))
+        for p, g, v in zip(self._params(), grads, self.squares, strict=True):
+            v += g * g
+            p += rate * g / (np.sqrt(v) + 1e-8)
+
+    def pair_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Context vectors turned for the nearer and the farther place, and log normalisers by (near, far)."""
+        near, far = self.context @ self.turn[0], self.context @ self.turn[1]
+        a, b = near @ self.target.T, far @ self.target.T + self.bias
+        tops = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
+        norm = np.log(np.exp(a - tops[0]) @ np.exp(b - tops[1]).T) + tops[0] + tops[1].T
+        return near, far, norm.astype(np.float32)
 
     def table(self) -> np.ndarray:
         """log10 probability of each class after each pair (near, far), normalised; for few classes."""
-        near, far, norm = self.pair_tables()
-        return near[:, None, :] + far[None, :, :] - norm[:, :, None]
+        near, far, norm = self.pair_vectors()
+        return ((near @ self.target.T)[:, None, :] + (far @ self.target.T + self.bias)[None, :, :] - norm[:, :, None]) / math.log(10)
+
+
+def _scattered(which: np.ndarray, rows: np.ndarray, classes: int) -> np.ndarray:
+    """The sum of the rows of each class."""
+    size = rows.shape[1]
+    return np.bincount((which[:, None] * size + np.arange(size)).ravel(), rows.ravel(), classes * size).reshape(classes, size).astype(np.float32)
+
+
+def spread(keys: np.ndarray, counts: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in random order with their counts; a count over HEAVY is dealt to several rows."""
+    parts = -(-counts // HEAVY).astype(np.int64)
+    order = rng.permutation(int(parts.sum()))
+    return np.repeat(keys, parts)[order], np.repeat(counts / np.maximum(parts, 1), parts)[order]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -289,47 +282,44 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary({**frequent, END: end_count}, own, of_ending, int(total), int(distinct), class_total, class_distinct, own_words)
 
 
-def trigram_counts(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pair (near * classes + far), target, n: class trigrams of all rows, ends in front and behind; by pair in the shards' partitions."""
-    n_classes, shards = words.classes, min(SHARDS, max(1, -(-words.total // SHARD_TOKENS)))
+def trigram_rows(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, weight, slot: class trigrams of all rows with their counts, ends in front and behind.
+
+    Each task counts lots of LOT tokens and passes them on in random order; a trigram of
+    several lots, or with a count over HEAVY, has several rows, whose weights sum up to it.
+    """
+    n_classes = words.classes
     shared = docs.sparkSession.sparkContext.broadcast((words.own, words.of_ending))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(*shared.value, n_classes)
-        keys, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        rng = np.random.default_rng([SEED, TaskContext.get().partitionId() if TaskContext.get() else 0])
         gathered: list[np.ndarray] = []
         size = 0
 
-        def count() -> None:
-            nonlocal keys, n, size
-            more, times = np.unique(np.concatenate(gathered), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n, times])).astype(np.int64)
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys, weights = spread(*np.unique(np.concatenate(gathered), return_counts=True), rng)
+            slots = rng.integers(0, SLOTS, len(keys), dtype=np.int8)
             gathered.clear()
-            size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
             for i in range(0, len(keys), 100_000):
-                k = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k // n_classes), pa.array(k % n_classes), pa.array(n[i : i + 100_000])], ["pair", "target", "n"])
+                columns = [keys[i : i + 100_000], weights[i : i + 100_000].astype(np.float32), slots[i : i + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "weight", "slot"])
 
         for batch in batches:
             for text in batch.column(1):
                 c = classes.of(tokens(text.as_py()))
-                gathered.append((c[1:-1] * n_classes + c[:-2]) * n_classes + c[2:])
-                size += len(c) - 2
-                if size >= GATHERED:
-                    count()
-                    if len(keys) >= HELD_TRIGRAMS:
-                        yield from out()
-                        keys, n = keys[:0], n[:0]
+                for first in range(0, len(c) - 2, LOT):  # a long text in parts
+                    part = c[first : first + LOT + 2]
+                    gathered.append((part[1:-1] * n_classes + part[:-2]) * n_classes + part[2:])
+                    size += len(part) - 2
+                    if size >= LOT:
+                        yield from counted()
+                        size = 0
         if gathered:
-            count()
-        yield from out()
+            yield from counted()
         give_back()
 
-    found = _rows(docs, id_col, text_col).mapInArrow(run, "pair long, target long, n long")
-    return found.repartition(shards, "pair").groupBy("pair", "target").agg(F.sum("n").alias("n"))
+    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, weight float, slot byte")
 
 
 class _Classes:
@@ -348,45 +338,72 @@ class _Classes:
 
 
 def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> LogBilinear:
-    """Rounds over all trigrams: every shard goes on from the same model, and their models are averaged by their counts."""
+    """ROUNDS over the trigrams: every shard goes on from the same model, and their models are averaged by their counts."""
     sc = docs.sparkSession.sparkContext
-    table = saved(trigram_counts(docs, words, id_col, text_col).withColumn("shard", F.spark_partition_id()), "trigrams")
-    classes, noise, steps = words.classes, words.class_shares(), -(-STEPS // ROUNDS)
+    table = saved(trigram_rows(docs, words, id_col, text_col), "trigrams")
+    rows = table.count()
+    classes, noise = words.classes, words.class_shares()
     model = LogBilinear(classes)
     model.bias[:] = np.log(noise)
-    for turn in range(ROUNDS):
+    if not rows:
+        return model
+    shards = min(SHARDS, max(1, -(-words.total // SHARD_TOKENS)))
+    slots = sum(last - first for first, last in ROUNDS)
+    # a corpus of fewer rows goes round several times; it is held for that, and has fewer rows than STEPS takes
+    times = max(1, round(STEPS * BATCH * SLOTS / (slots * rows)))
+    at = 0.0
+    for turn, (first, last) in enumerate(ROUNDS):
         shared = sc.broadcast(model.state())
-
-        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            rows = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
-            held = np.concatenate(rows, axis=1) if rows else np.empty((4, 0), dtype=np.int64)
-            rows.clear()
-            for shard in np.unique(held[3]).tolist():
-                pair, target, n, _ = held[:, held[3] == shard]
-                own = LogBilinear(classes)
-                own.go_on_from(shared.value)
-                own.improve(pair, target, n, noise, steps, SEED + turn, turn / ROUNDS, (turn + 1) / ROUNDS)
-                values = [[shard], [int(pair.min())], [float(n.sum())], [own.state().tobytes()]]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["shard", "least", "weight", "state"])
+        begin, at = at, at + (last - first) / slots
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared, begin=begin, end=at, part=(last - first) / SLOTS) -> Iterator[pa.RecordBatch]:
+            shard = TaskContext.get().partitionId() if TaskContext.get() else 0
+            rng = np.random.default_rng([SEED, turn, shard])
+            own = LogBilinear(classes)
+            own.go_on_from(shared.value)
+            expected, seen, weight = max(1.0, times * rows * part / shards), 0, 0.0
+
+            def steps(keys: np.ndarray, weights: np.ndarray, last: bool) -> int:
+                """How many rows were gone over: whole steps, but for the last."""
+                nonlocal seen, weight
+                n = len(keys) if last else len(keys) - len(keys) % BATCH
+                for i in range(0, n, BATCH):
+                    own.step(keys[i : min(n, i + BATCH)], weights[i : min(n, i + BATCH)], noise, rng, begin + (end - begin) * min(1.0, seen / expected))
+                    seen += min(BATCH, n - i)
+                weight += float(weights[:n].sum())
+                return n
+
+            keys, weights = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32)
+            for batch in batches:
+                keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
+                weights = np.concatenate([weights, batch.column(1).to_numpy(zero_copy_only=False)])
+                if times == 1:
+                    n = steps(keys, weights, False)
+                    keys, weights = keys[n:], weights[n:]
+            for _ in range(times if len(keys) else 0):
+                order = rng.permutation(len(keys))
+                steps(keys[order], weights[order], True)
+            if seen:
+                values, kinds = [[shard], [weight], [own.state().tobytes()]], [pa.int64(), pa.float64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["shard", "weight", "state"])
             give_back()
 
-        done = table.select("pair", "target", "n", F.col("shard").cast("long")).mapInArrow(run, "shard long, least long, weight double, state binary").toArrow()
+        mine = table.filter(F.col("slot").between(first, last - 1)).select("key", "weight").coalesce(shards)
+        done = mine.mapInArrow(run, "shard long, weight double, state binary").toArrow().sort_by("shard")
         shared.destroy()
-        if not done.num_rows:
-            break
-        done = done.sort_by([("shard", "ascending"), ("least", "ascending")])
-        mean, whole = np.zeros(len(model.state())), sum(done.column("weight").to_pylist())
-        for weight, state in zip(done.column("weight"), done.column("state"), strict=True):
-            mean += np.frombuffer(state.as_buffer(), dtype=np.float32) * (weight.as_py() / whole)
-        model.go_on_from(mean)
+        if done.num_rows:
+            mean, whole = np.zeros(len(model.state())), sum(done.column("weight").to_pylist())
+            for weight, state in zip(done.column("weight"), done.column("state"), strict=True):
+                mean += np.frombuffer(state.as_buffer(), dtype=np.float32) * (weight.as_py() / whole)
+            model.go_on_from(mean)
     return model
 
 
 def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row.
 
-    Null and empty texts have one token, the end. Repeated rows are scored each; if nothing
+    Null and empty texts have one token, the end. Repeated rows are scored each; long texts
+    are read whole; words of equal count have a fixed order, that of their bytes; if nothing
     was learned, all tokens are unknown. An empty table gives no rows; other columns are
     ignored.
     """
@@ -404,7 +421,8 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
         "of_ending": words.of_ending,
         "lacking": -np.log10(words.class_total + 0.5 * (words.class_distinct + 1)),
         "lacking_base": -math.log10(words.total + 0.5 * (words.distinct + 1)),
-        "tables": model.pair_tables(),
+        "target": np.column_stack([model.target, model.bias]),
+        "pairs": model.pair_vectors(),
     }
     shared = docs.sparkSession.sparkContext.broadcast(lookup)
     schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
@@ -412,7 +430,8 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         get = {w: i for i, w in enumerate(own["words"].split(b" "))}.get
-        end, of_ending, (by_near, by_far, norm) = get(END), own["of_ending"].tolist(), own["tables"]
+        end, of_ending, (by_near, by_far, norm) = get(END), own["of_ending"].tolist(), own["pairs"]
+        vectors = own["target"]
         end_class = len(norm) - 1
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         at = 0
@@ -428,7 +447,11 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
                     c[2:] = own["of_class"][ids]
                     c[2:][rare] = [of_ending[ending(ws[i])] for i in rare]
                     near, far, target = c[1:-1], c[:-2], c[2:]
-                    after = (by_near[near, target] + by_far[far, target] - norm[near, far]).sum(dtype=np.float64)
+                    after = 0.0
+                    for i in range(0, len(target), SLICE):
+                        a, b, t = near[i : i + SLICE], far[i : i + SLICE], vectors[target[i : i + SLICE]]
+                        met = np.einsum("ij,ij->i", by_near[a] + by_far[b], t[:, :-1]) + t[:, -1] - norm[a, b]
+                        after += float(met.sum(dtype=np.float64)) / math.log(10)
                     base = float(own["base"][ids].sum()) + len(rare) * own["lacking_base"]
                     score = float(after) + float(own["inside"][ids].sum()) + float(own["lacking"][c[2:][rare]].sum())
                     out.append((task + at, doc, len(ids), int(own["known"][ids].sum()), base, score, [ws[i] for i in rare]))
