@@ -126,11 +126,14 @@ def test_rows_have_all_trigrams_with_their_counts(spark, docs_of, monkeypatch):
     words = lm.vocabulary(lm.word_counts(training))
     found, slots = Counter(), set()
     for r in lm.trigram_rows(training, words).collect():
-        assert r.weight <= lm.HEAVY
-        found[r.key] += r.weight
+        near, far, target = (np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in (r.near, r.far, r.target))
+        weight = np.frombuffer(r.weight, dtype=np.uint8)
+        assert len(near) == len(far) == len(target) == len(weight) == r.n and (weight <= lm.HEAVY).all()
+        for k, n in zip(((near * words.classes + far) * words.classes + target).tolist(), weight.tolist(), strict=True):
+            found[k] += n
         slots.add(r.slot)
     expected = trigrams(rows, words)
-    assert set(found) == set(expected) and all(abs(found[k] - n) < 1e-3 * n for k, n in expected.items())
+    assert found == expected
     assert slots == set(range(lm.SLOTS))
     seen = [k for first, last in lm.ROUNDS for k in range(first, last)]
     assert Counter(seen) == {k: 2 for k in range(lm.SLOTS)}  # two passes

@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ SIZE, NOISE, BATCH, RATE, SEED = 24, 128, 1024, 0.2, 7
 #: Rounds, each over the rows with these slots of SLOTS: two passes over everything, the first one in growing parts. A small corpus goes round as often as makes STEPS.
 SLOTS, ROUNDS, STEPS = 16, ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (0, 16)), 1600
 #: Training tokens of a shard, up to SHARDS of them; tokens of a lot; the count beyond which a trigram becomes several rows.
-SHARD_TOKENS, SHARDS, LOT, HEAVY = 20_000_000, 64, 1_000_000, 8
+SHARD_TOKENS, SHARDS, LOT, HEAVY = 8_000_000, 64, 2_000_000, 8
 
 #: Tokens scored at once.
 SLICE = 1 << 16
@@ -160,43 +161,51 @@ class LogBilinear:
         noise = noise / noise.sum()
         self.bias[:] = np.log(noise)
         keys, weights = spread((near * classes + far) * classes + target, counts, rng)
-        done = 0
+        rows, source, done = _parted(keys, classes), Noise(noise), 0
         while done < steps:
             for first in range(0, len(keys), BATCH):
-                self.step(keys[first : first + BATCH], weights[first : first + BATCH], noise, rng, done / steps)
+                self.step(*[x[first : first + BATCH] for x in (*rows, weights)], source, rng, done / steps)
                 done += 1
 
-    def step(self, keys: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng, at: float) -> None:
-        """One step of noise-contrastive estimation: tell each trigram's last token from NOISE draws of `noise`.
+    def step(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, weights: np.ndarray, noise: Noise, rng, at: float) -> None:
+        """One step of noise-contrastive estimation: tell the trigrams' last tokens, with their counts, from NOISE draws of `noise`.
 
-        keys: (near * classes + far) * classes + target; weights: their counts; at: how much
-        of the training is done, from 0 to 1.
+        at: how much of the training is done, from 0 to 1.
         """
-        classes, size = self.context.shape
-        lacking = -len(keys) % ROWS
+        lacking = -len(near) % ROWS
         if lacking:  # rows that count for nothing
-            keys, weights = np.append(keys, np.zeros(lacking, dtype=np.int64)), np.append(weights, np.zeros(lacking))
-        target, both = keys % classes, keys // classes
-        near, far = both // classes, both % classes
-        drawn = np.minimum(np.searchsorted(np.cumsum(noise), rng.random(NOISE)), classes - 1)
-        shift = np.log(NOISE * noise).astype(np.float32)
-        ca, cb, own, other = self.context[near], self.context[far], self.target[target], self.target[drawn]
+            near, far, target, weights = (np.append(x, np.zeros(lacking, dtype=x.dtype)) for x in (near, far, target, weights))
+        drawn = noise.draw(rng)
+        ca, cb, own, other = self.context.take(near, 0), self.context.take(far, 0), self.target.take(target, 0), self.target[drawn]
         h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
         share = (weights / weights.sum()).astype(np.float32)
-        to_own = share / (1 + np.exp((h * own).sum(axis=1) + self.bias[target] - shift[target]))
-        to_other = -share[:, None] / (1 + np.exp(-(_times(h, other.T) + (self.bias[drawn] - shift[drawn]))))
+        to_own = share / (1 + np.exp(np.einsum("ij,ij->i", h, own) + self.bias[target] - noise.shift[target]))
+        z = _times(h, np.ascontiguousarray(-other.T))
+        z -= self.bias[drawn] - noise.shift[drawn]
+        np.exp(z, out=z)
+        z += 1
+        to_other = np.divide(-share[:, None], z, out=z)
         dh = to_own[:, None] * own + _times(to_other, other)
-        grads = [
-            _scattered(np.concatenate([near, far]), np.concatenate([_times(dh, self.turn[0].T), _times(dh, self.turn[1].T)]), classes),
-            _scattered(np.concatenate([target, drawn]), np.concatenate([to_own[:, None] * h, _summed(to_other, h)]), classes),
-            _summed(ca, dh),
-            _summed(cb, dh),
-            np.bincount(np.concatenate([target, drawn]), np.concatenate([to_own, to_other.sum(axis=0)]), classes).astype(np.float32),
-        ]
         rate = np.float32(RATE * min(1.0, 2 * (1 - at)))
-        for p, g, v in zip(self._params(), grads, self.squares, strict=True):
-            v += g * g
-            p += rate * g / (np.sqrt(v) + 1e-8)
+        turned = [_summed(ca, dh), _summed(cb, dh)]
+        self._change(0, *_gathered(np.concatenate([near, far]), np.concatenate([_times(dh, self.turn[0].T), _times(dh, self.turn[1].T)])), rate)
+        size, rows = h.shape[1], np.zeros((len(h) + len(drawn), h.shape[1] + 2), dtype=np.float32)  # vectors, biases, and a column to make them even
+        np.multiply(to_own[:, None], h, out=rows[: len(h), :size])
+        rows[len(h) :, :size] = _summed(to_other, h)
+        rows[: len(h), size], rows[len(h) :, size] = to_own, to_other.sum(axis=0)
+        which, grads = _gathered(np.concatenate([target, drawn]), rows)
+        self._change(1, which, grads[:, :size], rate)
+        self._change(4, which, grads[:, size], rate)
+        for k, grad in enumerate(turned):
+            self._change(2 + k, slice(None), grad, rate)
+
+    def _change(self, k: int, which, grad: np.ndarray, rate: np.float32) -> None:
+        """Moves these rows of a parameter, each number by its gradient over the root of its squares so far; a row without a gradient wouldn't move."""
+        squares = self.squares[k][which] + grad * grad
+        self.squares[k][which] = squares
+        np.sqrt(squares, out=squares)
+        squares += np.float32(1e-8)
+        self._params()[k][which] += np.divide(rate * grad, squares, out=squares)
 
     def pair_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Context vectors turned for the nearer and the farther place, and log normalisers by (near, far)."""
@@ -212,17 +221,38 @@ class LogBilinear:
         return ((near @ self.target.T)[:, None, :] + (far @ self.target.T + self.bias)[None, :, :] - norm[:, :, None]) / math.log(10)
 
 
-def _scattered(which: np.ndarray, rows: np.ndarray, classes: int) -> np.ndarray:
-    """The sum of the rows of each class."""
-    size = rows.shape[1]
-    return np.bincount((which[:, None] * size + np.arange(size)).ravel(), rows.ravel(), classes * size).reshape(classes, size).astype(np.float32)
+class Noise:
+    """A distribution of classes, to draw from."""
+
+    def __init__(self, shares: np.ndarray):
+        self.until, self.shift = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32)
+
+    def draw(self, rng) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.until, rng.random(NOISE)), len(self.until) - 1)
+
+
+def _gathered(which: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct classes, and the sum of the rows of each; rows of an even length are summed two numbers at a time."""
+    order = np.argsort(which, kind="stable")
+    ordered = which[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    rows = rows.take(order, 0)
+    return ordered[starts], np.add.reduceat(rows.view(np.complex64) if rows.shape[1] % 2 == 0 else rows, starts, axis=0).view(np.float32)
+
+
+def _parted(keys: np.ndarray, classes: int) -> list[np.ndarray]:
+    """near, far and target of keys, as the small integers that MAX_CLASSES allows."""
+    pair = keys // classes
+    return [(pair // classes).astype(np.int16), (pair % classes).astype(np.int16), (keys % classes).astype(np.int16)]
 
 
 def spread(keys: np.ndarray, counts: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in random order with their counts; a count over HEAVY is dealt to several rows."""
+    """Keys in random order with their counts; of a count over HEAVY every HEAVY is a row of its own, and so is the rest."""
     parts = -(-counts // HEAVY).astype(np.int64)
     order = rng.permutation(int(parts.sum()))
-    return np.repeat(keys, parts)[order], np.repeat(counts / np.maximum(parts, 1), parts)[order]
+    weights = np.full(len(order), HEAVY, dtype=np.uint8)
+    weights[np.cumsum(parts) - 1] = counts - (parts - 1) * HEAVY
+    return np.repeat(keys, parts)[order], weights[order]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -283,10 +313,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def trigram_rows(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, weight, slot: class trigrams of all rows with their counts, ends in front and behind.
+    """slot, n, near, far, target, weight: class trigrams of all rows with their counts, ends in front and behind.
 
-    Each task counts lots of LOT tokens and passes them on in random order; a trigram of
-    several lots, or with a count over HEAVY, has several rows, whose weights sum up to it.
+    Each task counts lots of LOT tokens and deals each lot, in random order, to SLOTS rows of
+    packed numbers: n trigrams each, of classes in two bytes and a weight in one. A trigram
+    of several lots, or with a count over HEAVY, stands there several times, with weights
+    that sum up to its count.
     """
     n_classes = words.classes
     shared = docs.sparkSession.sparkContext.broadcast((words.own, words.of_ending))
@@ -297,13 +329,15 @@ def trigram_rows(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", tex
         gathered: list[np.ndarray] = []
         size = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
             keys, weights = spread(*np.unique(np.concatenate(gathered), return_counts=True), rng)
-            slots = rng.integers(0, SLOTS, len(keys), dtype=np.int8)
             gathered.clear()
-            for i in range(0, len(keys), 100_000):
-                columns = [keys[i : i + 100_000], weights[i : i + 100_000].astype(np.float32), slots[i : i + 100_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "weight", "slot"])
+            ends = np.linspace(0, len(keys), SLOTS + 1).astype(int)
+            columns = [*_parted(keys, n_classes), weights]
+            packed = [pa.array([c[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()) for c in columns]
+            first = rng.integers(SLOTS)  # small lots fill some slots only
+            slots = pa.array((np.arange(SLOTS) + first) % SLOTS, pa.int32())
+            return pa.RecordBatch.from_arrays([slots, pa.array(np.diff(ends), pa.int64()), *packed], ["slot", "n", "near", "far", "target", "weight"])
 
         for batch in batches:
             for text in batch.column(1):
@@ -313,13 +347,13 @@ def trigram_rows(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", tex
                     gathered.append((part[1:-1] * n_classes + part[:-2]) * n_classes + part[2:])
                     size += len(part) - 2
                     if size >= LOT:
-                        yield from counted()
+                        yield counted()
                         size = 0
         if gathered:
-            yield from counted()
+            yield counted()
         give_back()
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, weight float, slot byte")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "slot int, n long, near binary, far binary, target binary, weight binary")
 
 
 class _Classes:
@@ -341,7 +375,7 @@ def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
     """ROUNDS over the trigrams: every shard goes on from the same model, and their models are averaged by their counts."""
     sc = docs.sparkSession.sparkContext
     table = saved(trigram_rows(docs, words, id_col, text_col), "trigrams")
-    rows = table.count()
+    rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     classes, noise = words.classes, words.class_shares()
     model = LogBilinear(classes)
     model.bias[:] = np.log(noise)
@@ -363,32 +397,34 @@ def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
             own.go_on_from(shared.value)
             expected, seen, weight = max(1.0, times * rows * part / shards), 0, 0.0
 
-            def steps(keys: np.ndarray, weights: np.ndarray, last: bool) -> int:
+            def steps(columns: list[np.ndarray], last: bool) -> int:
                 """How many rows were gone over: whole steps, but for the last."""
                 nonlocal seen, weight
-                n = len(keys) if last else len(keys) - len(keys) % BATCH
+                n = len(columns[0]) if last else len(columns[0]) - len(columns[0]) % BATCH
                 for i in range(0, n, BATCH):
-                    own.step(keys[i : min(n, i + BATCH)], weights[i : min(n, i + BATCH)], noise, rng, begin + (end - begin) * min(1.0, seen / expected))
+                    own.step(*[c[i : min(n, i + BATCH)] for c in columns], source, rng, begin + (end - begin) * min(1.0, seen / expected))
                     seen += min(BATCH, n - i)
-                weight += float(weights[:n].sum())
+                weight += float(columns[3][:n].sum())
                 return n
 
-            keys, weights = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32)
+            source = Noise(noise)
+            held = [np.empty(0, dtype=kind) for kind in (np.int16, np.int16, np.int16, np.uint8)]
             for batch in batches:
-                keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-                weights = np.concatenate([weights, batch.column(1).to_numpy(zero_copy_only=False)])
-                if times == 1:
-                    n = steps(keys, weights, False)
-                    keys, weights = keys[n:], weights[n:]
-            for _ in range(times if len(keys) else 0):
-                order = rng.permutation(len(keys))
-                steps(keys[order], weights[order], True)
+                for row in range(batch.num_rows):
+                    blobs = [np.frombuffer(batch.column(k)[row].as_buffer(), dtype=held[k].dtype) for k in range(4)]
+                    held = [np.concatenate(pair) for pair in zip(held, blobs, strict=True)]
+                    if times == 1:
+                        n = steps(held, False)
+                        held = [c[n:] for c in held]
+            for _ in range(times if len(held[0]) else 0):
+                order = rng.permutation(len(held[0]))
+                steps([c[order] for c in held], True)
             if seen:
                 values, kinds = [[shard], [weight], [own.state().tobytes()]], [pa.int64(), pa.float64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["shard", "weight", "state"])
             give_back()
 
-        mine = table.filter(F.col("slot").between(first, last - 1)).select("key", "weight").coalesce(shards)
+        mine = table.filter(F.col("slot").between(first, last - 1)).select("near", "far", "target", "weight").coalesce(shards)
         done = mine.mapInArrow(run, "shard long, weight double, state binary").toArrow().sort_by("shard")
         shared.destroy()
         if done.num_rows:
@@ -421,7 +457,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
         "of_ending": words.of_ending,
         "lacking": -np.log10(words.class_total + 0.5 * (words.class_distinct + 1)),
         "lacking_base": -math.log10(words.total + 0.5 * (words.distinct + 1)),
-        "target": np.column_stack([model.target, model.bias]),
+        "target": (model.target, model.bias),
         "pairs": model.pair_vectors(),
     }
     shared = docs.sparkSession.sparkContext.broadcast(lookup)
@@ -431,30 +467,37 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
         own = shared.value
         get = {w: i for i, w in enumerate(own["words"].split(b" "))}.get
         end, of_ending, (by_near, by_far, norm) = get(END), own["of_ending"].tolist(), own["pairs"]
-        vectors = own["target"]
+        vectors, bias = own["target"]
         end_class = len(norm) - 1
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         at = 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 250):
-                part = batch.slice(first, 250)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
                 out: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ws = tokens(text.as_py())
-                    ids = np.array([get(w, -1) for w in ws] + [end], dtype=np.int64)
-                    rare = np.flatnonzero(ids < 0)
-                    c = np.full(len(ids) + 2, end_class, dtype=np.int64)
-                    c[2:] = own["of_class"][ids]
-                    c[2:][rare] = [of_ending[ending(ws[i])] for i in rare]
-                    near, far, target = c[1:-1], c[:-2], c[2:]
-                    after = 0.0
-                    for i in range(0, len(target), SLICE):
-                        a, b, t = near[i : i + SLICE], far[i : i + SLICE], vectors[target[i : i + SLICE]]
-                        met = np.einsum("ij,ij->i", by_near[a] + by_far[b], t[:, :-1]) + t[:, -1] - norm[a, b]
-                        after += float(met.sum(dtype=np.float64)) / math.log(10)
-                    base = float(own["base"][ids].sum()) + len(rare) * own["lacking_base"]
-                    score = float(after) + float(own["inside"][ids].sum()) + float(own["lacking"][c[2:][rare]].sum())
-                    out.append((task + at, doc, len(ids), int(own["known"][ids].sum()), base, score, [ws[i] for i in rare]))
+                texts = [tokens(text.as_py()) for text in part.column(1)]
+                ids = np.array([i for ws in texts for i in (*map(get, ws, repeat(-1)), end)], dtype=np.int64)
+                sizes = np.array([len(ws) + 1 for ws in texts], dtype=np.int64)
+                starts = np.cumsum(sizes) - sizes
+                c = own["of_class"].take(ids).astype(np.int64)
+                rare = np.flatnonzero(ids < 0)
+                inner = rare - starts[(which := np.searchsorted(starts, rare, side="right") - 1)]
+                unknown = [texts[d][i] for d, i in zip(which.tolist(), inner.tolist(), strict=True)]
+                c[rare] = [of_ending[ending(w)] for w in unknown]
+                near, far = np.roll(c, 1), np.roll(c, 2)
+                near[starts] = far[starts] = end_class
+                more = starts[sizes > 1] + 1
+                far[more] = end_class
+                base, score = own["base"].take(ids), own["inside"].take(ids)
+                base[rare], score[rare] = own["lacking_base"], own["lacking"].take(c[rare])
+                for i in range(0, len(c), SLICE):
+                    a, b, t = near[i : i + SLICE], far[i : i + SLICE], c[i : i + SLICE]
+                    met = np.einsum("ij,ij->i", by_near.take(a, 0) + by_far.take(b, 0), vectors.take(t, 0))
+                    score[i : i + SLICE] += (met + bias.take(t) - norm[a, b]) / math.log(10)
+                bases, scores, known = (np.add.reduceat(x, starts) for x in (base, score, own["known"].take(ids).astype(np.int64)))
+                words_of = np.searchsorted(rare, np.append(starts, len(ids)))
+                for k, doc in enumerate(part.column(0).to_pylist()):
+                    out.append((task + at, doc, int(sizes[k]), int(known[k]), float(bases[k]), float(scores[k]), unknown[words_of[k] : words_of[k + 1]]))
                     at += 1
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.binary())]
                 names = [n.split()[0] for n in schema.split(", ")]
