@@ -24,7 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ SIZE, NOISE, BATCH, RATE, SEED = 24, 128, 1024, 0.2, 7
 #: Rounds, each over the rows with these slots of SLOTS: two passes over everything, the first one in growing parts. A small corpus goes round as often as makes STEPS.
 SLOTS, ROUNDS, STEPS = 16, ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (0, 16)), 1600
 #: Training tokens of a shard, up to SHARDS of them; tokens of a lot; the count beyond which a trigram becomes several rows.
-SHARD_TOKENS, SHARDS, LOT, HEAVY = 8_000_000, 64, 2_000_000, 8
+SHARD_TOKENS, SHARDS, LOT, HEAVY = 8_000_000, 64, 4_000_000, 8
 
 #: Tokens scored at once.
 SLICE = 1 << 16
@@ -365,9 +365,10 @@ class _Classes:
     def of(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words) + 3, dtype=np.int64)
         out[:2] = out[-1] = self.end_class
-        get, of_ending = self.own.get, self.of_ending
-        found = [get(w, -1) for w in words]
-        out[2:-1] = [of_ending[w[-1] << 8 | (w[-2] if len(w) > 1 else 0)] if c < 0 else c for c, w in zip(found, words, strict=True)]
+        found = np.fromiter(map(self.own.get, words, repeat(-1)), np.int64, len(words))
+        of_ending, shared = self.of_ending, np.flatnonzero(found < 0)
+        found[shared] = [of_ending[w[-1] << 8 | (w[-2] if len(w) > 1 else 0)] for w in map(words.__getitem__, shared.tolist())]
+        out[2:-1] = found
         return out
 
 
@@ -476,8 +477,8 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
                 part = batch.slice(first, 64)
                 out: list[tuple] = []
                 texts = [tokens(text.as_py()) for text in part.column(1)]
-                ids = np.array([i for ws in texts for i in (*map(get, ws, repeat(-1)), end)], dtype=np.int64)
                 sizes = np.array([len(ws) + 1 for ws in texts], dtype=np.int64)
+                ids = np.fromiter(chain.from_iterable(chain(map(get, ws, repeat(-1)), (end,)) for ws in texts), np.int64, int(sizes.sum()))
                 starts = np.cumsum(sizes) - sizes
                 c = own["of_class"].take(ids).astype(np.int64)
                 rare = np.flatnonzero(ids < 0)
