@@ -1,13 +1,15 @@
 """Prefix doubling against brute force."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.oracle import check
 from weftgraph.llm import queries
 from weftgraph.llm import substring_dedup as sd
+from weftgraph.llm.common import saved
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +91,35 @@ def test_query_on_real_rows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(queries.op5_substring_dedup(spark, SF)) == brute(docs)
     check(spark, queries.op5_substring_dedup, queries.ORACLE_SQL["op5_substring_dedup"], SF)
+
+
+def by_doubling(docs, length=sd.LENGTH):
+    """(doc_id, position) of every `length`-byte string that also starts in a document with a smaller id: prefix doubling over ranks of all positions.
+
+    The ranks of k bytes at a position and k further on are sorted as pairs and ranked anew,
+    at growing offsets, the last one overlapping.
+    """
+    each = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b")).filter(F.octet_length("b") >= length)
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("b"))).alias("at")
+    ranks = each.select("doc_id", "b", at).select("doc_id", "at", F.conv(F.hex(F.substring("b", F.col("at"), F.lit(1))), 16, 10).cast("int").alias("rank"))
+    k = 1
+    while k < length:
+        step = min(k, length - k)
+        further = ranks.select("doc_id", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+        pairs = ranks.join(further, ["doc_id", "at"])
+        order = pairs.select("rank", "then").distinct().sort("rank", "then").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("rank int, then int, new int")
+        ranks = saved(pairs.join(order, ["rank", "then"]).select("doc_id", "at", F.col("new").alias("rank")), "ranks")
+        k += step
+    first = ranks.groupBy("rank").agg(F.min("doc_id").alias("first"))
+    return ranks.join(first, "rank").filter("first < doc_id").select("doc_id", "at")
+
+
+def test_same_as_prefix_doubling(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    gone = defaultdict(set)
+    for r in by_doubling(docs).collect():
+        gone[r.doc_id] |= set(range(r.at, r.at + sd.LENGTH))
+    got = {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()}
+    assert got == {i: len(gone[i]) for i in got} and any(got.values())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("substring_batches")]

@@ -1,9 +1,10 @@
-"""Removal of byte strings that an earlier document has, by distributed prefix doubling.
+"""Removal of byte strings that an earlier document has, by minimizers and hashed names, not by ranks.
 
 Positions get names for growing prefixes: the name of 2k bytes is made of the pair of
 names of k bytes at a position and k further on, and the last step overlaps. Spark deals
 the named positions to key ranges, each task sorts its range, and positions whose name
-turns out unique are dropped before the prefix grows on:
+turns out unique are dropped before the prefix grows on. (README gives the figures of
+prefix doubling over ranks of all positions, in whose stead this is.)
 
 1. At GRAM bytes only sampled positions are ranked: those with the least name in some
    window of a LENGTH-byte string, so that each such string holds one, and equal strings
@@ -369,7 +370,9 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) ->
     name = f"substring_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").option("path", table_path(spark, "batches")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and go with the shared folder's other tables; the catalog only had to know the buckets
+    return table
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, carried: list[str], with_text: bool) -> DataFrame:
