@@ -1,4 +1,7 @@
-"""Lint rules: one DataFrame of (rule, severity, file, line, symbol, message) each."""
+"""Lint rules: one DataFrame of (rule, severity, file, line, symbol, message) each.
+
+The wording of the messages is a fixed value, as those who read them look for it.
+"""
 
 from __future__ import annotations
 
