@@ -129,18 +129,37 @@ def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class LogBilinear:
-    """Vectors and matrices, and the squares of their gradients so far."""
+    """Vectors and matrices, and the squares of their gradients so far.
+
+    A class's target vector stands in one row with its bias and a column of zeros, which makes
+    rows even; the matrices of both places stand one above the other, with as many columns.
+    """
 
     def __init__(self, classes: int = CLASSES, size: int = SIZE, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        self.size = size
         self.context = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
-        self.target = rng.normal(0, 0.1, (classes, size)).astype(np.float32)
-        self.turn = [np.eye(size, dtype=np.float32) / 2 for _ in range(2)]  # of the token before, and of the one before that
-        self.bias = np.zeros(classes, dtype=np.float32)
+        self.outs = np.zeros((classes, size + 2), dtype=np.float32)
+        self.target[:] = rng.normal(0, 0.1, (classes, size))
+        self.turns = np.zeros((2 * size, size + 2), dtype=np.float32)  # of the token before, and of the one before that
+        for turn in self.turn:
+            turn[:] = np.eye(size) / 2
         self.squares = [np.zeros_like(p) for p in self._params()]
 
+    @property
+    def target(self) -> np.ndarray:
+        return self.outs[:, : self.size]
+
+    @property
+    def bias(self) -> np.ndarray:
+        return self.outs[:, self.size]
+
+    @property
+    def turn(self) -> list[np.ndarray]:
+        return [self.turns[: self.size, : self.size], self.turns[self.size :, : self.size]]
+
     def _params(self) -> list[np.ndarray]:
-        return [self.context, self.target, *self.turn, self.bias]
+        return [self.context, self.outs, self.turns]
 
     def state(self) -> np.ndarray:
         """All that training goes on from, in one vector."""
@@ -175,37 +194,44 @@ class LogBilinear:
         lacking = -len(near) % ROWS
         if lacking:  # rows that count for nothing
             near, far, target, weights = (np.append(x, np.zeros(lacking, dtype=x.dtype)) for x in (near, far, target, weights))
-        drawn = noise.draw(rng)
-        ca, cb, own, other = self.context.take(near, 0), self.context.take(far, 0), self.target.take(target, 0), self.target[drawn]
-        h = _times(ca, self.turn[0]) + _times(cb, self.turn[1])
+        size, drawn = self.size, noise.draw(rng).astype(target.dtype)
+        both = np.stack([near, far], axis=1).ravel()
+        before = self.context.take(both, 0).reshape(len(near), 2 * size)
+        h = _times(before, self.turns)
+        h[:, size] = 1  # meets the bias
+        own, other = self.outs.take(target, 0), self.outs.take(drawn, 0)
         share = (weights / weights.sum()).astype(np.float32)
-        to_own = share / (1 + np.exp(np.einsum("ij,ij->i", h, own) + self.bias[target] - noise.shift[target]))
-        z = _times(h, np.ascontiguousarray(-other.T))
-        z -= self.bias[drawn] - noise.shift[drawn]
+        to_own = share / (1 + np.exp(np.einsum("ij,ij->i", h, own) - noise.shift.take(target)))
+        against = -other
+        against[:, size] += noise.shift.take(drawn)
+        z = _times(h, np.ascontiguousarray(against.T))
         np.exp(z, out=z)
         z += 1
         to_other = np.divide(-share[:, None], z, out=z)
-        dh = to_own[:, None] * own + _times(to_other, other)
+        dh = _times(to_other, other)
+        own *= to_own[:, None]
+        dh += own
+        dh[:, size:] = 0
         rate = np.float32(RATE * min(1.0, 2 * (1 - at)))
-        turned = [_summed(ca, dh), _summed(cb, dh)]
-        self._change(0, *_gathered(np.concatenate([near, far]), np.concatenate([_times(dh, self.turn[0].T), _times(dh, self.turn[1].T)])), rate)
-        size, rows = h.shape[1], np.zeros((len(h) + len(drawn), h.shape[1] + 2), dtype=np.float32)  # vectors, biases, and a column to make them even
-        np.multiply(to_own[:, None], h, out=rows[: len(h), :size])
-        rows[len(h) :, :size] = _summed(to_other, h)
-        rows[: len(h), size], rows[len(h) :, size] = to_own, to_other.sum(axis=0)
-        which, grads = _gathered(np.concatenate([target, drawn]), rows)
-        self._change(1, which, grads[:, :size], rate)
-        self._change(4, which, grads[:, size], rate)
-        for k, grad in enumerate(turned):
-            self._change(2 + k, slice(None), grad, rate)
-
-    def _change(self, k: int, which, grad: np.ndarray, rate: np.float32) -> None:
+        turned = _summed(before, dh)
+        self._change(0, *_gathered(both, _times(dh, np.ascontiguousarray(self.turns.T)).reshape(-1, size)), rate)
+        rows = np.empty((len(h) + len(drawn), size + 2), dtype=np.float32)
+        np.multiply(to_own[:, None], h, out=rows[: len(h)])
+        rows[len(h) :] = _summed(to_other, h)
+        self._change(1, *_gathered(np.concatenate([target, drawn]), rows), rate)
+        self._change(2, np.arange(2 * size), turned, rate)
+
+    def _change(self, k: int, which: np.ndarray, grad: np.ndarray, rate: np.float32) -> None:
         """Moves these rows of a parameter, each number by its gradient over the root of its squares so far; a row without a gradient wouldn't move."""
-        squares = self.squares[k][which] + grad * grad
-        self.squares[k][which] = squares
+        squares = grad * grad
+        squares += self.squares[k].take(which, 0)
+        _put(self.squares[k], which, squares)
         np.sqrt(squares, out=squares)
         squares += np.float32(1e-8)
-        self._params()[k][which] += np.divide(rate * grad, squares, out=squares)
+        moved = np.divide(grad, squares, out=squares)
+        moved *= rate
+        moved += self._params()[k].take(which, 0)
+        _put(self._params()[k], which, moved)
 
     def pair_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Context vectors turned for the nearer and the farther place, and log normalisers by (near, far)."""
@@ -231,6 +257,12 @@ class Noise:
         return np.minimum(np.searchsorted(self.until, rng.random(NOISE)), len(self.until) - 1)
 
 
+def _put(into: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
+    """into[which] = rows, each row moved as one item."""
+    item = np.dtype((np.void, into.itemsize * into.shape[1]))
+    into.view(item).ravel()[which] = rows.view(item).ravel()
+
+
 def _gathered(which: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct classes, and the sum of the rows of each; rows of an even length are summed two numbers at a time."""
     order = np.argsort(which, kind="stable")
@@ -458,7 +490,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
         "of_ending": words.of_ending,
         "lacking": -np.log10(words.class_total + 0.5 * (words.class_distinct + 1)),
         "lacking_base": -math.log10(words.total + 0.5 * (words.distinct + 1)),
-        "target": (model.target, model.bias),
+        "target": (np.ascontiguousarray(model.target), np.ascontiguousarray(model.bias)),
         "pairs": model.pair_vectors(),
     }
     shared = docs.sparkSession.sparkContext.broadcast(lookup)
