@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tests.golden import CHARGE, CREATE, HANDLE, node, shop
 from weftgraph import cli
+from weftgraph.operators.relational import synthesize_event_edges
 from weftgraph.schema import EDGES, EXTERNAL_CALLS, META, NODES, TAGS
 from weftgraph.sources import calls, config, files, python_ast, references, symbols, tags
-from weftgraph.sources.store import GraphStore, StoreError
-from weftgraph.streaming.refresh import CHANGES, refresh
+from weftgraph.sources.store import EVENTS, GraphStore, StoreError, part_of
+from weftgraph.streaming.refresh import CHANGES, apply_changes, refresh
 
 
 def rows(df):
@@ -348,3 +349,22 @@ def test_streamed_refresh(spark, store, tmp_path):
         assert [r["value"] for r in g.tags.filter(f"node_id = '{CHARGE}'").collect()] == ["adyen"]
         assert (CHARGE, "src/db.py::save_order", "calls") in rows(g.edges) and (CREATE, CHARGE, "calls") in rows(g.edges)
         assert g.nodes.count() == 8 and g.edges.filter("kind = 'event'").count() == 1
+
+
+def test_refresh_writes_touched_parts_only(spark, store):
+    store.replace(shop(spark))
+    before = store._folders(store._versions()[-1])
+    file = "src/workers.py"
+    record = (file, "python", "# @weft:handles order.created\n# @weft:emits mail.sent\ndef send_email(): ...", json.dumps([symbol("send_email", 12, 2, 2)]), None)
+    apply_changes(store, spark.createDataFrame([record], CHANGES), "file:///p", config.parse_config('[project]\nlanguages = ["python"]'))
+    after = store._folders(store._versions()[-1])
+    own = spark.range(1).select(part_of(F.lit(file), store.parts())).first()[0]
+    assert {at for at in before.keys() | after.keys() if before.get(at) != after.get(at)} <= {(t, p) for t in ("nodes", "edges", "tags", "external_calls") for p in (own, EVENTS)}
+    g, plain = store.open(), shop(spark)
+    assert g.nodes.filter(f"file = '{file}'").select("line_start").first()[0] == 3
+    assert rows(g.edges) == rows(synthesize_event_edges(plain).edges)
+    assert set(rows(g.tags)) == set(rows(plain.tags)) | {(f"{file}::send_email", "emits", "mail.sent")}
+    gone = [(file, "python", "", "[]", None)]
+    apply_changes(store, spark.createDataFrame(gone, CHANGES), "file:///p", config.parse_config('[project]\nlanguages = ["python"]'))
+    g = store.open()
+    assert g.nodes.count() == 7 and g.edges.filter("kind = 'event'").isEmpty() and g.tags.filter("kind = 'handles'").isEmpty()

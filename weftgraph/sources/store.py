@@ -1,15 +1,18 @@
 """A graph on disk: a folder of Parquet tables, and a folder of versions of the graph.
 
 A write puts the changed tables into new folders, and then one row into `versions`, written
-last, that names the folder of every table: a reader meets either all of a write or nothing
+last, that names the folders of every table: a reader meets either all of a write or nothing
 of it. The KEPT latest versions stay for their readers; what only older ones name goes.
+
+The graph's tables lie in parts by the file in a row's own id (an edge's is its source's), so
+that a change of some files writes their parts alone. Event edges are a part of their own.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +25,17 @@ from ..schema import KEYS, META, SCHEMA_VERSION, TABLES
 KEPT = 4
 
 
+#: Parts of each table of a new graph.
+PARTS = 16
+#: The part of event edges.
+EVENTS = -1
+
+
+def part_of(key: Column, parts: int) -> Column:
+    """Part of an id, or of a file: all ids of a file share its part."""
+    return F.pmod(F.xxhash64(F.substring_index(key, "::", 1)), F.lit(parts)).cast("int")
+
+
 class StoreError(RuntimeError):
     pass
 
@@ -57,10 +71,10 @@ def without_file(graph: Graph, file: str) -> Graph:
 
 
 class GraphStore:
-    """Reads and writes the tables below `path`."""
+    """Reads and writes the tables below `path`; parts: of a new graph's tables, more for larger graphs."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.spark, self.path, self._wanted = spark, path.rstrip("/"), parts
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -79,24 +93,55 @@ class GraphStore:
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         return sorted(n for n in names if fs.exists(to(f"{self.path}/versions/{n}/_SUCCESS")))
 
-    def _folders(self, version: str) -> dict[str, str]:
-        return {r["tab"]: r["folder"] for r in self.spark.read.schema("tab string, folder string").parquet(f"{self.path}/versions/{version}").collect()}
+    def _folders(self, version: str) -> dict[tuple[str, int], str]:
+        """Folder of each part of each table; a part without rows has none."""
+        return {(r["tab"], r["part"]): r["folder"] for r in self._version(version)}
+
+    def _version(self, version: str) -> list:
+        return self.spark.read.schema("tab string, part int, folder string, parts int").parquet(f"{self.path}/versions/{version}").collect()
+
+    def parts(self) -> int:
+        """Into how many parts the tables are divided."""
+        versions = self._versions()
+        return self._version(versions[-1])[0]["parts"] if versions else self._wanted
 
-    def _write(self, **tables: DataFrame) -> None:
-        """A new version: these tables, and the others as they are."""
+    def _write(self, only: set[int] | None = None, **tables: DataFrame) -> None:
+        """A new version: these tables, or of them only these parts, and all else as it is."""
         old = self._versions()
         number = int(old[-1].split("-")[0]) + 1 if old else 1
-        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+        name, parts = f"{number:012d}-{uuid.uuid4().hex[:8]}", self.parts()
         folders = self._folders(old[-1]) if old else {}
         for table, rows in tables.items():
-            folders[table] = f"{table}/{name}"
-            rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(f"{self.path}/{folders[table]}")
-        self.spark.createDataFrame(sorted(folders.items()), "tab string, folder string").coalesce(1).write.parquet(f"{self.path}/versions/{name}")
+            folder = f"{table}/{name}"
+            folders = {at: f for at, f in folders.items() if at[0] != table or (only is not None and at[1] not in only)}
+            rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
+            if table == "meta":
+                rows.coalesce(1).write.parquet(f"{self.path}/{folder}")
+                folders[table, 0] = folder
+            else:
+                part = part_of(F.col(KEYS[table][0]), parts)
+                if table == "edges":
+                    part = F.when(F.col("kind") == "event", EVENTS).otherwise(part)
+                rows.withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+                folders |= {(table, part): f"{folder}/_part={part}" for part in self._written(folder)}
+        rows = [(table, part, folder, parts) for (table, part), folder in sorted(folders.items())]
+        self.spark.createDataFrame(rows, "tab string, part int, folder string, parts int").coalesce(1).write.parquet(f"{self.path}/versions/{name}")
+        self._forget(old, set(folders.values()))
+
+    def _written(self, folder: str) -> list[int]:
         fs, to = self._fs()
-        kept = {f for v in old[-KEPT + 1 :] for f in self._folders(v).values()} | set(folders.values())
+        names = [s.getPath().getName() for s in fs.listStatus(to(f"{self.path}/{folder}"))]
+        return [int(n.split("=")[1]) for n in names if n.startswith("_part=")]
+
+    def _forget(self, old: list[str], kept: set[str]) -> None:
+        """Removes all versions but the KEPT latest, and what only they name."""
+        fs, to = self._fs()
+        kept = kept.union(*[self._folders(v).values() for v in old[-KEPT + 1 :]])
+        in_use = {"/".join(f.split("/")[:2]) for f in kept}
         for version in old[: -KEPT + 1]:
             for folder in set(self._folders(version).values()) - kept:
-                fs.delete(to(f"{self.path}/{folder}"), True)
+                write = "/".join(folder.split("/")[:2])
+                fs.delete(to(f"{self.path}/{folder if write in in_use else write}"), True)
             fs.delete(to(f"{self.path}/versions/{version}"), True)
 
     def create(self) -> None:
@@ -109,7 +154,13 @@ class GraphStore:
         versions = self._versions()
         if not versions:
             raise StoreError(f"No graph at {self.path}: build it first")
-        return {t: self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{folder}") for t, folder in self._folders(versions[-1]).items()}
+        folders = self._folders(versions[-1])
+        return {t: self._rows(t, [f for at, f in folders.items() if at[0] == t]) for t in TABLES}
+
+    def _rows(self, table: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self, table: str) -> DataFrame:
         return self._tables()[table]
@@ -125,6 +176,21 @@ class GraphStore:
             raise StoreError(f"Graph at {self.path} has schema version {version}, not {SCHEMA_VERSION}: rebuild it")
         return Graph(*[tables[t] for t in ("nodes", "edges", "tags", "external_calls")])
 
+    def open_parts(self, inside: set[int]) -> tuple[Graph, Graph]:
+        """The latest graph's rows in these parts, and those in the others; event edges are in neither."""
+        folders = self._folders(self._versions()[-1])
+
+        def rows(table: str, among: bool) -> DataFrame:
+            return self._rows(table, [f for (t, part), f in folders.items() if t == table and part != EVENTS and (part in inside) == among])
+
+        return tuple(Graph(*[rows(t, among) for t in ("nodes", "edges", "tags", "external_calls")]) for among in (True, False))
+
+    def replace_parts(self, graph: Graph, inside: set[int], others: Graph) -> None:
+        """These parts are now the graph's rows, which lie in them; event edges are made anew from its tags and the others'."""
+        events = event_pairs(graph.tags.unionByName(others.tags))
+        tables = {t: getattr(graph, t).dropDuplicates(KEYS[t]) for t in ("nodes", "tags", "external_calls")}
+        self._write(inside | {EVENTS}, edges=graph.edges.dropDuplicates(KEYS["edges"]).unionByName(events), **tables)
+
     def set_meta(self, key: str, value: str) -> None:
         self._write(meta=upserted(self.read("meta"), self.spark.createDataFrame([(key, value)], META), KEYS["meta"]))
 

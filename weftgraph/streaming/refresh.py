@@ -2,7 +2,8 @@
 
 Each micro-batch holds (file, language, text, symbols, calls) of changed files. Their nodes,
 tags, edges and external calls go, what the batch has of them comes, and event edges are
-made anew. A batch that is delivered again leaves the graph as it is.
+made anew. A batch that is delivered again leaves the graph as it is. Only the store's parts
+that hold something of these files are written, and the event edges.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import Graph
-from ..operators.relational import synthesize_event_edges
 from ..plans.build import extract
 from ..schema import KEYS
 from ..sources import symbols
 from ..sources.config import Config
 from ..sources.shared import saved
-from ..sources.store import GraphStore
+from ..sources.store import GraphStore, part_of
 
 #: A changed file; calls: JSON array of {source, calls}, source a symbol's qualified name.
 CHANGES = "file string, language string, text string, symbols string, calls string"
@@ -47,10 +47,15 @@ def apply_changes(store: GraphStore, batch: DataFrame, project: str, config: Con
     call_dump = each.join(named.select(F.col("id").alias("source_id"), "kind", "language"), "source_id").select("source_id", "kind", "language", "calls")
     none = batch.sparkSession.createDataFrame([], "target_id string, refs string")
     new, _ = extract(batch.select("file", "language", "text"), batch.filter("symbols IS NOT NULL").select("file", "language", "symbols"), call_dump, none, project, config)
-    old = without_files(store.open(), batch.select("file"))
+    parts = store.parts()
+    known = store.open().nodes.join(batch.select("file"), "file", "left_semi")
+    touched = batch.select(F.col("file").alias("key")).unionByName(known.select(F.col("id").alias("key")))
+    inside = {r["part"] for r in touched.select(part_of(F.col("key"), parts).alias("part")).distinct().collect()}
+    own, others = store.open_parts(inside)
+    old = without_files(own, batch.select("file"))
     merged = Graph(*[getattr(old, t).unionByName(getattr(new, t)).dropDuplicates(KEYS[t]) for t in ("nodes", "edges", "tags", "external_calls")])
     merged = merged.with_tables(tags=merged.tags.join(merged.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"))
-    store.replace(synthesize_event_edges(merged))
+    store.replace_parts(merged, inside, others)
 
 
 def refresh(changes: DataFrame, store: GraphStore, project: str, config: Config, checkpoint: str, **trigger) -> StreamingQuery:
