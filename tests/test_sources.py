@@ -85,6 +85,9 @@ def test_metadata_and_version(spark, store):
         store.open()
     with pytest.raises(StoreError, match="build it first"):
         GraphStore(spark, store.path + "-none").open()
+    spark.createDataFrame([("nodes", "nodes/1")], "tab string, folder string").write.parquet(f"{store.path}-old/versions/000000000001-a")
+    with pytest.raises(StoreError, match="not divided into parts"):
+        GraphStore(spark, store.path + "-old").open()
 
 
 # --- tags ---

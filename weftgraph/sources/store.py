@@ -98,7 +98,10 @@ class GraphStore:
         return {(r["tab"], r["part"]): r["folder"] for r in self._version(version)}
 
     def _version(self, version: str) -> list:
-        return self.spark.read.schema("tab string, part int, folder string, parts int").parquet(f"{self.path}/versions/{version}").collect()
+        rows = self.spark.read.schema("tab string, part int, folder string, parts int").parquet(f"{self.path}/versions/{version}").collect()
+        if any(r["part"] is None for r in rows):
+            raise StoreError(f"Graph at {self.path} is not divided into parts: build it anew in an empty folder")
+        return rows
 
     def parts(self) -> int:
         """Into how many parts the tables are divided."""
