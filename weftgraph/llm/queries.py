@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
+from . import byte_codec, fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
 from .common import documents, hash_bucket
 
 
@@ -57,6 +57,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.learn_and_score(documents(spark, sf_dir))
 
 
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_codec.encode_documents(documents(spark, sf_dir))
+    return done.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_byte_codec": op11_byte_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {
