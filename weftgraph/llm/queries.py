@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, piece_codec, quality, sharding, substring_dedup
+from . import byte_codec, fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, periodic_runs, piece_codec, quality, sharding, substring_dedup
 from .common import documents, hash_bucket
 
 
@@ -62,6 +62,10 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_cycles(documents(spark, sf_dir))))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_byte_codec": op11_byte_codec,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
