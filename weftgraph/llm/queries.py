@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, fingerprints, html_text, language_id, lm_scoring, near_dedup, packing, periodic_runs, piece_codec, quality, sharding, substring_dedup
+from . import byte_codec, fingerprints, html_text, language_id, lexical_search, lm_scoring, near_dedup, packing, periodic_runs, piece_codec, quality, sharding, substring_dedup
 from .common import documents, hash_bucket
 
 
@@ -66,6 +66,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_cycles(documents(spark, sf_dir))))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -79,9 +83,11 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_byte_codec": op11_byte_codec,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": quality.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
