@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tests.golden import CHARGE, CREATE, HANDLE, node, shop
 from weftgraph import cli
 from weftgraph.operators.relational import synthesize_event_edges
-from weftgraph.schema import EDGES, EXTERNAL_CALLS, META, NODES, TAGS
+from weftgraph.schema import EDGES, EXTERNAL_CALLS, NODES, TAGS
 from weftgraph.sources import calls, config, files, python_ast, references, symbols, tags
-from weftgraph.sources.store import EVENTS, GraphStore, StoreError, part_of
+from weftgraph.sources.store import GraphStore, StoreError, part_of
 from weftgraph.streaming.refresh import CHANGES, apply_changes, refresh
 
 
@@ -80,13 +80,13 @@ def test_metadata_and_version(spark, store):
     assert kept[HANDLE] == {"route": "POST /api/checkout"} and kept[CHARGE] is None
     store.set_meta("last_build", "5")
     assert store.meta() == {"schema_version": "2", "last_build": "5"}
-    store._write(meta=spark.createDataFrame([("schema_version", "1")], META))
+    store.set_meta("schema_version", "1")
     with pytest.raises(StoreError, match="schema version 1"):
         store.open()
     with pytest.raises(StoreError, match="build it first"):
         GraphStore(spark, store.path + "-none").open()
     spark.createDataFrame([("nodes", "nodes/1")], "tab string, folder string").write.parquet(f"{store.path}-old/versions/000000000001-a")
-    with pytest.raises(StoreError, match="not divided into parts"):
+    with pytest.raises(StoreError, match="without a log"):
         GraphStore(spark, store.path + "-old").open()
 
 
@@ -356,18 +356,18 @@ def test_streamed_refresh(spark, store, tmp_path):
 
 def test_refresh_writes_touched_parts_only(spark, store):
     store.replace(shop(spark))
-    before = store._folders(store._versions()[-1])
+    before = store.version().folders
     file = "src/workers.py"
-    record = (file, "python", "# @weft:handles order.created\n# @weft:emits mail.sent\ndef send_email(): ...", json.dumps([symbol("send_email", 12, 2, 2)]), None)
+    record = (file, "python", "# @weft:handles order.created\n# @weft:emits mail.sent\ndef send_email(): ...", json.dumps([symbol("send_email", 12, 2, 2)]), None, 1)
     apply_changes(store, spark.createDataFrame([record], CHANGES), "file:///p", config.parse_config('[project]\nlanguages = ["python"]'))
-    after = store._folders(store._versions()[-1])
+    after = store.version().folders
     own = spark.range(1).select(part_of(F.lit(file), store.parts())).first()[0]
-    assert {at for at in before.keys() | after.keys() if before.get(at) != after.get(at)} <= {(t, p) for t in ("nodes", "edges", "tags", "external_calls") for p in (own, EVENTS)}
+    assert {at for at in before.keys() | after.keys() if before.get(at) != after.get(at)} <= {(t, own) for t in ("nodes", "edges", "edges_in", "tags", "external_calls", "hubs")}
     g, plain = store.open(), shop(spark)
     assert g.nodes.filter(f"file = '{file}'").select("line_start").first()[0] == 3
     assert rows(g.edges) == rows(synthesize_event_edges(plain).edges)
     assert set(rows(g.tags)) == set(rows(plain.tags)) | {(f"{file}::send_email", "emits", "mail.sent")}
-    gone = [(file, "python", "", "[]", None)]
+    gone = [(file, "python", "", "[]", None, 2)]
     apply_changes(store, spark.createDataFrame(gone, CHANGES), "file:///p", config.parse_config('[project]\nlanguages = ["python"]'))
     g = store.open()
     assert g.nodes.count() == 7 and g.edges.filter("kind = 'event'").isEmpty() and g.tags.filter("kind = 'handles'").isEmpty()

@@ -1,40 +1,133 @@
-"""A graph: its tables as DataFrames."""
+"""A graph: its tables as DataFrames.
+
+Event edges lead from each emitter of a value to each of its handlers. A graph may hold them
+as hubs: an edge from every emitter to the value's hub, and one from there to every handler,
+which are as many as the tags. Closures and paths go through hubs; pairs are only made where
+edges are listed.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import FOLLOWED, TABLES
-from .sources.shared import saved
+from .sources.shared import bucketed
+
+#: Begins the id of a hub, and no other.
+HUB = "\x01event:"
+
+
+def is_hub(id_: Column) -> Column:
+    return F.startswith(id_, F.lit(HUB))
+
+
+def event_hubs(tags: DataFrame) -> DataFrame:
+    """source_id, target_id, node_id: the hubs' edges by the tags, each by the node it belongs to."""
+    hub, emits = F.concat(F.lit(HUB), F.col("value")), F.col("kind") == "emits"
+    own = tags.filter("kind IN ('emits', 'handles')")
+    return own.select(F.when(emits, F.col("node_id")).otherwise(hub).alias("source_id"), F.when(emits, hub).otherwise(F.col("node_id")).alias("target_id"), "node_id").distinct()
+
+
+def pairs_of_hubs(hubs: DataFrame) -> DataFrame:
+    """Event edges: each emitter of a value to each of its handlers, itself included."""
+    emits = hubs.filter(is_hub(F.col("target_id"))).select("source_id", F.col("target_id").alias("_hub"))
+    handles = hubs.filter(is_hub(F.col("source_id"))).select(F.col("source_id").alias("_hub"), "target_id")
+    return emits.join(handles, "_hub").select("source_id", "target_id", F.lit("event").alias("kind")).distinct()
+
+
+def with_pairs(direct: DataFrame, hubs: DataFrame) -> DataFrame:
+    """All edges of a graph with hubs."""
+    return direct.filter("kind <> 'event'").unionByName(pairs_of_hubs(hubs))
 
 
 @dataclass(frozen=True)
 class Graph:
+    """edges lists all edges; if there are hubs (source_id, target_id), direct has those that aren't pairs of a hub."""
+
     nodes: DataFrame
     edges: DataFrame
     tags: DataFrame
     external_calls: DataFrame
+    hubs: DataFrame | None = None
+    direct: DataFrame | None = None
+    source: object = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
         return cls(*[spark.createDataFrame([], TABLES[t]) for t in ("nodes", "edges", "tags", "external_calls")])
 
     def with_tables(self, **tables: DataFrame) -> Graph:
-        return replace(self, **tables)
+        """The graph with other tables; with other edges, its hubs go."""
+        own = {"hubs": None, "direct": None} if "edges" in tables else {}
+        now = {f: getattr(self, f) for f in ("nodes", "edges", "tags", "external_calls", "hubs", "direct")}
+        return Graph(**(now | own | tables))
+
+    def with_hubs(self) -> Graph:
+        """The graph with event edges made anew from its tags, as hubs."""
+        direct = (self.edges if self.direct is None else self.direct).filter("kind <> 'event'")
+        hubs = event_hubs(self.tags).select("source_id", "target_id")
+        return replace(self.with_tables(edges=with_pairs(direct, hubs)), hubs=hubs, direct=direct)
+
+    def _followed_only(self, edges: DataFrame) -> DataFrame:
+        return edges.filter(F.col("kind").isin(*FOLLOWED))
+
+    @property
+    def _listed(self) -> DataFrame:
+        """Edges that stand for themselves."""
+        return self.edges if self.hubs is None else self.direct.filter("kind <> 'event'")
 
     @cached_property
     def followed(self) -> DataFrame:
         """Edges that closures and paths follow, of all followed kinds (a bag of pairs)."""
-        return self.edges.filter(F.col("kind").isin(*FOLLOWED))
+        return self._followed_only(self.edges)
+
+    def _steps(self) -> DataFrame:
+        """(source_id, target_id) of followed edges, through hubs if there are any: from a copy in buckets, if there is one by now."""
+        for made in ("steps_on", "steps_back"):
+            if made in self.__dict__:
+                return self.__dict__[made]
+        rows = self._followed_only(self._listed).select("source_id", "target_id")
+        return rows if self.hubs is None else rows.unionByName(self.hubs)
+
+    @cached_property
+    def steps_on(self) -> DataFrame:
+        """The steps in buckets by their source, written once: every round of a closure reads them, and none shuffles them."""
+        return bucketed(self._steps(), "source_id", "steps-on")
 
     @cached_property
-    def steps(self) -> DataFrame:
-        """(source_id, target_id) of followed edges, written once, as every round of a closure reads them.
+    def steps_back(self) -> DataFrame:
+        """The steps in buckets by their target."""
+        return bucketed(self._steps(), "target_id", "steps-back")
+
+    # --- what is asked of one id ---
+
+    def node_rows(self, node_id: str) -> DataFrame:
+        return self.nodes.filter(F.col("id") == node_id)
+
+    def direct_from(self, node_id: str) -> DataFrame:
+        return self._listed.filter(F.col("source_id") == node_id)
+
+    def direct_into(self, node_id: str) -> DataFrame:
+        return self._listed.filter(F.col("target_id") == node_id)
+
+    def edges_from(self, node_id: str) -> DataFrame:
+        """Followed edges from a node, once for each kind; of events only the node's own pairs are made."""
+        rows = self._followed_only(self.direct_from(node_id)).select("source_id", "target_id", "kind")
+        if self.hubs is None:
+            return rows
+        own = self.hubs.filter(F.col("source_id") == node_id).select(F.col("target_id").alias("_hub"))
+        met = self.hubs.filter(is_hub(F.col("source_id"))).join(own, F.col("source_id") == F.col("_hub"), "left_semi").select("target_id").distinct()
+        return rows.filter("kind <> 'event'").unionByName(met.select(F.lit(node_id).alias("source_id"), "target_id", F.lit("event").alias("kind")))
 
-        Edges have unique keys; a pair with edges of two kinds stands here twice.
-        """
-        return saved(self.followed.select("source_id", "target_id"), "steps")
+    def edges_into(self, node_id: str) -> DataFrame:
+        """Followed edges to a node."""
+        rows = self._followed_only(self.direct_into(node_id)).select("source_id", "target_id", "kind")
+        if self.hubs is None:
+            return rows
+        own = self.hubs.filter(F.col("target_id") == node_id).select(F.col("source_id").alias("_hub"))
+        met = self.hubs.filter(is_hub(F.col("target_id"))).join(own, F.col("target_id") == F.col("_hub"), "left_semi").select("source_id").distinct()
+        return rows.filter("kind <> 'event'").unionByName(met.select("source_id", F.lit(node_id).alias("target_id"), F.lit("event").alias("kind")))

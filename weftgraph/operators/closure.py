@@ -1,9 +1,12 @@
-"""Transitive closures: a frontier of distinct rows moves over the edges until it finds nothing new.
-
-Each round joins the last frontier with the edges and drops what was seen before, so cycles
-end and each node is expanded once per label. Rounds are written to the shared folder, and go
-when the result has been written.
-Ids without a node are expanded too; they only leave at the end, where nodes are joined.
+"""Transitive closures: what is new moves over the edges until nothing is.
+
+Each round joins what the last one found with the edges and drops what was known before, so
+cycles end and each node is expanded once for what reaches it. Edges lie in buckets by the
+end that is joined, so that a round shuffles what it has found and no edge. Of many labels
+(flows, entries) 64 share a row: its bits say which of them reach the id, and a round passes
+only the bits that an id didn't have yet. Rounds are written to the shared folder, and go
+when the result has been written. Ids without a node are expanded too, and leave only where
+nodes are joined; hubs of events are passed through and leave at the end.
 """
 
 from __future__ import annotations
@@ -11,21 +14,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, is_hub
 from ..sources.shared import Scratch, saved
 
-
-def closure(steps: DataFrame, seeds: DataFrame, labels: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
-    """labels and id of everything reachable from the seeds (labels, id), themselves included."""
-    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    keys = [*labels, "id"]
-    with Scratch(steps.sparkSession) as rounds:
-        seen = frontier = rounds.saved(seeds.select(*keys).distinct(), "frontier")
-        while not frontier.isEmpty():
-            met = frontier.join(steps, frontier["id"] == steps[here]).select(*labels, F.col(there).alias("id")).distinct()
-            frontier = rounds.saved(met.join(seen, keys, "left_anti"), "frontier")
-            seen = seen.unionByName(frontier)
-        return saved(seen, "closure")
+#: Labels that share a row: the bits of a long.
+BITS = 64
+
+
+def closure(graph: Graph, seeds: DataFrame, reverse: bool = False) -> DataFrame:
+    """id of everything reachable from the seeds (id), themselves included."""
+    steps, here, there = _steps(graph, reverse)
+    with Scratch(seeds.sparkSession) as rounds:
+        fresh, n = rounds.counted(seeds.select("id").distinct(), "frontier")
+        seen = fresh
+        while n:
+            met = steps.join(fresh, steps[here] == fresh["id"]).select(F.col(there).alias("id")).distinct()
+            fresh, n = rounds.counted(met.join(seen, "id", "left_anti"), "frontier")
+            seen = seen.unionByName(fresh)
+        return saved(seen.filter(~is_hub(F.col("id"))), "closure")
+
+
+def labelled_closure(graph: Graph, seeds: DataFrame, label: str, reverse: bool = False) -> DataFrame:
+    """label and id of everything reachable from the label's seeds (label, id), themselves included."""
+    names = saved(seeds.select(label).distinct().withColumn("_number", F.monotonically_increasing_id()), "labels")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_number") % BITS).cast("int"))
+    start = seeds.join(names, label).groupBy("id", F.shiftright("_number", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    steps, here, there = _steps(graph, reverse)
+    with Scratch(seeds.sparkSession) as rounds:
+        fresh, n = rounds.counted(start, "bits")
+        log = fresh
+        while n:
+            met = steps.join(fresh, steps[here] == fresh["id"]).groupBy(F.col(there).alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+            known = log.groupBy("id", "word").agg(F.bit_or("bits").alias("_had"))
+            new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.col("_had"), F.lit(0).cast("long"))))
+            fresh, n = rounds.counted(met.join(known, ["id", "word"], "left").select("id", "word", new.alias("bits")).filter("bits <> 0"), "bits")
+            log = log.unionByName(fresh)
+        whole = log.filter(~is_hub(F.col("id"))).groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+        reached = saved(whole, "closure")
+    each = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.getbit(F.col("bits"), p) == 1)
+    numbers = reached.select("id", "word", F.explode(each).alias("_bit")).select("id", (F.col("word") * BITS + F.col("_bit")).alias("_number"))
+    return numbers.join(names, "_number").select(label, "id")
+
+
+def _steps(graph: Graph, reverse: bool) -> tuple[DataFrame, str, str]:
+    """The steps in buckets by the end that a round joins, that end and the other."""
+    return (graph.steps_back, "target_id", "source_id") if reverse else (graph.steps_on, "source_id", "target_id")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with _number, from 0 without gaps in their order, which must be a total one: no task holds all."""
+    ranged = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # as many as partitions
+    before, firsts = 0, []
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        firsts.append((r["_part"], before))
+        before += r["_n"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(firsts, "_part long, _first long"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("_part", part).join(starts, "_part").withColumn("_number", F.col("_first") + own).drop("_at", "_part", "_first")
 
 
 def flow_seeds(graph: Graph) -> DataFrame:
@@ -34,26 +81,25 @@ def flow_seeds(graph: Graph) -> DataFrame:
 
 def flow_members(graph: Graph, flow: str) -> DataFrame:
     """Nodes of a flow: its entries and all that they reach."""
-    reached = closure(graph.steps, flow_seeds(graph).filter(F.col("flow") == flow).select("id"))
+    reached = closure(graph, flow_seeds(graph).filter(F.col("flow") == flow))
     return graph.nodes.join(reached, "id", "left_semi")
 
 
 def flow_membership(graph: Graph) -> DataFrame:
     """(flow, id) for every flow and every id that it reaches."""
-    return closure(graph.steps, flow_seeds(graph), ("flow",))
+    return labelled_closure(graph, flow_seeds(graph), "flow")
 
 
 def flows_for_node(graph: Graph, node_id: str) -> DataFrame:
     """flow: flows of which an entry reaches the node, found from the node backwards."""
     seeds = graph.tags.sparkSession.createDataFrame([(node_id,)], "id string")
-    upstream = closure(graph.steps, seeds, reverse=True)
-    return flow_seeds(graph).join(upstream, "id", "left_semi").select("flow").distinct()
+    return flow_seeds(graph).join(closure(graph, seeds, reverse=True), "id", "left_semi").select("flow").distinct()
 
 
 def impact_ids(graph: Graph, node_id: str) -> DataFrame:
     """Ids upstream of a node; its own only if it is on a cycle."""
-    direct = graph.steps.filter(F.col("target_id") == node_id).select(F.col("source_id").alias("id"))
-    return closure(graph.steps, direct, reverse=True)
+    direct = graph.steps_back.filter(F.col("target_id") == node_id).select(F.col("source_id").alias("id"))
+    return closure(graph, direct, reverse=True)
 
 
 def impact(graph: Graph, node_id: str) -> DataFrame:
@@ -63,4 +109,4 @@ def impact(graph: Graph, node_id: str) -> DataFrame:
 
 def reachable_from_flows(graph: Graph) -> DataFrame:
     """Ids that any flow reaches."""
-    return closure(graph.steps, flow_seeds(graph).select("id"))
+    return closure(graph, flow_seeds(graph))

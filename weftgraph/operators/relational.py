@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, event_hubs, pairs_of_hubs
+
+
+#: Matches of an ambiguous symbol that its error names.
+MATCHES = 100
 
 
 class SymbolError(LookupError):
@@ -18,27 +22,25 @@ class SymbolError(LookupError):
 
 def event_pairs(tags: DataFrame) -> DataFrame:
     """Event edges: each emitter of a value to each of its handlers, itself included."""
-    emits = tags.filter("kind = 'emits'").select(F.col("node_id").alias("source_id"), "value")
-    handles = tags.filter("kind = 'handles'").select(F.col("node_id").alias("target_id"), "value")
-    return emits.join(handles, "value").select("source_id", "target_id", F.lit("event").alias("kind")).distinct()
+    return pairs_of_hubs(event_hubs(tags))
 
 
 def synthesize_event_edges(graph: Graph) -> Graph:
     """The graph with its event edges made anew from the tags; repeating it changes nothing."""
-    return graph.with_tables(edges=graph.edges.filter("kind <> 'event'").unionByName(event_pairs(graph.tags)).distinct())
+    return graph.with_hubs()
 
 
 def resolve_symbol(graph: Graph, symbol: str) -> DataFrame:
     """The node of that id, else all nodes of that name."""
     named = graph.nodes.filter((F.col("id") == symbol) | (F.col("name") == symbol))
-    exact = graph.nodes.filter(F.col("id") == symbol).select(F.lit(1).alias("_exact")).limit(1)
+    exact = graph.node_rows(symbol).select(F.lit(1).alias("_exact")).limit(1)
     # at most one row on the other side
     return named.join(F.broadcast(exact), F.lit(True), "left").filter((F.col("id") == symbol) | F.col("_exact").isNull()).drop("_exact")
 
 
 def resolve_one(graph: Graph, symbol: str):
-    """The only node that a symbol stands for."""
-    found = resolve_symbol(graph, symbol).orderBy("file", "line_start", "id").collect()
+    """The only node that a symbol stands for; of an ambiguous one some matches are named."""
+    found = resolve_symbol(graph, symbol).orderBy("file", "line_start", "id").limit(MATCHES).collect()
     if not found:
         raise SymbolError(f"Unknown symbol: {symbol}")
     if len(found) > 1:
@@ -48,13 +50,13 @@ def resolve_one(graph: Graph, symbol: str):
 
 def callers(graph: Graph, node_id: str) -> DataFrame:
     """Nodes with a followed edge to the node, once for each edge."""
-    to = graph.followed.filter(F.col("target_id") == node_id).select(F.col("source_id").alias("id"))
+    to = graph.edges_into(node_id).select(F.col("source_id").alias("id"))
     return graph.nodes.join(to, "id")
 
 
 def callees(graph: Graph, node_id: str) -> DataFrame:
     """Nodes that the node has a followed edge to, once for each edge."""
-    to = graph.followed.filter(F.col("source_id") == node_id).select(F.col("target_id").alias("id"))
+    to = graph.edges_from(node_id).select(F.col("target_id").alias("id"))
     return graph.nodes.join(to, "id")
 
 

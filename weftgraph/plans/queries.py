@@ -190,6 +190,37 @@ def flow_tree(g: Graph) -> DataFrame:
     return paths.flow_tree(g)
 
 
+#: Also on cycles it is the least of all simple paths: paths are made longer, and a node keeps the least one found so far.
+_LEAST = """place as (select id, {'file': file, 'line': line_start, 'id': id} as p from nodes),
+best(entry, id, keys) using key (entry, id) as (
+  select distinct t.node_id, t.node_id, [n.p] from tags t join place n on n.id = t.node_id where t.kind = 'flow'
+  union
+  select * from (
+    select b.entry, s.target_id as id, min(list_append(b.keys, n.p)) as keys
+    from best b join steps s on s.source_id = b.id join place n on n.id = s.target_id
+    where not list_contains(list_transform(b.keys, lambda x: x.id), s.target_id) group by all
+  ) m where not exists (select 1 from recurring.best r where r.entry = m.entry and r.id = m.id and r.keys <= m.keys)
+),
+tree as (
+  select t.value as flow, m.entry, row_number() over (partition by t.value, m.entry order by m.keys) - 1 as ord, len(m.keys) - 1 as depth, m.id, m.keys[-2].id as parent_id, n.name, n.file, n.line_start,
+    (select max(value) from tags where kind = 'boundary' and node_id = m.id) as boundary,
+    (select string_agg(distinct value, ', ' order by value) from tags where kind = 'emits' and node_id = m.id) as emits
+  from best m join nodes n on n.id = m.id join tags t on t.kind = 'flow' and t.node_id = m.entry
+)"""
+_CYCLIC_TREE = over_graph("select flow, entry, ord, depth, id, parent_id, name, file, line_start, boundary, emits from tree", _LEAST, cyclic=True)
+
+
+@on_graph(_CYCLIC_TREE, cyclic=True)
+def flow_tree_cyclic(g: Graph) -> DataFrame:
+    return paths.flow_tree(g)
+
+
+@on_graph(_CYCLIC_TREE, cyclic=True)
+def flow_tree_in_rounds(g: Graph) -> DataFrame:
+    """As if every entry's subgraph were too large for one task."""
+    return paths.flow_tree(g, walked=0)
+
+
 # --- reports ---
 
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
+    """df written in n buckets by a key, and read again: joins by the key don't shuffle it. n: as many as partitions of a shuffle."""
+    spark = df.sparkSession
+    path, table = table_path(spark, name), f"t{uuid.uuid4().hex}"
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    rows = spark.read.table(table)
+    rows.schema  # noqa: B018  the plan is made, with its buckets
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry only: its files stay, and go with the shared folder's other tables
+    return rows
+
+
 class Scratch:
     """Tables of intermediate rounds: gone when the block ends, so that a long session keeps results only."""
 
@@ -50,6 +63,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """df, saved, and how many rows it has, counted as they are written."""
+        seen = Observation()
+        rows = self.saved(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return rows, seen.get["n"]
+
     def __exit__(self, *_) -> None:
         for path in self.paths:
             _remove(self.spark, path)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.relational import event_pairs
 
 #: What suppliers with these last digits handle.
 HANDLED = ("economy", "promo", "small", "large", "legacy")
@@ -76,8 +75,8 @@ def star_graph(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
         .union(tag(t["part"].filter("p_partkey % 100 = 0"), _id("part", "p_partkey"), "emits", F.concat(F.lit("part."), F.lower("p_type"))))
         .union(tag(t["supplier"].filter("s_suppkey % 10 < 5"), _id("supplier", "s_suppkey"), "handles", handled))
     )
-    edges = calls.distinct().union(other).union(event_pairs(tags)).distinct()
+    edges = calls.union(other).distinct()
     users = t["events"].select("user_id", "event_type").distinct()
     external = t["supplier"].filter("s_suppkey % 3 = 0").join(users, F.col("s_suppkey") == F.col("user_id"))
     external = external.select(_id("supplier", "s_suppkey").alias("node_id"), F.col("event_type").alias("package"), F.concat("event_type", F.lit(".call")).alias("symbol"))
-    return Graph(nodes, edges, tags, external)
+    return Graph(nodes, edges, tags, external).with_hubs()

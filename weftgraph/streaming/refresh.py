@@ -1,9 +1,10 @@
 """Incremental refresh: a stream of changed files replaces what the graph knows of them.
 
-Each micro-batch holds (file, language, text, symbols, calls) of changed files. Their nodes,
-tags, edges and external calls go, what the batch has of them comes, and event edges are
-made anew. A batch that is delivered again leaves the graph as it is. Only the store's parts
-that hold something of these files are written, and the event edges.
+Each micro-batch holds (file, language, text, symbols, calls, version) of changed files. Their
+nodes, tags, edges and external calls go, what the batch has of them comes, and the hubs of
+their events follow, in one version of the store, which also names the batch: one that is
+delivered again finds its number there and is passed over. Only parts of the store are written
+that hold something of these files.
 """
 
 from __future__ import annotations
@@ -11,54 +12,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
-from ..graph import Graph
 from ..plans.build import extract
-from ..schema import KEYS
 from ..sources import symbols
 from ..sources.config import Config
 from ..sources.shared import saved
-from ..sources.store import GraphStore, part_of
+from ..sources.store import GraphStore
 
-#: A changed file; calls: JSON array of {source, calls}, source a symbol's qualified name.
-CHANGES = "file string, language string, text string, symbols string, calls string"
+#: A changed file; calls: JSON array of {source, calls}, source a symbol's qualified name; version: the greater is the later.
+CHANGES = "file string, language string, text string, symbols string, calls string, version long"
 _CALLS = "array<struct<source: string, calls: string>>"
 
 
-def without_files(graph: Graph, gone: DataFrame) -> Graph:
-    """The graph without the nodes of the files in `gone` (file), and without edges that leave them.
+def apply_changes(store: GraphStore, batch: DataFrame, project: str, config: Config, mark: str | None = None) -> None:
+    """One micro-batch. Of several versions of a file in it the latest counts; of equal ones that with the greatest text.
 
-    Edges into them from other files stay: what they call keeps its id, or dangles until it is back.
+    A file without text and symbols is gone. mark: the batch's name; the store keeps that of the
+    last batch, which isn't applied again.
     """
-    ids = graph.nodes.join(gone, "file", "left_semi").select("id")
-
-    def keep(rows: DataFrame, key: str) -> DataFrame:
-        return rows.join(ids, rows[key] == ids["id"], "left_anti")
-
-    return Graph(graph.nodes.join(gone, "file", "left_anti").select(*graph.nodes.columns), keep(graph.edges, "source_id"), keep(graph.tags, "node_id"), keep(graph.external_calls, "node_id"))
-
-
-def apply_changes(store: GraphStore, batch: DataFrame, project: str, config: Config) -> None:
-    """One micro-batch; of several versions of a file in it, any one counts."""
-    batch = saved(batch.dropDuplicates(["file"]), "changes")
+    if mark is not None and store.meta().get("refreshed") == mark:
+        return
+    version = F.col("version") if "version" in batch.columns else F.lit(0)
+    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc_nulls_last(version), F.desc_nulls_last("text"), F.desc_nulls_last("symbols"), F.desc_nulls_last("calls")))
+    batch = saved(batch.withColumn("_nth", last).filter("_nth = 1").drop("_nth"), "changes")
     named = symbols.symbol_nodes(batch.filter("symbols IS NOT NULL").select("file", "language", "symbols"))
     each = batch.select("file", F.explode(F.from_json("calls", _CALLS)).alias("c"))
     each = each.select(F.concat("file", F.lit("::"), F.col("c.source")).alias("source_id"), F.col("c.calls").alias("calls"))
     call_dump = each.join(named.select(F.col("id").alias("source_id"), "kind", "language"), "source_id").select("source_id", "kind", "language", "calls")
     none = batch.sparkSession.createDataFrame([], "target_id string, refs string")
     new, _ = extract(batch.select("file", "language", "text"), batch.filter("symbols IS NOT NULL").select("file", "language", "symbols"), call_dump, none, project, config)
-    parts = store.parts()
-    known = store.open().nodes.join(batch.select("file"), "file", "left_semi")
-    touched = batch.select(F.col("file").alias("key")).unionByName(known.select(F.col("id").alias("key")))
-    inside = {r["part"] for r in touched.select(part_of(F.col("key"), parts).alias("part")).distinct().collect()}
-    own, others = store.open_parts(inside)
-    old = without_files(own, batch.select("file"))
-    merged = Graph(*[getattr(old, t).unionByName(getattr(new, t)).dropDuplicates(KEYS[t]) for t in ("nodes", "edges", "tags", "external_calls")])
-    merged = merged.with_tables(tags=merged.tags.join(merged.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"))
-    store.replace_parts(merged, inside, others)
+    store.replace_files(batch.select("file"), new, **({} if mark is None else {"refreshed": mark}))
 
 
 def refresh(changes: DataFrame, store: GraphStore, project: str, config: Config, checkpoint: str, **trigger) -> StreamingQuery:
-    """Starts the refresh of a store by a streaming DataFrame of CHANGES."""
-    writer = changes.writeStream.foreachBatch(lambda batch, _: apply_changes(store, batch, project, config)).option("checkpointLocation", checkpoint)
+    """Starts the refresh of a store by a streaming DataFrame of CHANGES (`version` may be missing)."""
+    apply = lambda batch, number: apply_changes(store, batch, project, config, f"{checkpoint} {number}")
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
