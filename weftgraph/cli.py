@@ -13,7 +13,7 @@ from .graph import Graph
 from .operators import closure, lint, paths, relational
 from .operators.relational import SymbolError, in_order
 from .plans import build as building
-from .plans import render, reports
+from .plans import lines, render, reports
 from .sources import config as configs
 from .sources import files
 from .sources.store import GraphStore, StoreError
@@ -52,6 +52,10 @@ class Commands:
     def _listed(self, rows: DataFrame) -> list:
         return in_order(rows).collect()
 
+    def _text(self, rows: DataFrame) -> str:
+        """A table of lines as they are printed."""
+        return "\n".join(r["line"] for r in rows.orderBy("o", "line").toLocalIterator())
+
     def init(self) -> str:
         path = Path(self.root, configs.FILE)
         Path(self.root, STORE).mkdir(parents=True, exist_ok=True)
@@ -88,48 +92,49 @@ class Commands:
 
     def overview(self, as_json: bool = False) -> str:
         graph = self.graph
-        rows = self._listed(relational.flows(graph)), self._listed(relational.boundaries(graph)), self._events(graph)
-        return render.as_json(render.overview_data(*rows)) if as_json else render.overview(*rows)
+        if not as_json:
+            return self._text(lines.overview(graph))
+        return render.as_json(render.overview_data(self._listed(relational.flows(graph)), self._listed(relational.boundaries(graph)), self._events(graph)))
 
     def _events(self, graph: Graph) -> list:
         return relational.events(graph).orderBy("event_name", "emitter_file", "emitter_name", "handler_file", "handler_name").collect()
 
     def flows(self, as_json: bool = False) -> str:
-        rows = self._listed(relational.flows(self.graph))
-        return render.as_json(render.overview_data(rows, [], [])["flows"]) if as_json else "\n".join(render.flow_line(r) for r in rows)
+        if not as_json:
+            return self._text(lines.flows(self.graph))
+        return render.as_json(render.overview_data(self._listed(relational.flows(self.graph)), [], [])["flows"])
 
     def flow(self, name: str, as_json: bool = False) -> str:
         graph = self.graph
         if graph.tags.filter((F.col("kind") == "flow") & (F.col("value") == name)).isEmpty():
             raise Failure(f"Unknown flow: {name}")
-        rows = paths.flow_tree(graph, name).orderBy("entry", "ord").collect()
-        trees = render.grouped(rows, "entry")
-        if as_json:
-            return render.as_json([[r.asDict() for r in own] for own in trees.values()])
-        first = sorted(trees.values(), key=lambda own: (own[0]["file"], own[0]["line_start"], own[0]["id"]))
-        return "\n".join(render.tree(own) for own in first)
+        if not as_json:
+            return self._text(lines.flow(graph, name))
+        trees = render.grouped(paths.flow_tree(graph, name).orderBy("entry", "ord").collect(), "entry")
+        return render.as_json([[r.asDict() for r in own] for own in trees.values()])
 
     def context(self, symbol: str, as_json: bool = False) -> str:
         graph = self.graph
         node = self._one(graph, symbol)
+        if not as_json:
+            return self._text(lines.context(graph, node["id"]))
         bound = relational.boundary_of_node(graph, last=False).filter(F.col("node_id") == node["id"]).collect()
         flows = [r["flow"] for r in closure.flows_for_node(graph, node["id"]).orderBy("flow").collect()]
-        parts = (node, flows, self._listed(relational.callers(graph, node["id"])), self._listed(relational.callees(graph, node["id"])), bound[0]["boundary"] if bound else None)
-        return render.as_json(render.context_data(*parts)) if as_json else render.context(*parts)
+        near = [self._listed(step(graph, node["id"])) for step in (relational.callers, relational.callees)]
+        return render.as_json(render.context_data(node, flows, *near, bound[0]["boundary"] if bound else None))
 
-    def _near(self, rows: DataFrame, sign: str, as_json: bool) -> str:
-        found = self._listed(rows)
-        if as_json:
-            return render.as_json([r.asDict() for r in found])
-        return "\n".join(f"{sign} {render.place(r)}" for r in found)
+    def _near(self, step: str, symbol: str, as_json: bool) -> str:
+        graph = self.graph
+        node_id = self._one(graph, symbol)["id"]
+        if not as_json:
+            return self._text(getattr(lines, step)(graph, node_id))
+        return render.as_json([r.asDict() for r in self._listed(getattr(relational, step)(graph, node_id))])
 
     def callers(self, symbol: str, as_json: bool = False) -> str:
-        graph = self.graph
-        return self._near(relational.callers(graph, self._one(graph, symbol)["id"]), "←", as_json)
+        return self._near("callers", symbol, as_json)
 
     def callees(self, symbol: str, as_json: bool = False) -> str:
-        graph = self.graph
-        return self._near(relational.callees(graph, self._one(graph, symbol)["id"]), "→", as_json)
+        return self._near("callees", symbol, as_json)
 
     def trace(self, flow: str, to: str, as_json: bool = False) -> str:
         graph = self.graph
@@ -151,23 +156,20 @@ class Commands:
     def impact(self, symbol: str, as_json: bool = False) -> str:
         graph = self.graph
         node = self._one(graph, symbol)
-        rows = render.grouped(reports.impact_rows(graph, node["id"]).collect(), "part")
-        items = lambda part: [r["item"] for r in rows.get(part, [])]
-        ids = self.spark.createDataFrame([(i,) for i in sorted({*items("direct"), *items("transitive")})], "id string")
-        nodes = {r["id"]: r for r in graph.nodes.join(ids, "id", "left_semi").collect()}
-        order = lambda i: (nodes[i]["file"], nodes[i]["line_start"], i)
-        listed = lambda part: [nodes[i] for i in sorted(items(part), key=order)]
-        if as_json:
-            return render.as_json({p: sorted(items(p)) for p in ("direct", "transitive", "flow", "test")})
-        return render.impact(listed("direct"), listed("transitive"), sorted(items("flow")), listed("test"))
+        if not as_json:
+            return self._text(lines.impact(graph, node["id"]))
+        rows = render.grouped(reports.impact_rows(graph, node["id"]).orderBy("item").collect(), "part")
+        return render.as_json({p: [r["item"] for r in rows.get(p, [])] for p in ("direct", "transitive", "flow", "test")})
 
     def boundaries(self, as_json: bool = False) -> str:
-        rows = self._listed(relational.boundaries(self.graph))
-        return render.as_json(render.overview_data([], rows, [])["boundaries"]) if as_json else render.boundaries(rows)
+        if not as_json:
+            return self._text(lines.boundaries(self.graph))
+        return render.as_json(render.overview_data([], self._listed(relational.boundaries(self.graph)), [])["boundaries"])
 
     def events(self, as_json: bool = False) -> str:
-        rows = self._events(self.graph)
-        return render.as_json(render.overview_data([], [], rows)["events"]) if as_json else render.events(rows)
+        if not as_json:
+            return self._text(lines.events(self.graph))
+        return render.as_json(render.overview_data([], [], self._events(self.graph))["events"])
 
     def code(self, symbol: str) -> str:
         node = self._one(self.graph, symbol)

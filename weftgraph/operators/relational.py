@@ -48,6 +48,14 @@ def resolve_one(graph: Graph, symbol: str):
     return found[0]
 
 
+def only(graph: Graph, symbol: str) -> DataFrame:
+    """The only node that a symbol stands for, as a row; none for an unknown symbol, and an error for an ambiguous one when it is read."""
+    found = resolve_symbol(graph, symbol).limit(2)
+    several = found.agg((F.count("*") > 1).alias("_several"))  # of two rows at most
+    bad = F.raise_error(F.lit(f"Ambiguous symbol: {symbol}")).cast("boolean")
+    return found.join(F.broadcast(several)).filter(F.when(F.col("_several"), bad).otherwise(True)).drop("_several")
+
+
 def callers(graph: Graph, node_id: str) -> DataFrame:
     """Nodes with a followed edge to the node, once for each edge."""
     to = graph.edges_into(node_id).select(F.col("source_id").alias("id"))

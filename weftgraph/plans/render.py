@@ -1,4 +1,4 @@
-"""Texts and JSON of listings and reports, from collected and ordered rows."""
+"""JSON of listings and reports, and the texts of short ones, from collected and ordered rows."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ def place(row) -> str:
     return f"{row['name']} ({row['file']}:{row['line_start']})"
 
 
-def plural(n: int, noun: str) -> str:
-    return f"{n} {noun}" + ("" if n == 1 else "s")
-
-
 def as_json(data) -> str:
     """Indented JSON; what is None is left out."""
 
@@ -36,22 +32,6 @@ def route(row) -> str | None:
     return (row["metadata"] or {}).get("route")
 
 
-def flow_line(row) -> str:
-    way = f"{route(row)} " if route(row) else ""
-    return f"{row['value']:<20} → {way}({row['file']}:{row['line_start']})"
-
-
-def event_text(row) -> str:
-    return f"emitted by {row['emitter_name']}, handled by {row['handler_name']}"
-
-
-def overview(flows, boundaries, events) -> str:
-    out = ["Flows:", *(f"  {flow_line(r)}" for r in flows), "", "Boundaries:"]
-    for name, rows in grouped(boundaries, "value").items():
-        out.append(f"  {name:<20} → {plural(len(rows), 'function')} across {plural(len({r['file'] for r in rows}), 'file')}")
-    return "\n".join([*out, "", "Events:", *(f"  {r['event_name']:<20} → {event_text(r)}" for r in events)])
-
-
 def overview_data(flows, boundaries, events) -> dict:
     return {
         "flows": [{"name": r["value"], "entryPoint": r["name"], "file": r["file"], "line": r["line_start"], "route": route(r)} for r in flows],
@@ -67,58 +47,17 @@ def arrow(depth: int) -> str:
     return "  " * depth + "→ " if depth else ""
 
 
-def tree(rows) -> str:
-    """One entry's rows in walking order."""
-    lines = []
-    for r in rows:
-        bound = f" [{r['boundary']}]" if r["boundary"] else ""
-        emits = f" emits {r['emits']}" if r["emits"] else ""
-        lines.append(f"{arrow(r['depth'])}{place(r)}{bound}{emits}")
-    return "\n".join(lines)
-
-
 def chain(nodes, boundary_of: dict[str, str]) -> str:
     """A path's nodes, each deeper than the one before."""
     return "\n".join(f"{arrow(i)}{place(n)}" + (f" [{boundary_of[n['id']]}]" if n["id"] in boundary_of else "") for i, n in enumerate(nodes))
 
 
-def section(title: str, lines: list[str]) -> list[str]:
-    return ["", title, *lines] if lines else []
-
-
-def context(node, flows, callers, callees, boundary) -> str:
-    out = [place(node)]
-    if node["signature"]:
-        out.append(f"  signature: {node['signature']}")
-    if flows:
-        out.append(f"  flows: {', '.join(flows)} (derived)")
-    out += section("  callers:", [f"    ← {place(r)}" for r in callers])
-    out += section("  callees:", [f"    → {place(r)}" for r in callees])
-    return "\n".join([*out, *(["", f"  boundary: {boundary}"] if boundary else [])])
-
-
 def context_data(node, flows, callers, callees, boundary) -> dict:
     near = lambda rows: [{"id": r["id"], "name": r["name"], "file": r["file"], "line": r["line_start"]} for r in rows]
     own = {"id": node["id"], "name": node["name"], "file": node["file"], "line": node["line_start"], "signature": node["signature"]}
     return {**own, "flows": flows, "callers": near(callers), "callees": near(callees), "boundary": boundary}
 
 
-def impact(direct, transitive, flows, tests) -> str:
-    out = ["Direct callers:", *(f"  ← {place(r)}" for r in direct)]
-    out += section("Transitive callers:", [f"  ← {place(r)}" for r in transitive])
-    if flows:
-        out += ["", f"Affected flows: {', '.join(flows)}"]
-    return "\n".join([*out, *section("Tests:", [f"  {r['id']}" for r in tests])])
-
-
-def boundaries(rows) -> str:
-    return "\n".join(line for name, own in grouped(rows, "value").items() for line in (f"{name}:", *(f"  {place(r)}" for r in own)))
-
-
-def events(rows) -> str:
-    return "\n".join(f"{r['event_name']} → {event_text(r)}" for r in rows)
-
-
 def lint(issues, coverage) -> str:
     """Errors and warnings; remarks are only counted in the JSON form."""
     out = []

@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cli import Commands
 from ..graph import Graph
-from ..operators import relational
+from ..operators import closure, relational
 from ..schema import TABLES
 from ..sources.shared import table_path
 from ..sources.store import GraphStore
-from . import render
+from . import lines as lines_of
 from .queries import FLOW, SINK, SOURCE, TREE, table_rows
 from .registry import on_graph
 from .sql import MEMBERSHIP, over_graph
@@ -102,41 +101,26 @@ def store_event_edges(g: Graph) -> DataFrame:
 @on_graph(over_graph("select value, n.id, row_number() over (partition by value order by n.file, n.line_start, n.id) as nth from tags t join nodes n on n.id = t.node_id where t.kind = 'boundary'"))
 def grouped_listing(g: Graph) -> DataFrame:
     """Each boundary's functions, numbered in the order in which the listing has them."""
-    listed = render.grouped(relational.in_order(relational.boundaries(g)).select("value", "id").collect(), "value")
-    numbered = [(value, row["id"], nth) for value, rows in listed.items() for nth, row in enumerate(rows, 1)]
-    return g.nodes.sparkSession.createDataFrame(numbered, "value string, id string, nth long")
+    listed = closure.numbered(relational.boundaries(g).select("value", "file", "line_start", "id"), "value", "file", "line_start", "id")
+    first = listed.groupBy("value").agg(F.min("_number").alias("_least"))
+    return listed.join(first, "value").select("value", "id", (F.col("_number") - F.col("_least") + 1).alias("nth"))
 
 
 @on_graph(over_graph(f"select id, kind, name, file, line_start, line_end from nodes where id = '{SOURCE}'"))
 def resolve_one(g: Graph) -> DataFrame:
-    row = relational.resolve_one(g, SOURCE)
-    columns = ("id", "kind", "name", "file", "line_start", "line_end")
-    return g.nodes.sparkSession.createDataFrame([tuple(row[c] for c in columns)], "id string, kind string, name string, file string, line_start int, line_end int")
+    return relational.only(g, SOURCE).select("id", "kind", "name", "file", "line_start", "line_end")
 
 
 # --- what commands print ---
 
 
-class _Commands(Commands):
-    """Commands over a graph at hand."""
-
-    def __init__(self, graph: Graph):
-        super().__init__(graph.nodes.sparkSession, "/nowhere")
-        self._graph = graph
-
-    @property
-    def graph(self) -> Graph:
-        return self._graph
-
-
 def printed(lines: str, *parts: str):
-    """Registers a command: a function of _Commands that returns its text, as at (from 0) and line; `lines` is SQL of (o, line), in the order of o."""
+    """Registers a command's lines, as at (from 0) and line; `lines` is SQL of (o, line), in the order of o."""
     sql = over_graph(f"select row_number() over (order by o) - 1 as at, line from ({lines})", *parts)
 
-    def keep(function: Callable[[_Commands], str]):
+    def keep(function: Callable[[Graph], DataFrame]):
         def run(g: Graph) -> DataFrame:
-            text = function(_Commands(g))
-            return g.nodes.sparkSession.createDataFrame(list(enumerate(text.split("\n"))), "at long, line string")
+            return lines_of.in_order(function(g))
 
         run.__name__ = function.__name__
         return on_graph(sql)(run)
@@ -162,31 +146,31 @@ from tags e join tags h on h.value = e.value join nodes a on a.id = e.node_id jo
 
 
 @printed(_flow_lines(""))
-def command_flows(c: _Commands) -> str:
-    return c.flows()
+def command_flows(g: Graph) -> DataFrame:
+    return lines_of.flows(g)
 
 
 @printed(
     f"""select [value, '0', '', '', ''] as o, value || ':' as line from (select distinct value from tags where kind = 'boundary')
 union all select [t.value, '1', n.file, lpad(cast(n.line_start as varchar), 12, '0'), n.id], '  ' || {_PLACE} from {_TAGGED} 'boundary'"""
 )
-def command_boundaries(c: _Commands) -> str:
-    return c.boundaries()
+def command_boundaries(g: Graph) -> DataFrame:
+    return lines_of.boundaries(g)
 
 
 @printed(f"select [event, af, an, bf, bn] as o, event || ' → emitted by ' || an || ', handled by ' || bn as line from ({_EVENT})")
-def command_events(c: _Commands) -> str:
-    return c.events()
+def command_events(g: Graph) -> DataFrame:
+    return lines_of.events(g)
 
 
 @printed(f"select {_ORDER} as o, '← ' || {_PLACE} as line from nodes n join followed f on f.source_id = n.id where f.target_id = '{SINK}'")
-def command_callers(c: _Commands) -> str:
-    return c.callers(SINK)
+def command_callers(g: Graph) -> DataFrame:
+    return lines_of.callers(g, SINK)
 
 
 @printed(f"select {_ORDER} as o, '→ ' || {_PLACE} as line from nodes n join followed f on f.target_id = n.id where f.source_id = '{SOURCE}'")
-def command_callees(c: _Commands) -> str:
-    return c.callees(SOURCE)
+def command_callees(g: Graph) -> DataFrame:
+    return lines_of.callees(g, SOURCE)
 
 
 @printed(
@@ -198,8 +182,8 @@ union all select ['4', value, '', '', '', ''], '  ' || {_wide("value")} || ' →
 union all select ['5', '', '', '', '', ''], '' union all select ['6', '', '', '', '', ''], 'Events:'
 union all select ['7', event, af, an, bf, bn], '  ' || {_wide("event")} || ' → emitted by ' || an || ', handled by ' || bn from ({_EVENT})"""
 )
-def command_overview(c: _Commands) -> str:
-    return c.overview()
+def command_overview(g: Graph) -> DataFrame:
+    return lines_of.overview(g)
 
 
 @printed(
@@ -211,8 +195,8 @@ from tree t join nodes e on e.id = t.entry where t.flow = '"""
     + "'",
     TREE,
 )
-def command_flow(c: _Commands) -> str:
-    return c.flow(FLOW)
+def command_flow(g: Graph) -> DataFrame:
+    return lines_of.flow(g, FLOW)
 
 
 def _near(part: str, sign: str, condition: str) -> str:
@@ -229,8 +213,8 @@ union all {_near("7", "→", f"f.target_id = n.id where f.source_id = '{SINK}'")
 union all select unnest([['8', '', '', ''], ['9', '', '', '']]), unnest(['', '  boundary: ' || b]) from (select min(value) as b from tags where kind = 'boundary' and node_id = '{SINK}') where b is not null""",
     MEMBERSHIP,
 )
-def command_context(c: _Commands) -> str:
-    return c.context(SINK)
+def command_context(g: Graph) -> DataFrame:
+    return lines_of.context(g, SINK)
 
 
 _DIRECT = f"(select source_id from steps where target_id = '{SINK}')"
@@ -248,5 +232,5 @@ union all select unnest([['7', '', '', ''], ['8', '', '', '']]), unnest(['', 'Te
 union all select ['9', n.file, lpad(cast(n.line_start as varchar), 12, '0'), n.id], '  ' || n.id from nodes n where is_test and id in (select id from upstream)""",
     upstream_sql(SINK),
 )
-def command_impact(c: _Commands) -> str:
-    return c.impact(SINK)
+def command_impact(g: Graph) -> DataFrame:
+    return lines_of.impact(g, SINK)
