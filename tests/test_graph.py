@@ -127,6 +127,88 @@ def test_random_closures(spark, seed):
     assert sorted(map(tuple, closure.impact_ids(g, target).collect())) == sorted(want)
 
 
+def hubbed(spark, seed):
+    """A random graph with hubs, cycles, events of several values between the same nodes, and the same graph with its pairs listed."""
+    rng = random.Random(seed)
+    full = [f"f{rng.randrange(3)}.py::n{i}" for i in range(9)]
+    edges = {(rng.choice(full), rng.choice(full), "calls") for _ in range(9)}
+    tags = {(rng.choice(full), rng.choice(["emits", "handles"]), rng.choice("uv")) for _ in range(8)} | {(rng.choice(full), "flow", rng.choice("ab")) for _ in range(3)}
+    g = relational.synthesize_event_edges(graph_of(spark, [node(i, (rng.randrange(4), 9)) for i in full[:8]], edges, tags))
+    return g, g.with_tables(edges=g.edges), full, tags
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hubs_and_listed_pairs_have_the_same_closures_paths_and_trees(spark, seed):
+    g, pairs, full, tags = hubbed(spark, seed)
+    assert g.hubs is not None and pairs.hubs is None
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(closure.flow_membership(g)) == rows(closure.flow_membership(pairs))
+    assert rows(closure.impact_ids(g, full[0])) == rows(closure.impact_ids(pairs, full[0]))
+    wanted = spark.createDataFrame([(a, b) for a in full[:3] for b in full[3:7]], "src string, dst string")
+    assert rows(paths.simple_paths(g, wanted)) == rows(paths.simple_paths(pairs, wanted))
+    want = walked(g, tags)
+    for graph, limit in ((g, paths.WALKED), (pairs, paths.WALKED), (g, 0)):
+        got = paths.flow_tree(graph, walked=limit).select("flow", "entry", "ord", "depth", "id", "parent_id")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), limit
+
+
+def walked(g, tags):
+    """Flow trees by the definition."""
+    place = {r["id"]: (r["file"], r["line_start"], r["id"]) for r in g.nodes.collect()}
+    calls = {}
+    for r in g.edges.collect():
+        if r["target_id"] in place:
+            calls.setdefault(r["source_id"], set()).add(r["target_id"])
+    out = []
+
+    def visit(flow, entry, i, depth, parent, seen):
+        seen.append(i)
+        out.append((flow, entry, len(seen) - 1, depth, i, parent))
+        for target in sorted(calls.get(i, ()), key=place.get):
+            if target not in seen:
+                visit(flow, entry, target, depth + 1, i, seen)
+
+    for entry, kind, flow in tags:
+        if kind == "flow" and entry in place:
+            visit(flow, entry, entry, 0, None, [])
+    return out
+
+
+def test_more_labels_than_bits(spark):
+    """130 flows, of which three words of bits are needed, along a chain and a cycle."""
+    full = [f"a.py::n{i}" for i in range(130)]
+    edges = [(a, b, "calls") for a, b in zip(full, full[1:], strict=False)] + [(full[129], full[120], "calls")]
+    g = graph_of(spark, [node(i) for i in full], edges[100:], [(i, "flow", i) for i in full])
+    want = {(a, a) for a in full} | {(full[i], full[j]) for i in range(100, 130) for j in range(min(i, 120) if i > 120 else i, 130)}
+    assert set(map(tuple, closure.flow_membership(g).collect())) == want
+
+
+def test_rounds_of_closures_shuffle_no_edges(spark, g):
+    """Neither where frontiers are too large to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for steps, here in ((g.steps_on, "source_id"), (g.steps_back, "target_id")):
+            fresh = spark.range(9).select(F.col("id").cast("string").alias("id"))
+            plan = steps.join(fresh, steps[here] == fresh["id"])._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(id") == 1 and plan.count("Exchange") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert [r["_number"] for r in closure.numbered(rows, "k").orderBy("k").collect()] == list(range(1000))
+    assert closure.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_only(spark, g):
+    assert [r["id"] for r in relational.only(g, "charge").collect()] == [CHARGE]
+    assert relational.only(g, "nobody").count() == 0
+    twice = g.with_tables(nodes=g.nodes.unionByName(graph_of(spark, [node("b.py::charge")]).nodes))
+    with pytest.raises(Exception, match="Ambiguous symbol: charge"):
+        relational.only(twice, "charge").collect()
+
+
 # --- lint ---
 
 
