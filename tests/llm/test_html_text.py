@@ -103,6 +103,19 @@ COMMENTS = f"<section class=comments><h3>Comments</h3>{f'<p>{PARA} a</p>' * 6}</
         ("<article><p>a &am<b>p; b</b></p></article>", "a &amp; b"),
         ("<nav><ul><li><a href=x>Home</a></li></ul></nav><footer><p>All rights reserved.</p></footer>", ""),
         ("<article></article><footer>f</footer>", ""),
+        (f"<div class=sidebar><p>{PARA}</p></div>", ""),
+        (f"<div class=sidebar><h3>About</h3><p>{PARA}</p><p>{PARA}</p></div>", ""),
+        (f"<div id=cookie-notice><p>{PARA}</p></div>", ""),
+        (f"<aside><p>{PARA}</p></aside>", ""),
+        (f"<aside><h2>More</h2><p>{PARA}</p><p>{PARA}</p></aside>", ""),
+        (f"<footer><p>{PARA}</p></footer>", ""),
+        (f"<article></article><div class=cookie-notice><p>{PARA}</p></div>", ""),
+        (f"<form><p>{PARA}</p></form>", ""),
+        (f"<div class=page-with-sidebar><h1>Head</h1><p>{PARA}</p><p>Short.</p></div>", f"Head\n{PARA}\nShort."),
+        (f"<article><h1>Head</h1><p>{PARA}</p><div>Share on: <a href=x>X</a> <a href=y>Y</a></div></article>", f"Head\n{PARA}"),
+        (f"<main><h1>Head</h1><p>{PARA}</p><p>{PARA}</p><div class=popular><p>{PARA}</p></div></main>", f"Head\n{PARA}\n{PARA}"),
+        (f"<article><h1>Head</h1><p>{PARA}</p></article><ul class=user-posts><li>{PARA}</li><li>{PARA}</li></ul>", f"Head\n{PARA}"),
+        (f"<article><h1>Head</h1><p>{PARA}</p></article><div>© 2026 The Site, all of it.</div>", f"Head\n{PARA}"),
     ],
 )
 def test_articles_are_not_lost(page_html, want):

@@ -8,8 +8,10 @@ of a minimum cut are the main text. The classifier's weights and the edges' are
 the labelled layouts of `html_layouts`, see `fit`.
 
 What an element is called (nav, article, class, id, role) is evidence, not a veto: the
-nearest such element counts most, and one that speaks against content but holds what prose
-there is, like a form around a whole page or a menu that is never closed, is passed over.
+nearest such element counts most. One that speaks against content is passed over if it is
+the page's frame by what it holds: nearly all prose there is, and an article's landmark or
+heading, like a form around a whole page or a menu that is never closed. A sidebar, a notice
+or a footer that is alone on its page is none, and leaves it without a text.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ RAW_TO_END = frozenset("script style title textarea".split())
 RAW = RAW_TO_END | frozenset("noscript template iframe noembed noframes annotation annotation-xml".split())
 #: Elements that hold something else than the article.
 FRAME = frozenset("nav aside footer form menu dialog button select fieldset option optgroup datalist search".split())
+#: Of these, those that no page wraps around its article by mistake.
+NEVER_AROUND = frozenset("aside footer dialog button select option optgroup datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote dd figcaption".split())
 ITEMS = frozenset("li td th dt caption summary".split())
@@ -56,7 +60,7 @@ AGAINST = frozenset(
     "ad ads adsense advert advertisement adverts advertorial alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright dialog disclaimer discussion disqus donate footer foot form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices "
     "notification pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social "
-    "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo".split()
+    "popular trending reactions userposts usercomments readercomments sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo".split()
 )
 #: Speaks against a block outside articles only: an article has a header of its own.
 HEAD = "header"
@@ -75,7 +79,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {tag: re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 #: Evidence of elements: landmarks of the article, of the page's frame, names for and against content; OUTER is the weight of an outer element, or of one for content inside one against it.
-ARTICLE, FRAMED, SPOKEN_FOR, SPOKEN_AGAINST, OUTER = 1.0, -2.0, 0.5, -1.5, 0.5
+ARTICLE, FRAMED, SPOKEN_FOR, SPOKEN_AGAINST, OUTER = 1.0, -2.0, 0.5, -2.5, 0.5
 #: Words from which text outside paragraphs is called prose and prose may be an article, and the share of it that a frame must leave outside in order to count.
 PROSE_WORDS, LEFT_OUTSIDE = 12, 0.1
 
@@ -104,6 +108,8 @@ class _Element:
     sign: float
     outer: int
     named: bool  # by class, id or role, not by its tag
+    aside: bool  # a tag that never frames a page
+    inside: bool  # of an article or main element
     first: int
     last: int = 1 << 60
 
@@ -158,7 +164,7 @@ def _sign(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
 def blocks(page: str) -> list[Block]:
     """A page's text blocks in order, with their evidence. Tags that aren't closed end where HTML lets them."""
     out: list[Block] = []
-    elements: list[_Element] = [_Element(0.0, 0, False, 0)]
+    elements: list[_Element] = [_Element(0.0, 0, False, False, False, 0)]
     stack: list[_Open] = [_Open("", 0, 0, False, "", 0, 0, False, False)]
     opened: dict[str, int] = {}
     parts: list[str] = []
@@ -249,7 +255,7 @@ def blocks(page: str) -> list[Block]:
         element = top.element
         if sign:
             element = len(elements)
-            elements.append(_Element(sign, top.element, named, len(out)))
+            elements.append(_Element(sign, top.element, named, tag in NEVER_AROUND, top.inside, len(out)))
         opened[tag] = opened.get(tag, 0) + 1
         stack.append(
             _Open(tag, number, element, bool(sign), tag if block else top.block_tag, number if block else top.block_number, top.depth + block, inside, top.link or tag == "a")
@@ -257,14 +263,31 @@ def blocks(page: str) -> list[Block]:
     add(page[at:])
     end_block()
     _weigh(out, elements)
+    _by_text(out)
     return out
 
 
+#: Begins a row of links to share a page, and a line about rights.
+_SHARE = re.compile(r"\W*(share|follow us|tweet|print|e-?mail this)\b", re.I)
+_RIGHTS = re.compile(r"\W*(©|\(c\)\s*\d{4}|copyright\W+(©|\(c\)|\d{4}))", re.I)
+SHORT = 8  # words
+
+
+def _by_text(found: list[Block]) -> None:
+    """What a short block itself says: an offer to share a page counts as links, a line about rights against content."""
+    for b in found:
+        if b.words <= SHORT and b.linked and _SHARE.match(b.text):
+            b.linked = len(b.text)
+        if b.words <= 2 * SHORT and _RIGHTS.match(b.text):
+            b.evidence += FRAMED
+
+
 def _weigh(found: list[Block], elements: list[_Element]) -> None:
     """Sets the blocks' evidence: that of the nearest element with some, and part of the outer ones'.
 
-    An element against content is passed over if it holds most of the page's prose, and an
-    article or enough of it to be one, and next to none stands outside.
+    An element against content is passed over if it holds most of the page's prose, next to
+    none stands outside, and it is an article's frame: it holds one or lies in one, or has a
+    page's heading, or, if only a form's or menu's tag speaks against it, any heading with prose.
     """
 
     def total() -> list[float]:
@@ -278,17 +301,19 @@ def _weigh(found: list[Block], elements: list[_Element]) -> None:
     prose = np.array([b.words * b.prose for b in found])
     good = np.array([value[b.element] > 0 for b in found], dtype=bool)
     fair = np.array([value[b.element] >= 0 for b in found], dtype=bool)
-    before = [np.concatenate([[0], np.cumsum(x)]) for x in (prose, prose * good, prose * fair)]
+    titles = [np.array([b.tag in tags for b in found], dtype=int) for tags in (("h1",), HEADINGS)]
+    before = [np.concatenate([[0], np.cumsum(x)]) for x in (prose, prose * good, prose * fair, *titles)]
     landmarks = [i for i, e in enumerate(elements) if e.sign >= ARTICLE]
     passed = False
     for i, e in enumerate(elements):
         if e.sign < 0:
             last = min(e.last, len(found))
-            held, held_good, held_fair = (int(x[last] - x[e.first]) for x in before)
+            held, held_good, held_fair, title, headings = (int(x[last] - x[e.first]) for x in before)
             outside_good, outside = int(before[1][-1]) - held_good, int(before[2][-1]) - held_fair
             inner = bisect.bisect_right(landmarks, i)
             article = inner < len(landmarks) and elements[landmarks[inner]].first < last
-            most = 2 * held > before[0][-1] and not outside_good and (article or held >= PROSE_WORDS)
+            frame = article or e.inside or title or (headings and not e.named and not e.aside)
+            most = frame and 2 * held > before[0][-1] and not outside_good and (article or held >= PROSE_WORDS)
             if most and (outside == 0 if e.named and not article else outside <= LEFT_OUTSIDE * held):
                 e.sign, passed = 0.0, True
     if passed:
@@ -300,7 +325,7 @@ def _weigh(found: list[Block], elements: list[_Element]) -> None:
 FEATURES = ("bias", "length", "sentence", "links", "paragraph", "heading", "item", "evidence")
 # Weights of FEATURES, and of edges: inside one element with evidence to the block before, to a sibling further up, and across such elements.
 # What fit() gives for html_layouts.pages().
-WEIGHTS = (-1.87, 1.01, 1.04, -6.87, 1.62, 4.36, 4.58, 4.43)
+WEIGHTS = (-2.71, 1.8, 1.98, -7.16, 1.51, 5.95, 4.7, 4.22)
 NEIGHBOUR, SIBLING, ACROSS = 1.85, 0.05, 0.11
 
 
