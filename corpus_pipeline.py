@@ -47,8 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has; n_chars follows the text.
 
-    Null texts stay null, with a null n_chars; rows that share an id are no earlier than each
-    other; long texts are read whole; an empty table stays empty; all other columns keep
+    Null texts become empty ones, with n_chars 0; rows that share an id are no earlier than
+    each other; long texts are read whole; an empty table stays empty; all other columns keep
     their values.
     """
     return substring_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
