@@ -105,3 +105,9 @@ def test_odd_rows_pass_all_stages(spark):
         for _, stage in cp.STAGES:
             table = stage(spark, table, SF)
         table.collect()
+
+
+def test_null_texts_become_empty_ones(spark):
+    docs = spark.createDataFrame([(1, None, "en", "s", None), (2, "kept", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.repeated_passages(spark, docs, SF).collect()}
+    assert got == {1: ("", 0), 2: ("kept", 4)}
