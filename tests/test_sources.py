@@ -10,6 +10,7 @@ from tests.golden import CHARGE, CREATE, HANDLE, node, shop
 from weftgraph import cli
 from weftgraph.operators.relational import synthesize_event_edges
 from weftgraph.schema import EDGES, EXTERNAL_CALLS, NODES, TAGS
+from weftgraph.plans import build
 from weftgraph.sources import calls, config, files, python_ast, references, symbols, tags
 from weftgraph.sources.store import GraphStore, StoreError, part_of
 from weftgraph.streaming.refresh import CHANGES, apply_changes, refresh
@@ -222,7 +223,7 @@ match z:
 with a as b:
     def held(): pass
 """
-    tree = json.loads(python_ast.dump_file("a.py", text, frozenset(), "file:///p")[0][2])
+    tree = json.loads(python_ast.parse_file("a.py", text)[0][1])
     assert [s["name"] for s in tree] == ["after", "last", "run", "elsewhere", "Other", "looped", "ended", "again", "cased", "held"]
     assert [s["name"] for s in tree[4]["children"]] == ["inner"]
 
@@ -310,6 +311,55 @@ def test_command_line(spark, project):
     assert json.loads(run("callees", "handle_checkout", "--json"))[0]["name"] == "create_order"
 
 
+def test_imports_meet_the_listing_in_a_join(spark):
+    """From the root or beside the importing file, modules before names, packages where no file is."""
+    text = "import a.b as m\nfrom . import near\nfrom pack import inner, thing\nimport numpy as np\n\ndef f():\n    m.go(); near.run(); inner.x(); thing(); np.sum(); own(); other()\n\ndef own():\n    pass\n"
+    sources = spark.createDataFrame([("src/x.py", text), ("src/bad.py", "def ("), ("src/none.py", None)], "file string, text string")
+    rows = python_ast.parsed(sources)
+    assert [(r["file"], bool(r["error"])) for r in rows.filter("error IS NOT NULL").collect()] == [("src/bad.py", True)]
+    files_ = spark.createDataFrame([(f,) for f in ("src/x.py", "a/b.py", "src/a/b.py", "src/near.py", "pack/inner.py", "src/pack/__init__.py")], "file string")
+    made = python_ast.dump(rows, files_, "file:///p").collect()
+    got = {r["source_name"]: [(c["to"]["name"], c["to"]["uri"]) for c in json.loads(r["calls"])] for r in made if r["calls"]}
+    assert got == {
+        "f": [("go", "file:///p/a/b.py"), ("run", "file:///p/src/near.py"), ("x", "file:///p/pack/inner.py"), ("thing", "file:///p/src/pack/__init__.py"), ("sum", "file:///p/node_modules/numpy"), ("own", "file:///p/src/x.py")],
+        "own": [],
+    }
+    assert {r["file"] for r in made if r["symbols"]} == {"src/x.py", "src/none.py"}
+
+
+def test_update_equals_a_fresh_build(spark, tmp_path):
+    """Files are modified, one after the other: only their parts are written. One that comes or goes asks for a whole build."""
+    root = tmp_path / "p"
+    own = config.parse_config('[project]\nlanguages = ["python"]\n[python]\nsource_roots = ["src"]')
+    texts = SHOP | {f"src/m{i}.py": f"def f{i}():\n    pass\n" for i in range(8)}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    kept = GraphStore(spark, str(tmp_path / "kept"))
+    assert build.build(spark, str(root), kept, own).unparsed == 0
+    changes = [
+        ("src/gateways.py", "# @weft:boundary adyen\n# @weft:emits paid\ndef charge(req):\n    helper()\n\ndef helper():\n    pass\n"),
+        ("src/workers.py", "import m3\n\nclass Mailer:\n    # @weft:handles paid\n    def send(self, o):\n        m3.f3()\n"),
+        ("src/m8.py", "import services\n\ndef f8():\n    services.announce(1)\n"),
+    ]
+    for turn, (name, text) in enumerate(changes):
+        before = kept.version().folders
+        (root / name).write_text(text)
+        later = 2_000_000_000 + 10 * turn
+        os.utime(root / name, (later, later))
+        if turn:
+            kept.set_meta("last_build", str((later - 5) * 1000))
+        assert build.update(spark, str(root), kept, own)[:2] == (1, 12 if turn < 2 else 13)
+        fresh = GraphStore(spark, str(tmp_path / f"fresh{turn}"))
+        build.build(spark, str(root), fresh, own)
+        for t in ("nodes", "edges", "tags", "external_calls"):
+            assert rows(getattr(kept.open(), t)) == rows(getattr(fresh.open(), t)), (name, t)
+        if turn < 2:
+            after = kept.version().folders
+            untouched = [k for k in before if k[0] in ("nodes", "edges", "tags") and before[k] == after.get(k)]
+            assert len(untouched) > len(before) / 4
+
+
 def test_build_from_dumps(spark, tmp_path):
     for name, text in {"src/a.ts": "// @weft:flow go\nfunction a() { b() }\n", "src/b.ts": "function b() {}\n"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -68,7 +68,8 @@ class Commands:
 
     def build(self) -> str:
         s = building.build(self.spark, self.root, self.store, self.config)
-        return f"Built graph: {s.files} files, {s.nodes} nodes, {s.edges} edges, {s.tags} tags ({s.milliseconds}ms)"
+        bad = f"\nWarning: {s.unparsed} files could not be parsed" if s.unparsed else ""
+        return f"Built graph: {s.files} files, {s.nodes} nodes, {s.edges} edges, {s.tags} tags ({s.milliseconds}ms){bad}"
 
     def update(self) -> str:
         changed, total, ms = building.update(self.spark, self.root, self.store, self.config)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -30,20 +30,24 @@ class Stats:
     edges: int
     tags: int
     milliseconds: int
+    unparsed: int = 0
 
 
-def extract(sources: DataFrame, symbol_dump: DataFrame, call_dump: DataFrame, ref_dump: DataFrame, project: str, config: Config) -> tuple[Graph, DataFrame]:
-    """The graph (its edges and tags still with repeats), and the tag errors.
+def extract(
+    sources: DataFrame, symbol_dump: DataFrame, call_dump: DataFrame, ref_dump: DataFrame, project: str, config: Config, seen: dict[str, Observation] | None = None
+) -> tuple[Graph, DataFrame]:
+    """The graph (its edges and tags still with repeats), and the tag errors. seen: gets counts (n) of nodes, edges and tags, made as they are written.
 
     sources: file, language, text. symbol_dump: file, language, symbols. call_dump:
     source_id, kind, language, calls. ref_dump: target_id, refs.
     """
     test_paths = tuple(p for c in config.to_build() for p in c.test_paths)
-    nodes = saved(symbols.symbol_nodes(symbol_dump, test_paths), "symbols")
+    seen = {} if seen is None else seen
+    nodes = saved(_observed(symbols.symbol_nodes(symbol_dump, test_paths), seen, "nodes"), "symbols")
     found = saved(calls.outgoing_calls(call_dump), "calls")
     refs = references.located(ref_dump, project)
-    edges = calls.call_edges(found, project).unionByName(references.reference_edges(refs, nodes))
-    scanned = saved(tags.scan(sources, nodes, config.marker), "tags")
+    edges = saved(_observed(calls.call_edges(found, project).unionByName(references.reference_edges(refs, nodes)), seen, "edges"), "edges")
+    scanned = saved(_observed(tags.scan(sources, nodes, config.marker), seen, "tags", F.count_if(F.col("error").isNull())), "tags")
     graph = Graph(
         nodes.drop("ord", "select_line", "select_character"),
         edges,
@@ -53,13 +57,19 @@ def extract(sources: DataFrame, symbol_dump: DataFrame, call_dump: DataFrame, re
     return graph, scanned.filter("error IS NOT NULL").select("file", "tag_line", "error")
 
 
-def project_files(spark: SparkSession, root: str, config: Config, text: bool = False) -> DataFrame:
-    """path, file (below root), modified, language (and text) of all source files, each once."""
+def _observed(rows: DataFrame, seen: dict[str, Observation], name: str, count: Column | None = None) -> DataFrame:
+    seen[name] = Observation()
+    return rows.observe(seen[name], (F.count(F.lit(1)) if count is None else count).alias("n"))
+
+
+def project_files(spark: SparkSession, root: str, config: Config, text: bool = False, since: int | None = None) -> DataFrame:
+    """path, file (below root), modified, language (and text) of all source files, each once; since: of those modified later only."""
     out = None
     for c in config.to_build():
         for source_root in c.source_roots:
             below = "" if source_root in (".", "") else source_root.strip("/") + "/"
             rows = files.discover(spark, f"{root}/{below}".rstrip("/"), files.EXTENSIONS[c.language], config.exclude, text)
+            rows = rows if since is None else files.changed_since(rows, since)
             rows = rows.withColumns({"file": F.concat(F.lit(below), "file"), "language": F.lit(c.language)})
             out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -83,48 +93,85 @@ def read_dumps(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found if "symbols" in found else {}
 
 
+def _python_dumps(own: DataFrame, listed: DataFrame, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbol dump and call dump of Python sources, and the rows of their syntax trees."""
+    rows = saved(python_ast.parsed(own), "parsed")
+    made = saved(python_ast.dump(rows, listed, project), "python")
+    symbol_dump = made.filter("symbols IS NOT NULL").select("file", "language", "symbols")
+    named = symbols.symbol_nodes(symbol_dump)
+    place = named.select("file", F.col("name").alias("source_name"), F.col("line_start").alias("source_line"), F.col("id").alias("source_id"), "kind", "language")
+    call_dump = made.filter("calls IS NOT NULL").select("file", "source_name", "source_line", "calls").join(place, ["file", "source_name", "source_line"])
+    return symbol_dump, call_dump.select("source_id", "kind", "language", "calls"), rows
+
+
+def _digest(listed: DataFrame) -> Column:
+    """An aggregate of a listing that tells its files' names, in any order."""
+    return F.concat_ws("-", F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("file").cast("decimal(38,0)")), F.lit(0)))
+
+
 def build(spark: SparkSession, root: str, store: GraphStore, config: Config, dumps: dict[str, DataFrame] | None = None) -> Stats:
-    """Indexes all files below root and replaces the store's tables. dumps: by the names in DUMPS, else what the store's folder has."""
+    """Indexes all files below root and replaces the store's tables. dumps: by the names in DUMPS, else what the store's folder has.
+
+    Counts are made while tables are written.
+    """
     began = time.time()
     project = f"file://{root}"
-    listed = saved(project_files(spark, root, config), "files")
+    seen = {"listed": Observation()}
+    found = project_files(spark, root, config)
+    listed = saved(found.observe(seen["listed"], F.count(F.lit(1)).alias("n"), _digest(found).alias("digest")), "files")
     sources = saved(project_files(spark, root, config, text=True).select("file", "language", "text"), "sources")
     dumps = read_dumps(spark, f"{store.path}/dumps") if dumps is None else dumps
     own = sources.filter("language = 'python'")
     if "symbols" in dumps:
         own = own.join(dumps["symbols"].select("file"), "file", "left_anti")
-    names = [r["file"] for r in listed.select("file").collect()]
-    made = saved(python_ast.dump(own, names, project), "python")
-    symbol_dump = made.filter("symbols IS NOT NULL").select("file", "language", "symbols")
-    named = symbols.symbol_nodes(symbol_dump)
-    place = named.select("file", F.col("name").alias("source_name"), F.col("line_start").alias("source_line"), F.col("id").alias("source_id"), "kind", "language")
-    call_dump = made.filter("calls IS NOT NULL").select("file", "source_name", "source_line", "calls").join(place, ["file", "source_name", "source_line"])
-    call_dump = call_dump.select("source_id", "kind", "language", "calls")
+    symbol_dump, call_dump, rows = _python_dumps(own, listed, project)
     ref_dump = spark.createDataFrame([], "target_id string, refs string")
     if dumps:
         symbol_dump = symbol_dump.unionByName(dumps["symbols"].select("file", "language", "symbols"))
         call_dump = call_dump.unionByName(dumps["calls"].select("source_id", "kind", "language", "calls")) if "calls" in dumps else call_dump
         ref_dump = dumps.get("refs", ref_dump)
-    graph, _ = extract(sources, symbol_dump, call_dump, ref_dump, project, config)
-    counts = [x.count() for x in (listed, graph.nodes, graph.edges, graph.tags)]
+    graph, _ = extract(sources, symbol_dump, call_dump, ref_dump, project, config, seen)
     store.create()
-    store.replace(synthesize_event_edges(graph), last_build=str(int(time.time() * 1000)))
-    return Stats(*counts, round((time.time() - began) * 1000))
+    store.replace(synthesize_event_edges(graph), last_build=str(int(began * 1000)), files="" if dumps else seen["listed"].get["digest"])
+    unparsed = rows.filter("error IS NOT NULL").count()
+    return Stats(*[seen[t].get["n"] for t in ("listed", "nodes", "edges", "tags")], round((time.time() - began) * 1000), unparsed)
 
 
 def update(spark: SparkSession, root: str, store: GraphStore, config: Config) -> tuple[int, int, int]:
-    """(changed files, all files, milliseconds). Anything changed, or no sound earlier build: a full build."""
+    """(changed files, all files, milliseconds).
+
+    If files were modified, none came or went, no dumps are involved and they are at most
+    files.REBUILD hundredths of all, they alone are read again, and their parts of the store
+    written; what others call in them keeps its id. Else, or without a sound earlier build,
+    everything is built anew.
+    """
     began = time.time()
-    listed = project_files(spark, root, config)
-    total = listed.count()
-    changed = total
+    meta = {}
     if store.exists():
         try:
             store.open()
-            last = store.meta().get("last_build")
-            changed = int(files.changed_share(listed, int(last)).first()["changed"]) if last else total
+            meta = store.meta()
+            int(meta.get("last_build", ""))
         except (RuntimeError, ValueError):
-            changed = total
-    if changed or not store.exists():
+            meta = {}
+    listed = saved(project_files(spark, root, config), "files")
+    if not meta:
+        total = listed.count()
         build(spark, root, store, config)
-    return changed, total, round((time.time() - began) * 1000)
+        return total, total, round((time.time() - began) * 1000)
+    share = files.changed_share(listed, int(meta["last_build"])).first()
+    same = meta.get("files") and listed.agg(_digest(listed).alias("d")).first()["d"] == meta["files"] and not read_dumps(spark, f"{store.path}/dumps")
+    if share["whole"] or not same:
+        if share["changed"] or not same:
+            build(spark, root, store, config)
+    elif share["changed"]:
+        _rebuild_files(spark, root, store, config, listed, int(meta["last_build"]), began)
+    return int(share["changed"]), int(share["total"]), round((time.time() - began) * 1000)
+
+
+def _rebuild_files(spark: SparkSession, root: str, store: GraphStore, config: Config, listed: DataFrame, since: int, began: float) -> None:
+    project = f"file://{root}"
+    sources = saved(project_files(spark, root, config, text=True, since=since).select("file", "language", "text"), "sources")
+    symbol_dump, call_dump, _ = _python_dumps(sources.filter("language = 'python'"), listed, project)
+    graph, _ = extract(sources, symbol_dump, call_dump, spark.createDataFrame([], "target_id string, refs string"), project, config)
+    store.replace_files(sources.select("file"), graph, last_build=str(int(began * 1000)))

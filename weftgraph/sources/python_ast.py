@@ -1,7 +1,9 @@
-"""Symbol, call and reference dumps of Python sources by their syntax trees, where no language server runs.
+"""Symbol and call dumps of Python sources by their syntax trees, where no language server runs.
 
-Made in tasks, a file at a time. Calls are resolved by name: to the file's own functions and
-methods, to names imported from files of the project, and to imported packages.
+Files are parsed in tasks, one at a time. Calls are resolved by name: to the file's own
+functions and methods, to names imported from files of the project, and to imported packages.
+Which files an import may mean depends on the importing file alone; which of them exist is
+asked of the listing of files, in a join.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-DUMP = "file string, language string, symbols string, source_name string, source_kind string, source_line int, calls string"
+DUMP = "file string, language string, symbols string, source_name string, source_line int, calls string"
+#: A file's symbols, a function without calls, a call, or why a file has none. options: what a call may mean, the likeliest first; other: what else.
+PARSED = "file string, symbols string, source_name string, source_line int, at int, options array<struct<file: string, name: string>>, other_uri string, other_name string, error string"
 
 
 def _span(node: ast.AST) -> dict:
@@ -43,33 +48,32 @@ def _statements(node: ast.stmt) -> Iterator[list[ast.stmt]]:
         yield part.body
 
 
-def _imports(tree: ast.Module, file: str, files: frozenset[str]) -> dict[str, tuple[str, str | None]]:
-    """local name -> (uri, name there or None for a module)."""
-    found: dict[str, tuple[str, str | None]] = {}
-    here = file.split("/")[:-1]
+def _places(module: list[str], here: list[str]) -> list[str]:
+    """Files that a module may be, from the project's root or beside the importing file."""
+    return ["/".join([*folder, path]) for path in ("/".join(module) + ".py", "/".join([*module, "__init__.py"])) for folder in ([], here)] if module else []
 
-    def uri(module: list[str]) -> str:
-        for path in ("/".join(module) + ".py", "/".join([*module, "__init__.py"])):
-            for folder in ([], here):
-                full = "/".join([*folder, path])
-                if full in files:
-                    return full
-        return "/node_modules/" + module[0] if module else ""
 
+def _imports(tree: ast.Module, file: str) -> dict[str, tuple[list[tuple[str, str | None]], str, str | None]]:
+    """local name -> (files that it may come from, each with its name there or None for a module; the package's uri, and the name there)."""
+    found = {}
+    here = file.split("/")[:-1]
+    package = lambda module: "/node_modules/" + module[0] if module else ""
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             for a in node.names:
-                found[a.asname or a.name.split(".")[0]] = (uri(a.name.split(".")), None)
+                module = a.name.split(".")
+                found[a.asname or module[0]] = ([(f, None) for f in _places(module, here)], package(module), None)
         elif isinstance(node, ast.ImportFrom):
             base = here[: len(here) - node.level + 1] if node.level else []
             module = [*base, *(node.module or "").split(".")] if node.module else base
             for a in node.names:
-                inner = uri([*module, a.name])
-                found[a.asname or a.name] = (inner, None) if inner in files else (uri(module), a.name)
+                options = [(f, None) for f in _places([*module, a.name], here)] + [(f, a.name) for f in _places(module, here)]
+                found[a.asname or a.name] = (options, package(module), a.name)
     return found
 
 
-def _calls(function: ast.AST, imports: dict, own: dict[str, str], file: str, project: str) -> list[dict]:
+def _calls(function: ast.AST, imports: dict, own: set[str], file: str) -> list[tuple[list[dict], str, str]]:
+    """(options, other uri, other name) of each call whose target's name is known."""
     out = []
 
     def walk(node: ast.AST) -> Iterator[ast.Call]:
@@ -88,42 +92,54 @@ def _calls(function: ast.AST, imports: dict, own: dict[str, str], file: str, pro
         if not isinstance(target, ast.Name):
             continue
         name = parts[0] if parts else target.id
+        there = lambda known: name if parts else (known or name)  # noqa: B023, E731
         if target.id in imports:
-            uri, there = imports[target.id]
-            name = name if parts else (there or name)
+            options, uri, known = imports[target.id]
+            out.append(([{"file": f, "name": there(n)} for f, n in options], uri, there(known)))
         elif name in own and (not parts or target.id in ("self", "cls")):
-            uri = file
-        else:
-            continue
-        if uri:
-            full = f"{project}{uri}" if uri.startswith("/node_modules/") else f"{project}/{uri}"
-            out.append({"to": {"name": name, "kind": 12, "uri": full}})
+            out.append(([{"file": file, "name": name}], "", name))
     return out
 
 
-def dump_file(file: str, text: str, files: frozenset[str], project: str) -> list[tuple]:
-    """Rows of DUMP: the file's symbols once, then one row for each function with its calls."""
+def parse_file(file: str, text: str) -> list[tuple]:
+    """Rows of PARSED: the file's symbols once, then one for each function, and for each of its calls."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return []
-    imports = _imports(tree, file, files)
+    except (SyntaxError, ValueError, RecursionError) as bad:
+        return [(file, None, None, None, None, None, None, None, str(bad) or type(bad).__name__)]
+    imports = _imports(tree, file)
     functions = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-    own = {f.name: file for f in functions}
-    rows: list[tuple] = [(file, "python", json.dumps(_symbols(tree.body)), None, None, None, None)]
+    own = {f.name for f in functions}
+    rows: list[tuple] = [(file, json.dumps(_symbols(tree.body)), None, None, None, None, None, None, None)]
     for f in functions:
-        rows.append((file, "python", None, f.name, "function", f.lineno, json.dumps(_calls(f, imports, own, file, project))))
+        rows.append((file, None, f.name, f.lineno, None, None, None, None, None))
+        rows += [(file, None, f.name, f.lineno, at, *call, None) for at, call in enumerate(_calls(f, imports, own, file))]
     return rows
 
 
-def dump(sources: DataFrame, files: list[str], project: str) -> DataFrame:
-    """DUMP of sources (file, text), given the names of all files of the project. Files that can't be parsed have no rows."""
-    shared = sources.sparkSession.sparkContext.broadcast(frozenset(files))  # once an executor
+def parsed(sources: DataFrame) -> DataFrame:
+    """PARSED of sources (file, text). A file that can't be parsed has one row, which says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, every = [p.split()[0] for p in DUMP.split(", ")], shared.value
+        names = [p.split()[0] for p in PARSED.replace("array<struct<file: string, name: string>>", "array").split(", ")]
         for batch in batches:
-            rows = [r for f, t in zip(batch["file"], batch["text"], strict=True) for r in dump_file(f, t or "", every, project)]
-            yield pd.DataFrame(rows, columns=names).astype({"source_line": "Int32"})
-
-    return sources.select("file", "text").mapInPandas(run, DUMP)
+            rows = [r for f, t in zip(batch["file"], batch["text"], strict=True) for r in parse_file(f, t or "")]
+            yield pd.DataFrame(rows, columns=names).astype({"source_line": "Int32", "at": "Int32"})
+
+    return sources.select("file", "text").mapInPandas(run, PARSED)
+
+
+def dump(rows: DataFrame, files: DataFrame, project: str) -> DataFrame:
+    """DUMP of PARSED rows, given all files of the project (file)."""
+    call = ["file", "source_name", "source_line"]
+    each = rows.filter("at IS NOT NULL").select(*call, "at", "other_uri", "other_name", F.posexplode_outer("options").alias("_place", "_option"))
+    known = each.join(files.select(F.col("file").alias("_there")).distinct(), F.col("_option.file") == F.col("_there"), "left")
+    met = known.groupBy(*call, "at", "other_uri", "other_name").agg(F.min(F.when(F.col("_there").isNotNull(), F.struct("_place", "_option"))).alias("_met"))
+    own = F.col("_met._option.file")
+    uri = F.when(own.isNotNull(), F.concat(F.lit(f"{project}/"), own)).when(F.col("other_uri") != "", F.concat(F.lit(project), F.col("other_uri")))
+    to = F.struct(F.coalesce("_met._option.name", F.col("other_name")).alias("name"), F.lit(12).alias("kind"), uri.alias("uri"))
+    calls = met.filter(uri.isNotNull()).groupBy(*call).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", to.alias("to")))), lambda c: F.struct(c["to"].alias("to")))).alias("calls"))
+    functions = rows.filter("source_name IS NOT NULL AND at IS NULL").select(*call).distinct()
+    with_calls = functions.join(calls, call, "left").select("file", F.lit("python").alias("language"), F.lit(None).cast("string").alias("symbols"), "source_name", "source_line", F.coalesce("calls", F.lit("[]")).alias("calls"))
+    symbols = rows.filter("symbols IS NOT NULL").select("file", F.lit("python").alias("language"), "symbols", *[F.lit(None).cast(t).alias(c) for c, t in (("source_name", "string"), ("source_line", "int"), ("calls", "string"))])
+    return symbols.unionByName(with_calls)
