@@ -21,6 +21,10 @@ from ..sources.shared import saved
 from ..sources.store import GraphStore
 
 
+#: Languages whose edges come from references alone: their outgoing calls aren't asked for, and they have no external calls.
+BY_REFERENCES = ("go",)
+
+
 @dataclass(frozen=True)
 class Stats:
     """Counts before keys are made unique, as extraction found them."""
@@ -44,7 +48,7 @@ def extract(
     test_paths = tuple(p for c in config.to_build() for p in c.test_paths)
     seen = {} if seen is None else seen
     nodes = saved(_observed(symbols.symbol_nodes(symbol_dump, test_paths), seen, "nodes"), "symbols")
-    found = saved(calls.outgoing_calls(call_dump), "calls")
+    found = saved(calls.outgoing_calls(call_dump.filter(~F.col("language").isin(*BY_REFERENCES))), "calls")
     refs = references.located(ref_dump, project)
     edges = saved(_observed(calls.call_edges(found, project).unionByName(references.reference_edges(refs, nodes)), seen, "edges"), "edges")
     scanned = saved(_observed(tags.scan(sources, nodes, config.marker), seen, "tags", F.count_if(F.col("error").isNull())), "tags")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, is_hub
 from ..operators import closure, relational
 from ..schema import TABLES
 from ..sources.shared import table_path
@@ -31,7 +32,10 @@ def _store(graph: Graph, *tables: str) -> GraphStore:
     spark = graph.nodes.sparkSession
     store = GraphStore(spark, table_path(spark, "store"))
     store.create()
-    store.replace(Graph.empty(spark).with_tables(**{t: getattr(graph, t) for t in tables}))
+    own = Graph.empty(spark).with_tables(**{t: getattr(graph, t) for t in tables})
+    if "edges" in tables and graph.hubs is not None:
+        own = replace(own, hubs=graph.hubs, direct=graph.direct)
+    store.replace(own)
     return store
 
 
@@ -95,6 +99,61 @@ def store_event_edges(g: Graph) -> DataFrame:
     return store.read("edges").filter("kind = 'event'")
 
 
+_GONE = "gone as (select id from nodes where file = 'orders/3.ts')"
+_LEFT = """select 'nodes' as tab, id as a, file as b, kind as c from nodes where id not in (select id from gone)
+union all select 'edges', source_id, target_id, kind from edges where source_id not in (select id from gone) and target_id not in (select id from gone)
+union all select 'tags', node_id, kind, value from tags where node_id not in (select id from gone)
+union all select 'external_calls', node_id, package, symbol from external_calls where node_id not in (select id from gone)"""
+
+
+@on_graph(over_graph(_LEFT, _GONE))
+def store_delete_file_data(g: Graph) -> DataFrame:
+    store = _store(g, "nodes", "edges", "tags", "external_calls")
+    store.delete_file_data("orders/3.ts")
+    return table_rows(store.open())
+
+
+class _Overtaken(GraphStore):
+    """A writer that another one overtakes once, between its change and its version."""
+
+    def before_publishing(self, action: Callable[[], None]) -> _Overtaken:
+        self._action = action
+        return self
+
+    def _publish(self, version) -> bool:
+        action, self._action = self._action, None
+        if action:
+            action()
+        return super()._publish(version)
+
+
+@on_graph(over_graph("select source_id, target_id, kind from edges where kind <> 'event'"))
+def store_two_writers(g: Graph) -> DataFrame:
+    """Edges by two writers at once, of which neither loses any: some are both's."""
+    plain = g.edges.filter("kind <> 'event'")
+    store = _store(g, "nodes")
+    slow = _Overtaken(store.spark, store.path).before_publishing(lambda: store.insert_edges(plain.filter("source_id NOT LIKE 'customer::%'")))
+    slow.insert_edges(plain.filter("source_id NOT LIKE 'part::%'"))
+    return store.read("edges")
+
+
+@on_graph(over_graph("select kind, count(*) as n from tags where kind in ('emits', 'handles') group by 1"))
+def store_event_hubs(g: Graph) -> DataFrame:
+    """Edges of the hubs that stand for all event edges, by their end: as many as tags."""
+    store = _store(g, "nodes", "tags")
+    store.synthesize_event_edges()
+    return store.open().hubs.groupBy(F.when(is_hub(F.col("target_id")), "emits").otherwise("handles").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@on_graph(over_graph(f"select 'caller' as part, n.id from nodes n join followed f on f.source_id = n.id where f.target_id = '{SINK}' union all select 'callee', n.id from nodes n join followed f on f.target_id = n.id where f.source_id = '{SINK}'"))
+def store_lookups(g: Graph) -> DataFrame:
+    """One id's neighbours, from the parts of the store that hold it."""
+    opened = _store(g, "nodes", "edges", "tags").open()
+    near = ((n, step(opened, SINK)) for n, step in (("caller", relational.callers), ("callee", relational.callees)))
+    first, second = (rows.select(F.lit(n).alias("part"), "id") for n, rows in near)
+    return first.unionByName(second)
+
+
 # --- the order of listings ---
 
 

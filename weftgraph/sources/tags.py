@@ -65,6 +65,12 @@ def bind_forward(lines: DataFrame, candidates: DataFrame, keys: tuple[str, ...]
     return met.filter("asks AND met IS NOT NULL").select(*keys, F.col("line").alias("tag_line"), F.col("met").alias("node_id"))
 
 
+# The wording of scan errors, after "Line n: ".
+BAD_NAME = "invalid tag name '", "' — must be lowercase kebab-case"
+NOTHING_BELOW = " has no function below it"
+BAD_KIND = "unknown tag kind '", "'"
+
+
 def scan(sources: DataFrame, nodes: DataFrame, marker: str = MARKER) -> DataFrame:
     """file, tag_line, kind, value, at, node_id, error of every tag value; error is null for good ones.
 
@@ -78,8 +84,8 @@ def scan(sources: DataFrame, nodes: DataFrame, marker: str = MARKER) -> DataFram
     values = tag_values(known).join(bind_forward(known, candidates), ["file", "tag_line"], "left")
     at_line = F.concat(F.lit("Line "), F.col("tag_line").cast("string"), F.lit(": "))
     error = (
-        F.when(~F.col("value").rlike(NAME), F.concat(at_line, F.lit("invalid tag name '"), F.col("value"), F.lit("' — must be lowercase kebab-case")))
-        .when(F.col("node_id").isNull(), F.concat(at_line, F.lit(marker), F.col("kind"), F.lit(" "), F.col("value"), F.lit(" has no function below it")))
+        F.when(~F.col("value").rlike(NAME), F.concat(at_line, F.lit(BAD_NAME[0]), F.col("value"), F.lit(BAD_NAME[1])))
+        .when(F.col("node_id").isNull(), F.concat(at_line, F.lit(marker), F.col("kind"), F.lit(" "), F.col("value"), F.lit(NOTHING_BELOW)))
         .otherwise(F.lit(None).cast("string"))
     )
     good = values.select("file", "tag_line", "kind", "value", "at", "node_id", error.alias("error"))
@@ -90,7 +96,7 @@ def scan(sources: DataFrame, nodes: DataFrame, marker: str = MARKER) -> DataFram
         F.lit(None).cast("string").alias("value"),
         F.lit(0).alias("at"),
         F.lit(None).cast("string").alias("node_id"),
-        F.concat(at_line, F.lit("unknown tag kind '"), F.col("kind"), F.lit("'")).alias("error"),
+        F.concat(at_line, F.lit(BAD_KIND[0]), F.col("kind"), F.lit(BAD_KIND[1])).alias("error"),
     )
     return good.unionByName(unknown)
 
