@@ -195,3 +195,50 @@ def test_larger_corpus_has_more_classes_over_several_shards(spark, docs_of, monk
     model = lm.train(lm.training_rows(docs), words)
     assert np.allclose((10.0 ** model.table().astype(float)).sum(axis=2), 1, atol=1e-4)
     assert seen(lm.learn_and_score(docs).collect()) == brute_base(rows)
+
+
+@pytest.mark.parametrize(("shards", "fan"), [(1, 3), (3, 3), (20, 3), (100, 7)])
+def test_models_of_many_shards_are_averaged_in_levels(spark, shards, fan):
+    rng = np.random.default_rng(shards)
+    states, weights = rng.normal(size=(shards, 5)).astype(np.float32), rng.integers(1, 9, shards).astype(float)
+    kept = [i for i in range(shards) if i % 5 != 4]  # a shard without rows yields nothing
+    rows = spark.createDataFrame([(i, float(weights[i]), states[i].tobytes()) for i in kept], "shard long, weight double, state binary")
+    done = lm.averaged(rows, shards, fan).collect()
+    assert len(done) <= fan
+    got = np.average([np.frombuffer(r.state, dtype=np.float32) for r in done], axis=0, weights=[r.weight for r in done])
+    assert got == pytest.approx(np.average(states[kept], axis=0, weights=weights[kept]), abs=1e-5)
+
+
+def test_steps_follow_the_gradient():
+    """What a step adds to the squares, and the way it moves, are the gradient of the contrastive likelihood, by differences."""
+    classes, size = 6, 4
+    rng = np.random.default_rng(4)
+    near, far, target = (rng.integers(0, classes, 5).astype(np.int16) for _ in range(3))
+    weights = np.array([1, 3, 2, 5, 1], dtype=np.uint8)
+    shares = rng.dirichlet(np.ones(classes))
+    noise = lm.Noise(shares)
+    drawn = noise.draw(np.random.default_rng(9))
+    model = lm.LogBilinear(classes, size)
+    for p in model._params():
+        p += rng.normal(0, 0.3, p.shape).astype(np.float32)
+    model.outs[:, size + 1] = 0
+    model.turns[:, size:] = 0
+    before = [p.astype(float) for p in model._params()]
+
+    def likelihood(context, outs, turns):
+        h = np.concatenate([context[near], context[far]], axis=1) @ turns[:, :size]
+        score = h @ outs[:, :size].T + outs[:, size] - np.log(lm.NOISE * shares)
+        true = -np.log1p(np.exp(-score[np.arange(5), target]))
+        false = -np.log1p(np.exp(score[:, drawn])).sum(axis=1)
+        return float((weights / weights.sum()) @ (true + false))
+
+    model.step(near, far, target, weights, noise, np.random.default_rng(9), 0.0)
+    for k, (old, new, squares) in enumerate(zip(before, model._params(), model.squares, strict=True)):
+        for at in np.ndindex(old.shape):
+            if k and at[1] > size - (k == 2):
+                continue  # columns of zeros
+            moved = [[p.copy() for p in before] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            slope = (likelihood(*moved[0]) - likelihood(*moved[1])) / 2e-5
+            assert np.sign(new[at] - old[at]) * math.sqrt(squares[at]) == pytest.approx(slope, rel=2e-3, abs=2e-4), (k, at)

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,8 +48,10 @@ HELD = 150_000
 SIZE, NOISE, BATCH, RATE, SEED = 24, 128, 1024, 0.2, 7
 #: Rounds, each over the rows with these slots of SLOTS: two passes over everything, the first one in growing parts. A small corpus goes round as often as makes STEPS.
 SLOTS, ROUNDS, STEPS = 16, ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (0, 16)), 1600
-#: Training tokens of a shard, up to SHARDS of them; tokens of a lot; the count beyond which a trigram becomes several rows.
-SHARD_TOKENS, SHARDS, LOT, HEAVY = 8_000_000, 64, 4_000_000, 8
+#: Training tokens of a shard; tokens of a lot; the count beyond which a trigram becomes several rows.
+SHARD_TOKENS, LOT, HEAVY = 8_000_000, 4_000_000, 8
+#: Models that are averaged at once: those of more shards in levels, by tasks.
+FAN = 64
 
 #: Tokens scored at once.
 SLICE = 1 << 16
@@ -404,8 +407,32 @@ class _Classes:
         return out
 
 
+_STATES = "shard long, weight double, state binary"
+
+
+def averaged(states: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
+    """The models of so many shards (shard, from 0; weight; state, floats), averaged by their weights until at most `fan` are left."""
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        whole = float(group["weight"].sum())
+        out = sum(np.frombuffer(state, dtype=np.float32) * (weight / whole) for state, weight in zip(group["state"], group["weight"], strict=True))
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0]) // fan], "weight": [whole], "state": [out.astype(np.float32).tobytes()]})
+
+    while shards > fan:
+        states = states.groupBy(F.floor(F.col("shard") / fan)).applyInPandas(mean, _STATES)
+        shards = -(-shards // fan)
+    return states
+
+
 def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> LogBilinear:
-    """ROUNDS over the trigrams: every shard goes on from the same model, and their models are averaged by their counts."""
+    """ROUNDS over the trigrams: every shard goes on from the same model, and their models are averaged by their counts.
+
+    There are as many shards as the training tokens ask for, however many. Which rows a shard
+    has and in which order follows from how the table of trigrams was written: the same rows
+    in other partitions give another model, of about the same likelihood. Rows with a null id
+    are neither learned from nor held out.
+    """
     sc = docs.sparkSession.sparkContext
     table = saved(trigram_rows(docs, words, id_col, text_col), "trigrams")
     rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -414,7 +441,7 @@ def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
     model.bias[:] = np.log(noise)
     if not rows:
         return model
-    shards = min(SHARDS, max(1, -(-words.total // SHARD_TOKENS)))
+    shards = max(1, -(-words.total // SHARD_TOKENS))
     slots = sum(last - first for first, last in ROUNDS)
     # a corpus of fewer rows goes round several times; it is held for that, and has fewer rows than STEPS takes
     times = max(1, round(STEPS * BATCH * SLOTS / (slots * rows)))
@@ -458,7 +485,7 @@ def train(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
             give_back()
 
         mine = table.filter(F.col("slot").between(first, last - 1)).select("near", "far", "target", "weight").coalesce(shards)
-        done = mine.mapInArrow(run, "shard long, weight double, state binary").toArrow().sort_by("shard")
+        done = averaged(mine.mapInArrow(run, _STATES), shards).toArrow().sort_by("shard")
         shared.destroy()
         if done.num_rows:
             mean, whole = np.zeros(len(model.state())), sum(done.column("weight").to_pylist())
