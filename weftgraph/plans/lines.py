@@ -53,7 +53,7 @@ def _place_order() -> tuple[str | Column, ...]:
     return "file", _number("line_start"), "id"
 
 
-def _flow_line() -> Column:
+def flow_line() -> Column:
     route = F.col("metadata")["route"]
     way = F.when(F.length(route) > 0, F.concat(route, F.lit(" "))).otherwise("")
     return F.concat(padded(F.col("value"), NAME), F.lit(" → "), way, F.lit("("), "file", F.lit(":"), F.col("line_start").cast("string"), F.lit(")"))
@@ -71,7 +71,7 @@ def _counted(n: str, noun: str) -> Column:
 
 
 def flows(graph: Graph) -> DataFrame:
-    return _rows(relational.flows(graph), _flow_line(), "value", *_place_order())
+    return _rows(relational.flows(graph), flow_line(), "value", *_place_order())
 
 
 def boundaries(graph: Graph) -> DataFrame:
@@ -88,7 +88,7 @@ def events(graph: Graph) -> DataFrame:
 def overview(graph: Graph) -> DataFrame:
     return _union(
         _fixed(graph, ("0", "Flows:"), ("2", ""), ("3", "Boundaries:"), ("5", ""), ("6", "Events:")),
-        _rows(relational.flows(graph), F.concat(F.lit("  "), _flow_line()), F.lit("1"), "value", *_place_order()),
+        _rows(relational.flows(graph), F.concat(F.lit("  "), flow_line()), F.lit("1"), "value", *_place_order()),
         _rows(relational.boundary_rollup(graph), F.concat(F.lit("  "), padded(F.col("value"), NAME), F.lit(" → "), _counted("n_functions", "function"), F.lit(" across "), _counted("n_files", "file")), F.lit("4"), "value"),
         _rows(relational.events(graph), F.concat(F.lit("  "), padded(F.col("event_name"), NAME), F.lit(" → "), _event_text()), F.lit("7"), *_EVENT_ORDER),
     )

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph, is_hub
 from ..operators import closure, relational
 from ..schema import TABLES
+from ..sources import files
 from ..sources.shared import table_path
 from ..sources.store import GraphStore
 from . import lines as lines_of
 from .queries import FLOW, SINK, SOURCE, TREE, table_rows
-from .registry import on_graph
+from .registry import on_graph, query
 from .sql import MEMBERSHIP, over_graph
 from .sql import upstream as upstream_sql
 
@@ -154,6 +155,41 @@ def store_lookups(g: Graph) -> DataFrame:
     return first.unionByName(second)
 
 
+_ROUTE = "'GET /' || lower(n.name)"
+
+
+@on_graph(
+    over_graph(
+        f"select t.value as flow, n.id, {_ROUTE} as route, t.value || repeat(' ', greatest(0, 20 - length(t.value))) || ' → ' || {_ROUTE} || ' (' || n.file || ':' || n.line_start || ')' as line "
+        "from tags t join nodes n on n.id = t.node_id where t.kind = 'flow'"
+    )
+)
+def store_metadata(g: Graph) -> DataFrame:
+    """Nodes' metadata, written and read again: an entry's route in the flow's line."""
+    routed = g.nodes.withColumn("metadata", F.create_map(F.lit("route"), F.concat(F.lit("GET /"), F.lower("name"))))
+    opened = _store(g.with_tables(nodes=routed), "nodes", "tags").open()
+    found = relational.flows(opened)
+    return found.select(F.col("value").alias("flow"), "id", F.col("metadata")["route"].alias("route"), lines_of.flow_line().alias("line"))
+
+
+# --- files ---
+
+
+@query(
+    "select 'folder=' || lower(replace(p_brand, '#', '')) as folder, count(distinct p_brand) as n_files, cast(sum(length(p_name) + 1) as bigint) as n_chars "
+    "from part where p_brand not like 'Brand#1%' group by 1"
+)
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files with their texts, below a folder of which some folders are excluded: a file a brand, with the names of its parts."""
+    root = table_path(spark, "tree")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    folder = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    part.select(F.col("p_name").alias("value"), folder.alias("folder")).repartition("folder").write.partitionBy("folder").text(root)
+    found = files.discover(spark, root, (".txt",), ("brand1",), text=True)
+    folder = F.element_at(F.split("file", "/"), -2)
+    return found.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
 # --- the order of listings ---
 
 
