@@ -233,6 +233,18 @@ def check_packing(rows, docs, window=2048):
     return whole
 
 
+def test_rows_of_one_text_and_id_are_numbered_in_several_tasks(docs_of):
+    """Half of all rows are one id and text: slots have no gaps, and no window gathers them."""
+    rows = [(7, "hot text")] * 300 + [(i, f"text {i % 50}") for i in range(300)]
+    done = sharding.shard_by_bytes(docs_of(rows), 5)
+    slots = {}
+    for r in done.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, slots.values())) == 600
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+    assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing_edge_cases(spark, docs_of):
     rows = packing.pack(docs_of(ROWS)).collect()
     check_packing(rows, ROWS)

@@ -13,14 +13,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.closure import numbered
 from .common import saved
 
 #: Hexadecimal digits by which a tree node is opened: at most 65,536 children.
 STEP = 4
-#: A shard's rows are numbered in 16**2 digest ranges times this many salts, all counted beforehand.
-SALTS = 64
 
 
 def minimax_capacity(sizes: list[int], shards: int) -> int:
@@ -124,6 +122,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.sha2(text, 256).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -132,25 +131,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     shard: Column = F.lit(0)
     for b in bounds:
         shard = shard + (F.col("digest") >= F.lit(b)).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    placed = rows.select(
-        "doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.conv(F.substring("digest", 1, 2), 16, 10).cast("int").alias("range"), salt.alias("salt")
-    )
-    cell = ["shard", "range", "salt"]
-    before = Window.partitionBy("shard").orderBy("range", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 256 * SALTS cells, and as many again for every bound: a proven size.
-    offsets = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size"))
-    return (
-        placed.withColumn("rank", rank)
-        .join(F.broadcast(offsets), cell)
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            "shard",
-            (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    placed = rows.select("doc_id", "size", "text_crc32", "row", shard.cast("int").alias("shard"))
+    # rows of one text or one id fall apart by their own numbers, so no task has all of them
+    slots = numbered(placed, "shard", "doc_id", "row")
+    first = F.broadcast(slots.groupBy("shard").agg(F.min("_number").alias("first")))  # a row a shard
+    return slots.join(first, "shard").select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("_number") - F.col("first")).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
