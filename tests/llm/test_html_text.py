@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pytest
 
+from tests.llm import other_layouts
 from weftgraph.llm import html_layouts
 from weftgraph.llm import html_text as ht
 from weftgraph.llm import queries
@@ -142,6 +143,19 @@ def test_the_cut_decides():
     assert by_cut > by_sign + 0.04 * len(pages) and by_cut > 0.9 * len(pages)
 
 
+def test_the_cut_decides_on_layouts_of_another_generator():
+    """On layouts that no part of the fit comes from, the cut mends more pages than it spoils."""
+    pages = other_layouts.pages(600)
+    by_cut = by_sign = right = blocks = 0
+    for html_text, want in pages:
+        found, content = ht.labelled(html_text), set(want)
+        by_cut += [b.text for b, on in found if on] == want
+        by_sign += [b.text for b, _ in found if ht.odds(b) > 0] == want
+        right += sum(on == (b.text in content) for b, on in found)
+        blocks += len(found)
+    assert by_cut > by_sign + 0.05 * len(pages) and by_cut > 0.65 * len(pages) and right > 0.97 * blocks
+
+
 def test_cut_of_a_long_chain():
     """Alternating odds against strong edges, so that everything is settled by the flow."""
     n = 4000

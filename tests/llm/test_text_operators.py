@@ -1,6 +1,7 @@
 """Quality rules, fingerprints, piece codec, sharding, packing and language ID against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -354,6 +355,50 @@ def test_code_lengths_against_brute_force():
         language_id.BLOCK = big
 
 
+def test_language_query_against_brute_force(spark):
+    """Predictions and scores of real rows, by counts of every context of every language that may be learned from."""
+    sf, order = "/root/testdata/sf0.001", language_id.ORDER
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    seen, kinds = {}, {}
+    for d in docs:
+        if d.text is not None and d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
+            data = language_id.PAD + d.text.encode()
+            for i in range(order, len(data)):
+                for k in range(order + 1):
+                    key = (d.lang, data[i - k : i])
+                    own = seen.setdefault(key, Counter())
+                    own[data[i]] += 1
+    kinds = {key: (sum(c.values()), len(c)) for key, c in seen.items()}
+    languages = sorted({lang for lang, _ in seen})
+
+    def bits(lang, text):
+        data, out = language_id.PAD + text, 0.0
+        for i in range(order, len(data)):
+            for k in range(order, -1, -1):
+                key = (lang, data[i - k : i])
+                if key not in seen:
+                    continue
+                total, distinct = kinds[key]
+                if n := seen[key].get(data[i]):
+                    out -= math.log2(n / (total + distinct))
+                    break
+                out -= math.log2(distinct / (total + distinct))
+            else:
+                out += 8
+        return out
+
+    got = {r.doc_id: r for r in queries.op7_language(spark, sf).collect()}
+    assert len(got) == len(docs)
+    asked = [d for d in docs if d.text and any(c.isalpha() for c in d.text)]
+    for d in asked:
+        text = d.text.encode()
+        rates = {lang: bits(lang, text) / len(text) for lang in languages}
+        best = min(rates.values())
+        assert rates[got[d.doc_id].lang_pred] == pytest.approx(best, rel=1e-4)
+        want = 1 / sum(2 ** -((r - best) * min(len(text), language_id.EVIDENCE)) for r in rates.values())
+        assert got[d.doc_id].score == pytest.approx(want, abs=1e-3)
+
+
 def test_language_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.op7_language(spark, "/root/testdata/sf0.01").collect()
