@@ -421,3 +421,19 @@ def test_refresh_writes_touched_parts_only(spark, store):
     apply_changes(store, spark.createDataFrame(gone, CHANGES), "file:///p", config.parse_config('[project]\nlanguages = ["python"]'))
     g = store.open()
     assert g.nodes.count() == 7 and g.edges.filter("kind = 'event'").isEmpty() and g.tags.filter("kind = 'handles'").isEmpty()
+
+
+def test_the_latest_version_of_a_file_counts_and_a_batch_counts_once(spark, store):
+    store.replace(shop(spark))
+    own = config.parse_config('[project]\nlanguages = ["python"]')
+
+    def record(value, version):
+        return ("src/gateways.py", "python", f"# @weft:boundary {value}\ndef charge(): ...", json.dumps([symbol("charge", 12, 1, 1)]), None, version)
+
+    def apply(mark, *records):
+        apply_changes(store, spark.createDataFrame(list(records), CHANGES), "file:///p", own, mark)
+        return [r["value"] for r in store.open().tags.filter(F.col("node_id") == CHARGE).collect()]
+
+    assert apply("a 0", record("old", 1), record("new", 3), record("older", None), record("mid", 2)) == ["new"]
+    assert apply("a 0", record("again", 9)) == ["new"]
+    assert apply("a 1", record("same-b", 5), record("same-a", 5)) == ["same-b"]

@@ -85,6 +85,15 @@ class Graph:
         """Edges that closures and paths follow, of all followed kinds (a bag of pairs)."""
         return self._followed_only(self.edges)
 
+    def sources(self) -> DataFrame:
+        """id of what has a followed edge; no pair of an event is made."""
+        rows = self._followed_only(self._listed).select(F.col("source_id").alias("id"))
+        if self.hubs is None:
+            return rows
+        emits = self.hubs.filter(is_hub(F.col("target_id"))).select(F.col("source_id").alias("id"), F.col("target_id").alias("_hub"))
+        handled = self.hubs.filter(is_hub(F.col("source_id"))).select(F.col("source_id").alias("_hub")).distinct()
+        return rows.unionByName(emits.join(handled, "_hub", "left_semi").select("id"))
+
     def _steps(self) -> DataFrame:
         """(source_id, target_id) of followed edges, through hubs if there are any: from a copy in buckets, if there is one by now."""
         for made in ("steps_on", "steps_back"):

@@ -104,7 +104,7 @@ def missing_boundaries(graph: Graph, marker: str) -> DataFrame:
 
 
 def dead_end_flows(graph: Graph, marker: str) -> DataFrame:
-    rows = tagged(graph, "flow").join(graph.followed.select(F.col("source_id").alias("id")), "id", "left_anti")
+    rows = tagged(graph, "flow").join(graph.sources(), "id", "left_anti")
     tail = f'" entry point has no callees — the call tree may be incomplete. If this function dispatches through a queue or dynamic dispatch, add {marker}emits/{marker}handles tags.'
     return _issues(rows, 7, "warning", 'Flow "', F.col("value"), tail)
 
