@@ -136,7 +136,7 @@ def build(spark: SparkSession, root: str, store: GraphStore, config: Config, dum
         ref_dump = dumps.get("refs", ref_dump)
     graph, _ = extract(sources, symbol_dump, call_dump, ref_dump, project, config, seen)
     store.create()
-    store.replace(synthesize_event_edges(graph), last_build=str(int(began * 1000)), files="" if dumps else seen["listed"].get["digest"])
+    store.replace(synthesize_event_edges(graph), last_build=str(int(began * 1000)), files=seen["listed"].get["digest"])
     unparsed = rows.filter("error IS NOT NULL").count()
     return Stats(*[seen[t].get["n"] for t in ("listed", "nodes", "edges", "tags")], round((time.time() - began) * 1000), unparsed)
 
@@ -164,10 +164,9 @@ def update(spark: SparkSession, root: str, store: GraphStore, config: Config) ->
         build(spark, root, store, config)
         return total, total, round((time.time() - began) * 1000)
     share = files.changed_share(listed, int(meta["last_build"])).first()
-    same = meta.get("files") and listed.agg(_digest(listed).alias("d")).first()["d"] == meta["files"] and not read_dumps(spark, f"{store.path}/dumps")
-    if share["whole"] or not same:
-        if share["changed"] or not same:
-            build(spark, root, store, config)
+    same = listed.agg(_digest(listed).alias("d")).first()["d"] == meta.get("files")
+    if not same or (share["changed"] and (share["whole"] or read_dumps(spark, f"{store.path}/dumps"))):
+        build(spark, root, store, config)
     elif share["changed"]:
         _rebuild_files(spark, root, store, config, listed, int(meta["last_build"]), began)
     return int(share["changed"]), int(share["total"]), round((time.time() - began) * 1000)
