@@ -1,6 +1,7 @@
 """Operators on the golden graph, and closures on random graphs against DuckDB."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from weftgraph.graph import Graph
 from weftgraph.operators import closure, lint, paths, relational
 from weftgraph.operators.relational import SymbolError
 from weftgraph.plans import reports
+from weftgraph.schema import TABLES
 
 MARKER = "@weft:"
 
@@ -275,3 +277,21 @@ def distance(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
     return row[-1]
+
+
+def test_pairs_of_ends_that_share_several_hubs_are_made_once_and_counted_without_being_made(spark, monkeypatch):
+    from weftgraph import graph as graph_module
+
+    monkeypatch.setattr(graph_module, "CELL", 3)
+    tags = [(f"e{i}", "emits", v) for i in range(20) for v in "abcd"[: 1 + i % 4]] + [(f"h{i}", "handles", v) for i in range(17) for v in "dcba"[: 1 + i % 4]]
+    tags += [("e0", "emits", "alone"), ("h1", "handles", "unheard"), ("e3", "handles", "a")]
+    calls = [("e1", "x", "calls"), ("e1", "y", "calls"), ("z", "x", "calls"), ("z", "x", "imports")]
+    empty = Graph.empty(spark)
+    g = empty.with_tables(tags=spark.createDataFrame(tags, TABLES["tags"]), edges=spark.createDataFrame(calls, TABLES["edges"])).with_hubs()
+    want = {(a, b) for a, k, v in tags if k == "emits" for b, kind, w in tags if kind == "handles" and v == w}
+    got = [tuple(r)[:2] for r in g.edges.filter("kind = 'event'").collect()]
+    assert sorted(got) == sorted(want)
+    counts = Counter(a for a, _ in want) + Counter({"e1": 2, "z": 1})
+    assert {r["id"]: r["callees"] for r in g.callees().collect()} == dict(counts)
+    assert g.size().first()["edges"] == len(want) + len(calls)
+    assert "Generate" not in g.size()._jdf.queryExecution().optimizedPlan().toString().replace("Generate explode(hubs", "")
