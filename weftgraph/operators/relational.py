@@ -129,4 +129,4 @@ def coverage(graph: Graph) -> DataFrame:
 def project_summary(graph: Graph) -> DataFrame:
     """files, symbols, edges."""
     own = graph.nodes.agg(F.countDistinct("file").alias("files"), F.count("*").alias("symbols"))
-    return own.join(graph.edges.agg(F.count("*").alias("edges")), F.lit(True))  # one row each
+    return own.join(graph.size(), F.lit(True))  # one row each
