@@ -111,7 +111,7 @@ def dead_end_flows(graph: Graph, marker: str) -> DataFrame:
 
 def disconnected(graph: Graph, marker: str) -> DataFrame:
     """Busy functions outside tests, without tags, that no flow reaches."""
-    busy = graph.followed.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("callees")).filter(F.col("callees") >= BUSY)
+    busy = graph.callees().filter(F.col("callees") >= BUSY)
     rows = graph.nodes.filter(F.col("kind").isin(*CALLABLE) & ~F.col("is_test")).join(busy, "id")
     rows = rows.join(graph.tags.select(F.col("node_id").alias("id")), "id", "left_anti").join(reachable_from_flows(graph), "id", "left_anti")
     return _issues(
