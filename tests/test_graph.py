@@ -13,6 +13,7 @@ from weftgraph.operators import closure, lint, paths, relational
 from weftgraph.operators.relational import SymbolError
 from weftgraph.plans import reports
 from weftgraph.schema import TABLES
+from weftgraph.sources.store import without_file
 
 MARKER = "@weft:"
 
@@ -295,3 +296,12 @@ def test_pairs_of_ends_that_share_several_hubs_are_made_once_and_counted_without
     assert {r["id"]: r["callees"] for r in g.callees().collect()} == dict(counts)
     assert g.size().first()["edges"] == len(want) + len(calls)
     assert "Generate" not in g.size()._jdf.queryExecution().optimizedPlan().toString().replace("Generate explode(hubs", "")
+
+
+def test_a_file_without_its_data_keeps_hubs(spark):
+    rows = [(f"{f}::{i}", "function", str(i), f, 1, 2, "python", None, False, None) for f in "ab" for i in range(3)]
+    tags = [(r[0], k, "v") for r in rows for k in ("emits", "handles")]
+    g = Graph.empty(spark).with_tables(nodes=spark.createDataFrame(rows, TABLES["nodes"]), tags=spark.createDataFrame(tags, TABLES["tags"])).with_hubs()
+    left = without_file(g, "a")
+    assert left.hubs is not None and left.hubs.count() == 6
+    assert sorted((r["source_id"], r["target_id"]) for r in left.edges.collect()) == [(f"b::{i}", f"b::{j}") for i in range(3) for j in range(3)]

@@ -88,12 +88,11 @@ def _without(rows: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
 def without_file(graph: Graph, file: str) -> Graph:
     """The graph without a file's nodes, their tags and external calls, and all edges that touch them."""
     gone = graph.nodes.filter(F.col("file") == file).select("id")
-    return Graph(
-        graph.nodes.filter(F.col("file") != file),
-        _without(graph.edges, gone, "source_id", "target_id"),
-        _without(graph.tags, gone, "node_id"),
-        _without(graph.external_calls, gone, "node_id"),
-    )
+    left = {t: _without(getattr(graph, t), gone, "node_id") for t in ("tags", "external_calls")} | {"nodes": graph.nodes.filter(F.col("file") != file)}
+    if graph.hubs is None:
+        return Graph(edges=_without(graph.edges, gone, "source_id", "target_id"), **left)
+    direct, hubs = (_without(rows, gone, "source_id", "target_id") for rows in (graph.direct, graph.hubs))  # pairs are made of the ends that stay
+    return Graph(edges=with_pairs(direct, hubs), hubs=hubs, direct=direct, **left)
 
 
 @dataclass(frozen=True)
