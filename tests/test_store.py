@@ -190,3 +190,14 @@ def test_event_edges_that_stand_as_pairs_are_made_anew(spark, store):
     assert store.read("edges").filter("kind = 'event'").count() == 2
     store.synthesize_event_edges()
     assert rows(store.read("edges")) == rows(plain.edges)
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    """All rows of one file, in one part: no task sorts and writes them all."""
+    rows = spark.range(4000).select(F.concat(F.lit("a.py::"), "id").alias("source_id"), F.lit("b.py::x").alias("target_id"), F.lit("calls").alias("kind"))
+    store = GraphStore(spark, str(tmp_path / "g"), parts=2)
+    store.create()
+    store.insert_edges(rows)
+    (folder,) = store.version().of("edges")
+    assert len(list((tmp_path / "g" / folder).glob("*.parquet"))) > 1
+    assert store.read("edges").count() == 4000

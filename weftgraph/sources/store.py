@@ -312,10 +312,14 @@ class GraphStore:
     # --- writing ---
 
     def _write(self, table: str, rows: DataFrame, parts: int, place: str | None = None) -> dict[Key, tuple[str, ...]]:
-        """The rows in a new folder a part."""
+        """The rows in a new folder a part, by as many tasks as a shuffle has partitions: a large part is dealt to several."""
         folder = f"{table}/{uuid.uuid4().hex}"
         part = F.lit(0) if table == "meta" else part_of(F.col(place or PLACE[table]), parts)
-        rows.withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        rows = rows.withColumn("_part", part)
+        if table != "meta":
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            rows = rows.repartition(n, "_part", F.pmod(F.xxhash64(place or PLACE[table]), F.lit(-(-n // parts))))
+        rows.write.partitionBy("_part").parquet(f"{self.path}/{folder}")
         return {(table, p): (f"{folder}/_part={p}",) for p in self._written(folder)}
 
     def _written(self, folder: str) -> list[int]:
@@ -381,10 +385,9 @@ class GraphStore:
             if check:
                 check(base, staged, which)
                 made.read |= {("nodes", p) for p in which}
-            fresh = saved(_fresh(self.rows_of(base, table, which), staged, KEYS[table]), "fresh")
-            made.added = self._write(table, fresh, base.parts)
+            made.added = self._write(table, _fresh(self.rows_of(base, table, which), staged, KEYS[table]), base.parts)
             if table == "edges":
-                made.added |= self._write("edges_in", fresh, base.parts)
+                made.added |= self._write("edges_in", self._in("edges", [f for fs in made.added.values() for f in fs]), base.parts)
             return made
 
         self._commit(change)
@@ -401,8 +404,10 @@ class GraphStore:
         self._insert("external_calls", rows)
 
     def _known(self, tags: DataFrame, nodes: DataFrame) -> None:
-        stray = tags.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("node_id").first()
-        if stray:
+        """Refuses tags of unknown nodes. Looked for by an aggregate over all partitions: a first row of an anti join would be sought in one task."""
+        ids = nodes.select(F.col("id").alias("node_id"), F.lit(True).alias("_known"))
+        stray = tags.select("node_id").distinct().join(ids, "node_id", "left").filter("_known IS NULL").agg(F.min("node_id").alias("node_id")).first()
+        if stray["node_id"] is not None:
             raise StoreError(f"Tag on a node that isn't in the graph: {stray['node_id']}")
 
     def _uncrowd(self) -> None:
