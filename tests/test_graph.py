@@ -305,3 +305,20 @@ def test_a_file_without_its_data_keeps_hubs(spark):
     left = without_file(g, "a")
     assert left.hubs is not None and left.hubs.count() == 6
     assert sorted((r["source_id"], r["target_id"]) for r in left.edges.collect()) == [(f"b::{i}", f"b::{j}") for i in range(3) for j in range(3)]
+
+
+def test_trace_walks_once_for_all_nodes_of_a_boundary(spark, monkeypatch):
+    """On a graph with cycles, hubs, an entry that is a boundary itself, and boundaries beyond boundaries."""
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "b"), ("c", "x")]
+    rows = [(i, "function", i, "f", 1, 2, "python", None, False, None) for i in "abcdefx"]
+    tags = [("a", "flow", "w"), ("d", "flow", "w"), ("d", "boundary", "s"), ("f", "boundary", "s"), ("c", "emits", "v"), ("e", "handles", "v"), ("x", "boundary", "one")]
+    g = Graph.empty(spark).with_tables(
+        nodes=spark.createDataFrame(rows, TABLES["nodes"]), tags=spark.createDataFrame(tags, TABLES["tags"]), edges=spark.createDataFrame([(*e, "calls") for e in edges], TABLES["edges"])
+    ).with_hubs()
+    want = {}
+    for boundary, ends in (("s", "df"), ("one", "x")):
+        pairs = spark.createDataFrame([(a, b) for a in "ad" for b in ends], "src string, dst string")
+        want[boundary] = sorted((r["src"], r["dst"], r["path"]) for r in paths.simple_paths(g, pairs).collect())
+    monkeypatch.setattr(paths, "_toward", None)  # a row for each end and each id that leads to it
+    for boundary, rows in want.items():
+        assert rows and sorted((r["src"], r["dst"], r["path"]) for r in paths.trace(g, "w", boundary).collect()) == rows
