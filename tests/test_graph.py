@@ -322,3 +322,12 @@ def test_trace_walks_once_for_all_nodes_of_a_boundary(spark, monkeypatch):
     monkeypatch.setattr(paths, "_toward", None)  # a row for each end and each id that leads to it
     for boundary, rows in want.items():
         assert rows and sorted((r["src"], r["dst"], r["path"]) for r in paths.trace(g, "w", boundary).collect()) == rows
+
+
+def test_dead_ends_read_each_table_of_edges_once(spark):
+    from weftgraph.sources.star import star_graph
+
+    rows = lint.dead_end_flows(star_graph(spark, "/root/testdata/sf0.001"), MARKER)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= 2  # calls of orders, and of parts
+    assert plan.count("Relation [o_orderkey") <= 2  # nodes and calls

@@ -104,7 +104,9 @@ def missing_boundaries(graph: Graph, marker: str) -> DataFrame:
 
 
 def dead_end_flows(graph: Graph, marker: str) -> DataFrame:
-    rows = tagged(graph, "flow").join(graph.sources(), "id", "left_anti")
+    entries = graph.tags.filter("kind = 'flow'").select(F.col("node_id").alias("id")).distinct()
+    led = graph.sources().join(entries, "id", "left_semi").distinct().withColumn("_led", F.lit(True))  # edges are read once, and what is left are entries
+    rows = tagged(graph, "flow").join(led, "id", "left").filter("_led IS NULL")
     tail = f'" entry point has no callees — the call tree may be incomplete. If this function dispatches through a queue or dynamic dispatch, add {marker}emits/{marker}handles tags.'
     return _issues(rows, 7, "warning", 'Flow "', F.col("value"), tail)
 

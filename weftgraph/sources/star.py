@@ -48,19 +48,21 @@ def star_graph(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
         .union(_nodes(t["supplier"], "supplier", "s_suppkey", "function", F.col("s_name"), F.concat(F.lit("supplier/"), text("s_nationkey"), F.lit(".go")), "go"))
     )
 
-    def edge(rows: DataFrame, source: Column, target: Column, kind: str) -> DataFrame:
-        return rows.select(source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("kind"))
+    def edge(rows: DataFrame, source: tuple[str, str], target: tuple[str, str], kind: str) -> DataFrame:
+        """Edges, each once: what repeats is dropped by its keys, before they become ids, as no two kinds of rows make the same edge."""
+        keys = rows.select(F.col(source[1]).alias("_source"), F.col(target[1]).alias("_target")).distinct()
+        return keys.select(_id(source[0], "_source").alias("source_id"), _id(target[0], "_target").alias("target_id"), F.lit(kind).alias("kind"))
 
     lines = t["lineitem"]
     calls = (
-        edge(t["orders"], _id("customer", "o_custkey"), _id("orders", "o_orderkey"), "calls")
-        .union(edge(lines, _id("orders", "l_orderkey"), _id("part", "l_partkey"), "calls"))
-        .union(edge(lines, _id("part", "l_partkey"), _id("supplier", "l_suppkey"), "calls"))
+        edge(t["orders"], ("customer", "o_custkey"), ("orders", "o_orderkey"), "calls")
+        .union(edge(lines, ("orders", "l_orderkey"), ("part", "l_partkey"), "calls"))
+        .union(edge(lines, ("part", "l_partkey"), ("supplier", "l_suppkey"), "calls"))
     )
     if cyclic:
-        calls = calls.union(edge(t["supplier"].filter("s_suppkey % 25 = 0"), _id("supplier", "s_suppkey"), _id("customer", "s_suppkey"), "calls"))
-    other = edge(t["supplier"], _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "contains").union(
-        edge(t["nation"], _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "imports")
+        calls = calls.union(edge(t["supplier"].filter("s_suppkey % 25 = 0"), ("supplier", "s_suppkey"), ("customer", "s_suppkey"), "calls"))
+    other = edge(t["supplier"], ("supplier", "s_suppkey"), ("nation", "s_nationkey"), "contains").union(
+        edge(t["nation"], ("nation", "n_nationkey"), ("region", "n_regionkey"), "imports")
     )
 
     def tag(rows: DataFrame, node: Column, kind: str, value: Column) -> DataFrame:
@@ -75,7 +77,7 @@ def star_graph(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
         .union(tag(t["part"].filter("p_partkey % 100 = 0"), _id("part", "p_partkey"), "emits", F.concat(F.lit("part."), F.lower("p_type"))))
         .union(tag(t["supplier"].filter("s_suppkey % 10 < 5"), _id("supplier", "s_suppkey"), "handles", handled))
     )
-    edges = calls.union(other).distinct()
+    edges = calls.union(other)
     users = t["events"].select("user_id", "event_type").distinct()
     external = t["supplier"].filter("s_suppkey % 3 = 0").join(users, F.col("s_suppkey") == F.col("user_id"))
     external = external.select(_id("supplier", "s_suppkey").alias("node_id"), F.col("event_type").alias("package"), F.concat("event_type", F.lit(".call")).alias("symbol"))
