@@ -331,3 +331,22 @@ def test_dead_ends_read_each_table_of_edges_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") <= 2  # calls of orders, and of parts
     assert plan.count("Relation [o_orderkey") <= 2  # nodes and calls
+
+
+@pytest.mark.parametrize(("back", "limit", "made"), [(True, paths.WALKED, [2 * 144]), (False, 9, [0, 0, 70 * 5])])
+def test_entries_that_reach_the_same_edges_walk_one_copy_of_them(spark, monkeypatch, back, limit, made):
+    """70 entries, each with all 70 in reach if there are calls back: a copy an entry would be of 4,900 edges and more. Groups that are too large are divided."""
+    full = [f"a.py::n{i}" for i in range(70)]
+    edges = [(i, "a.py::x", "calls") for i in full] + [("a.py::x", "a.py::y", "calls"), ("a.py::x", "b.py::z", "calls")] + [("b.py::z", i, "calls") for i in full if back]
+    tags = [(i, "flow", "w") for i in full] + [("a.py::y", "emits", "v"), ("b.py::z", "handles", "v")]
+    g = relational.synthesize_event_edges(graph_of(spark, [node(i) for i in [*full, "a.py::x", "a.py::y", "b.py::z"]], edges, tags))
+    got, subgraphs = [], paths._subgraphs
+    monkeypatch.setattr(paths, "_subgraphs", lambda *a: got.append(subgraphs(*a)) or got[-1])
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")  # 70 entries are enough for groups of 64
+        tree = paths.flow_tree(g, walked=limit).select("flow", "entry", "ord", "depth", "id", "parent_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", default)
+    assert sorted(map(tuple, tree.collect()), key=str) == sorted(walked(g, [t for t in tags if t[1] == "flow"]), key=str)
+    assert [rows.count() for rows in got] == made
