@@ -201,3 +201,16 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
     (folder,) = store.version().of("edges")
     assert len(list((tmp_path / "g" / folder).glob("*.parquet"))) > 1
     assert store.read("edges").count() == 4000
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    """Rows of one file are one part; what a task writes has a size that doesn't grow with them."""
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    rows = spark.range(0, 40_000, 1, 8).select(F.concat(F.lit("a.py::n"), F.col("id").cast("string")).alias("node_id"), F.lit("flow").alias("kind"), F.lit("v").alias("value"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    try:
+        ((key, (folder,)),) = store._write("tags", rows, 16).items()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "graph" / folder).glob("*.parquet"))) > 2
+    assert store._in("tags", [folder]).count() == 40_000

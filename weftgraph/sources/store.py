@@ -312,13 +312,12 @@ class GraphStore:
     # --- writing ---
 
     def _write(self, table: str, rows: DataFrame, parts: int, place: str | None = None) -> dict[Key, tuple[str, ...]]:
-        """The rows in a new folder a part, by as many tasks as a shuffle has partitions: a large part is dealt to several."""
+        """The rows in a new folder a part. A large part is dealt to several tasks, by its size: ids of a graph may nearly all be of one file."""
         folder = f"{table}/{uuid.uuid4().hex}"
         part = F.lit(0) if table == "meta" else part_of(F.col(place or PLACE[table]), parts)
         rows = rows.withColumn("_part", part)
         if table != "meta":
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = rows.repartition(n, "_part", F.pmod(F.xxhash64(place or PLACE[table]), F.lit(-(-n // parts))))
+            rows = rows.hint("rebalance", "_part")
         rows.write.partitionBy("_part").parquet(f"{self.path}/{folder}")
         return {(table, p): (f"{folder}/_part={p}",) for p in self._written(folder)}
 
