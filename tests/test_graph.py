@@ -350,3 +350,17 @@ def test_entries_that_reach_the_same_edges_walk_one_copy_of_them(spark, monkeypa
         spark.conf.set("spark.sql.shuffle.partitions", default)
     assert sorted(map(tuple, tree.collect()), key=str) == sorted(walked(g, [t for t in tags if t[1] == "flow"]), key=str)
     assert [rows.count() for rows in got] == made
+
+
+def test_large_frontiers_are_hashed_and_edges_not_sorted(spark, g, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = g.steps_on
+        plan = lambda n: steps.join(closure._hashed(spark.range(9).select(F.col("id").cast("string").alias("id")), n), steps["source_id"] == F.col("id"))._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan(60_000) and "Sort " not in plan(60_000)
+        assert "SortMergeJoin" in plan(10**9)  # too many to be held by tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(closure, "HASHED", (1, 100))
+    test_closures(g)
+    assert closure.flow_membership(g).count() == 7

@@ -19,6 +19,8 @@ from ..sources.shared import Scratch, saved
 
 #: Labels that share a row: the bits of a long.
 BITS = 64
+#: Rows of a frontier from which on its rows are hashed to be joined, and up to which, a bucket: some 0.1 KB each.
+HASHED = (50_000, 5_000_000)
 
 
 def closure(graph: Graph, seeds: DataFrame, reverse: bool = False) -> DataFrame:
@@ -28,7 +30,7 @@ def closure(graph: Graph, seeds: DataFrame, reverse: bool = False) -> DataFrame:
         fresh, n = rounds.counted(seeds.select("id").distinct(), "frontier")
         seen = fresh
         while n:
-            met = steps.join(fresh, steps[here] == fresh["id"]).select(F.col(there).alias("id")).distinct()
+            met = steps.join(_hashed(fresh, n), steps[here] == fresh["id"]).select(F.col(there).alias("id")).distinct()
             fresh, n = rounds.counted(met.join(seen, "id", "left_anti"), "frontier")
             seen = seen.unionByName(fresh)
         return saved(seen.filter(~is_hub(F.col("id"))), "closure")
@@ -52,7 +54,7 @@ def labelled_bits(graph: Graph, seeds: DataFrame, label: str, reverse: bool = Fa
         fresh, n = rounds.counted(start, "bits")
         log = fresh
         while n:
-            met = steps.join(fresh, steps[here] == fresh["id"]).groupBy(F.col(there).alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+            met = steps.join(_hashed(fresh, n), steps[here] == fresh["id"]).groupBy(F.col(there).alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
             known = log.groupBy("id", "word").agg(F.bit_or("bits").alias("_had"))
             new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.col("_had"), F.lit(0).cast("long"))))
             fresh, n = rounds.counted(met.join(known, ["id", "word"], "left").select("id", "word", new.alias("bits")).filter("bits <> 0"), "bits")
@@ -61,6 +63,12 @@ def labelled_bits(graph: Graph, seeds: DataFrame, label: str, reverse: bool = Fa
         return saved(whole, "closure"), names
 
 
+def _hashed(fresh: DataFrame, n: int) -> DataFrame:
+    """A frontier of n rows, to be hashed by the round's join, which then needs no order of the edges. A small one may be broadcast; of a very large one both sides are sorted."""
+    buckets = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fresh.hint("shuffle_hash") if HASHED[0] <= n <= HASHED[1] * buckets else fresh
+
+
 def _steps(graph: Graph, reverse: bool) -> tuple[DataFrame, str, str]:
     """The steps in buckets by the end that a round joins, that end and the other."""
     return (graph.steps_back, "target_id", "source_id") if reverse else (graph.steps_on, "source_id", "target_id")
