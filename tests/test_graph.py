@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +365,38 @@ def test_large_frontiers_are_hashed_and_edges_not_sorted(spark, g, monkeypatch):
     monkeypatch.setattr(closure, "HASHED", (1, 100))
     test_closures(g)
     assert closure.flow_membership(g).count() == 7
+
+
+@pytest.mark.parametrize(("laid", "in_rounds"), [(paths.LAID, 0), (30, 1), (0, 2)])
+def test_trees_whose_edges_no_task_holds_take_no_rounds(spark, monkeypatch, laid, in_rounds):
+    """A chain of 24 with calls back and an event, as deep as it is long, and two small trees. What reaches too many nodes is ordered in rounds; y leads to no edge."""
+    full = [f"a.py::n{i:02}" for i in range(24)]
+    edges = [(a, b, "calls") for a, b in zip(full, full[1:], strict=False)] + [(full[i], full[i // 2], "calls") for i in range(3, 24, 4)] + [(full[0], full[9], "imports"), ("b.py::x", "b.py::y", "calls")]
+    wide = [(full[5], f"c.py::w{i}", "calls") for i in range(9)]
+    tags = [(full[0], "flow", "v"), ("b.py::x", "flow", "w"), ("b.py::y", "flow", "w"), (full[2], "emits", "e"), (full[20], "handles", "e"), (full[7], "handles", "e")]
+    g = relational.synthesize_event_edges(graph_of(spark, [node(i) for i in [*full, "b.py::x", "b.py::y", *[w[1] for w in wide]]], edges + wide, tags))
+    got, rounds = [], paths._in_rounds
+    monkeypatch.setattr(paths, "_in_rounds", lambda entries, *a: got.append(entries.count()) or rounds(entries, *a))
+    tree = paths.flow_tree(g, walked=0, laid=laid).select("flow", "entry", "ord", "depth", "id", "parent_id")
+    want = walked(g, [(n, k, v) for n, k, v in tags if k == "flow"])
+    assert sorted(map(tuple, tree.collect()), key=str) == sorted(want, key=str)
+    assert max(r[3] for r in want) > 15 and sum(got) == in_rounds
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_edges_on_disk_are_walked_like_edges_in_memory(monkeypatch, seed):
+    """By groups that end anywhere in a batch, with and without hubs, calls that repeat and entries without any."""
+    rng = random.Random(seed)
+    groups = []
+    for group in range(4):
+        nodes, hubs = rng.sample(range(1, 60), 12), [-7, -3][: group % 3]
+        edges = [(rng.choice(nodes), rng.choice(nodes + hubs)) for _ in range(20 if group else 0)] + [(h, rng.choice(nodes)) for h in hubs for _ in range(3)]
+        groups.append((sorted(edges), [(paths.START, e) for e in rng.sample(nodes, 3)], [(n, paths.START) for n in nodes + hubs]))
+    table = lambda rows: pd.DataFrame(rows, columns=["group", "source", "target"])
+    rows_of = lambda made: sorted(tuple(map(int, r)) for piece in made for r in piece.itertuples(index=False))
+    want = sorted(r for g, (edges, starts, _) in enumerate(groups) for r in rows_of(paths._walks(iter([table([(g, *e) for e in edges + starts])]))))
+    monkeypatch.setattr(paths, "MADE", 4)
+    monkeypatch.setattr(paths, "RENUMBERED", 3)
+    rows = table(sorted((g, *e) for g, parts in enumerate(groups) for e in sum(parts, [])))
+    pieces = list(paths._walks_laid(rows[i : i + 7] for i in range(0, len(rows), 7)))
+    assert rows_of(pieces) == want and all(len(p) <= 4 for p in pieces)
