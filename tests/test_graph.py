@@ -400,3 +400,42 @@ def test_edges_on_disk_are_walked_like_edges_in_memory(monkeypatch, seed):
     rows = table(sorted((g, *e) for g, parts in enumerate(groups) for e in sum(parts, [])))
     pieces = list(paths._walks_laid(rows[i : i + 7] for i in range(0, len(rows), 7)))
     assert rows_of(pieces) == want and all(len(p) <= 4 for p in pieces)
+
+
+@pytest.mark.parametrize("least", [2, 500])
+def test_walks_through_a_large_component_are_made_once_for_entries_that_enter_it_at_the_same_node(monkeypatch, least):
+    """Random graphs with hubs and cycles, against a plain walk; and 40 entries before one cycle, which is walked once and not 40 times."""
+    monkeypatch.setattr(paths, "TANGLED", least)
+    monkeypatch.setattr(paths, "AT_ONCE", 2)
+    table = lambda edges, entries: pd.DataFrame([*edges, *[(paths.START, e) for e in entries]], columns=["source", "target"])
+    rows_of = lambda made: sorted(tuple(map(int, r)) for piece in made for r in piece.itertuples(index=False))
+    for seed in range(100):
+        rng = random.Random(seed)
+        nodes, hubs = rng.sample(range(1, 60), 12), [-7, -3, -2][: seed % 4]
+        edges = [(rng.choice(nodes), rng.choice(nodes + hubs)) for _ in range(22)] + [(h, rng.choice(nodes)) for h in hubs for _ in range(3)]
+        calls = {n: {t for s, t in edges if s == n and t > 0} | {t for h, t in edges if (n, h) in edges and h < 0} for n in nodes}
+        want = []
+
+        def visit(entry, node, depth, parent, seen, want=want, calls=calls):
+            seen.append(node)
+            want.append((entry, len(seen) - 1, depth, node, parent))
+            for target in sorted(calls[node]):
+                if target not in seen:
+                    visit(entry, target, depth + 1, node, seen)
+
+        entries = rng.sample(nodes, 3)
+        for entry in entries:
+            visit(entry, entry, 0, paths.START, [])
+        assert rows_of(paths._walks(iter([table(edges, entries)]))) == sorted(want), seed
+    walks, tree = [], paths._Walks.tree
+    monkeypatch.setattr(paths._Walks, "tree", lambda self, start, share=True: walks.append(share) or tree(self, start, share))
+    cycle = [(100 + i, 100 + (i + 1) % 30) for i in range(30)]
+    made = rows_of(paths._walks(iter([table([*cycle, *[(e, 100) for e in range(1, 41)]], range(1, 41))])))
+    assert len(made) == 40 * 31 and walks.count(False) == (least == 2)
+
+
+def test_trees_are_told_without_a_join_of_their_rows(spark):
+    """Rows come from what the task tells of a node: nothing is joined or shuffled after the walk."""
+    g = shop(spark)
+    plan = paths.flow_tree(g, "checkout")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > 0 and not any(step in plan[: plan.index("MapInArrow")] for step in ("Join", "Exchange")), plan
