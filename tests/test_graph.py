@@ -12,7 +12,7 @@ from tests.golden import CHARGE, CREATE, EMIT, HANDLE, SAVE, SEND, SUBMIT, TEST,
 from weftgraph.graph import Graph
 from weftgraph.operators import closure, lint, paths, relational
 from weftgraph.operators.relational import SymbolError
-from weftgraph.plans import reports
+from weftgraph.plans import lines, reports
 from weftgraph.schema import TABLES
 from weftgraph.sources.store import without_file
 
@@ -439,3 +439,21 @@ def test_trees_are_told_without_a_join_of_their_rows(spark):
     g = shop(spark)
     plan = paths.flow_tree(g, "checkout")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") > 0 and not any(step in plan[: plan.index("MapInArrow")] for step in ("Join", "Exchange")), plan
+
+
+def test_event_lines_are_numbered_without_sorting_pairs(spark, monkeypatch):
+    """As if pairs were sorted: ends that share file and name, names that are missing, several events, and cells of a few ends."""
+    monkeypatch.setattr(lines, "CELL", 2)
+    rng = random.Random(3)
+    full = [f"{rng.choice('ab')}.py::n{i}" for i in range(30)]
+    tags = {(i, kind, value) for i in full for kind in ("emits", "handles") for value in "uvw" if rng.random() < 0.4} | {(full[0], "emits", "alone")}
+    g = graph_of(spark, [node(i) for i in full], [], tags)
+    name = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit(""), F.lit(None)), (F.crc32("id") % 4 + 1).cast("int"))
+    g = g.with_tables(nodes=g.nodes.withColumn("name", name))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    want = rows(lines.in_order(lines.events(g)))
+    made = lines.events_in_order(g)
+    assert rows(made) == want and len(want) > 100 and any(line is None for _, line in want)
+    assert rows(lines.overview_in_order(g)) == rows(lines.in_order(lines.overview(g)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan[: plan.index("Generate")] and "Repartition" not in plan[: plan.index("Generate")], plan

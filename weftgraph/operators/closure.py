@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..graph import Graph, is_hub
 from ..sources.shared import Scratch, saved
@@ -89,6 +90,16 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return ranged.withColumn("_part", part).join(starts, "_part").withColumn("_number", F.col("_first") + own).drop("_at", "_part", "_first")
 
 
+def summed(rows: DataFrame, weight: str, *order: str) -> DataFrame:
+    """rows with _before, the sum of the weights of all rows before each in their order, which must be a total one: no task holds all."""
+    ranged = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = {r["_part"]: r["_n"] for r in ranged.groupBy("_part").agg(F.sum(weight).alias("_n")).collect()}  # as many as partitions
+    firsts = [(part, sum(n for other, n in sums.items() if other < part)) for part in sums]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(firsts, "_part int, _first long"))
+    own = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_own", own).join(starts, "_part").withColumn("_before", F.col("_first") + F.coalesce("_own", F.lit(0))).drop("_own", "_part", "_first")
+
+
 def flow_seeds(graph: Graph) -> DataFrame:
     return graph.tags.filter("kind = 'flow'").select(F.col("value").alias("flow"), F.col("node_id").alias("id"))
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import padded
 from ..graph import Graph
 from ..operators import closure, paths, relational
+from ..sources.shared import saved
 from . import reports
 
 #: Width of a line number, and of names in a column.
 DIGITS, NAME = 12, 20
+#: Emitters or handlers of an event in a cell, on average.
+CELL = 300
 
 
 def in_order(lines: DataFrame) -> DataFrame:
@@ -19,6 +22,52 @@ def in_order(lines: DataFrame) -> DataFrame:
     return closure.numbered(lines, "o", "line").select(F.col("_number").alias("at"), "line")
 
 
+def _ends(graph: Graph, kind: str) -> DataFrame:
+    """event_name, name, and where each emitter or handler stands in its event, by file and name: how many stand before all of the same file and name (before), how many those are (n), how many of these have no name (unnamed), and how many stand before it among them (i)."""
+    rows = relational.tagged(graph, kind).select(F.col("value").alias("event_name"), F.coalesce("file", F.lit("")).alias("_file"), F.coalesce("name", F.lit("")).alias("_name"), F.col("name").isNotNull().alias("_named"), "name")
+    order = ("event_name", "_file", "_name")
+    rows = saved(closure.numbered(rows, *order, "_named"), "ends")
+    like = rows.groupBy(*order).agg(F.min("_number").alias("_first"), F.count("*").alias("n"), F.sum((~F.col("_named")).cast("long")).alias("unnamed"))
+    firsts = rows.groupBy("event_name").agg(F.min("_number").alias("_least"))
+    return rows.join(like, [*order]).join(firsts, "event_name").select("event_name", "name", (F.col("_first") - F.col("_least")).alias("before"), "n", "unnamed", (F.col("_number") - F.col("_first")).alias("i"))
+
+
+def _in_cells(ends: DataFrame, side: str, text: Column) -> DataFrame:
+    """event_name, a cell and an array of its ends, some CELL each."""
+    sizes = ends.groupBy("event_name").agg(F.ceil(F.count("*") / CELL).alias("_cells"))
+    cell = F.pmod(F.xxhash64("name", "before", "i"), F.col("_cells")).alias(f"{side}_cell")
+    rows = ends.join(sizes, "event_name").select("event_name", cell, F.struct(text.alias("text"), "before", "n", "unnamed", "i").alias("_end"))
+    return rows.groupBy("event_name", f"{side}_cell").agg(F.collect_list("_end").alias(side))
+
+
+def events_in_order(graph: Graph, after: int = 0, title: Column | None = None) -> DataFrame:
+    """at (from `after`) and line of each pair of emitter and handler, as in_order has them.
+
+    Only emitters and handlers are sorted: as an event's pairs are all of its emitters with all of its
+    handlers, a pair's place follows from theirs. No pair is shuffled. Pairs of the same files and names share their places;
+    lines among them without a text come first.
+    """
+    emitters, handlers = _ends(graph, "emits"), _ends(graph, "handles")
+    count = lambda rows, n: rows.groupBy("event_name").agg(F.count("*").alias(n))
+    sizes = count(emitters, "_emitters").join(count(handlers, "handlers"), "event_name").withColumn("_pairs", F.col("_emitters") * F.col("handlers"))
+    places = closure.summed(sizes, "_pairs", "event_name").select("event_name", "handlers", (F.col("_before") + after).alias("first"))
+    title = F.col("event_name") if title is None else title
+    head = F.concat(title, F.lit(" → emitted by "), "name", F.lit(", handled by "))
+    n = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _in_cells(emitters, "emits", head).join(_in_cells(handlers, "handles", F.col("name")), "event_name").join(places, "event_name")
+    met = met.repartition(n, "event_name", "emits_cell", "handles_cell")
+    pairs = met.select("first", "handlers", "handles", F.explode("emits").alias("e")).select("first", "handlers", "e", F.explode("handles").alias("h"))
+    e, h = (lambda c: F.col("e")[c]), (lambda c: F.col("h")[c])
+    named = F.col("e")["i"] - e("unnamed")
+    among = (
+        F.when(named < 0, e("i") * h("n") + h("i"))
+        .when(h("i") < h("unnamed"), e("unnamed") * h("n") + named * h("unnamed") + h("i"))
+        .otherwise(e("unnamed") * h("n") + (e("n") - e("unnamed")) * h("unnamed") + named * (h("n") - h("unnamed")) + h("i") - h("unnamed"))
+    )
+    at = F.col("first") + e("before") * F.col("handlers") + e("n") * h("before") + among
+    return pairs.select(at.alias("at"), F.concat(e("text"), h("text")).alias("line"))
+
+
 def _number(c: str) -> Column:
     return F.lpad(F.col(c).cast("string"), DIGITS, "0")
 
@@ -85,12 +134,25 @@ def events(graph: Graph) -> DataFrame:
     return _rows(relational.events(graph), F.concat("event_name", F.lit(" → "), _event_text()), *_EVENT_ORDER)
 
 
+def _overview_events(graph: Graph) -> DataFrame:
+    return _rows(relational.events(graph), F.concat(F.lit("  "), padded(F.col("event_name"), NAME), F.lit(" → "), _event_text()), F.lit("7"), *_EVENT_ORDER)
+
+
 def overview(graph: Graph) -> DataFrame:
+    return _union(_overview_head(graph), _overview_events(graph))
+
+
+def overview_in_order(graph: Graph) -> DataFrame:
+    """at and line of the overview; the events, which come last, aren't sorted as pairs."""
+    head = in_order(_overview_head(graph))
+    return head.unionByName(events_in_order(graph, head.count(), F.concat(F.lit("  "), padded(F.col("event_name"), NAME))))
+
+
+def _overview_head(graph: Graph) -> DataFrame:
     return _union(
         _fixed(graph, ("0", "Flows:"), ("2", ""), ("3", "Boundaries:"), ("5", ""), ("6", "Events:")),
         _rows(relational.flows(graph), F.concat(F.lit("  "), flow_line()), F.lit("1"), "value", *_place_order()),
         _rows(relational.boundary_rollup(graph), F.concat(F.lit("  "), padded(F.col("value"), NAME), F.lit(" → "), _counted("n_functions", "function"), F.lit(" across "), _counted("n_files", "file")), F.lit("4"), "value"),
-        _rows(relational.events(graph), F.concat(F.lit("  "), padded(F.col("event_name"), NAME), F.lit(" → "), _event_text()), F.lit("7"), *_EVENT_ORDER),
     )
 
 

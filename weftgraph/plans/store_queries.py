@@ -209,13 +209,13 @@ def resolve_one(g: Graph) -> DataFrame:
 # --- what commands print ---
 
 
-def printed(lines: str, *parts: str):
-    """Registers a command's lines, as at (from 0) and line; `lines` is SQL of (o, line), in the order of o."""
+def printed(lines: str, *parts: str, ordered: bool = False):
+    """Registers a command's lines, as at (from 0) and line; `lines` is SQL of (o, line), in the order of o. ordered: the function numbers them itself."""
     sql = over_graph(f"select row_number() over (order by o) - 1 as at, line from ({lines})", *parts)
 
     def keep(function: Callable[[Graph], DataFrame]):
         def run(g: Graph) -> DataFrame:
-            return lines_of.in_order(function(g))
+            return function(g) if ordered else lines_of.in_order(function(g))
 
         run.__name__ = function.__name__
         return on_graph(sql)(run)
@@ -253,9 +253,9 @@ def command_boundaries(g: Graph) -> DataFrame:
     return lines_of.boundaries(g)
 
 
-@printed(f"select [event, af, an, bf, bn] as o, event || ' → emitted by ' || an || ', handled by ' || bn as line from ({_EVENT})")
+@printed(f"select [event, af, an, bf, bn] as o, event || ' → emitted by ' || an || ', handled by ' || bn as line from ({_EVENT})", ordered=True)
 def command_events(g: Graph) -> DataFrame:
-    return lines_of.events(g)
+    return lines_of.events_in_order(g)
 
 
 @printed(f"select {_ORDER} as o, '← ' || {_PLACE} as line from nodes n join followed f on f.source_id = n.id where f.target_id = '{SINK}'")
