@@ -275,10 +275,11 @@ union all select ['2', '', '', '', '', ''], '' union all select ['3', '', '', ''
 union all select ['4', value, '', '', '', ''], '  ' || {_wide("value")} || ' → ' || n || ' function' || case when n = 1 then '' else 's' end || ' across ' || f || ' file' || case when f = 1 then '' else 's' end
   from (select t.value, count(*) as n, count(distinct n.file) as f from {_TAGGED} 'boundary' group by 1)
 union all select ['5', '', '', '', '', ''], '' union all select ['6', '', '', '', '', ''], 'Events:'
-union all select ['7', event, af, an, bf, bn], '  ' || {_wide("event")} || ' → emitted by ' || an || ', handled by ' || bn from ({_EVENT})"""
+union all select ['7', event, af, an, bf, bn], '  ' || {_wide("event")} || ' → emitted by ' || an || ', handled by ' || bn from ({_EVENT})""",
+    ordered=True,
 )
 def command_overview(g: Graph) -> DataFrame:
-    return lines_of.overview(g)
+    return lines_of.overview_in_order(g)
 
 
 @printed(
